@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import ngram_join, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_substring_dedup": substring_dedup.op9_substring_dedup}
+    return {
+        "op7_ngram_join": ngram_join.op7_ngram_join,
+        "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
