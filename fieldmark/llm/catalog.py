@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, substring_dedup
+from . import mixing, ngram_join, packing, sharding, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_packing": packing.op4_packing,
+        "op6_mixing": mixing.op6_mixing,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+        "op10_sharding": sharding.op10_sharding,
     }
 
 
