@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, packing, sharding, substring_dedup
+from . import language_id, mixing, ngram_join, packing, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_packing": packing.op4_packing,
+        "op5_language_id": language_id.op5_language_id,
         "op6_mixing": mixing.op6_mixing,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
