@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, ngram_join, packing, sharding, substring_dedup, toxicity
+from . import language_id, mixing, ngram_join, packing, projected_neighbours, sharding, spot_signatures, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_projected_neighbours": projected_neighbours.op1_projected_neighbours,
+        "op2_spot_signatures": spot_signatures.op2_spot_signatures,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_packing": packing.op4_packing,
         "op5_language_id": language_id.op5_language_id,
