@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, ngram_join, packing, projected_neighbours, sharding, spot_signatures, substring_dedup, toxicity
+from . import language_id, mixing, ngram_join, packing, projected_neighbours, secret_scan, sharding, spot_signatures, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": language_id.op5_language_id,
         "op6_mixing": mixing.op6_mixing,
         "op7_ngram_join": ngram_join.op7_ngram_join,
+        "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_sharding": sharding.op10_sharding,
     }
