@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
@@ -24,7 +25,7 @@ _ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>"
 _HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def visible_text(pages):
     """Text outside tags, comments, scripts and styles; pieces stripped and joined by one space."""
     from html.parser import HTMLParser
@@ -123,9 +124,12 @@ def contacts(html: Column) -> dict[str, Column]:
         "email": first(lambda h: F.lower(h).startswith("mailto:"), lambda h: _unquote(F.regexp_replace(F.substring(h, 8, 1 << 20), r"\?.*$", ""))),
         "phone": first(lambda h: F.lower(h).startswith("tel:"), lambda h: _unquote(F.substring(h, 5, 1 << 20))),
     }
-    for name, pattern in SOCIALS.items():
-        out[name] = first(lambda h, p=pattern: h.rlike(p), lambda h, p=pattern: tx.social_url(F.regexp_extract(h, p, 0)))
-    return out
+    return out | {name: _social(hrefs, pattern) for name, pattern in SOCIALS.items()}
+
+
+def _social(hrefs: Column, pattern: str) -> Column:
+    found = F.filter(hrefs, lambda h: h.rlike(pattern))
+    return F.try_element_at(F.transform(found, lambda h: tx.social_url(F.regexp_extract(h, pattern, 0))), F.lit(1))
 
 
 def contacts_of_pages(pages: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -179,11 +183,11 @@ def crawl_order(pages: DataFrame, homes: DataFrame, max_pages: int = MAX_PAGES)
 
     Breadth first: the home page, then likely links in link order, at most max_pages in all.
     """
-    links = likely_links(pages).select(F.col("url").alias("from"), "target", "place")
+    links = likely_links(pages).select(F.col("url").alias("from"), "target", F.col("place").alias("nth"))
     at = homes.select("home", F.col("home").alias("url")).join(pages.select("url"), "url").select("home", "url", F.lit(0).alias("depth"), F.lit(0).alias("place"))
     found = at
     for depth in range(1, max_pages):
-        step = at.join(links, at["url"] == links["from"]).select("home", F.col("target").alias("url"), F.lit(depth).alias("depth"), links["place"]).join(pages.select("url"), "url")
+        step = at.select("home", F.col("url").alias("at")).join(links, F.col("at") == F.col("from")).select("home", F.col("target").alias("url"), F.lit(depth).alias("depth"), F.col("nth").alias("place")).join(pages.select("url"), "url")
         at = step.join(found.select("home", "url"), ["home", "url"], "left_anti").groupBy("home", "url").agg(F.min("depth").alias("depth"), F.min("place").alias("place"))
         found = found.unionByName(at)
     from pyspark.sql import Window
@@ -196,7 +200,7 @@ def outcome_counts(statuses: DataFrame) -> DataFrame:
     return statuses.groupBy("status").agg(F.count("*").alias("n")).orderBy("status")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def robots_allow(robots, url):
     """Whether robots.txt lets our agent read the address; an unread file (null) blocks."""
     import pandas as pd

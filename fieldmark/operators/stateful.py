@@ -68,9 +68,9 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, as_of: Column, ttl_days:
     ttl = F.lit(default_ttl)
     for name, days in (ttl_days or {}).items():
         ttl = F.when(F.col("source") == name, F.lit(days)).otherwise(ttl)
-    live = newest.where((ttl > 0) & (F.col("fetched_at") > as_of - F.make_dt_interval(ttl)))
-    out = requests.join(live, ["source", "source_id"], "left")
-    return out.withColumn("hit", F.col("fetched_at").isNotNull())
+    out = requests.join(newest, ["source", "source_id"], "left")
+    live = F.coalesce((ttl > 0) & (F.col("fetched_at") > as_of - F.make_dt_interval(ttl)), F.lit(False))
+    return out.withColumn("hit", live).withColumn("value", F.when(F.col("hit"), F.col("value")))
 
 
 def cache_put(cache: DataFrame, entries: DataFrame) -> DataFrame:

@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import event_queries, record_queries
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean, deduplicate and classify records: the pipeline end to end."""
     return queries()["classify_delivery"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**record_queries.QUERIES, **event_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**record_queries.SQL, **event_queries.SQL}
