@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, ngram_join, packing, projected_neighbours, secret_scan, sharding, spot_signatures, substring_dedup, toxicity
+from . import language_id, mixing, ngram_join, oracle, packing, projected_neighbours, secret_scan, sharding, spot_signatures, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
