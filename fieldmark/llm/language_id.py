@@ -68,7 +68,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         for g in grams(word, n):
                             found[n][g] += k
                 for n, counts in found.items():
-                    yield pa.RecordBatch.from_pydict({"lang": [lang] * len(counts), "n": pa.array([n] * len(counts), pa.int32()), "gram": list(counts), "c": pa.array(list(counts.values()), pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(counts), pa.string()), "n": pa.array([n] * len(counts), pa.int32()), "gram": pa.array(list(counts), pa.string()), "c": pa.array(list(counts.values()), pa.int64())})
 
 
 class Model:

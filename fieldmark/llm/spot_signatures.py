@@ -3,7 +3,8 @@ detection in large web collections", 2008).
 
 A common word (an anchor) starts a spot signature: the anchor with the chain of the next content words, skipping
 anchors.  A document's fingerprint is its set of signatures, so what stands in menus and lists, without common
-words, has little part in it.  A text without a signature has one, of its whole word sequence.
+words, has little part in it.  A text of fewer than `FEW` signatures has one more, of its whole word
+sequence, or short texts that share a phrase would count as equal.
 
 A fingerprint is a string: the number of signatures, then the `KEPT` smallest 32-bit hashes of them in hex.
 Likeness is the Jaccard similarity that two such samples tell: sets of at most `KEPT` signatures are
@@ -30,6 +31,8 @@ from .words import Words, mix, slices, total_bytes
 
 #: Content words in a chain.
 CHAIN = 2
+#: Signatures below which a text's whole word sequence counts too.
+FEW = 4
 #: Signature hashes in a fingerprint.
 KEPT = 256
 _PART_BYTES = 3 << 20
@@ -104,8 +107,8 @@ def signatures(words: Words, anchors: _Anchors, chain: int) -> list[np.ndarray]:
     out = []
     for d in range(words.n_docs):
         own = h[cut[d] : cut[d + 1]]
-        if not len(own) and words.counts[d]:
-            own = one[d : d + 1]
+        if len(own) < FEW and words.counts[d]:
+            own = np.append(own, one[d])
         out.append(np.unique((own >> np.uint64(32)).astype(np.uint32)))
     return out
 

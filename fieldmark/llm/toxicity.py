@@ -85,7 +85,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 words = {w for t in set((text or "").split()) for w in letters_of(t)}
                 counts[toxic].update(words | {w[:_STEM] + "*" for w in words if len(w) > _STEM})
             names = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_pydict({"f": names, "t": pa.array([counts[1][n] for n in names], pa.int64()), "c": pa.array([counts[0][n] for n in names], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"f": pa.array(names, pa.string()), "t": pa.array([counts[1][n] for n in names], pa.int64()), "c": pa.array([counts[0][n] for n in names], pa.int64())})
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: int = KEEP) -> dict[str, tuple[int, float]]:

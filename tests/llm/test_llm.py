@@ -1,0 +1,378 @@
+"""The training-data operators against brute force, SQL and edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import oracle
+import pytest
+from pyspark.sql import functions as F
+
+from fieldmark.llm import catalog, graph, language_id, mixing, ngram_join, packing, projected_neighbours, secret_scan, sharding, spot_signatures, substring_dedup, toxicity
+from fieldmark.llm.words import Words, planes, unplanes
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kind string, chunk long, id long, size long, rank long, label string"
+EDGE = [
+    (1, None, "en", "a"), (2, "", None, None), (3, "  \n\t ", "en", "a"), (4, "one", "en", "b"), (5, "a b c d e f g h i j k l m n", "en", "a"), (6, "a b c d e f g h i j k l m n", None, "a"), (7, "x a b c d e f g h i j k l m n y", "fr", None),
+    (8, "A B C D E F G H I J K L M N", "en", "c"), (None, "a b c d e f g h i j k l m n", "en", "a"), (9, "the idiot! " * 30000, "en", "a"), (10, "z" * 200000, "de", "b"), (11, "123 456 !!!", "en", "b"), (12, "é ü 漢字   ß", "de", "c"), (12, "é ü 漢字   ß", "de", "c"), (13, "password=b7db7aa4a5fcc78305 ok", "en", "c"),
+]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, lang, s, len(t) if t else 0, "k", 1, 2, 3, 4, "l") for i, t, lang, s in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return frame(spark, EDGE)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return frame(spark, EDGE).where("false")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").select("doc_id", "text", "lang", "source").collect()]
+
+
+def made(rng, n, words, vocabulary=40):
+    return [" ".join(f"w{rng.randrange(vocabulary)}" for _ in range(rng.randrange(1, words))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_equals_sql(spark, name):
+    assert oracle.compare(spark, oracle.connect(SF), catalog.queries()[name], catalog.oracle_sql()[name], SF) is None
+
+
+def test_words_and_blocks():
+    import pyarrow as pa
+
+    texts = ["a bb  ccc\n", None, "", "dd", " x" * 3, "q" * 5000, "ab cd"]
+    w = Words(pa.array(texts, pa.string()))
+    assert [[w.word(k).decode() for k in range(w.first[d], w.first[d + 1])] for d in range(w.n_docs)] == [WORD.findall(t or "") for t in texts]
+    assert len(set(w.hash.tolist())) == len({w.word(k) for k in range(len(w.starts))})
+    sliced = Words(pa.array(["zz", *texts], pa.string()).slice(1))
+    assert (sliced.hash == w.hash).all()
+    x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64))
+    y = np.random.default_rng(2).integers(-5, 1 << 20, 1000)
+    a, b = unplanes(planes(x, y), 1000, 2)
+    assert (a == x).all() and (b.view(np.int64) == y).all()
+
+
+def brute_windows(rows, width=13):
+    first = {}
+    split = [(i, WORD.findall(t or "")) for i, t in rows]
+    for i, w in split:
+        if i is not None:
+            for k in range(len(w) - width + 1):
+                key = tuple(w[k : k + width])
+                first[key] = min(first.get(key, i), i)
+    out = []
+    for i, w in split:
+        gone = [False] * len(w)
+        for k in range(len(w) - width + 1):
+            if i is not None and first[tuple(w[k : k + width])] < i:
+                gone[k : k + width] = [True] * width
+        out.append((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def windows(df, **options):
+    return sorted((tuple(r) for r in substring_dedup.repeated_windows(df, **options).drop("removed").collect()), key=repr)
+
+
+def test_repeated_windows(spark, edge, empty):
+    rng = random.Random(3)
+    rows = [(i, t, "en", "a") for i, t in enumerate(made(rng, 80, 60, 4))]
+    assert windows(frame(spark, rows), width=5, chunk_bytes=2000) == brute_windows([r[:2] for r in rows], 5)
+    assert windows(edge) == brute_windows([r[:2] for r in EDGE])
+    assert windows(empty) == []
+
+
+def test_removed_intervals_are_maximal(spark):
+    line = " ".join(f"a{k}" for k in range(20))
+    out = substring_dedup.repeated_windows(frame(spark, [(1, line, "en", "a"), (2, f"x {line} y", "en", "a")])).where("doc_id = 2").first()
+    assert [tuple(x) for x in out["removed"]] == [(1, 20)]
+
+
+def brute_components(rows):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(low))
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()))
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and sets[a][0] is not None and sets[b][0] is not None and 100 * len(x & y) >= 75 * len(x | y):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        if i is not None:
+            least[root(k)] = min(least.get(root(k), i), i)
+    return sorted(((i, len(s), least[root(k)] if i is not None else None) for k, (i, s) in enumerate(sets)), key=repr)
+
+
+def test_ngram_components(spark, edge, empty):
+    rng = random.Random(4)
+    base = made(rng, 6, 60, 300)
+    rows = []
+    for k in range(120):
+        words = rng.choice(base).split()
+        for _ in range(rng.randrange(0, 3)):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(9)}"
+        rows.append((k, " ".join(words), "en", "a"))
+    got = lambda df: sorted((tuple(r) for r in ngram_join.similar_components(df).collect()), key=repr)
+    assert got(frame(spark, rows)) == brute_components([r[:2] for r in rows])
+    assert got(edge) == brute_components([r[:2] for r in EDGE])
+    assert got(empty) == []
+
+
+def test_components_of_chains(spark):
+    edges = [(k, k + 1) for k in range(30)] + [(100, 101), (205, 203), (203, 204)]
+    out = dict(tuple(r) for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert {out[k] for k in range(31)} == {0} and out[101] == 100 and out[205] == out[204] == 203 and len(out) == 36
+
+
+def test_packing_plan():
+    rng = random.Random(5)
+    for capacity in (16, 64):
+        counts = {rng.randrange(1, capacity + 1): rng.randrange(1, 30) for _ in range(12)}
+        windows = packing.plan(counts, capacity)
+        used = {}
+        for repeats, window in windows:
+            assert sum(k * m for k, m in window.items()) <= capacity
+            for k, m in window.items():
+                used[k] = used.get(k, 0) + m * repeats
+        assert used == counts
+    for _ in range(30):
+        counts = {rng.randrange(1, 12): rng.randrange(1, 3) for _ in range(4)}
+        items = [k for k, m in counts.items() for _ in range(m)]
+        best = max(s for s in (sum(x for j, x in enumerate(items) if mask >> j & 1) for mask in range(1 << len(items))) if s <= 17)
+        found = packing.fullest(counts, 17)
+        assert sum(k * m for k, m in found.items()) == best and all(m <= counts[k] for k, m in found.items())
+
+
+@pytest.mark.parametrize("which", ["docs", "edge"])
+def test_packing(spark, docs, edge, which):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [r[:2] for r in docs] if which == "docs" else [(i, t) for i, t, *_ in EDGE if i != 10] + [(14, "It's <|endoftext|> ok,don't X́ ÀÉ É 'RE")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = packing.pack(df, path).collect()
+    tokenizer = Tokenizer.from_file(path)
+    pieces = {}
+    for r in out:
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    expected = {}
+    for i, t in rows:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        expected.setdefault(i, []).extend((a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for a in range(0, len(ids), 4096))
+    assert {i: sorted(p) for i, p in pieces.items()} == {i: sorted(p) for i, p in expected.items()}
+    by_sequence = {}
+    for r in out:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in by_sequence.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    total = sum(r.length for r in out)
+    assert len(by_sequence) <= total // 4096 + 2
+
+
+def test_mixing(spark, edge, empty):
+    rows = {r.doc_id: r for r in mixing.sample(edge).collect()}
+    assert rows[9]["size"] == 60000 and rows[1]["size"] == 0 and all(0 <= r.copies <= 3 for r in rows.values())
+    out = mixing.mixed(edge)
+    assert out.columns == edge.columns and out.where("doc_id = 9").count() == rows[9]["copies"]
+    assert mixing.mixed(empty).count() == 0 and mixing.sample(empty).count() == 0
+    sized = spark.createDataFrame([("0a", 100), ("0b", 1000), ("0c", 10)], "source_key string, size long")
+    targets = {r.source_key: r.target for r in mixing.source_targets(sized).collect()}
+    assert targets["0a"] == 300 and targets["0c"] == 30 and targets["0b"] == pytest.approx(780)
+
+
+def test_mixing_comes_near_targets_and_repeats(spark):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randrange(1, 200), "en", rng.choice("aaaab")) for i in range(600)]
+    one, two = (sorted(tuple(r) for r in mixing.sample(frame(spark, rows)).collect()) for _ in range(2))
+    assert one == two
+    taken, target = {}, {}
+    for _, source, size, _, goal, copies in one:
+        taken[source], target[source] = taken.get(source, 0) + size * copies, goal
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] for s in target)
+
+
+def test_sharding(spark, edge, empty):
+    out = sharding.assign(edge).collect()
+    by = {}
+    for r in out:
+        assert r.grown_shard in (r.shard, 8)
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    text = {i: t or "" for i, t, *_ in EDGE}
+    assert all(r["size"] == len(text[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in out)
+    assert sharding.assign(empty).count() == 0
+    keys = spark.range(20000).select(sharding.shard_of(F.col("id").cast("string"), [1.0, 3.0]).alias("s"))
+    assert 0.73 < keys.where("s = 1").count() / 20000 < 0.77
+
+
+def test_language(spark, edge, empty):
+    words = {"en": "the and of that is with for", "de": "der die und das ist mit für", "fr": "le la les des est avec pour"}
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices(words[lang].split(), k=30)), lang, "a") for i in range(300) for lang in [rng.choice(list(words))]]
+    df = frame(spark, rows)
+    model = language_id.fit(df)
+    out = {r.doc_id: r for r in language_id.predict(df, model).collect()}
+    assert all(out[i].lang_pred == lang for i, _, lang, _ in rows)
+    new = {r.doc_id: r.lang_pred for r in language_id.predict(frame(spark, [(1, "thes ands thatt", None, "a"), (2, "1 2 3", None, "a"), (3, None, None, "a")]), model).collect()}
+    assert new == {1: "en", 2: "und", 3: "und"}
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(edge, language_id.fit(edge)).collect()}
+    assert got[11] == "und" and got[1] == "und" and got[9] != "und"
+    assert language_id.predict(empty, language_id.fit(empty)).count() == 0
+    assert {r.lang_pred for r in language_id.predict(edge, language_id.fit(empty)).collect()} == {"und"}
+    assert language_id.annotate(edge, model).count() == len(EDGE)
+
+
+def test_language_on_held_out(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = catalog.queries()["op5_language_id"](spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in out) >= 0.95 * len(out)
+
+
+def test_clauses():
+    insult, report, negation, target = (toxicity.INSULT, 0.9), (toxicity.REPORT, 1.0), (toxicity.NEGATION, 1.0), (toxicity.TARGET, 1.0)
+    score = toxicity.clause_score
+    assert score([target, insult]) > score([insult]) > score([report, insult]) > 0.3 and score([negation, insult]) < 0.5
+    assert score([(toxicity.THREAT, 0.9)]) == 0 and score([(toxicity.THREAT, 0.9), target]) > 0.5 and score([]) == 0
+
+
+def test_toxicity(spark, edge, empty):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(400):
+        words = made(rng, 1, 60, 400)[0].split()
+        if i % 5 == 0:
+            words.insert(rng.randrange(len(words) + 1), f"blorgx{i % 3}")
+        rows.append((i, " ".join(words), "en", "a"))
+        labels.append((i, 1, int(i % 5 == 0)))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    df = frame(spark, rows)
+    out = {r.doc_id: r.score for r in toxicity.score(df, toxicity.fit(df, marks)).collect()}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all((out[i] >= toxicity.THRESHOLD) == (i % 5 == 0) for i in held)
+    scores = {r.doc_id: r.score for r in toxicity.score(edge, toxicity.fit(edge, marks.where("false"))).collect()}
+    assert scores[9] > 0.9 and scores[1] == 0 and scores[4] == 0
+    assert toxicity.score(empty, toxicity.fit(empty, marks)).count() == 0
+
+
+def test_spot_signatures(spark, docs, edge, empty):
+    rows = [r[:2] for r in docs]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [tuple(r) for r in spot_signatures.ordered_parts(df, 40_000).groupBy("part").applyInArrow(spot_signatures._compared(2, 256), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").orderBy("doc_id").collect()]
+    assert len(out) == len(rows)
+    for k, r in enumerate(out):
+        text, following = rows[k][1], rows[(k + 1) % len(rows)][1]
+        half = len(text) // 2
+        assert r[0] == rows[k][0] and r[1] == len(text) and r[2] == hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()
+        assert r[6] == spot_signatures.likeness(spot_signatures.parse(r[3]), spot_signatures.parse(out[(k + 1) % len(out)][3]))
+    assert sum(r[5] > r[6] for r in out) > 0.9 * len(out)
+    e = {(r.doc_id, r.n_chars): r for r in spot_signatures.with_next(edge).collect()}
+    assert e[(5, 27)].fingerprint == e[(6, 27)].fingerprint == e[(None, 27)].fingerprint != e[(7, 31)].fingerprint and e[(1, 0)].fingerprint == "0:"
+    assert spot_signatures.with_next(edge).count() == len(EDGE) and spot_signatures.with_next(empty).count() == 0
+    assert spot_signatures.fingerprints(edge).count() == len(EDGE)
+
+
+def test_likeness_of_large_sets():
+    rng = np.random.default_rng(9)
+    a = np.unique(rng.integers(0, 1 << 32, 3000).astype(np.uint32))
+    b = np.union1d(rng.permutation(a)[: len(a) // 2], rng.integers(0, 1 << 32, 1500).astype(np.uint32))
+    true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    fp = lambda x: spot_signatures.parse(spot_signatures.fingerprint(x))
+    assert abs(spot_signatures.likeness(fp(a), fp(b)) - true) < 0.1 and spot_signatures.likeness(fp(a), fp(a)) == 1
+    assert spot_signatures.likeness(fp(a), fp(b[:10]), least=0.5) == 0
+
+
+def test_neighbours_recall_and_edges(spark):
+    rng = np.random.default_rng(10)
+    centres = rng.standard_normal((12, 24))
+    v = centres[rng.integers(0, 12, 900)] + 0.4 * rng.standard_normal((900, 24))
+    v[100:400] = v[100]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(2000, None), (2001, [0.0] * 24), (2002, [float("nan")] * 24), (2003, [1.0]), (None, [1.0] * 24), (2020, [None] + [1.0] * 23)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = projected_neighbours.nearest(df, F.col("vec_id") % 20 == 0, block=300, query_block=20).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(by) == set(range(0, 900, 20))
+    hits = 0
+    for q, found in by.items():
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, 21)) and q not in {f[1] for f in found}
+        assert all(abs(s - float(v[i] @ v[q])) < 1e-9 for _, i, s in found)
+        scores = v @ v[q]
+        best = sorted(((-scores[i], i) for i in range(900) if i != q))[:20]
+        hits += sum(f[2] >= -best[-1][0] - 1e-9 for f in found)
+    assert hits >= 0.9 * 20 * len(by)
+    assert projected_neighbours.nearest(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+    assert abs(projected_neighbours.chi2_cdf(projected_neighbours.stopping_ratio(0.9, 8), 8) - 0.9) < 1e-6
+
+
+def test_secrets(spark, edge, empty):
+    forest = secret_scan.train()
+    held = secret_scan.labelled_findings(600, seed=99)
+    right = 0
+    for line, label in held:
+        tokens = line.split()
+        found = []
+        for k in range(len(tokens)):
+            for value, joint in secret_scan._values(tokens, k):
+                before = tokens[max(0, k - 3) : k]
+                found.append(secret_scan.features(value, before, tokens[k + 1 : k + 3], "", joint))
+        p = max(forest.predict(np.array(found)), default=0.0) if found else 0.0
+        right += (p >= 0.5) == bool(label)
+    assert right >= 0.95 * len(held)
+    got = [tuple(r)[:3] for r in secret_scan.scan(edge, forest).collect()]
+    assert got == [(13, 9, 18)]
+    out = secret_scan.redact(edge, forest)
+    assert out.columns == edge.columns
+    row = out.where("doc_id = 13").first()
+    assert row["text"] == "password=[SECRET] ok" and row["n_chars"] == 20
+    assert out.where("doc_id is null or doc_id <> 13").select("doc_id", "text").exceptAll(edge.where("doc_id is null or doc_id <> 13").select("doc_id", "text")).count() == 0
+    assert secret_scan.scan(empty, forest).count() == 0 and secret_scan.redact(empty, forest).count() == 0
+
+
+def test_secrets_leave_look_alikes(spark):
+    forest = secret_scan.train()
+    lines = ["commit 5e71cd2b7c08d8c9ac2f3a4b5c6d7e8f90a1b2c3 merged", "id 123e4567-e89b-12d3-a456-426614174000 seen", "write to jane.doe.42@mail8.example.com now", "see https://www.site12.com/docs/page/1234.html", "a plain line of words"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "doc_id long, text string")
+    assert secret_scan.scan(df, forest).count() == 0
+
+
+def test_pipeline_stages(spark, edge, empty):
+    import corpus_pipeline as p
+
+    assert [n for n, _ in p.STAGES] == ["language_id", "ngram_join", "secret_scan", "mixing", "packing"]
+    for name, stage in p.STAGES[:-1]:
+        assert stage(spark, edge, SF).columns == edge.columns, name
+        assert stage(spark, empty, SF).count() == 0, name
+    kept = {r.doc_id for r in p.drop_near_copies(spark, edge, SF).collect()}
+    assert 5 in kept and 6 not in kept and 8 not in kept and None in kept and 1 in kept
+    told = p.detect_language(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert told.count() >= 0.99 * spark.read.parquet(f"{SF}/documents.parquet").count()
