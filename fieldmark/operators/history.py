@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -90,6 +91,14 @@ def list_runs(runs: DataFrame, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.limit(limit)
 
 
+def safe_name(text: str) -> str:
+    """A path component of letters, digits, dots, underscores and hyphens."""
+    name = re.sub(r"[^A-Za-z0-9._-]+", "-", text).strip(".-")
+    if not name:
+        raise ValueError("A job or run name needs a safe path character.")
+    return name
+
+
 class HistoryStore:
     """Versioned records of one job under a folder: runs, versions and changes as Parquet, partitioned by run.
 
@@ -100,7 +109,7 @@ class HistoryStore:
     VERSION = 1
 
     def __init__(self, spark: SparkSession, path: str, job: str):
-        self.spark, self.path, self.job = spark, path.rstrip("/"), job
+        self.spark, self.path, self.job = spark, path.rstrip("/"), safe_name(job)
 
     def _at(self, name: str) -> str:
         return f"{self.path}/{self.job}/v{self.VERSION}/{name}"

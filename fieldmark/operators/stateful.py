@@ -95,6 +95,11 @@ def spend_budget(requests: DataFrame, max_calls: int | dict[str, int], order: st
     return ranked.withColumn("action", action).drop("__first", "__nth")
 
 
+def task_counts(tasks: DataFrame, by: str = "source") -> DataFrame:
+    """(by, rows) of the tasks that succeeded or found nothing."""
+    return tasks.where(F.col("outcome").isin(*RESETS)).groupBy(by).agg(F.sum("raw_count").alias("rows"))
+
+
 def costs(calls: DataFrame) -> DataFrame:
     """(source, calls, cost) of paid calls; a total row has source 'total'."""
     each = F.lit(0.0)

@@ -64,6 +64,10 @@ def source_health_counts(spark, d):
     return stateful.health_counts(_attempts(spark, d))
 
 
+def task_row_counts(spark, d):
+    return stateful.task_counts(_attempts(spark, d).withColumn("raw_count", F.col("event_id") % 17))
+
+
 def _cache(spark, d):
     e = v.table(spark, d, "events")
     return e.where("event_id % 2 = 0").select(F.when(F.col("event_id") % 4 == 0, "google").otherwise("yelp").alias("source"), F.col("user_id").cast("string").alias("source_id"), F.col("ts").alias("fetched_at"), F.col("event_type").alias("value"))
@@ -253,6 +257,7 @@ SQL = {
     "source_health_streak": f"""with a as (select *, sum((outcome in ('success','empty'))::int) over (partition by source order by ts, event_id) as g from {_ATT}), b as (select event_id, sum((outcome in ('retryable_failure','fatal_failure'))::int) over (partition by source, g order by ts, event_id)::bigint as consecutive_failures from a)
  select event_id, consecutive_failures, case when consecutive_failures >= 3 then 'threshold' when consecutive_failures > 0 then 'degraded' else 'healthy' end as health from b""",
     "source_health_counts": f"select source, count(*) as attempts, {', '.join(f'''count(*) filter (outcome = '{k}') as {k}''' for k in ('success', 'empty', 'retryable_failure', 'fatal_failure', 'skipped'))} from {_ATT} group by 1",
+    "task_row_counts": f"select source, sum(event_id % 17)::bigint as rows from {_ATT} where outcome in ('success', 'empty') group by 1",
     "ttl_cache_lookup": """with c as (select case when event_id % 4 = 0 then 'google' else 'yelp' end as source, user_id, max(ts) as f, max_by(event_type, ts) as value from events where event_id % 2 = 0 group by 1, 2),
  a as (select event_id as k, case when event_id % 4 = 1 then 'google' else 'yelp' end as source, user_id from events where event_id % 2 = 1)
  select k, a.source, c.f is not null as hit, c.value as value from a left join c on a.source = c.source and a.user_id = c.user_id and a.source = 'google' and c.f > (select max(ts) from events) - interval 20 day""",

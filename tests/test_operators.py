@@ -225,3 +225,36 @@ def test_license_and_profile_rows(spark):
         readers.license_records(good.drop("observed_at"))
     items = spark.createDataFrame([("https://example.test/x", "https://www.linkedin.com/in/a", "A", 0)], f"profileUrl string, url string, name string, {ORDER} long")
     assert readers.profile_records(items, F.current_timestamp()).first()["linkedin"] == "https://www.linkedin.com/in/a"
+
+
+def test_fixture_admission(tmp_path):
+    import hashlib
+
+    from fieldmark.sources import fixtures
+
+    def put(name, payload):
+        data = json.dumps(payload).encode()
+        (tmp_path / name).write_bytes(data)
+        return {"source": "s", "path": name, "sha256": hashlib.sha256(data).hexdigest(), "sanitization": "synthetic", "contains_real_contact_data": False}
+
+    good = put("a.json", [{"url": "https://x.example.test/a"}])
+    assert fixtures.admit(good, "sanitized_only", tmp_path) == (tmp_path / "a.json").resolve()
+    for bad in (put("b.json", {"url": "https://real.com"}), put("c.json", {"deep": [{"Token": "x"}]}), good | {"path": "../x"}, good | {"sha256": "0" * 64}, good | {"sanitization": "none"}):
+        with pytest.raises(fixtures.FixtureError):
+            fixtures.admit(bad, "sanitized_only", tmp_path)
+    with pytest.raises(fixtures.FixtureError):
+        fixtures.admit(good, "prohibited", tmp_path)
+
+
+def test_safe_names():
+    assert history.safe_name("../my job!") == "my-job"
+    with pytest.raises(ValueError):
+        history.safe_name("///")
+
+
+def test_command_line(tmp_path, capsys):
+    from fieldmark.__main__ import main
+
+    (tmp_path / "j.yaml").write_text("version: 1\nname: n\nsearch: {query: q, states: [CA]}\nsources: [csv]\noutput: {fields: [name]}\n")
+    assert main(["preflight", str(tmp_path / "j.yaml")]) == 0
+    assert json.loads(capsys.readouterr().out)["task_count"] == 1
