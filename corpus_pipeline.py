@@ -25,18 +25,27 @@ from fieldmark.llm.words import shared_dir
 MIN_SCORE = 0.3
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of columns clashes with."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
-    told = language_id.annotate(docs, model)
-    kept = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") >= MIN_SCORE))
-    return kept.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    pred, score = fresh("lang_pred", docs.columns), fresh("lang_score", docs.columns)
+    told = language_id.annotate(docs, model, pred, score)
+    kept = told.where((F.col(pred) != language_id.UNKNOWN) & (F.col(score) >= MIN_SCORE))
+    return kept.select(*[F.col(pred).alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = ngram_join.similar_components(docs)
     # rows without an id are in no group and stay
-    gone = groups.where("doc_id is not null and component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    other = fresh("other_id", docs.columns)
+    gone = groups.where("doc_id is not null and component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(other), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ not learned from.  Ties between languages go to the first in alphabetical order.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -159,10 +160,10 @@ class _Scores:
         return k
 
 
-_KEPT: dict[int, _Scores] = {}
+_KEPT: dict[str, _Scores] = {}
 
 
-def _predict(model, key: int):
+def _predict(model, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _KEPT:
             _KEPT.clear()
@@ -193,18 +194,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     handle = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(handle, id(handle)), "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(_predict(handle, uuid.uuid4().hex), "doc_id long, lang_pred string, score double")
 
 
-def annotate(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and lang_score beside all their own columns, in one pass."""
+def annotate(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """docs with the predicted language and its score beside all their own columns, in one pass."""
     spark = docs.sparkSession
     handle = spark.sparkContext.broadcast(model)
     own = [F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(docs.columns)]
     rows = docs.select(*own, F.col("text").cast("string").alias("text"))
     fields = [f"own_{k} {kind}" for k, (_, kind) in enumerate(docs.dtypes)]
-    out = rows.mapInArrow(_predict(handle, id(handle)), ", ".join([*fields, "lang_pred string", "score double"]))
-    return out.select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(docs.columns)], "lang_pred", F.col("score").alias("lang_score"))
+    out = rows.mapInArrow(_predict(handle, uuid.uuid4().hex), ", ".join([*fields, "lang_pred string", "score double"]))
+    return out.select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(docs.columns)], F.col("lang_pred").alias(pred), F.col("score").alias(score))
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

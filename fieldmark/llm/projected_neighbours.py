@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 8
 CONFIDENCE = 0.97
-LEAF = 64
+LEAF = 128
 #: Vectors in a block of the index, and queries in a block of queries.
-BLOCK, QUERIES = 8192, 1024
+BLOCK, QUERIES = 32_768, 512
 
 
 def chi2_cdf(x: np.ndarray | float, k: int) -> np.ndarray | float:
@@ -101,6 +101,8 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     directions = _directions(points.shape[1], dimensions, seed)
     projected = points @ directions[:-1] + extra[:, None] * directions[-1]
     tree = Tree(projected)
+    # everything in the order of the leaves
+    points, projected, lo, copies = points[tree.order], projected[tree.order], cut[:-1][tree.order], np.diff(cut)[tree.order]
     stop = stopping_ratio(confidence, dimensions)
     out_q, out_id, out_score = [], [], []
     for position, (qid, q, p) in enumerate(zip(query_ids.tolist(), queries, queries @ directions[:-1], strict=True)):
@@ -109,22 +111,29 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
         found: list[tuple[np.ndarray, np.ndarray]] = []
         best, at, step = np.zeros(0), 0, 4
         while at < len(leaves):
+            reach = np.inf
             # one more than k: the query itself may be among them
             if len(best) > k:
                 kth = np.partition(best, len(best) - k - 1)[len(best) - k - 1]
-                distance = max(length + longest - 2 * kth, 0.0)
-                if bounds[at] > stop * distance and bounds[at] > 0:
+                reach = stop * max(length + longest - 2 * kth, 0.0)
+                if bounds[at] > reach:
                     break
-            rows = np.concatenate([tree.order[a:b] for a, b in tree.ranges[leaves[at : at + step]]])
+            rows = np.concatenate([np.arange(a, b) for a, b in tree.ranges[leaves[at : at + step]]])
+            at += step
+            step = min(step * 2, 256)
+            away = projected[rows] - p
+            away = np.einsum("ij,ij->i", away, away)
+            if reach < np.inf:
+                # the test holds for each point whose own projected distance is beyond reach
+                rows = rows[away <= reach]
+                if not len(rows):
+                    continue
             scores = points[rows] @ q
             found.append((rows, scores))
-            # every distinct vector counts with its copies, but for the query itself
-            copies = np.minimum(cut[rows + 1] - cut[rows], k + 1)
-            best = np.concatenate([best, np.repeat(scores, copies)])
+            # every distinct vector counts with its copies
+            best = np.concatenate([best, np.repeat(scores, np.minimum(copies[rows], k + 1))])
             if len(best) > k + 1:
                 best = best[np.argpartition(best, len(best) - k - 1)[len(best) - k - 1 :]]
-            at += step
-            step = min(step * 2, 64)
         rows, scores = (np.concatenate([f[j] for f in found]) for j in (0, 1))
         n = min(len(rows), 2 * k + 2)
         top = np.argpartition(-scores, n - 1)[:n] if n < len(rows) else np.arange(len(rows))
@@ -132,7 +141,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
         top = np.flatnonzero(scores >= least)
         pairs = []
         for r in top:
-            own = ids[by_copy[cut[rows[r]] : cut[rows[r] + 1]][: k + 1]]
+            own = ids[by_copy[lo[rows[r]] : lo[rows[r]] + min(copies[rows[r]], k + 1)]]
             pairs += [(-scores[r], i) for i in own.tolist() if i != qid]
         pairs.sort()
         for s, i in pairs[: 2 * k]:

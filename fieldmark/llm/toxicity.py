@@ -18,6 +18,7 @@ several labels counts as toxic if one of them is.  Without labels only the fixed
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -155,10 +156,10 @@ class _Classes:
         return entry
 
 
-_KEPT: dict[int, _Classes] = {}
+_KEPT: dict[str, _Classes] = {}
 
 
-def _score(handle, key: int):
+def _score(handle, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _KEPT:
             _KEPT.clear()
@@ -199,7 +200,7 @@ def score(docs: DataFrame, lexicon: dict[str, tuple[int, float]]) -> DataFrame:
     """(doc_id, score) of every row."""
     handle = docs.sparkSession.sparkContext.broadcast(lexicon)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(handle, id(handle)), "doc_id long, score double")
+    return rows.mapInArrow(_score(handle, uuid.uuid4().hex), "doc_id long, score double")
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
