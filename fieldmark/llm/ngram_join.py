@@ -8,14 +8,14 @@ is left accumulates overlap counts, pairs whose count plus the rest of the longe
 the bound for their sizes are discarded, and the surviving pairs' counts are completed over all columns.
 
 A group of k near copies would give k*k/2 pairs.  Round one compares each document with the smallest
-document of the column it shares most (k pairs) and forms components of the links; round two
-compares what is left in different components, all of it.  No pair of different components goes
-untested, so components are exact.
+document of the column it shares most (k pairs) and forms components of the links.  Round two compares
+documents outside the main component of a column with members of it, a few each.  Round three compares
+what is left in different components, all of it.  No pair of different components goes untested, so
+components are exact; the first rounds only leave less to the third.
 
 Frequent columns are found in a pass over all documents: each task keeps counts of its shingles, and
-those with a count of at least bytes / 2**21 in all are at most 2**20 (a word takes two bytes at
-least), so the list that is broadcast has a bound of 8 MB.  It only orders columns: any order gives
-the same result.
+the 2**20 most frequent of those with a count of `OFTEN` or more are broadcast, 8 MB at most.  The list only orders
+columns: any order gives the same result.
 
 Defined results.  Null and blank texts have no shingle, link with nothing and are their own
 component.  A row with a null doc_id links with nothing and has a null component.  Rows that repeat a doc_id are
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -46,8 +46,14 @@ _SALTS = 32
 _ROWS = 256
 
 
-def _frequent(docs: DataFrame, width: int, least: int) -> np.ndarray:
-    """Sorted hashes of shingles that many documents hold (at most 2**20 of them)."""
+#: Documents that make a shingle frequent, and how many such shingles are put last in the order.
+OFTEN, ORDERED = 16, 1 << 20
+#: Members of a column's main component that a document outside it is compared with in round two.
+_TRIES = 8
+
+
+def _frequent(docs: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of the shingles that most documents hold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -78,7 +84,7 @@ def _frequent(docs: DataFrame, width: int, least: int) -> np.ndarray:
             h, c = h[new], np.add.reduceat(c, new)
             yield packed()
 
-    found = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("h")
+    found = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "h").limit(ORDERED).select("h")
     return np.sort(np.array([r[0] for r in found.collect()], dtype=np.int64).view(np.uint64))
 
 
@@ -103,7 +109,7 @@ def _rows(width: int, num: int, den: int, frequent, blocks: int):
             order = np.lexsort((h, part))
             h, ids, n, part = h[order], ids[order], n[order], part[order]
             at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-            ends = np.append(at[1:], len(part))
+            ends = np.append(at[1:], len(part))[: len(at)]
             k = len(at)
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.array(ends - at), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(part[at]), pa.array([planes(h[a:b], ids[a:b], n[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary())],
@@ -270,6 +276,13 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) ->
     return left.groupBy("a", "part").cogroup(right.groupBy("with", "of")).applyInArrow(_complete(num, den), "a long, b long")
 
 
+def _mixed(entries: DataFrame, label: DataFrame) -> DataFrame:
+    """(h, id, n, label, main): entries of the columns that hold several components, with each column's largest."""
+    named = entries.select("h", "id", "n").join(label, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("label"))
+    main = named.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels"))
+    return named.join(main.where("labels > 1").select("h", "main"), "h")
+
+
 def similar_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; links have Jaccard similarity of at least num/den."""
     spark = docs.sparkSession
@@ -277,7 +290,7 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = total_bytes(docs)
     blocks = max(4, min(4 * tasks_of(spark), -(-size // (2 << 20))))
-    frequent = spark.sparkContext.broadcast(_frequent(docs, width, max(8, size >> 21)))
+    frequent = spark.sparkContext.broadcast(_frequent(docs, width))
     made = docs.mapInArrow(_rows(width, num, den, frequent, blocks), _ROWS_SCHEMA).checkpoint()
     rows = made.where("kind = 0").select("doc_id", "n", "seq", "rep")
     entries = made.where("kind = 1").select("part", "n", "block").groupBy("part").applyInArrow(_shared_columns, "h long, salted boolean, id long, n long, pivot long, pivot_n long").checkpoint()
@@ -288,7 +301,7 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
 
     # round one: each document against the smallest document of the column it shares most
     by_column = entries.where((F.col("id") != F.col("pivot")) & _can_reach("n", "pivot_n", num, den)).groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c"), F.max("pivot_n").alias("na"), F.max("n").alias("nb"))
-    best = by_column.where(_rest("c", "na", "nb", num, den)).groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
+    best = by_column.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
     pivots = entries.where("salted").select("h", F.col("pivot").alias("b")).distinct()
     across = pivots.join(pivots.groupBy("h").agg(F.min("b").alias("a")), "h").where("a <> b").select("b", "a").distinct()
     one = best.select("a", "b").union(across.select("a", "b")).distinct()
@@ -296,16 +309,24 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     links = _links(docs, one, width, num, den).union(equal.select("a", "b")).checkpoint()
     label = components(links).checkpoint()
 
-    # round two: whatever is left between different components
-    named = entries.select("h", "id", "n").join(label, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("label"))
-    counts = named.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("h", "main")
-    mixed = named.join(counts, "h").checkpoint()
+    # round two: members of a column's main component for those outside it
+    mixed = _mixed(entries, label).checkpoint()
+    inside = mixed.where("label = main").groupBy("h").agg(F.min_by(F.struct("id", "n"), F.xxhash64("h", "id")).alias("p"))
+    outside = mixed.where("label <> main").join(inside, "h").select(F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    tried = outside.where(_can_reach("na", "nb", num, den)).groupBy("a", "b").agg(F.count("*").alias("c"))
+    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), F.xxhash64("a", "b")))
+    two = tried.withColumn("k", nth).where(F.col("k") <= _TRIES).select("a", "b").checkpoint()
+    links = links.union(_links(docs, two, width, num, den)).checkpoint()
+    label = components(links).checkpoint()
+
+    # round three: whatever is left between different components
+    mixed = _mixed(entries, label).checkpoint()
     x = mixed.where("label <> main").select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     y = mixed.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
     cross = x.join(y, "h").where((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & _can_reach("na", "nb", num, den))
-    two = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-    two = two.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb")).where(_rest("c", "na", "nb", num, den)).select("a", "b").checkpoint()
-    more = _links(docs, two, width, num, den).checkpoint()
+    three = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+    three = three.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb")).where(_rest("c", "na", "nb", num, den)).select("a", "b").checkpoint()
+    more = _links(docs, three, width, num, den).checkpoint()
     label = components(links.union(more)).checkpoint()
     out = rows.join(label, F.col("rep") == F.col("id"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

@@ -30,7 +30,7 @@ from .words import Words, shared_dir, slices
 CAPACITY = 4096
 END_ID = 2
 #: Distinct words whose ids one worker keeps.
-_WORDS = 300_000
+_WORDS = 500_000
 _SIMPLE = re.compile(r"([a-zß-öø-ÿĀ-ɏ]+)([.,;:!?]*)")
 #: The byte-level alphabet of public byte-level BPE vocabularies: printable bytes stand for themselves, the rest follow from 256.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -51,9 +51,16 @@ class WordIds:
     def clear(self) -> None:
         self.index: dict[int, int] = {}
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.length, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
         self.letters.clear()
 
+    def forget(self) -> None:
+        """Keeps the words that were met in more than one slice."""
+        kept = [(k, self.flat[self.start[v] : self.start[v] + self.length[v]].tolist()) for k, v in self.index.items() if self.met[v] > 1]
+        self.clear()
+        for key, ids in kept[: _WORDS // 2]:
+            self._put(key, ids)
+
     def one(self, word: str) -> list[int]:
         low = word.lower()
         m = _SIMPLE.fullmatch(low)
@@ -66,14 +73,14 @@ class WordIds:
         if ids is None:
             mapped = text if text.isascii() else "".join(map(_BYTE.__getitem__, text.encode()))
             ids = [t.id for t in self.model.tokenize(mapped)]
-            if len(text) <= 6 and len(self.letters) < 50_000:
+            if len(text) <= 12 and len(self.letters) < 150_000:
                 self.letters[text] = ids
         return ids
 
     def _put(self, key: int, ids: list[int]) -> int:
         k = len(self.index)
         if k == len(self.start):
-            self.start, self.length = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.length, np.zeros_like(self.length)])
+            self.start, self.length, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.met))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -85,7 +92,7 @@ class WordIds:
     def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents after one another, number of ids of each document)."""
         if len(self.index) > _WORDS:
-            self.clear()
+            self.forget()
         h = words.hash
         order = np.argsort(h)
         s = h[order]
@@ -96,6 +103,7 @@ class WordIds:
         for j, k in enumerate(at):
             if k < 0:
                 at[j] = self._put(keys[j], self.one(words.word(first[j]).decode("utf-8", "replace")))
+        self.met[at] += 1
         entry = np.empty(len(h), np.int64)
         entry[order] = np.array(at, np.int64)[np.cumsum(new) - 1] if len(h) else 0
         start, length = self.start[entry], self.length[entry]

@@ -23,9 +23,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import Words, mix, slices, total_bytes
 
@@ -141,22 +143,33 @@ def ordered_parts(docs: DataFrame, part_bytes: int = _PART_BYTES) -> DataFrame:
     """docs by ranges of doc_id, each with a copy of the next range's first row (the last range: of the first row).
 
     Adds part and ahead (1 for such a copy).  Ranges are bounded by quantiles of doc_id, so a part
-    is about part_bytes; the driver holds one id per part.
+    is about part_bytes.  The driver holds, and each task gets, two ids per part: 16 bytes for part_bytes of text.
     """
+    lowest = -(1 << 63)
     parts = max(1, -(-total_bytes(docs) // part_bytes))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    cuts = docs.select(key.alias("k")).agg(F.percentile_approx("k", F.array(*[F.lit(j / parts) for j in range(1, parts)]), 10_000)).first()[0] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    low = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else None
-    # ranges are [cut, next cut): the number of cuts up to the key
-    part = (F.size(F.filter(low, lambda c: c <= key)) if cuts else F.lit(0)).cast("int")
-    dealt = docs.withColumn("part", part)
-    firsts = {r["part"]: r["k"] for r in dealt.groupBy("part").agg(F.min(key).alias("k")).collect()}
-    there = sorted(firsts)
-    before = {firsts[p]: there[j - 1] for j, p in enumerate(there)}
-    pairs = F.create_map(*[x for k, p in before.items() for x in (F.lit(k).cast("long"), F.lit(p))]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0))
-    again = dealt.withColumn("to", pairs[key]).where("to is not null").withColumn("ahead", F.lit(1)).withColumn("part", F.col("to")).drop("to")
-    return dealt.withColumn("ahead", F.lit(0)).unionByName(again)
+    key = F.coalesce("doc_id", F.lit(lowest))
+    found = docs.select(key.alias("k")).agg(F.percentile_approx("k", F.array(*[F.lit(j / parts) for j in range(1, parts)]), max(10_000, 4 * parts))).first()[0] if parts > 1 else []
+    cuts = docs.sparkSession.sparkContext.broadcast(np.unique(np.array(found or [], np.int64)))
+
+    @F.pandas_udf(T.IntegerType())
+    def part_of(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts.value, k.to_numpy(), side="right").astype(np.int32))
+
+    firsts = sorted((r["k"], r["part"]) for r in docs.select(key.alias("k")).select("k", part_of("k").alias("part")).groupBy("part").agg(F.min("k").alias("k")).collect())
+    # each part's first id, and the part before it
+    heads = docs.sparkSession.sparkContext.broadcast((np.array([k for k, _ in firsts], np.int64), np.array([firsts[j - 1][1] for j in range(len(firsts))], np.int32)))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def places(k: pd.Series) -> pd.Series:
+        """The row's own part and, for the first row of a part, the one before."""
+        ids = k.to_numpy()
+        own = np.searchsorted(cuts.value, ids, side="right")
+        first, before = heads.value
+        at = np.minimum(np.searchsorted(first, ids), max(0, len(first) - 1))
+        head = first[at] == ids if len(first) else np.zeros(len(ids), bool)
+        return pd.Series([[int(o), int(before[x])] if h else [int(o)] for o, x, h in zip(own, at, head, strict=True)])
+
+    return docs.select("*", F.posexplode(places(key)).alias("ahead", "part"))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
