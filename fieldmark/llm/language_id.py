@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import Words, slices
+from .words import Words, remembered, slices
 
 #: Labelled documents of one language that the model is fitted on.
 SAMPLE = 5000
@@ -160,15 +160,9 @@ class _Scores:
         return k
 
 
-_KEPT: dict[str, _Scores] = {}
-
-
 def _predict(model, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _KEPT:
-            _KEPT.clear()
-            _KEPT[key] = _Scores(model.value)
-        scores, langs = _KEPT[key], model.value.langs
+        scores, langs = remembered(key, lambda: _Scores(model.value)), model.value.langs
         for batch in batches:
             for piece in slices(batch):
                 total = scores.of(Words(piece.column("text")))

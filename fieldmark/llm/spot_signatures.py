@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import Words, mix, slices, total_bytes
+from .words import Words, mix, remembered, slices, total_bytes
 
 #: Content words in a chain.
 CHAIN = 2
@@ -173,12 +173,11 @@ def ordered_parts(docs: DataFrame, part_bytes: int = _PART_BYTES) -> DataFrame:
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-_KEPT: dict[str, _Anchors] = {}
 
 
 def _compared(chain: int, kept: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        anchors = _KEPT.setdefault("anchors", _Anchors())
+        anchors = remembered("anchors", _Anchors)
         table = table.sort_by([("ahead", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
         ahead = table.column("ahead").to_numpy()
         own = int((ahead == 0).sum())
@@ -231,7 +230,7 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN, kept: int = KEPT) -> DataF
     """(doc_id, fingerprint, n_signatures) of every row, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = _KEPT.setdefault("anchors", _Anchors())
+        anchors = remembered("anchors", _Anchors)
         for batch in batches:
             for piece in slices(batch):
                 found = signatures(Words(piece.column("text")), anchors, chain)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import held_out, letters_of
-from .words import Words, slices
+from .words import Words, remembered, slices
 
 #: Labelled documents of each label (toxic, not toxic) that insults are learned from.
 SAMPLE = {1: 20_000, 0: 60_000}
@@ -156,15 +156,9 @@ class _Classes:
         return entry
 
 
-_KEPT: dict[str, _Classes] = {}
-
-
 def _score(handle, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _KEPT:
-            _KEPT.clear()
-            _KEPT[key] = _Classes(handle.value)
-        classes = _KEPT[key]
+        classes = remembered(key, lambda: _Classes(handle.value))
         for batch in batches:
             for piece in slices(batch):
                 words = Words(piece.column("text"))

@@ -208,10 +208,29 @@ def unplanes(data: bytes, n: int, columns: int) -> list[np.ndarray]:
     return out
 
 
+_REMEMBERED: dict = {}
+
+
+def remembered(key, make):
+    """What a worker keeps between batches and tasks; a new key takes the place of all others, so memory has one owner."""
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
 def tasks_of(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release(spark) -> None:
+    """Lets Spark's cleaner drop shuffle and checkpoint files that nothing refers to any more, before the next step writes its own."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_dir(spark) -> None:
     """Sets a checkpoint folder only where the session names none (tests, a single machine)."""
     sc = spark.sparkContext
