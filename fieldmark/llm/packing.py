@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import positions
-from .words import Words, shared_dir, slices
+from .words import Words, remembered, shared_dir, slices
 
 CAPACITY = 4096
 END_ID = 2
@@ -114,12 +114,9 @@ class WordIds:
         return self.flat[place], np.diff(bounds[words.first])
 
 
-_KEPT: dict[str, WordIds] = {}
-
-
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _KEPT.get(path) or _KEPT.setdefault(path, WordIds(path))
+        vocabulary = remembered(("ids", path), lambda: WordIds(path))
         for batch in batches:
             for piece in slices(batch):
                 words = Words(piece.column("text"))
