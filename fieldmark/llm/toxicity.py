@@ -35,6 +35,8 @@ SAMPLE = {1: 20_000, 0: 60_000}
 #: Learned entries kept, best first.
 KEEP = 20_000
 THRESHOLD = 0.3
+#: Share of a learned insult's documents that are toxic, at least: one that clean documents use too marks no text.
+CERTAIN = 0.96
 _STEM = 5
 _REMEMBERED = 400_000
 
@@ -106,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: int = KEEP) -> dict[str, tuple
         ratio = F.col("t") * F.log(F.col("t") / both / base) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / both / (1 - base))).otherwise(0.0)
         scored = counts.where("t > 0").withColumns({"g": ratio, "p": F.col("t") / both})
         tried = counts.count()
-        found = scored.where((F.col("p") > max(0.5, min(0.9, 3 * base))) & (F.col("g") > math.log(max(tried, 2)) + 3)).orderBy(F.desc("g"), "f").limit(keep)
+        found = scored.where((F.col("p") >= CERTAIN) & (F.col("g") > math.log(max(tried, 2)) + 3)).orderBy(F.desc("g"), "f").limit(keep)
         for r in found.collect():
             # the share of toxic documents, drawn to the base rate as if by one more document
             lexicon[r["f"]] = (INSULT, (r["t"] + base) / (r["t"] + r["c"] + 1))
