@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .words import Words, mix, planes, shared_dir, slices, tasks_of, total_bytes, unplanes
+from .words import Words, mix, planes, release, shared_dir, slices, tasks_of, total_bytes, unplanes
 
 #: Compacted counts that one task holds while it looks for frequent shingles.
 _COUNTS = 1 << 20
@@ -104,15 +104,15 @@ def _rows(width: int, num: int, den: int, frequent, blocks: int):
         held = 0
 
         def flush():
-            h, ids, n, part = (np.concatenate([w[k] for w in waiting]) for k in range(4))
+            h, ids, n, pos, part = (np.concatenate([w[k] for w in waiting]) for k in range(5))
             waiting.clear()
             order = np.lexsort((h, part))
-            h, ids, n, part = h[order], ids[order], n[order], part[order]
+            h, ids, n, pos, part = h[order], ids[order], n[order], pos[order], part[order]
             at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
             ends = np.append(at[1:], len(part))[: len(at)]
             k = len(at)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.array(ends - at), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(part[at]), pa.array([planes(h[a:b], ids[a:b], n[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary())],
+                [pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.array(ends - at), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(part[at]), pa.array([planes(h[a:b], ids[a:b], n[a:b], pos[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary())],
                 names=_NAMES,
             )
 
@@ -145,12 +145,13 @@ def _rows(width: int, num: int, den: int, frequent, blocks: int):
                         order = np.lexsort((flag, doc))
                         doc, h, flag = doc[order], h[order], flag[order]
                 first = np.cumsum(n) - n
-                lead = (np.arange(len(h)) - first[doc]) < _prefix_length(n, num, den)[doc]
+                pos = np.arange(len(h)) - first[doc]
+                lead = pos < _prefix_length(n, num, den)[doc]
                 lead &= fresh[doc]
-                doc, h, flag = doc[lead], h[lead], flag[lead]
+                doc, h, flag, pos = doc[lead], h[lead], flag[lead], pos[lead]
                 salt = np.where(flag, (mix(ids[doc].astype(np.uint64)) % np.uint64(_SALTS)).astype(np.int64) + 1, 0)
                 block = (h >> np.uint64(32)).astype(np.int64) * blocks >> 32
-                waiting.append((h, ids[doc], n[doc].astype(np.int64), ((block + salt * 7) % blocks * (_SALTS + 1) + salt).astype(np.int32)))
+                waiting.append((h, ids[doc], n[doc].astype(np.int64), pos, ((block + salt * 7) % blocks * (_SALTS + 1) + salt).astype(np.int32)))
                 held += piece.nbytes
                 if held >= _BLOCK_BYTES:
                     held = 0
@@ -167,10 +168,10 @@ _ROWS_SCHEMA = "kind byte, doc_id long, n long, seq binary, rep long, part int,
 
 def _shared_columns(key: tuple, table: pa.Table) -> pa.Table:
     """Entries of the columns that two documents or more hold, with each column's smallest document."""
-    got = [unplanes(b.as_py(), n.as_py(), 3) for b, n in zip(table.column("block"), table.column("n"), strict=True)]
-    h, ids, n = (np.concatenate([g[k] for g in got]) for k in range(3))
+    got = [unplanes(b.as_py(), n.as_py(), 4) for b, n in zip(table.column("block"), table.column("n"), strict=True)]
+    h, ids, n, pos = (np.concatenate([g[k] for g in got]) for k in range(4))
     order = np.argsort(h)
-    h, ids, n = h[order], ids[order].view(np.int64), n[order].view(np.int64)
+    h, ids, n, pos = h[order], ids[order].view(np.int64), n[order].view(np.int64), pos[order].view(np.int64)
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     size = np.diff(np.append(at, len(h)))
     keep = np.repeat(size > 1, size)
@@ -181,7 +182,7 @@ def _shared_columns(key: tuple, table: pa.Table) -> pa.Table:
     # the pivot's own size, for the bound
     own = np.repeat(np.maximum.reduceat(np.where(ids == pivot, n, 0), at), size)
     k = int(keep.sum())
-    return pa.table({"h": h[keep].view(np.int64), "salted": np.full(k, salted), "id": ids[keep], "n": n[keep], "pivot": pivot[keep], "pivot_n": own[keep]})
+    return pa.table({"h": h[keep].view(np.int64), "salted": np.full(k, salted), "id": ids[keep], "n": n[keep], "pos": pos[keep], "pivot": pivot[keep], "pivot_n": own[keep]})
 
 
 def _can_reach(a: str, b: str, num: int, den: int):
@@ -189,6 +190,11 @@ def _can_reach(a: str, b: str, num: int, den: int):
     return (F.least(a, b) * den) >= (F.greatest(a, b) * num)
 
 
+def _first_shared(n: str, pos: str, a: str, b: str, num: int, den: int):
+    """Whether a column at this place of a row can be the first that rows of sizes a and b share: what follows must hold the whole overlap."""
+    return ((F.col(n) - F.col(pos)) * (num + den)) >= ((F.col(a) + F.col(b)) * num)
+
+
 def _rest(c: str, a: str, b: str, num: int, den: int):
     """Overlap counted so far plus what the longer rest of either row could add reaches num*(a+b)/(num+den)."""
 
@@ -271,18 +277,66 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) ->
     per = pairs.groupBy("a").agg(F.count("*").alias("k"))
     parts = per.select("a", F.explode(F.sequence(F.lit(0), F.ceil(F.col("k") / _ROWS).cast("int") - 1)).alias("part"), F.ceil(F.col("k") / _ROWS).cast("int").alias("parts"))
     left = parts.join(rows.withColumnRenamed("id", "a"), "a").select("a", "part", "row")
-    dealt = pairs.join(per.select("a", F.ceil(F.col("k") / _ROWS).cast("int").alias("parts")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    # only rows with many partners are dealt to parts; there is one of them for every _ROWS pairs at most
+    many = per.where(F.col("k") > _ROWS).select("a", F.ceil(F.col("k") / _ROWS).cast("int").alias("parts"))
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     right = dealt.join(rows.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("with"), F.col("part").alias("of"), "b", F.col("row").alias("other"))
     return left.groupBy("a", "part").cogroup(right.groupBy("with", "of")).applyInArrow(_complete(num, den), "a long, b long")
 
 
 def _mixed(entries: DataFrame, label: DataFrame) -> DataFrame:
-    """(h, id, n, label, main): entries of the columns that hold several components, with each column's largest."""
-    named = entries.select("h", "id", "n").join(label, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("label"))
+    """(h, id, n, pos, label, main): entries of the columns that hold several components, with each column's largest."""
+    named = entries.select("h", "id", "n", "pos").join(label, "id", "left").select("h", "id", "n", "pos", F.coalesce("component", "id").alias("label"))
     main = named.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels"))
     return named.join(main.where("labels > 1").select("h", "main"), "h")
 
 
+def _equal(rows: DataFrame) -> DataFrame:
+    """Equal word sequences: the smallest document links with the first that each task met."""
+    firsts = rows.where("n > 0 and rep is not null").groupBy("seq").agg(F.min("doc_id").alias("a"), F.collect_set("rep").alias("all"))
+    return firsts.select("a", F.explode("all").alias("b")).where("a <> b")
+
+
+def _round_one(entries: DataFrame, label: DataFrame | None, links: DataFrame, num: int, den: int) -> DataFrame:
+    """Each document with the smallest document of the column it shares most, and frequent columns' smallest documents with each other."""
+    near = (F.col("id") != F.col("pivot")) & _can_reach("n", "pivot_n", num, den) & _first_shared("n", "pos", "n", "pivot_n", num, den)
+    by_column = entries.where(near).groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c"))
+    best = by_column.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
+    pivots = entries.where("salted").select("h", F.col("pivot").alias("b")).distinct()
+    across = pivots.join(pivots.groupBy("h").agg(F.min("b").alias("a")), "h").where("a <> b").select("a", "b").distinct()
+    return best.select("a", "b").union(across).distinct().join(links, ["a", "b"], "left_anti")
+
+
+def _round_two(entries: DataFrame, label: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """Documents outside a column's main component with a few members of it."""
+    mixed = _mixed(entries, label).checkpoint()
+    inside = mixed.where("label = main").groupBy("h").agg(F.min_by(F.struct("id", "n", "pos"), F.xxhash64("h", "id")).alias("p"))
+    outside = mixed.where("label <> main").join(inside, "h").select(F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"), "pos")
+    tried = outside.where(_can_reach("na", "nb", num, den) & _first_shared("nb", "pos", "na", "nb", num, den)).groupBy("a", "b").agg(F.count("*").alias("c"))
+    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), F.xxhash64("a", "b")))
+    return tried.withColumn("k", nth).where(F.col("k") <= _TRIES).select("a", "b")
+
+
+def _round_three(entries: DataFrame, label: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """Whatever is left between different components.
+
+    Columns that can be the first shared one of two rows name the pairs: rows whose every shared column
+    comes later, behind too many of their own, are never put together.
+    """
+    mixed = _mixed(entries, label).checkpoint()
+    x = mixed.where("label <> main").select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
+    y = mixed.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"), "main")
+    first = _first_shared("na", "pa", "na", "nb", num, den) & _first_shared("nb", "pb", "na", "nb", num, den)
+    cross = x.join(y, "h").where((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & _can_reach("na", "nb", num, den) & first)
+    smaller = F.col("a") < F.col("b")
+    named = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(smaller, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(smaller, F.col("nb")).otherwise(F.col("na")).alias("nb"))
+    pairs = named.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"))
+    # their overlap over all leading columns, for the bound
+    columns = mixed.groupBy("id").agg(F.collect_list("h").alias("columns"))
+    counted = pairs.join(columns.toDF("a", "ca"), "a").join(columns.toDF("b", "cb"), "b").withColumn("c", F.size(F.array_intersect("ca", "cb")))
+    return counted.where(_rest("c", "na", "nb", num, den)).select("a", "b")
+
+
 def similar_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; links have Jaccard similarity of at least num/den."""
     spark = docs.sparkSession
@@ -293,41 +347,16 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     frequent = spark.sparkContext.broadcast(_frequent(docs, width))
     made = docs.mapInArrow(_rows(width, num, den, frequent, blocks), _ROWS_SCHEMA).checkpoint()
     rows = made.where("kind = 0").select("doc_id", "n", "seq", "rep")
-    entries = made.where("kind = 1").select("part", "n", "block").groupBy("part").applyInArrow(_shared_columns, "h long, salted boolean, id long, n long, pivot long, pivot_n long").checkpoint()
-
-    # equal word sequences: the smallest document links with the first that each task met
-    firsts = rows.where("n > 0 and rep is not null").groupBy("seq").agg(F.min("doc_id").alias("a"), F.collect_set("rep").alias("all"))
-    equal = firsts.select("a", F.explode("all").alias("b")).where("a <> b").checkpoint()
-
-    # round one: each document against the smallest document of the column it shares most
-    by_column = entries.where((F.col("id") != F.col("pivot")) & _can_reach("n", "pivot_n", num, den)).groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c"), F.max("pivot_n").alias("na"), F.max("n").alias("nb"))
-    best = by_column.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
-    pivots = entries.where("salted").select("h", F.col("pivot").alias("b")).distinct()
-    across = pivots.join(pivots.groupBy("h").agg(F.min("b").alias("a")), "h").where("a <> b").select("b", "a").distinct()
-    one = best.select("a", "b").union(across.select("a", "b")).distinct()
-    one = one.join(equal, ["a", "b"], "left_anti").checkpoint()
-    links = _links(docs, one, width, num, den).union(equal.select("a", "b")).checkpoint()
+    entries = made.where("kind = 1").select("part", "n", "block").groupBy("part").applyInArrow(_shared_columns, "h long, salted boolean, id long, n long, pos long, pivot long, pivot_n long").checkpoint()
+
+    links = _equal(rows).checkpoint()
+    for pairs_of in (_round_one, _round_two, _round_three):
+        label = None if pairs_of is _round_one else components(links).checkpoint()
+        pairs = pairs_of(entries, label, links, num, den).checkpoint()
+        links = links.union(_links(docs, pairs, width, num, den)).checkpoint()
+        del pairs
+        release(spark)
     label = components(links).checkpoint()
-
-    # round two: members of a column's main component for those outside it
-    mixed = _mixed(entries, label).checkpoint()
-    inside = mixed.where("label = main").groupBy("h").agg(F.min_by(F.struct("id", "n"), F.xxhash64("h", "id")).alias("p"))
-    outside = mixed.where("label <> main").join(inside, "h").select(F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    tried = outside.where(_can_reach("na", "nb", num, den)).groupBy("a", "b").agg(F.count("*").alias("c"))
-    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), F.xxhash64("a", "b")))
-    two = tried.withColumn("k", nth).where(F.col("k") <= _TRIES).select("a", "b").checkpoint()
-    links = links.union(_links(docs, two, width, num, den)).checkpoint()
-    label = components(links).checkpoint()
-
-    # round three: whatever is left between different components
-    mixed = _mixed(entries, label).checkpoint()
-    x = mixed.where("label <> main").select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = mixed.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
-    cross = x.join(y, "h").where((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & _can_reach("na", "nb", num, den))
-    three = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-    three = three.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb")).where(_rest("c", "na", "nb", num, den)).select("a", "b").checkpoint()
-    more = _links(docs, three, width, num, den).checkpoint()
-    label = components(links.union(more)).checkpoint()
     out = rows.join(label, F.col("rep") == F.col("id"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
