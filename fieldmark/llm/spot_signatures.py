@@ -6,9 +6,8 @@ anchors.  A document's fingerprint is its set of signatures, so what stands in m
 words, has little part in it.  A text of fewer than `FEW` signatures has one more, of its whole word
 sequence, or short texts that share a phrase would count as equal.
 
-A fingerprint is a string: the number of signatures, then the `KEPT` smallest 32-bit hashes of them in hex.
-Likeness is the Jaccard similarity that two such samples tell: sets of at most `KEPT` signatures are
-compared exactly, larger ones by the smallest hashes of their union.  Documents are partitioned by set
+A fingerprint is a string: the number of signatures, then the 32-bit hashes of all of them, sorted, in hex.
+Likeness is the Jaccard similarity of two whole sets.  Documents are partitioned by set
 length: two sets whose sizes differ too much cannot be alike, and a comparison stops as soon as the bound on
 what is left falls below the wanted similarity.
 
@@ -35,7 +34,7 @@ from .words import Words, mix, remembered, slices, total_bytes
 CHAIN = 2
 #: Signatures below which a text's whole word sequence counts too.
 FEW = 4
-#: Signature hashes in a fingerprint.
+#: Signature hashes that a comparison reads before it looks at its bound again.
 KEPT = 256
 _PART_BYTES = 3 << 20
 _REMEMBERED = 300_000
@@ -115,8 +114,8 @@ def signatures(words: Words, anchors: _Anchors, chain: int) -> list[np.ndarray]:
     return out
 
 
-def fingerprint(found: np.ndarray, kept: int = KEPT) -> str:
-    return f"{len(found)}:" + found[:kept].astype(">u4").tobytes().hex()
+def fingerprint(found: np.ndarray) -> str:
+    return f"{len(found)}:" + found.astype(">u4").tobytes().hex()
 
 
 def parse(text: str) -> tuple[int, np.ndarray]:
@@ -125,18 +124,25 @@ def parse(text: str) -> tuple[int, np.ndarray]:
 
 
 def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], kept: int = KEPT, least: float = 0.0) -> float:
-    """Jaccard similarity of two fingerprints; 0 where it cannot reach `least` by set sizes."""
+    """Jaccard similarity of two fingerprints; 0 where it does not reach `least`, told by set sizes or by what is left."""
     (n, x), (m, y) = a, b
     if n == 0 and m == 0:
         return 1.0
-    if n == 0 or m == 0 or min(n, m) < least * max(n, m):
+    if n == 0 or m == 0 or min(n, m) / max(n, m) < least:
         return 0.0
-    if n <= kept and m <= kept:
+    if least <= 0:
         both = len(np.intersect1d(x, y, assume_unique=True))
         return both / (n + m - both)
-    union = np.union1d(x, y)[:kept]
-    both = np.intersect1d(x, y, assume_unique=True)
-    return float(np.isin(union, both, assume_unique=True).mean())
+    both = i = j = 0
+    while i < n and j < m:
+        top = min(x[min(i + kept, n) - 1], y[min(j + kept, m) - 1])
+        p, q = int(np.searchsorted(x, top, side="right")), int(np.searchsorted(y, top, side="right"))
+        both += len(np.intersect1d(x[i:p], y[j:q], assume_unique=True))
+        i, j = p, q
+        most = both + min(n - i, m - j)
+        if most / (n + m - most) < least:
+            return 0.0
+    return both / (n + m - both)
 
 
 def ordered_parts(docs: DataFrame, part_bytes: int = _PART_BYTES) -> DataFrame:
@@ -204,8 +210,8 @@ def _compared(chain: int, kept: int):
                 half = size // 2
                 edited.append(texts[k][: size - half] + texts[k + 1][:half])
             sets = [signatures(Words(pa.array(x, pa.large_string())), anchors, chain) for x in (texts, edited)]
-            prints, edits = ([fingerprint(f, kept) for f in s] for s in sets)
-            parsed, others = [parse(f) for f in prints], [parse(f) for f in edits]
+            prints, edits = ([fingerprint(f) for f in s] for s in sets)
+            parsed, others = ([(len(f), f) for f in s] for s in sets)
             out["doc_id"] += rows.column("doc_id").to_pylist()[:n]
             out["n_chars"] += [len(t) for t in texts[:n]]
             out["edited_sha256"] += [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]
@@ -226,7 +232,7 @@ def with_next(docs: DataFrame, chain: int = CHAIN, kept: int = KEPT) -> DataFram
     return ordered_parts(rows).groupBy("part").applyInArrow(_compared(chain, kept), schema)
 
 
-def fingerprints(docs: DataFrame, chain: int = CHAIN, kept: int = KEPT) -> DataFrame:
+def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     """(doc_id, fingerprint, n_signatures) of every row, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +240,7 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN, kept: int = KEPT) -> DataF
         for batch in batches:
             for piece in slices(batch):
                 found = signatures(Words(piece.column("text")), anchors, chain)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([fingerprint(f, kept) for f in found], pa.string()), pa.array([len(f) for f in found], pa.int64())], names=["doc_id", "fingerprint", "n_signatures"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([fingerprint(f) for f in found], pa.string()), pa.array([len(f) for f in found], pa.int64())], names=["doc_id", "fingerprint", "n_signatures"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string, n_signatures long")
 

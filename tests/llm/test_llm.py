@@ -309,6 +309,14 @@ def test_likeness_of_large_sets():
     assert spot_signatures.likeness(fp(a), fp(b[:10]), least=0.5) == 0
 
 
+def test_likeness_reads_whole_sets():
+    a = np.arange(1, 2001, dtype=np.uint32)
+    b = np.concatenate([a[:1000], a[1000:] + np.uint32(5000)])
+    fp = lambda x: spot_signatures.parse(spot_signatures.fingerprint(x))
+    assert spot_signatures.likeness(fp(a), fp(b)) == 1000 / 3000
+    assert spot_signatures.likeness(fp(a), fp(b), least=0.33) == 1000 / 3000 and spot_signatures.likeness(fp(a), fp(b), least=0.34) == 0
+
+
 def test_neighbours_recall_and_edges(spark):
     rng = np.random.default_rng(10)
     centres = rng.standard_normal((12, 24))
