@@ -2,9 +2,12 @@
 detection in large web collections", 2008).
 
 A common word (an anchor) starts a spot signature: the anchor with the chain of the next content words, skipping
-anchors.  A document's fingerprint is its set of signatures, so what stands in menus and lists, without common
-words, has little part in it.  A text of fewer than `FEW` signatures has one more, of its whole word
-sequence, or short texts that share a phrase would count as equal.
+anchors.  A document's fingerprint is its set of signatures, so what stands in menus and short lists, without common
+words, has little part in it.  Anchors are known without case and without signs around them.
+Where `GAP` words in a row are no anchor, each content word after them starts a signature too, so texts
+of few anchors, or in languages without them here, are compared by what stands in them.  A text of fewer than `FEW`
+signatures has also those of all its runs of `CHAIN` + 1 words and one of its whole word sequence, or short texts
+that share a phrase would count as equal.
 
 A fingerprint is a string: the number of signatures, then the 32-bit hashes of all of them, sorted, in hex.
 Likeness is the Jaccard similarity of two whole sets.  Documents are partitioned by set
@@ -19,6 +22,7 @@ the row itself.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +36,9 @@ from .words import Words, mix, remembered, slices, total_bytes
 
 #: Content words in a chain.
 CHAIN = 2
-#: Signatures below which a text's whole word sequence counts too.
+#: Words without an anchor after which every content word starts a signature.
+GAP = 16
+#: Signatures below which a text's runs of words and its whole word sequence count too.
 FEW = 4
 #: Signature hashes that a comparison reads before it looks at its bound again.
 KEPT = 256
@@ -48,6 +54,9 @@ ANCHORS = frozenset(
 )
 
 
+_OUTER = re.compile(r"^[\W_]+|[\W_]+$")
+
+
 class _Anchors:
     """Whether each token is an anchor and its hash without case and outer punctuation, remembered per worker."""
 
@@ -81,6 +90,10 @@ class _Anchors:
         if k == len(self.kind):
             self.kind, self.core = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.core))
         word = token.decode("utf-8", "replace").lower().strip(".,;:!?\"'()[]")
+        # the&&& is an anchor as the is
+        bare = _OUTER.sub("", word)
+        if bare in ANCHORS:
+            word = bare
         # 2: anchor, 1: content word, 0: punctuation alone
         self.kind[k] = 2 if word in ANCHORS else 1 if word else 0
         self.core[k] = xxhash.xxh64_intdigest(word)
@@ -92,7 +105,11 @@ def signatures(words: Words, anchors: _Anchors, chain: int) -> list[np.ndarray]:
     """Each document's set of signature hashes, sorted."""
     kind, core = anchors.of(words)
     content = np.flatnonzero(kind == 1)
-    starts = np.flatnonzero(kind == 2)
+    # the word before each: the last anchor, or the last of the document before
+    at = np.arange(len(kind))
+    last = np.maximum.accumulate(np.where(kind == 2, at, -1)) if len(kind) else at
+    last = np.maximum(last, np.repeat(words.first[:-1], words.counts) - 1)
+    starts = np.flatnonzero((kind == 2) | ((kind == 1) & (at - last > GAP)))
     nth = np.searchsorted(content, starts, side="right")
     doc = np.searchsorted(words.first, starts, side="right") - 1
     h = core[starts].copy()
@@ -107,10 +124,16 @@ def signatures(words: Words, anchors: _Anchors, chain: int) -> list[np.ndarray]:
     cut = np.searchsorted(doc, np.arange(words.n_docs + 1))
     out = []
     for d in range(words.n_docs):
-        own = h[cut[d] : cut[d + 1]]
+        own = np.unique((h[cut[d] : cut[d + 1]] >> np.uint64(32)).astype(np.uint32))
         if len(own) < FEW and words.counts[d]:
-            own = np.append(own, one[d])
-        out.append(np.unique((own >> np.uint64(32)).astype(np.uint32)))
+            run = core[words.first[d] : words.first[d + 1]]
+            n = max(0, len(run) - chain)
+            near = run[:n]
+            for j in range(1, chain + 1):
+                near = mix(near * np.uint64(0x9E3779B97F4A7C15) + run[j : j + n])
+            more = np.append(near, one[d]) >> np.uint64(32)
+            own = np.unique(np.concatenate([own, more.astype(np.uint32)]))
+        out.append(own)
     return out
 
 

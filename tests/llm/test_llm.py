@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,6 +318,19 @@ def test_likeness_reads_whole_sets():
     assert spot_signatures.likeness(fp(a), fp(b), least=0.33) == 1000 / 3000 and spot_signatures.likeness(fp(a), fp(b), least=0.34) == 0
 
 
+def test_spot_signatures_of_decorated_and_anchorless_texts():
+    of = lambda *x: spot_signatures.signatures(Words(pa.array(x, pa.large_string())), spot_signatures._Anchors(), 2)
+    rng = random.Random(14)
+    content = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    marked = " ".join(f"the&&& {w}" for w in content)
+    a, b = of(marked, marked.replace("&&&", ""))
+    assert len(a) > 190 and np.array_equal(a, b)
+    for n in (12, 200):
+        first, second, other = of(" ".join(content[:n]), " ".join([*content[: n - 1], "changed"]), " ".join(content[::-1][:n]))
+        assert 0.6 < spot_signatures.likeness((len(first), first), (len(second), second)) < 1
+        assert spot_signatures.likeness((len(first), first), (len(other), other)) == 0
+
+
 def test_neighbours_recall_and_edges(spark):
     rng = np.random.default_rng(10)
     centres = rng.standard_normal((12, 24))
