@@ -10,9 +10,13 @@ signatures has also those of all its runs of `CHAIN` + 1 words and one of its wh
 that share a phrase would count as equal.
 
 A fingerprint is a string: the number of signatures, then the 32-bit hashes of all of them, sorted, in hex.
-Likeness is the Jaccard similarity of two whole sets.  Documents are partitioned by set
-length: two sets whose sizes differ too much cannot be alike, and a comparison stops as soon as the bound on
-what is left falls below the wanted similarity.
+Likeness is the Jaccard similarity of two whole sets.
+
+`near_pairs` compares all documents of a table.  Equal sets are one; the others are partitioned by set length,
+in ranges so wide that a set can only be alike with sets of its own range and the next.  In a range, sets meet
+where they share one of their rarest signatures (as many as two sets alike must share one of), and their comparison
+stops as soon as the bound on what is left falls below the wanted similarity.  None of this loses a pair.
+`with_next`, the query, compares given pairs and needs no partitions.
 
 Defined results.  A null text is the empty text, its fingerprint has no signature, and two such are equal.
 Rows come in order of doc_id, then text; a null doc_id comes first.  In a table of one row the next document is
@@ -22,6 +26,7 @@ the row itself.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import Words, mix, remembered, slices, total_bytes
+from .words import Words, mix, remembered, shared_dir, slices, total_bytes
 
 #: Content words in a chain.
 CHAIN = 2
@@ -268,5 +273,65 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string, n_signatures long")
 
 
+@F.pandas_udf(T.DoubleType())
+def _alike(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    return pd.Series([likeness(parse(x), parse(y), least=z) for x, y, z in zip(a, b, least, strict=True)], dtype="float64")
+
+
+def length_range(n: int, least: float) -> int:
+    """The range of set length n: what is at least `least` alike is in the same range or in one next to it."""
+    k, start = 0, 1
+    while True:
+        start = math.floor(start / least) + 1
+        if n < start:
+            return k
+        k += 1
+
+
+def near_pairs(docs: DataFrame, least: float, chain: int = CHAIN) -> DataFrame:
+    """(doc_id, other_id, near) of all documents whose likeness is at least `least`, over 0 and at most 1.
+
+    Documents of equal sets are given once each, with the first of them (near 1.0); two different sets by
+    their first documents.  So a group of n copies makes n - 1 rows, and all pairs follow from them.  A null doc_id
+    comes first; a row that repeats a doc_id and its set is a copy of its own.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be over 0 and at most 1.")
+    spark, lowest = docs.sparkSession, -(1 << 63)
+    shared_dir(spark)
+    rows = fingerprints(docs, chain).select(F.coalesce("doc_id", F.lit(lowest)).alias("id"), "fingerprint", "n_signatures")
+    copies = rows.groupBy("id", "fingerprint", "n_signatures").agg(F.count("*").alias("times"))
+    # two sets may have the same doc_id, so sets have numbers of their own
+    found = copies.groupBy("fingerprint", "n_signatures").agg(F.min("id").alias("id")).withColumn("k", F.monotonically_increasing_id()).checkpoint()
+    first = found.select(F.col("fingerprint").alias("of"), F.col("id").alias("first"))
+    same = copies.join(first, F.col("fingerprint") == F.col("of")).select("first", F.col("id").alias("other"), (F.col("times") - F.when(F.col("id") == F.col("first"), 1).otherwise(0)).alias("n"))
+    same = same.where("n > 0").select("first", "other", F.lit(1.0).alias("near"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def members(prints: pd.Series) -> pd.Series:
+        return pd.Series([parse(p)[1].astype(np.int64) for p in prints])
+
+    @F.pandas_udf(T.IntegerType())
+    def range_of(lengths: pd.Series) -> pd.Series:
+        return pd.Series([length_range(n, least) for n in lengths.tolist()], dtype="int32")
+
+    # rarest first: a common signature stands last and seldom leads to a comparison
+    each = found.where("n_signatures > 0").select("k", F.col("n_signatures").alias("n"), F.explode(members("fingerprint")).alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("often"))
+    # sets alike share ceil(least * n) of n, so one of the first n - ceil(least * n) + 1; a hair less against rounding
+    heads = each.join(often, "s").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("ranked"))
+    heads = heads.select("k", "n", range_of("n").alias("range"), F.explode(F.expr(f"slice(ranked, 1, greatest(1, cast(n - ceil({least!r}D * n - 1e-6D) + 1 as int)))")).alias("r")).where("r.often > 1").select("k", "n", "range", "r.s")
+    a = heads.select(F.col("k").alias("a"), F.col("n").alias("an"), "s", F.explode(F.array(F.col("range"), F.col("range") + 1)).alias("range"))
+    b = heads.select(F.col("k").alias("b"), F.col("n").alias("bn"), "s", "range")
+    # a shorter set meets longer ones, once in its range or in the next
+    met = a.join(b, ["range", "s"]).where((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))).where(F.col("an") / F.col("bn") >= least).select("a", "b").distinct()
+    one = found.select(F.col("k").alias("a"), F.col("id").alias("a_id"), F.col("fingerprint").alias("x"))
+    two = found.select(F.col("k").alias("b"), F.col("id").alias("b_id"), F.col("fingerprint").alias("y"))
+    near = met.join(one, "a").join(two, "b").withColumn("near", _alike("x", "y", F.lit(least))).where(F.col("near") >= least)
+    near = near.select(F.least("a_id", "b_id").alias("first"), F.greatest("a_id", "b_id").alias("other"), "near")
+    back = lambda c: F.when(F.col(c) != lowest, F.col(c))
+    return same.unionByName(near).select(back("first").alias("doc_id"), back("other").alias("other_id"), "near")
+
+
 def op2_spot_signatures(spark, sf_dir: str) -> DataFrame:
     return with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))

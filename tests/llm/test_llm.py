@@ -331,6 +331,27 @@ def test_spot_signatures_of_decorated_and_anchorless_texts():
         assert spot_signatures.likeness((len(first), first), (len(other), other)) == 0
 
 
+@pytest.mark.parametrize("least", [0.3, 0.8])
+def test_near_pairs_are_all_pairs(spark, edge, empty, least):
+    rng = random.Random(15)
+    base = [" ".join(rng.choice(["the", "of", f"w{rng.randrange(300)}"]) for _ in range(rng.randrange(5, 200))) for _ in range(60)]
+    texts = [*base, *(" ".join(w for w in t.split() if rng.random() > p) for p in (0.02, 0.1, 0.4) for t in base), *base[:9], base[0], "", None, "the w1 w2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [frozenset(s.tolist()) for s in spot_signatures.signatures(Words(pa.array(texts, pa.large_string())), spot_signatures._Anchors(), 2)]
+    first = {}
+    for k, s in enumerate(sets):
+        first.setdefault(s, k)
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want = [(first[s], k, 1.0) for k, s in enumerate(sets) if first[s] != k]
+    lone = sorted(first.values())
+    want += [(a, b, jaccard(sets[a], sets[b])) for a in lone for b in lone if a < b and jaccard(sets[a], sets[b]) >= least]
+    assert len(want) > 20
+    assert sorted(tuple(r) for r in spot_signatures.near_pairs(df, least).collect()) == sorted(want)
+    found = [tuple(r) for r in spot_signatures.near_pairs(edge, least).collect()]
+    assert (None, 5, 1.0) in found and (None, 6, 1.0) in found and (12, 12, 1.0) in found and (1, 3, 1.0) in found
+    assert spot_signatures.near_pairs(empty, least).count() == 0
+
+
 def test_neighbours_recall_and_edges(spark):
     rng = np.random.default_rng(10)
     centres = rng.standard_normal((12, 24))
