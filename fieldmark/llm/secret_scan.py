@@ -1,7 +1,8 @@
 """Secret scans: candidate strings judged by a random forest that removes false positives.
 
-Candidates are values of at least `SHORTEST` characters of [A-Za-z0-9+/_.=-] that hold a digit, standing alone, in quotes
-or behind '=' or ':'.  Each has features of its length, its character transitions (how often letters, digits and
+Candidates are values of [A-Za-z0-9+/_.=-], standing alone, in quotes or behind '=' or ':': of at least `SHORTEST`
+characters where they hold a digit, mix cases (a capital after the first character) or begin as known keys do, and of at least
+`NAMED` characters, whatever these are, behind the name of a credential and '=' or ':'.  Each has features of its length, its character transitions (how often letters, digits and
 cases alternate, entropy, letter-pair frequency of prose), its dictionary coverage (how much of it
 is common words), the path it stands in (the value's own slashes and dots, and the document's source)
 and the words around it.  The forest is trained on labelled findings: those given, or the synthetic ones
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from .words import Words, slices
 
 SHORTEST = 12
+#: Characters of a value behind the name of a credential.
+NAMED = 6
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 
@@ -38,10 +41,19 @@ MASK = "[SECRET]"
 NEAR = "password passwd pwd secret token key apikey api_key auth bearer credential credentials access private passphrase login".split()
 AWAY = "commit sha sha1 sha256 md5 checksum hash uuid guid etag version release isbn order invoice build id ref revision digest".split()
 FAKE = "example sample test dummy changeme placeholder your xxxx todo redacted fake".split()
+VOID = "required missing invalid string optional expired disabled enabled undefined unknown private authentication generation authorization verification management changed forgotten policy manager protected encrypted remember please should cannot because before without".split()
 COMMON = "the and for with from this that user name file data test example config server client version release image index page home main value string number default local host http https www com org net html json xml http api docs".split()
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "xoxb-", "xoxp-", "sk_live_", "sk-", "AIza", "eyJ", "glpat-", "npm_", "SG.")
 
-_VALUE = re.compile(r"[A-Za-z0-9+/_.=\-]{%d,}" % SHORTEST)
+_VALUE = re.compile(r"[A-Za-z0-9+/_.=\-]{%d,}" % min(NAMED, SHORTEST))
+_SEPARATORS = ("=", ":", "=>", ":=")
+#: The name of a credential, a separator and an opening quote, at the end of what stands before a value.
+_NAME = re.compile(
+    r"(?:(?:passw(?:or)?d|passphrase|passcode|pwd|secret|token|credential|(?:api|access|private|auth|account|signing|encryption)[_.\-]?key)[\w.\-]*|(?<![a-z])(?:pass|auth|login|key)s?\d*)[\"'\])]*(?:=>|:=|=|:)+[\"'(\[{]*$",
+    re.IGNORECASE,
+)
+_KNOWN = re.compile(b"|".join(re.escape(p.encode()) for p in PREFIXES))
+_MARK = re.compile(r"[=:]>?")
 _CLASS = np.zeros(256, np.int8)
 for _c in range(256):
     _CLASS[_c] = 1 if chr(_c).isascii() and chr(_c).islower() else 2 if chr(_c).isascii() and chr(_c).isupper() else 3 if chr(_c) in string.digits else 0
@@ -83,6 +95,7 @@ def features(value: str, before: list[str], after: list[str], path: str, joint:
         float("/" in value or "." in value),
         float("@" in joint or any("@" in w for w in before[-1:] + after[:1])),
         float(any(p in path.lower() for p in ("test", "example", "doc", "fixture"))),
+        float(_names(joint)),
     ]
 
 
@@ -143,6 +156,10 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
     word = lambda: rng.choice([*COMMON, *(pick("etaoinshr", rng.randint(3, 8)) for _ in range(3))])
     quote = lambda v: rng.choice([v, f'"{v}"', f"'{v}'"])
     name = lambda: rng.choice(["password", "passwd", "secret", "token", "api_key", "auth_token", "access_key", "client_secret", "DB_PASSWORD", "SECRET_KEY"])
+    letters = string.ascii_letters
+    phrase = lambda: "".join(word().capitalize() for _ in range(rng.randint(2, 4)))
+    short = lambda: rng.choice([word() + pick(string.digits, rng.randint(1, 4)) + pick(string.ascii_lowercase + string.digits, rng.randint(0, 3)), word().capitalize() + pick(string.digits, rng.randint(2, 4)), pick(alnum, rng.randint(7, 13))])
+    between = lambda: rng.choice(["=", " = ", ": ", ":"])
     secret = [
         lambda: "AKIA" + pick(upper, 16),
         lambda: f"aws_access_key_id = {quote('AKIA' + pick(upper, 16))}",
@@ -152,6 +169,11 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
         lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24),
         lambda: "sk_live_" + pick(alnum, 24),
         lambda: "AIza" + pick(alnum + "_-", 35),
+        lambda: f"{name()}{between()}{quote(phrase())}",
+        lambda: f"{name()}{between()}{quote(short())}",
+        lambda: f"{name()}{between()}{quote(pick(letters, rng.randint(8, 40)))}",
+        lambda: rng.choice(["AKIA" + pick(string.ascii_uppercase, 16), "ghp_" + pick(letters, 36), "sk_live_" + pick(letters, 24), "npm_" + pick(letters, 36)]),
+        lambda: pick(letters, rng.randint(24, 44)),
         lambda: "Authorization: Bearer eyJ" + pick(alnum, 30) + "." + pick(alnum, 40) + "." + pick(alnum + "_-", 43),
     ]
     other = [
@@ -172,6 +194,14 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
         lambda: f"order {rng.choice('ABCDE')}{pick(string.digits, 6)}-{pick(string.digits, 8)}",
         lambda: f"{word()}_{word()}_{word()}{rng.randint(1, 99)}",
         lambda: f"{word()}-{word()}-{rng.randint(1, 999)}-{word()}",
+        lambda: f"{name()}{between()}{quote(rng.choice(VOID))}",
+        lambda: f"{name()}{between()}{rng.choice([pick('etaoinshrdlu', rng.randint(6, 11)), word() + word()])}",
+        lambda: f"{name()}{between()}{rng.choice(['self', 'config', 'os.environ', 'settings', 'args'])}.{word()}_{word()}",
+        lambda: phrase() + rng.choice(["", "s", "ing", "er"]),
+        lambda: word() + phrase(),
+        lambda: rng.choice("-./_").join(word().capitalize() for _ in range(rng.randint(2, 4))),
+        lambda: f"https://www.{word()}.org/{word().capitalize()}/{phrase()}",
+        lambda: rng.choice("-/").join(pick(string.ascii_uppercase, rng.randint(2, 5)) for _ in range(2)) + pick("etaoinshr", rng.randint(6, 9)),
     ]
     out = []
     for k in range(n):
@@ -197,30 +227,68 @@ def train(findings: list[tuple[str, int]] | None = None) -> Forest:
 
 def _values(tokens: list[str], k: int) -> list[tuple[str, str]]:
     """(value, joint) of the candidates in token k."""
+    return [(value, joint) for value, joint, _ in _places(tokens, k)]
+
+
+def _places(tokens: list[str], k: int) -> list[tuple[str, str, int]]:
+    """(value, joint, place in the token) of the candidates in token k; the name of a credential in words before belongs to the joint."""
     out, token = [], tokens[k]
     for m in _VALUE.finditer(token):
-        value = m[0]
-        joint = token[: m.start()]
+        value, at = m[0], m.start()
+        joint, after = token[:at], token[m.end() : m.end() + 1]
         # name=value and name:value inside one token: only the value is a candidate
         if "=" in value.rstrip("="):
-            head, _, value = value.rstrip("=").rpartition("=") if value.rstrip("=").count("=") else ("", "", value)
-            joint = f"{joint}{head}="
+            head, _, value = value.rstrip("=").rpartition("=")
+            joint, at = f"{joint}{head}=", at + len(head) + 1
+        at += len(value) - len(value.lstrip(".-_/"))
         value = value.strip(".-_/")
-        if len(value) >= SHORTEST and any(c.isdigit() for c in value):
-            if not joint and k and tokens[k - 1] in ("=", ":", "=>"):
-                joint = tokens[k - 1]
-            elif joint in ('"', "'") and k and tokens[k - 1] in ("=", ":", "=>"):
-                joint = tokens[k - 1] + joint
-            after = token[m.end() : m.end() + 1]
-            out.append((value, joint + ("@" if after == "@" else "")))
+        lead = joint.lstrip("\"'([{")
+        apart = tokens[k - 1] if k and not lead else ""
+        name = ""
+        if apart in _SEPARATORS:
+            name = tokens[k - 2] + apart if k > 1 else ""
+        elif apart or (k and lead[:1] in ("=", ":")):
+            name = tokens[k - 1]
+        if name and _names(name + joint):
+            joint = name + joint
+        elif apart in _SEPARATORS and joint in ("", '"', "'") and apart != ":=":
+            joint = apart + joint
+        named = _names(joint)
+        digit = any(c.isdigit() for c in value)
+        if len(value) < (NAMED if named else SHORTEST):
+            continue
+        if not digit and value.endswith("=") and after and after in "\"'":
+            continue  # a name before a quoted value
+        if named or digit or value.startswith(PREFIXES) or (any(c.islower() for c in value) and any(c.isupper() for c in value[1:])):
+            out.append((value, joint + ("@" if after == "@" else ""), at))
     return out
 
 
 def _candidate_words(words: Words) -> np.ndarray:
-    """Words of at least SHORTEST bytes with a digit."""
+    """Words in which `_places` can find a value: long ones with a digit, mixed cases or a known beginning, and those behind names of credentials."""
     long = np.flatnonzero(words.ends - words.starts >= SHORTEST)
     digits = np.concatenate([[0], np.cumsum((words.buf >= 48) & (words.buf <= 57))])
-    return long[digits[words.ends[long]] > digits[words.starts[long]]]
+    held = digits[words.ends[long]] > digits[words.starts[long]]
+    rest = long[~held]
+    lower, upper = (np.concatenate([[0], np.cumsum((words.buf >= a) & (words.buf < a + 26))]) for a in (97, 65))
+    mixed = (lower[words.ends[rest]] > lower[words.starts[rest]]) & (upper[words.ends[rest]] > upper[words.starts[rest] + 1])
+    known = [k for k, both in zip(rest.tolist(), mixed.tolist(), strict=True) if both or _KNOWN.search(words.word(k))]
+    # '=' and ':' stand in few words; a value is in the same word or the next
+    marks = np.concatenate([[0], np.cumsum((words.buf == 61) | (words.buf == 58))])
+    named = np.flatnonzero(marks[words.ends] > marks[words.starts])
+    behind = []
+    for k in named.tolist():
+        own = words.word(k).decode("utf-8", "replace")
+        text = own if own.strip("=:>\"'([{") and own[0] not in "=:" else (words.word(k - 1).decode("utf-8", "replace") if k else "") + own
+        if any(_names(text[max(0, m.end() - 120) : m.end()]) for m in _MARK.finditer(text)):
+            behind += [k, k + 1]
+    behind = [k for k in behind if k < len(words.starts)]
+    return np.unique(np.concatenate([long[held], np.array(known + behind, np.int64)]))
+
+
+def _names(before: str) -> bool:
+    """Whether the name of a credential and a separator end what stands before a value; such names are short."""
+    return bool(_NAME.search(before[-120:]))
 
 
 def _findings(words: Words, doc: int, own: np.ndarray, path: str, forest: Forest, threshold: float):
@@ -232,11 +300,13 @@ def _findings(words: Words, doc: int, own: np.ndarray, path: str, forest: Forest
         tokens = [words.word(j).decode("utf-8", "replace") for j in range(a, b)]
         here = k - a
         token = words.word(k)
-        for value, joint in _values(tokens, here):
+        for value, joint, place in _places(tokens, here):
             before = tokens[:here]
             if "=" in joint or ":" in joint:
                 before = [*before, joint.rstrip("=:\"'")]
-            at = token.find(value.encode())
+            at = len(tokens[here][:place].encode("utf-8", "replace"))
+            if token[at : at + len(value)] != value.encode():
+                at = token.find(value.encode())  # bytes that are no UTF-8
             if at < 0:
                 continue
             spots.append((int(words.starts[k]) + at, int(words.starts[k]) + at + len(value)))
