@@ -3,7 +3,8 @@
 1. language ID: a document whose text is null or has no letter, or whose language is not told apart from
    the others (score under MIN_SCORE), goes; lang becomes the predicted language.
 2. n-gram Jaccard join: of each group of near copies the document with the smallest doc_id stays.
-   Blank texts have no n-grams; each is its own group.
+   Rows that repeat a doc_id are told apart by their text: of a group one row stays, the first by doc_id, then text.
+   Blank texts have no n-grams; each is its own group.  A row without a doc_id is in no group and stays.
 3. secret scan: secrets in a text are masked and n_chars is counted anew; no document goes.
 4. mixing: documents are taken as often as their source's target weight asks for.
 5. packing: the pieces of all documents and their places in sequences.
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldmark.llm import language_id, mixing, ngram_join, packing, secret_scan
@@ -41,11 +42,29 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.similar_components(docs)
-    # rows without an id are in no group and stay
-    other = fresh("other_id", docs.columns)
-    gone = groups.where("doc_id is not null and component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(other), "left_anti")
+    shared_dir(spark)
+    key, other = fresh("row_key", docs.columns), fresh("other_id", docs.columns)
+    id_of = F.col("doc_id").cast("long")
+    repeated = docs.where(id_of.isNotNull()).groupBy(id_of.alias(other)).count().where("count > 1").select(other).checkpoint()
+    if repeated.isEmpty():
+        groups = ngram_join.similar_components(docs)
+        gone = groups.where("doc_id is not null and component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct()
+        return docs.join(gone, F.col("doc_id") == F.col(other), "left_anti")
+
+    # rows that repeat a doc_id go by a hash of id and text, so equal rows are one; the others by their id
+    hashed = F.xxhash64(id_of, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    marked = docs.join(repeated, id_of == F.col(other), "left").withColumn(key, F.when(F.col(other).isNotNull(), hashed).otherwise(id_of))
+    own = marked.where(F.col(other).isNotNull()).select(F.col(key).alias("own_key"), id_of.alias("own_id"), F.col("text").cast("string").alias("own_text")).distinct()
+    groups = ngram_join.similar_components(marked.select(F.col(key).alias("doc_id"), "text")).where("doc_id is not null and component_id is not null").select("doc_id", "component_id").distinct()
+    placed = groups.join(own, F.col("doc_id") == F.col("own_key"), "left").select("component_id", F.struct(F.coalesce("own_id", "doc_id").alias("id"), F.col("own_text").alias("text"), F.col("doc_id").alias("key")).alias("place"))
+    first = placed.groupBy("component_id").agg(F.min("place").alias("first")).select("component_id", F.col("first.key").alias("stays"))
+    gone = groups.join(first, "component_id").where("doc_id <> stays").select(F.col("doc_id").alias("gone_key"))
+    left = marked.join(gone, F.col(key) == F.col("gone_key"), "left_anti")
+    copies = F.col(other).isNotNull() & F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    nth = fresh("row_nth", docs.columns)
+    one = left.where(copies).withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))).where(F.col(nth) == 1)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return left.where(~copies).select(*names).unionByName(one.select(*names))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -429,3 +429,13 @@ def test_pipeline_stages(spark, edge, empty):
     assert 5 in kept and 6 not in kept and 8 not in kept and None in kept and 1 in kept
     told = p.detect_language(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
     assert told.count() >= 0.99 * spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_pipeline_keeps_one_row_of_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    text, lone = "a b c d e f g h i j k l m n", "one two three four five six seven"
+    rows = [(1, text), (1, text), (2, "p q r s t u v"), (2, "p q r s t u v"), (3, text), (3, lone), (4, ""), (4, ""), (5, "p q r s t u v"), (6, "z y x w v u"), (None, text)]
+    df = frame(spark, [(i, t, "en", "a") for i, t in rows])
+    got = sorted([(r.doc_id or 0, r.text) for r in p.drop_near_copies(spark, df, SF).collect()])
+    assert got == [(0, text), (1, text), (2, "p q r s t u v"), (3, lone), (4, ""), (4, ""), (6, "z y x w v u")]
