@@ -1,25 +1,30 @@
-"""Exact n-gram Jaccard self-join: a blocked sparse matrix product of documents by shingles.
+"""N-gram Jaccard self-join: a blocked sparse matrix product of documents by shingles.
 
 Rows of the matrix are documents, columns their distinct word shingles.  Columns have one global order,
 rare before frequent.  Two rows that reach the similarity t share a column among the first
-n - ceil(t*n) + 1 of each, so the product is first formed over those columns only: blocks of column
+n - ceil(t*n) + 1 of each, so the product is first formed over those leading columns only: blocks of column
 hashes gather (column, document) entries and drop every column that one document alone holds.  What
-is left accumulates overlap counts, pairs whose count plus the rest of the longer row cannot reach
-the bound for their sizes are discarded, and the surviving pairs' counts are completed over all columns.
+is left accumulates overlap counts, and pairs whose count plus the rest of the longer row cannot reach
+the bound for their sizes are discarded.  The pairs left open are dealt to blocks of rows; there the product is
+completed over all columns, range by range, and a pair goes as soon as its count plus what is left of
+either row falls below its bound.
 
-A group of k near copies would give k*k/2 pairs.  Round one compares each document with the smallest
-document of the column it shares most (k pairs) and forms components of the links.  Round two compares
-documents outside the main component of a column with members of it, a few each.  Round three compares
-what is left in different components, all of it.  No pair of different components goes untested, so
-components are exact; the first rounds only leave less to the third.
+A group of k near copies would give k*k/2 pairs.  The first round compares each document with the smallest
+document of the column it shares most (k pairs) and forms components of the links.  Rounds of tries
+compare it with a few pivots of its columns that are in other components, as long as that links many.  The last round compares what is left in different components, all of it.  No pair of
+different components goes untested, so components are exact; the rounds before only leave it less.
 
 Frequent columns are found in a pass over all documents: each task keeps counts of its shingles, and
 the 2**20 most frequent of those with a count of `OFTEN` or more are broadcast, 8 MB at most.  The list only orders
 columns: any order gives the same result.
 
+Tables between rounds are Parquet in the shared folder, and go when the next is written.
+
 Defined results.  Null and blank texts have no shingle, link with nothing and are their own
-component.  A row with a null doc_id links with nothing and has a null component.  Rows that repeat a doc_id are
-rows of their own.  Equal word sequences are one class: they are linked through their smallest doc_id.
+component; an empty table gives no row.  A row with a null doc_id links with nothing and has a null component.  Rows that
+repeat a doc_id are one document of several texts: what one of them links to, all of them do.  Equal word sequences are
+one class with the smallest of its doc_ids.  Other columns of docs are ignored, whatever their names.  A
+shingle is its 64-bit hash: for one pair of sets of a thousand the chance that two differ and have equal hashes is 1 in 10**13.
 """
 
 from __future__ import annotations
@@ -32,59 +37,73 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .words import Words, mix, planes, release, shared_dir, slices, tasks_of, total_bytes, unplanes
+from .words import Shelf, Words, mix, planes, release, slices, total_bytes, unplanes
 
 #: Compacted counts that one task holds while it looks for frequent shingles.
-_COUNTS = 1 << 20
-#: Text gathered before a task sends its column blocks.
-_BLOCK_BYTES = 8 << 20
-#: Bits of the fixed-size filter that tells which documents' full rows are needed.
-_FILTER_BITS = 1 << 23
-#: Parts that the entries of a frequent column are dealt to.
-_SALTS = 32
-#: Documents compared with one block of a pivot's row at a time.
-_ROWS = 256
-
+_COUNTS = 1 << 19
+#: Text whose leading columns make one block of the product: what one task holds, whatever the table's size.
+_BLOCK_TEXT = 16 << 20
+#: Entries that a task gathers before it sends its column blocks: more where there are many blocks, up to a bound.
+_ENTRIES, _MOST_ENTRIES = 1 << 18, 1 << 23
+#: Bits of the filter that keeps most rows no pair names from being sent: 16 an id, up to 16 MB.  Rows are joined by id after it.
+_FILTER_BITS = 1 << 27
+#: Parts that the entries of a frequent column are dealt to, and pairs that a hot column's task forms in the last round.
+_SALTS, _HOT_PAIRS = 32, 1 << 20
+#: Rows compared with one row at a time, rows of one block of pairs, and text decoded at a time there.
+_ROWS, _BUNDLE, _DECODED = 256, 512, 4 << 20
 
 #: Documents that make a shingle frequent, and how many such shingles are put last in the order.
 OFTEN, ORDERED = 16, 1 << 20
-#: Members of a column's main component that a document outside it is compared with in round two.
-_TRIES = 8
+#: Documents of a column that others are compared with before the last round: its smallest and some by hash.
+_PIVOTS = 4
+#: Pivots that a document is compared with in a round of tries, such rounds at most, and the share of tries that must link for another.
+_TRIES, _ROUNDS, _WORTH = 8, 3, 0.05
+#: Of a document's shingles, the share that it should have first in common with another to be compared before the last round.
+#: Documents alike have a seventh there, less what differs.  The last round compares them whatever they have.
+_LIKELY = 0.04
 
 
-def _frequent(docs: DataFrame, width: int) -> np.ndarray:
-    """Sorted hashes of the shingles that most documents hold."""
+def _merged(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[new], np.add.reduceat(c, new)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-        def packed():
-            keep = c > 1
-            return pa.RecordBatch.from_pydict({"h": h[keep].view(np.int64), "c": c[keep]})
+_FACTS = "doc_id long, n long, seq binary, h long, c long"
+
 
+def _facts(width: int):
+    """Per document its number of shingles and the hash of its word sequence; per task the counts of shingles it met again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for piece in slices(batch):
-                _, got = Words(piece.column("text"), lower=True).shingle_sets(width)
-                got = np.sort(got)
-                new = np.flatnonzero(np.concatenate([[True], got[1:] != got[:-1]])) if len(got) else np.zeros(0, np.int64)
-                h2, c2 = got[new], np.diff(np.append(new, len(got)))
-                h, c = np.concatenate([h, h2]), np.concatenate([c, c2])
+                words = Words(piece.column("text"), lower=True)
+                doc, got = words.shingle_sets(width)
+                seq = np.stack(words.sequence_hashes(), axis=1)
+                k = words.n_docs
+                n = np.bincount(doc, minlength=k).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n), pa.array([x.tobytes() for x in seq], pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=["doc_id", "n", "seq", "h", "c"])
+                if len(got):
+                    h, c = np.concatenate([h, got]), np.concatenate([c, np.ones(len(got), np.int64)])
                 if len(h) > _COUNTS:
-                    order = np.argsort(h)
-                    h, c = h[order], c[order]
-                    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                    h, c = h[new], np.add.reduceat(c, new)
+                    h, c = _merged(h, c)
                     if len(h) > _COUNTS // 2:
-                        keep = c > 1
-                        h, c = h[keep], c[keep]
+                        h, c = h[c > 1], c[c > 1]
         if len(h):
-            order = np.argsort(h)
-            h, c = h[order], c[order]
-            new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            h, c = h[new], np.add.reduceat(c, new)
-            yield packed()
+            h, c = _merged(h, c)
+            h, c = h[c > 1], c[c > 1]
+            k = len(h)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(h.view(np.int64)), pa.array(c)], names=["doc_id", "n", "seq", "h", "c"])
 
-    found = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "h").limit(ORDERED).select("h")
+    return run
+
+
+def _frequent(facts: DataFrame) -> np.ndarray:
+    """Sorted hashes of the shingles that most documents hold."""
+    found = facts.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "h").limit(ORDERED).select("h")
     return np.sort(np.array([r[0] for r in found.collect()], dtype=np.int64).view(np.uint64))
 
 
@@ -92,14 +111,12 @@ def _prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.where(n > 0, n - (num * n + den - 1) // den + 1, 0)
 
 
-def _rows(width: int, num: int, den: int, frequent, blocks: int):
-    """Per document one row (kind 0), and column blocks of the leading columns (kind 1).
-
-    Equal word sequences that a task meets are sent once; the others name the first as rep.
-    """
+def _leading(width: int, num: int, den: int, frequent, blocks: int):
+    """Column blocks of the leading columns; of equal word sequences that a task meets only the first is sent."""
+    most = min(_MOST_ENTRIES, max(_ENTRIES, 64 * blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, seen = frequent.value, {}
+        often, seen = frequent.value, set()
         waiting: list[tuple] = []
         held = 0
 
@@ -110,11 +127,7 @@ def _rows(width: int, num: int, den: int, frequent, blocks: int):
             h, ids, n, pos, part = h[order], ids[order], n[order], pos[order], part[order]
             at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
             ends = np.append(at[1:], len(part))[: len(at)]
-            k = len(at)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.array(ends - at), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(part[at]), pa.array([planes(h[a:b], ids[a:b], n[a:b], pos[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary())],
-                names=_NAMES,
-            )
+            return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(ends - at), pa.array([planes(h[a:b], ids[a:b], n[a:b], pos[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary())], names=["part", "n", "block"])
 
         for batch in batches:
             for piece in slices(batch):
@@ -125,19 +138,13 @@ def _rows(width: int, num: int, den: int, frequent, blocks: int):
                 ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
                 one, two = words.sequence_hashes()
                 n = np.bincount(doc, minlength=words.n_docs)
-                rep, fresh = ids.copy(), np.zeros(words.n_docs, dtype=bool)
+                fresh = np.zeros(words.n_docs, dtype=bool)
                 for d in np.flatnonzero(known & (n > 0)):
                     key = (int(one[d]), int(two[d]))
                     fresh[d] = key not in seen
-                    rep[d] = seen.setdefault(key, int(ids[d]))
+                    seen.add(key)
                 if len(seen) > 200_000:
                     seen.clear()
-                seq = np.stack([one, two], axis=1)
-                k = words.n_docs
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(k, np.int8)), pa.array(ids, mask=~known), pa.array(n), pa.array([x.tobytes() for x in seq], pa.binary()), pa.array(rep, mask=~known), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                    names=_NAMES,
-                )
                 flag = np.zeros(len(h), dtype=bool)
                 if len(often) and len(h):
                     flag = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h
@@ -150,10 +157,11 @@ def _rows(width: int, num: int, den: int, frequent, blocks: int):
                 lead &= fresh[doc]
                 doc, h, flag, pos = doc[lead], h[lead], flag[lead], pos[lead]
                 salt = np.where(flag, (mix(ids[doc].astype(np.uint64)) % np.uint64(_SALTS)).astype(np.int64) + 1, 0)
-                block = (h >> np.uint64(32)).astype(np.int64) * blocks >> 32
-                waiting.append((h, ids[doc], n[doc].astype(np.int64), pos, ((block + salt * 7) % blocks * (_SALTS + 1) + salt).astype(np.int32)))
-                held += piece.nbytes
-                if held >= _BLOCK_BYTES:
+                # leading columns stand low, so their blocks go by another hash
+                block = (mix(h) >> np.uint64(32)).astype(np.int64) * blocks >> 32
+                waiting.append((h, ids[doc], n[doc].astype(np.int64), pos, (block + salt * 7) % blocks * (_SALTS + 1) + salt))
+                held += len(h)
+                if held >= most:
                     held = 0
                     yield flush()
         if waiting:
@@ -162,27 +170,37 @@ def _rows(width: int, num: int, den: int, frequent, blocks: int):
     return run
 
 
-_NAMES = ["kind", "doc_id", "n", "seq", "rep", "part", "block"]
-_ROWS_SCHEMA = "kind byte, doc_id long, n long, seq binary, rep long, part int, block binary"
+_ENTRY = "h long, salted boolean, k int, id long, n int, pos int, " + ", ".join(f"p{j} long, n{j} int" for j in range(_PIVOTS))
 
 
 def _shared_columns(key: tuple, table: pa.Table) -> pa.Table:
-    """Entries of the columns that two documents or more hold, with each column's smallest document."""
+    """Entries of the columns that two documents or more hold, with pivots: each column's smallest document and some others of it."""
     got = [unplanes(b.as_py(), n.as_py(), 4) for b, n in zip(table.column("block"), table.column("n"), strict=True)]
     h, ids, n, pos = (np.concatenate([g[k] for g in got]) for k in range(4))
+    del got
     order = np.argsort(h)
-    h, ids, n, pos = h[order], ids[order].view(np.int64), n[order].view(np.int64), pos[order].view(np.int64)
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    size = np.diff(np.append(at, len(h)))
-    keep = np.repeat(size > 1, size)
+    h, ids, n, pos = h[order], ids[order].view(np.int64), n[order].astype(np.int32), pos[order].astype(np.int32)
+    size = np.diff(np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h)))
     salted = key[0].as_py() % (_SALTS + 1) > 0
-    if salted:
-        keep[:] = True
-    pivot = np.repeat(np.minimum.reduceat(ids, at), size)
-    # the pivot's own size, for the bound
-    own = np.repeat(np.maximum.reduceat(np.where(ids == pivot, n, 0), at), size)
-    k = int(keep.sum())
-    return pa.table({"h": h[keep].view(np.int64), "salted": np.full(k, salted), "id": ids[keep], "n": n[keep], "pos": pos[keep], "pivot": pivot[keep], "pivot_n": own[keep]})
+    if not salted:
+        keep = np.repeat(size > 1, size)
+        h, ids, n, pos, size = h[keep], ids[keep], n[keep], pos[keep], size[size > 1]
+    if not len(h):
+        return pa.table({c: pa.array([], t) for c, t in _ENTRY_TYPES})
+    at = np.cumsum(size) - size
+    out = {"h": h.view(np.int64), "salted": np.full(len(h), salted), "k": np.repeat(size, size).astype(np.int32), "id": ids, "n": n, "pos": pos}
+    place, column = np.arange(len(h)), np.repeat(np.arange(len(size)), size)
+    for j in range(_PIVOTS):
+        rank = ids if j == 0 else mix(ids.view(np.uint64) ^ h ^ np.uint64(j))
+        # the place of each column's smallest rank
+        best = place[rank == np.repeat(np.minimum.reduceat(rank, at), size)]
+        first = np.empty(len(size), np.int64)
+        first[column[best[::-1]]] = best[::-1]
+        out[f"p{j}"], out[f"n{j}"] = np.repeat(ids[first], size), np.repeat(n[first], size)
+    return pa.table(out)
+
+
+_ENTRY_TYPES = [(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[f.split()[1]]) for f in _ENTRY.split(", ")]
 
 
 def _can_reach(a: str, b: str, num: int, den: int):
@@ -204,16 +222,17 @@ def _rest(c: str, a: str, b: str, num: int, den: int):
     return (F.col(c) + F.greatest(rest(a), rest(b))) * (num + den) >= (F.col(a) + F.col(b)) * num
 
 
-def _needed(pairs: DataFrame):
-    """A bitmap of fixed size over the ids in pairs; more ids than it can tell apart only make it let more through."""
+def _filter(pairs: DataFrame, bits: int):
+    """A bitmap over the ids in pairs; more ids than it can tell apart only make it let more rows through."""
     lanes = 1 << 10
 
-    def bits(batches):
-        out = np.zeros(_FILTER_BITS, dtype=bool)
+    def set_bits(batches):
+        out = np.zeros(bits // 8, dtype=np.uint8)
         for batch in batches:
             for c in ("a", "b"):
-                out[(mix(batch.column(c).to_numpy().astype(np.uint64)) % np.uint64(_FILTER_BITS)).astype(np.int64)] = True
-        packed = np.packbits(out).reshape(-1, lanes)
+                slot = (mix(batch.column(c).to_numpy().astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
+                np.bitwise_or.at(out, slot >> 3, (128 >> (slot & 7)).astype(np.uint8))
+        packed = out.reshape(-1, lanes)
         used = np.flatnonzero(packed.any(axis=1))
         yield pa.RecordBatch.from_pydict({"lane": used, "bits": pa.array([packed[k].tobytes() for k in used], pa.binary())})
 
@@ -223,142 +242,327 @@ def _needed(pairs: DataFrame):
             out |= np.frombuffer(b.as_py(), np.uint8)
         return pa.table({"lane": [key[0].as_py()], "bits": pa.array([out.tobytes()], pa.binary())})
 
-    found = pairs.select("a", "b").mapInArrow(bits, "lane long, bits binary").groupBy("lane").applyInArrow(either, "lane long, bits binary").collect()
-    packed = np.zeros((_FILTER_BITS // 8 // lanes, lanes), dtype=np.uint8)
+    found = pairs.select("a", "b").mapInArrow(set_bits, "lane long, bits binary").groupBy("lane").applyInArrow(either, "lane long, bits binary").collect()
+    packed = np.zeros((bits // 8 // lanes, lanes), dtype=np.uint8)
     for r in found:
         packed[r["lane"]] = np.frombuffer(r["bits"], np.uint8)
     return pairs.sparkSession.sparkContext.broadcast(packed.reshape(-1))
 
 
-def _full_rows(docs: DataFrame, width: int, needed) -> DataFrame:
-    """(id, row): the sorted shingle hashes of the documents that pairs name."""
+def _named_rows(docs: DataFrame, needed, bits: int) -> DataFrame:
+    """(id, size, row): the compressed texts of the documents that the filter lets through."""
 
     def run(batches):
-        bits = needed.value
+        import zstandard
+
+        own, packer, seen = needed.value, zstandard.ZstdCompressor(level=1), set()
         for batch in batches:
+            known = ~np.asarray(batch.column("doc_id").is_null())
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            slot = (mix(ids.astype(np.uint64)) % np.uint64(_FILTER_BITS)).astype(np.int64)
-            hit = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
-            hit = hit.astype(bool) & ~np.asarray(batch.column("doc_id").is_null())
-            chosen = batch.filter(pa.array(hit))
-            for piece in slices(chosen):
-                words = Words(piece.column("text"), lower=True)
-                doc, h = words.shingle_sets(width)
-                cut = np.searchsorted(doc, np.arange(words.n_docs + 1))
-                yield pa.RecordBatch.from_pydict({"id": piece.column("doc_id"), "row": pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
-
-    return docs.mapInArrow(run, "id long, row binary")
-
-
-def _complete(num: int, den: int):
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """left: the pivot's row; right: a block of documents to compare with it."""
+            slot = (mix(ids.astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
+            hit = ((own[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool) & known
+            for piece in slices(batch.filter(pa.array(hit))):
+                rows = {(i, (t or "").encode()): None for i, t in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True)}
+                # a row that comes again in a task says nothing new
+                rows = [(i, t) for i, t in rows if (i, hash(t)) not in seen]
+                seen.update((i, hash(t)) for i, t in rows)
+                if len(seen) > 200_000:
+                    seen.clear()
+                yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in rows], pa.int64()), "size": pa.array([len(t) for _, t in rows], pa.int64()), "row": pa.array([packer.compress(t) for _, t in rows], pa.binary())})
+
+    return docs.mapInArrow(run, "id long, size long, row binary")
+
+
+def _counted(x: np.ndarray, doc: np.ndarray, h: np.ndarray, n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the rows (doc, h) of sizes n reach the similarity with row x: the product over all columns, by ranges of them."""
+    ranges, alive, count = 4, np.ones(len(n), dtype=bool), np.zeros(len(n), np.int64)
+    left_x, left = len(x), n.copy()
+    if not len(x):
+        return np.zeros(len(n), dtype=bool)
+    which = (h >> np.uint64(62)).astype(np.int8)
+    for r in range(ranges):
+        here = np.flatnonzero((which == r) & alive[doc]) if ranges > 1 else np.arange(len(h))
+        own = x[np.searchsorted(x, np.uint64(r << 62)) : np.searchsorted(x, np.uint64((r + 1 << 62) - 1), side="right")]
+        if len(own) and len(here):
+            place = np.minimum(np.searchsorted(own, h[here]), len(own) - 1)
+            count += np.bincount(doc[here][own[place] == h[here]], minlength=len(n))
+        left_x -= len(own)
+        left = left - np.bincount(doc[here], minlength=len(n))
+        alive &= (count + np.minimum(left_x, left)) * (num + den) >= (len(x) + n) * num
+        if not alive.any():
+            break
+    return alive & (count * den >= (len(x) + n - count) * num) & (n > 0)
+
+
+def _completed(width: int, num: int, den: int):
+    """Of a bundle of rows, the links (a, b): each a (role 0) with the documents b (role 1) of its part."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        import zstandard
+
+        table = table.sort_by([("a", "ascending"), ("part", "ascending"), ("role", "ascending")])
+        a, part, role, ids, sizes = (table.column(c).to_numpy() for c in ("a", "part", "role", "id", "size"))
+        row, unpack = table.column("row"), zstandard.ZstdDecompressor().decompress
+        cuts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (part[1:] != part[:-1])])).tolist() + [len(a)]
         out_a, out_b = [], []
-        rows = [np.frombuffer(x.as_py(), np.uint64) for x in left.column("row")]
-        for b, other in zip(right.column("b").to_pylist(), right.column("other"), strict=True):
-            y = np.frombuffer(other.as_py(), np.uint64)
-            for x in rows:
-                if len(x) == 0 or len(y) == 0:
-                    continue
-                place = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[place] == y).sum())
-                if both * den >= (len(x) + len(y) - both) * num:
-                    out_a.append(key[0].as_py())
-                    out_b.append(b)
-                    break
+        # (rows of a, rows of b) that are decoded together
+        waiting, held = [], 0
+
+        def compare():
+            rows = [k for one, other in waiting for k in (*one, *other)]
+            words = Words(pa.array([unpack(row[k].as_py()) if sizes[k] else b"" for k in rows], pa.large_binary()), lower=True)
+            doc, h = words.shingle_sets(width)
+            cut, at = np.searchsorted(doc, np.arange(words.n_docs + 1)), 0
+            for one, other in waiting:
+                lo, hi = at + len(one), at + len(one) + len(other)
+                n = np.diff(cut[lo : hi + 1])
+                linked = np.zeros(len(other), dtype=bool)
+                for k in range(at, lo):
+                    linked |= _counted(h[cut[k] : cut[k + 1]], doc[cut[lo] : cut[hi]] - lo, h[cut[lo] : cut[hi]], n, num, den)
+                for k in np.flatnonzero(linked).tolist():
+                    out_a.append(a[other[k]])
+                    out_b.append(ids[other[k]])
+                at = hi
+            waiting.clear()
+
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            first = lo + int(np.searchsorted(role[lo:hi], 1))
+            one, other = list(range(lo, first)), []
+            held += int(sizes[lo:first].sum())
+            for k in range(first, hi):
+                other.append(k)
+                held += int(sizes[k])
+                if held >= _DECODED:
+                    waiting.append((one, other))
+                    compare()
+                    other, held = [], int(sizes[lo:first].sum())
+            if one and other:
+                waiting.append((one, other))
+        if waiting:
+            compare()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return run
 
 
 def _links(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose completed overlap reaches the similarity; pairs must be checkpointed."""
-    rows = _full_rows(docs, width, _needed(pairs))
+    """The pairs (a, b) whose completed overlap reaches the similarity; pairs must be a table of the shelf."""
+    asked = pairs.count()
+    if not asked:
+        return pairs.select("a", "b")
+    bits = 1 << min(_FILTER_BITS.bit_length() - 1, max(13, (32 * asked - 1).bit_length()))
+    rows = _named_rows(docs, _filter(pairs, bits), bits)
+    bundles = F.lit(-(-asked // _BUNDLE))
     per = pairs.groupBy("a").agg(F.count("*").alias("k"))
-    parts = per.select("a", F.explode(F.sequence(F.lit(0), F.ceil(F.col("k") / _ROWS).cast("int") - 1)).alias("part"), F.ceil(F.col("k") / _ROWS).cast("int").alias("parts"))
-    left = parts.join(rows.withColumnRenamed("id", "a"), "a").select("a", "part", "row")
+    parts = per.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.ceil(F.col("k") / _ROWS).cast("int") - 1)).alias("part"), F.lit(0).alias("role"))
     # only rows with many partners are dealt to parts; there is one of them for every _ROWS pairs at most
     many = per.where(F.col("k") > _ROWS).select("a", F.ceil(F.col("k") / _ROWS).cast("int").alias("parts"))
-    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-    right = dealt.join(rows.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("with"), F.col("part").alias("of"), "b", F.col("row").alias("other"))
-    return left.groupBy("a", "part").cogroup(right.groupBy("with", "of")).applyInArrow(_complete(num, den), "a long, b long")
+    dealt = pairs.join(many, "a", "left").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.lit(1).alias("role"))
+    asks = parts.unionByName(dealt).withColumn("bundle", F.pmod(F.xxhash64("a", "part"), bundles))
+    return asks.join(rows, "id").groupBy("bundle").applyInArrow(_completed(width, num, den), "a long, b long")
+
+
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, class) of documents whose smallest equal document is another, and links (a, b) between classes of one doc_id."""
+    known = rows.where("doc_id is not null and n > 0").select("doc_id", "seq", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).alias("salt"))
+    # two levels, so that a class of a third of all rows meets in no task
+    some = known.groupBy("seq", "salt").agg(F.min("doc_id").alias("least"), F.count("*").alias("k"))
+    least = some.groupBy("seq").agg(F.min("least").alias("class"), F.sum("k").alias("k")).where("k > 1").select("seq", "class")
+    named = known.join(some.select("seq", "salt").join(least, "seq"), ["seq", "salt"]).select(F.col("doc_id").alias("id"), "class").distinct()
+    per = named.groupBy("id").agg(F.min("class").alias("least"), F.max("class").alias("most"))
+    several = named.join(per.where("least <> most").select("id", "least"), "id").select(F.col("least").alias("a"), F.col("class").alias("b")).where("a <> b")
+    return per.where("id <> least").select("id", F.col("least").alias("class")), several
+
+
+def _by_class(pairs: DataFrame, same: DataFrame) -> DataFrame:
+    """Distinct pairs, a < b, of the classes' smallest documents."""
+    a, b = same.toDF("a", "ca"), same.toDF("b", "cb")
+    told = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y"))
+    return told.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
+
+
+def _labels(shelf: Shelf, links: DataFrame, same: DataFrame) -> DataFrame:
+    """(id, class, component) of every document that is not its own component or has a link."""
+    found = components(links)
+    told = same.join(found.toDF("class", "component"), "class", "left").select("id", "class", F.coalesce("component", "class").alias("component"))
+    return shelf.put(told.unionByName(found.select("id", F.col("id").alias("class"), "component")).groupBy("id").agg(F.min("class").alias("class"), F.min("component").alias("component")))
 
 
 def _mixed(entries: DataFrame, label: DataFrame) -> DataFrame:
-    """(h, id, n, pos, label, main): entries of the columns that hold several components, with each column's largest."""
-    named = entries.select("h", "id", "n", "pos").join(label, "id", "left").select("h", "id", "n", "pos", F.coalesce("component", "id").alias("label"))
-    main = named.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels"))
-    return named.join(main.where("labels > 1").select("h", "main"), "h")
+    """(h, id, n, pos, label, main): entries, by class, of the columns that hold several components, with each column's largest."""
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np")
+    named = entries.select("h", "id", packed).join(label, "id", "left").select("h", F.coalesce("class", "id").alias("id"), "np", F.coalesce("component", "id").alias("label"))
+    several = named.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
+    named = named.join(several, "h")
+    main = named.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    return named.join(main, "h").select("h", "id", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), "label", "main")
 
 
-def _equal(rows: DataFrame) -> DataFrame:
-    """Equal word sequences: the smallest document links with the first that each task met."""
-    firsts = rows.where("n > 0 and rep is not null").groupBy("seq").agg(F.min("doc_id").alias("a"), F.collect_set("rep").alias("all"))
-    return firsts.select("a", F.explode("all").alias("b")).where("a <> b")
+def _near(j: int, num: int, den: int):
+    """Whether an entry's document can be alike with its column's j-th pivot, and this column the first they share."""
+    return (F.col("id") != F.col(f"p{j}")) & _can_reach("n", f"n{j}", num, den) & _first_shared("n", "pos", "n", f"n{j}", num, den)
 
 
-def _round_one(entries: DataFrame, label: DataFrame | None, links: DataFrame, num: int, den: int) -> DataFrame:
+def _first_round(entries: DataFrame, num: int, den: int) -> DataFrame:
     """Each document with the smallest document of the column it shares most, and frequent columns' smallest documents with each other."""
-    near = (F.col("id") != F.col("pivot")) & _can_reach("n", "pivot_n", num, den) & _first_shared("n", "pos", "n", "pivot_n", num, den)
-    by_column = entries.where(near).groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c"))
+    by_column = entries.where(_near(0, num, den)).groupBy(F.col("p0").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= F.col("n") * _LIKELY)
     best = by_column.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
-    pivots = entries.where("salted").select("h", F.col("pivot").alias("b")).distinct()
-    across = pivots.join(pivots.groupBy("h").agg(F.min("b").alias("a")), "h").where("a <> b").select("a", "b").distinct()
-    return best.select("a", "b").union(across).distinct().join(links, ["a", "b"], "left_anti")
+    pivots = entries.where("salted").select("h", F.col("p0").alias("b"), F.col("n0").alias("n")).distinct()
+    least = pivots.groupBy("h").agg(F.min(F.struct(F.col("b").alias("a"), F.col("n").alias("an"))).alias("s")).select("h", "s.a", "s.an")
+    across = pivots.join(least, "h").where((F.col("a") != F.col("b")) & _can_reach("n", "an", num, den)).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    return best.select("a", "b").union(across.where(F.col("c") >= F.col("n") * _LIKELY).select("a", "b"))
+
+
+def _met(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, c): pivots a and documents b of their columns that may share many; c estimates how many columns they share first.
+
+    The smallest document is met in each of its columns; another stands for the k of its column.
+    """
+    share = lambda j: F.lit(1.0) if j == 0 else F.col("k") / F.lit(_PIVOTS - 1.0)
+    pivots = [F.when(_near(j, num, den) & ((F.col("k") > 2) if j else F.lit(True)), F.struct(F.col(f"p{j}").alias("x"), F.lit(min(j, 1)).alias("kind"), share(j).alias("w"))) for j in range(_PIVOTS)]
+    each = entries.select(F.explode(F.array_compact(F.array(*pivots))).alias("p"), F.col("id").alias("y"), "n").select("p.*", "y", "n")
+    sums = [F.sum(F.when(F.col("kind") == j, F.col("w"))).alias(f"c{j}") for j in (0, 1)]
+    met = each.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(*sums, F.first("n").alias("n"))
+    met = met.withColumn("c", F.greatest("c0", "c1")).where(F.col("c") >= F.col("n") * _LIKELY).select("a", "b", "c")
+    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), F.xxhash64("a", "b")))
+    return met.withColumn("nth", nth).where(F.col("nth") <= 2 * _TRIES).select("a", "b", "c")
 
 
-def _round_two(entries: DataFrame, label: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
-    """Documents outside a column's main component with a few members of it."""
-    mixed = _mixed(entries, label).checkpoint()
-    inside = mixed.where("label = main").groupBy("h").agg(F.min_by(F.struct("id", "n", "pos"), F.xxhash64("h", "id")).alias("p"))
-    outside = mixed.where("label <> main").join(inside, "h").select(F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"), "pos")
-    tried = outside.where(_can_reach("na", "nb", num, den) & _first_shared("nb", "pos", "na", "nb", num, den)).groupBy("a", "b").agg(F.count("*").alias("c"))
+def _tries(met: DataFrame, label: DataFrame, tested: DataFrame) -> DataFrame:
+    """Of the pairs met those in different components and not tested, a few of each document."""
+    of = label.select("id", "component")
+    a, b = of.toDF("a", "la"), of.toDF("b", "lb")
+    done = tested.union(tested.select("b", "a"))
+    open_ = met.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "c").join(done, ["a", "b"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), F.xxhash64("a", "b")))
-    return tried.withColumn("k", nth).where(F.col("k") <= _TRIES).select("a", "b")
+    return open_.withColumn("nth", nth).where(F.col("nth") <= _TRIES).select("a", "b")
+
+
+def _product(num: int, den: int):
+    """Of one block of columns, the distinct pairs of different components that a column can be the first shared one of."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        h, ids, n, pos, label, main, asks = (table.column(c).to_numpy() for c in ("h", "id", "n", "pos", "label", "main", "asks"))
+        # equal texts of several tasks are one row
+        order = np.lexsort((ids, h))
+        again = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (ids[order][1:] == ids[order][:-1])])
+        order = order[~again]
+        h, ids, n, pos, label, main, asks = h[order], ids[order], n[order].astype(np.int64), pos[order], label[order], main[order], asks[order]
+        start = np.concatenate([[True], h[1:] != h[:-1]])
+        at = np.flatnonzero(start)
+        column = np.cumsum(start) - 1
+        size = np.diff(np.append(at, len(h)))
+        x = np.flatnonzero(asks)
+        todo, out = np.cumsum(size[column[x]]), []
+        while len(x):
+            # as many rows as meet a bounded number of others
+            k = max(1, int(np.searchsorted(todo, _HOT_PAIRS)))
+            now, x = x[:k], x[k:]
+            todo = todo[k:] - (todo[k - 1] if k else 0)
+            each = size[column[now]]
+            i = np.repeat(now, each)
+            ends = np.cumsum(each)
+            j = np.arange(ends[-1]) - np.repeat(ends - each, each) + np.repeat(at[column[now]], each)
+            keep = (label[i] != label[j]) & ((label[j] == main[j]) | (ids[i] < ids[j]))
+            i, j = i[keep], j[keep]
+            both = n[i] + n[j]
+            keep = (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num) & ((n[i] - pos[i]) * (num + den) >= both * num) & ((n[j] - pos[j]) * (num + den) >= both * num)
+            i, j = i[keep], j[keep]
+            i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+            out.append(np.unique(np.stack([ids[i], ids[j], n[i], n[j]], axis=1), axis=0))
+        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), np.int64)
+        return pa.table({c: pa.array(found[:, k], pa.int64()) for k, c in enumerate(("a", "b", "na", "nb"))})
 
+    return run
 
-def _round_three(entries: DataFrame, label: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+
+def _last_round(entries: DataFrame, mixed: DataFrame, label: DataFrame, tested: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
     """Whatever is left between different components.
 
     Columns that can be the first shared one of two rows name the pairs: rows whose every shared column
-    comes later, behind too many of their own, are never put together.
+    comes later, behind too many of their own, are never put together.  A column of two rows names one pair; those of
+    more are multiplied in blocks.  A hot column's rows are dealt to parts, each of which has all rows to compare them with.
+    """
+    a, b = label.toDF("x", "a", "la"), label.toDF("y", "b", "lb")
+    two = entries.where((F.col("k") == 2) & ~F.col("salted") & (F.col("id") != F.col("p0"))).groupBy(F.col("p0").alias("x"), F.col("id").alias("y"), F.col("n0").cast("long").alias("nx"), F.col("n").cast("long").alias("ny")).agg(F.count("*").alias("c"), F.bool_or(_near(0, num, den)).alias("first"))
+    two = two.join(a, "x", "left").join(b, "y", "left").where(F.coalesce("la", "x") != F.coalesce("lb", "y")).select(F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b"), "nx", "ny", "c", "first")
+    turned = F.col("a") > F.col("b")
+    two = two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("ny")).otherwise(F.col("nx")).alias("na"), F.when(turned, F.col("nx")).otherwise(F.col("ny")).alias("nb"), "c", "first")
+    sizes = mixed.groupBy("h").agg(F.count("*").alias("size"), F.sum((F.col("label") != F.col("main")).cast("long")).alias("out"))
+    parts = sizes.where(F.col("size") * F.col("out") > _HOT_PAIRS).select("h", F.ceil(F.col("size") * F.col("out") / _HOT_PAIRS).alias("parts"))
+    split = mixed.join(parts, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = split.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    asks = (F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("id"), F.col("parts")) == F.col("part"))
+    # leading columns of long rows stand in the lowest quarter, which has as many ranges as the rest; a pair is named once a range
+    ranges, place = max(4, blocks // 4), F.shiftrightunsigned("h", 32)
+    low = F.shiftright(place * F.lit(4 * ranges), 32)
+    block = F.when(low < ranges, low).otherwise(ranges + F.shiftright((place - (1 << 30)) * F.lit(ranges), 32))
+    # a column in parts has groups of its own
+    own = F.when(F.col("parts") > 1, F.col("h")).otherwise(F.lit(0).cast("long"))
+    named = dealt.select("h", "id", "n", "pos", "label", "main", asks.alias("asks"), block.alias("block"), own.alias("own"), "part")
+    more = named.groupBy("block", "own", "part").applyInArrow(_product(num, den), "a long, b long, na long, nb long")
+    named = two.union(more.select("*", F.lit(0).cast("long").alias("c"), F.lit(True).alias("first"))).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"), F.bool_or("first").alias("first"))
+    return named.where("first").drop("first").join(tested, ["a", "b"], "left_anti")
+
+
+def _open(pairs: DataFrame, entries: DataFrame, same: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b, na, nb, c) those that their overlap over all leading columns leaves open.
+
+    c counts the columns of the two rows alone; those of more are added.  pairs must be a table of the shelf.
     """
-    mixed = _mixed(entries, label).checkpoint()
-    x = mixed.where("label <> main").select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
-    y = mixed.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"), "main")
-    first = _first_shared("na", "pa", "na", "nb", num, den) & _first_shared("nb", "pb", "na", "nb", num, den)
-    cross = x.join(y, "h").where((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & _can_reach("na", "nb", num, den) & first)
-    smaller = F.col("a") < F.col("b")
-    named = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(smaller, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(smaller, F.col("nb")).otherwise(F.col("na")).alias("nb"))
-    pairs = named.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"))
-    # their overlap over all leading columns, for the bound
-    columns = mixed.groupBy("id").agg(F.collect_list("h").alias("columns"))
-    counted = pairs.join(columns.toDF("a", "ca"), "a").join(columns.toDF("b", "cb"), "b").withColumn("c", F.size(F.array_intersect("ca", "cb")))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # a class may be sent by other documents than its smallest
+    own = ids.join(same.toDF("other", "id"), "id").select(F.col("other").alias("id"), F.col("id").alias("class")).union(ids.select("id", "id"))
+    columns = entries.where((F.col("k") > 2) | F.col("salted")).select("id", "h").join(own, "id").groupBy(F.col("class").alias("id")).agg(F.collect_set("h").alias("columns"))
+    both = F.coalesce(F.size(F.array_intersect("la", "lb")), F.lit(0))
+    counted = pairs.join(columns.toDF("a", "la"), "a", "left").join(columns.toDF("b", "lb"), "b", "left").withColumn("c", F.col("c") + F.greatest(both, F.lit(0)))
     return counted.where(_rest("c", "na", "nb", num, den)).select("a", "b")
 
 
 def similar_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; links have Jaccard similarity of at least num/den."""
     spark = docs.sparkSession
-    shared_dir(spark)
+    shelf = Shelf(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = total_bytes(docs)
-    blocks = max(4, min(4 * tasks_of(spark), -(-size // (2 << 20))))
-    frequent = spark.sparkContext.broadcast(_frequent(docs, width))
-    made = docs.mapInArrow(_rows(width, num, den, frequent, blocks), _ROWS_SCHEMA).checkpoint()
-    rows = made.where("kind = 0").select("doc_id", "n", "seq", "rep")
-    entries = made.where("kind = 1").select("part", "n", "block").groupBy("part").applyInArrow(_shared_columns, "h long, salted boolean, id long, n long, pos long, pivot long, pivot_n long").checkpoint()
-
-    links = _equal(rows).checkpoint()
-    for pairs_of in (_round_one, _round_two, _round_three):
-        label = None if pairs_of is _round_one else components(links).checkpoint()
-        pairs = pairs_of(entries, label, links, num, den).checkpoint()
-        links = links.union(_links(docs, pairs, width, num, den)).checkpoint()
-        del pairs
+    blocks = max(8, -(-total_bytes(docs) // _BLOCK_TEXT))
+    facts = shelf.put(docs.mapInArrow(_facts(width), _FACTS))
+    rows = facts.where("seq is not null").select("doc_id", "n", "seq")
+    frequent = spark.sparkContext.broadcast(_frequent(facts))
+    entries = shelf.put(docs.mapInArrow(_leading(width, num, den, frequent, blocks), "part long, n long, block binary").groupBy("part").applyInArrow(_shared_columns, _ENTRY))
+    same, several = _classes(rows)
+    same, links = shelf.put(same), shelf.put(several.distinct())
+    release(spark)
+
+    def compared(pairs: DataFrame, links: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+        """Links and pairs tested, with those of pairs; how many were linked and asked for."""
+        asked = shelf.put(_by_class(pairs, same).join(tested, ["a", "b"], "left_anti"))
+        found = shelf.put(_links(docs, asked, width, num, den))
+        out, done = shelf.put(links.union(found)), shelf.put(tested.union(asked))
+        told = out, done, found.count(), asked.count()
+        shelf.drop(asked, found, links, tested)
         release(spark)
-    label = components(links).checkpoint()
-    out = rows.join(label, F.col("rep") == F.col("id"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+        return told
+
+    links, tested, _, _ = compared(_first_round(entries, num, den), links, shelf.put(links))
+    met = shelf.put(_met(entries, num, den))
+    for _ in range(_ROUNDS):
+        label = _labels(shelf, links, same)
+        links, tested, new, asked = compared(_tries(met, label, tested), links, tested)
+        shelf.drop(label)
+        if new <= _WORTH * asked:
+            break
+    shelf.drop(met)
+    label = _labels(shelf, links, same)
+    mixed = shelf.put(_mixed(entries.where((F.col("k") > 2) | F.col("salted")), label))
+    release(spark)
+    pairs = shelf.put(_last_round(entries, mixed, label, tested, blocks, num, den))
+    shelf.drop(mixed)
+    release(spark)
+    links, tested, _, _ = compared(_open(pairs, entries, same, num, den), links, tested)
+    shelf.drop(entries, label, pairs, tested)
+    label = _labels(shelf, links, same)
+    out = rows.join(label.select("id", "component"), (F.col("doc_id") == F.col("id")) & (F.col("n") > 0), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ all documents of a slice are handled by the same numpy calls.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ _LOWER[0x41:0x5B] += 32
 _LANE_MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Base of the rolling polynomial hash over word hashes.
-RK_BASE = np.uint64(0xD6E8FEB86659FD93)
+RK_BASE, RK_OTHER = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _LONG_WORD = 4096
 
 
@@ -103,14 +104,14 @@ class Words:
                 h[k] = xxhash.xxh64_intdigest(self.buf[self.starts[k] : self.ends[k]].tobytes())
         return mix(h)
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, width: int, base: np.uint64 = RK_BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word index of the window's start, document index, Rabin-Karp hash) of every window inside a document."""
         n = len(self.starts) - width + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
         h, words = np.zeros(n, dtype=np.uint64), self.hash
         for j in range(width):
-            h *= RK_BASE
+            h *= base
             h += words[j : j + n]
         own = np.maximum(self.counts - width + 1, 0)
         doc = np.repeat(np.arange(self.n_docs, dtype=np.int32), own)
@@ -219,10 +220,6 @@ def remembered(key, make):
     return _REMEMBERED[key]
 
 
-def tasks_of(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def release(spark) -> None:
     """Lets Spark's cleaner drop shuffle and checkpoint files that nothing refers to any more, before the next step writes its own."""
     import gc
@@ -231,10 +228,42 @@ def release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def shared_dir(spark) -> None:
-    """Sets a checkpoint folder only where the session names none (tests, a single machine)."""
+def shared_dir(spark) -> str:
+    """The folder that driver and executors share: what spark.checkpoint.dir names.
+
+    Only a session on one machine (local master) that names none gets a folder of its own.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or "/tmp/checkpoints")
+    found = sc._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share.")
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(named)
+        found = sc._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
+class Shelf:
+    """Tables written as Parquet in the shared folder: they cut lineage, outlive executors and go when no longer needed."""
+
+    def __init__(self, spark):
+        self.spark, self.top, self.paths = spark, shared_dir(spark), {}
+
+    def put(self, df):
+        path = f"{self.top}/shelf-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables) -> None:
+        """Deletes tables that `put` gave and nothing will read again."""
+        for df in tables:
+            _, path = self.paths.pop(id(df))
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
