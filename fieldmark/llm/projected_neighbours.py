@@ -12,12 +12,15 @@ Largest inner products become smallest distances by one more coordinate: with M
 vector, v becomes (v, sqrt(M*M - |v|*|v|)) and a query q becomes (q, 0).
 
 Vectors are dealt to blocks by a hash of vec_id; each block has its own tree and meets every block of
-queries, and a query's best of all blocks are merged.  Equal vectors of a block are one point with
+queries, and a query's best of all blocks are merged.  A block of queries is `QUERIES`, so the table is sent once for
+that many queries.  Equal vectors of a block are one point with
 the smallest ids that any query can need (k + 1), so copies neither unbalance the tree nor grow a leaf.
 
 Defined results.  Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do
-vectors of another length than most, or rows with a null vec_id.  A query's own vec_id is no
-candidate of it.  Ties go to the smaller vec_id.
+rows with a null vec_id.  Vectors of different lengths have no inner product: a query's candidates are those of its own length.
+Of rows that repeat a vec_id the one with the smallest vector (component by component) stands for it.  A query's own vec_id is no
+candidate of it.  Ties go to the smaller vec_id.  A table without usable vectors gives no row.  Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .words import Shelf
+
 DIMENSIONS = 8
 CONFIDENCE = 0.97
 LEAF = 128
 #: Vectors in a block of the index, and queries in a block of queries.
-BLOCK, QUERIES = 32_768, 512
+BLOCK, QUERIES = 16_384, 8_192
 
 
 def chi2_cdf(x: np.ndarray | float, k: int) -> np.ndarray | float:
@@ -155,11 +160,12 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _search(k: int, width: int, longest: float, options: dict):
+def _search(k: int, options: dict):
     def run(key: tuple, base: pa.Table, asked: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not base.num_rows or not asked.num_rows:
             return empty
+        width, longest = key[0].as_py(), base.column("longest")[0].as_py()
         vectors, queries = _matrix(base.column("v"), width), _matrix(asked.column("q"), width)
         ids, query_ids = base.column("vec_id").to_numpy(), asked.column("query_id").to_numpy()
         position, found, _ = search_block(ids, vectors, query_ids, queries, k, longest, **options)
@@ -175,23 +181,28 @@ def _exact(ids, vectors, queries, position, found) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) with finite, nonzero vectors of double components."""
+    """(vec_id, v) with finite, nonzero vectors of double components, one of each vec_id."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(F.coalesce(fine, F.lit(False)))
+    rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(F.coalesce(fine, F.lit(False)))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, block: int = BLOCK, query_block: int = QUERIES, **options) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for every row that is_query holds for."""
-    rows = usable(vectors)
-    widths = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.sum(is_query.cast("int")).alias("q")).orderBy(F.desc("n"), "width").limit(1).collect()
-    width, n, longest, asked = (widths[0]["width"], widths[0]["n"], widths[0]["m"], widths[0]["q"]) if widths else (1, 0, 0.0, 0)
-    rows = rows.where(F.size("v") == width)
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-(asked or 0) // query_block))
-    base = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).withColumn("of", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(query_blocks))).withColumn("meets", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = base.groupBy("block", "part").cogroup(queries.groupBy("meets", "of")).applyInArrow(_search(k, width, float(longest or 0.0), options), "query_id long, vec_id long, score double")
+    shelf = Shelf(vectors.sparkSession)
+    rows = shelf.put(usable(vectors).withColumn("width", F.size("v")))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    parts = lambda n, size: F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("int")
+    # one row per vector length: its blocks, its blocks of queries, and its longest vector
+    widths = rows.groupBy("width").agg(F.count("*").alias("n"), F.max(square).alias("longest"), F.sum(is_query.cast("int")).alias("asked"))
+    widths = shelf.put(widths.select("width", "longest", parts(F.col("n"), block).alias("blocks"), parts(F.col("asked"), query_block).alias("parts")))
+    placed = rows.join(widths, "width")
+    base = placed.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("width", "block", "part", "vec_id", "v", "longest")
+    queries = placed.where(is_query).select(F.col("width").alias("long"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "blocks", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("parts")).cast("int").alias("of"))
+    queries = queries.withColumn("meets", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).select("long", "meets", "of", "query_id", "q")
+    found = base.groupBy("width", "block", "part").cogroup(queries.groupBy("long", "meets", "of")).applyInArrow(_search(k, options), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
