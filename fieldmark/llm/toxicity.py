@@ -1,9 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Every token has a class: insult, threat, target, negation, report, or none.  Five small transducers read a
-clause; each keeps one state (is an insult negated? reported? aimed at somebody?) and gives a weight, and
-their composition scores each insult or threat in its context.  A document's score combines its
-clauses as independent evidence: 1 - product(1 - clause).
+Every token is a symbol: insult, threat, target, negation, report, or another word.  Five transducers read a
+clause; each rewrites the symbols that concern it and weighs them.  The target transducer (a forward and a
+backward one, so that a target may stand on either side) marks insults and threats that are aimed at somebody;
+the negation and the reported-speech transducers mark those in their scope; the insult and the threat
+transducers weigh what is marked.  `compose` makes one machine of them: its states are tuples of theirs, its arcs
+feed the output of one to the next and multiply weights.  A clause's score is what its weighted hits
+make together: a plain or aimed insult counts, a negated or reported one hardly, a threat only when aimed.  A document's
+score combines its clauses as independent evidence: 1 - product(1 - clause).
 
 Insults are learned from labelled documents: a word, or a word beginning of five letters, whose documents are
 toxic far more often than the base rate, by a likelihood ratio that holds against the number of words
@@ -11,8 +15,10 @@ tried.  The rest of the grammar is fixed word lists.  At most `SAMPLE` labelled
 each label are read for learning (a hash of doc_id picks them), and at most `KEEP` entries are kept;
 scoring reads every whole text.
 
-Defined results.  A null or empty text scores 0.  A null doc_id is scored, not learned from.  A doc_id with
-several labels counts as toxic if one of them is.  Without labels only the fixed lists apply.
+Defined results.  A null or empty text scores 0; an empty table gives no row.  A null doc_id is scored, not learned from.  A doc_id
+with several labels counts as toxic if one of them is; rows that repeat a doc_id are each scored, and learned from.  Without labels
+only the fixed lists apply.  Ties for a place among `KEEP` entries go to the first in alphabetical order.  Very long texts are read
+whole; a clause ends at a token that ends in one of .,;:!? or with the text.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import held_out, letters_of
-from .words import Words, remembered, slices
+from .words import Shelf, Words, remembered, slices
 
 #: Labelled documents of each label (toxic, not toxic) that insults are learned from.
 SAMPLE = {1: 20_000, 0: 60_000}
@@ -48,34 +54,87 @@ NEGATIONS = "not never no nobody isn't wasn't aren't don't nicht kein keine nie
 REPORTS = "said says say quoted quote called told reported wrote sagte schrieb dit écrit dijo escribió".split()
 
 NONE, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+#: Marks that transducers put on an insult or a threat.
+AIMED, NEGATED, REPORTED, WEIGHED = 8, 16, 32, 64
+_KIND = 7
 
 
-class Machine:
-    """A transducer: delta[state][token class] is the next state, weight[state] scales what stands in that state."""
+class Transducer:
+    """A weighted deterministic finite-state transducer: step(state, symbol) is (next state, output symbol, weight)."""
 
-    def __init__(self, delta: list[dict[int, int]], weight: list[float]):
-        self.delta, self.weight = delta, weight
+    def __init__(self, start, step):
+        self.start, self.step = start, step
 
-    def step(self, state: int, token: int) -> int:
-        return self.delta[state].get(token, self.delta[state].get(-1, state))
+    def run(self, symbols: list[int]) -> list[tuple[int, float]]:
+        """Output symbol and weight of each input symbol."""
+        state, out = self.start, []
+        for x in symbols:
+            state, y, weight = self.step(state, x)
+            out.append((y, weight))
+        return out
 
 
-#: A negation reaches three tokens on (states 3, 2, 1); a report the rest of its clause; a target its whole clause.
-NEGATING = Machine([{NEGATION: 3}, {NEGATION: 3, -1: 0}, {NEGATION: 3, -1: 1}, {NEGATION: 3, -1: 2}], [1.0, 0.5, 0.5, 0.5])
-REPORTING = Machine([{REPORT: 1}, {}], [1.0, 0.75])
-TARGETING = Machine([{TARGET: 1}, {}], [0.9, 1.0])
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The machine that feeds what `first` puts out to `second`; arcs are made when they are first taken."""
+    arcs: dict = {}
+
+    def step(state, x):
+        arc = arcs.get((state, x))
+        if arc is None:
+            a, y, v = first.step(state[0], x)
+            b, z, w = second.step(state[1], y)
+            arc = arcs[(state, x)] = ((a, b), z, v * w)
+        return arc
+
+    return Transducer((first.start, second.start), step)
+
+
+def _marking(opener: int, scope: int | None, mark: int) -> Transducer:
+    """Marks hits within `scope` symbols behind an opener (None: all that follow)."""
+    whole = -1
+
+    def step(state, x):
+        kind = x & _KIND
+        if kind == opener:
+            return (scope if scope is not None else whole), x, 1.0
+        hit = kind in (INSULT, THREAT) and state != 0
+        return (state if state == whole else max(0, state - 1)), x | mark if hit else x, 1.0
+
+    return Transducer(0, step)
+
+
+def _weighing(kind: int, weight) -> Transducer:
+    def step(state, x):
+        return (0, x | WEIGHED, weight(x)) if x & _KIND == kind else (0, x, 1.0)
+
+    return Transducer(0, step)
+
+
+#: What is left of a hit in the scope of a negation, and in reported speech; what an insult at nobody weighs.
+_NEGATED, _REPORTED, _LOOSE = 0.1, 0.15, 0.9
+
+
+def _context(x: int) -> float:
+    return (_NEGATED if x & NEGATED else 1.0) * (_REPORTED if x & REPORTED else 1.0)
+
+
+#: A target reaches its whole clause, in either direction; a negation three symbols on; a report the rest of its clause.
+TARGETING = _marking(TARGET, None, AIMED)
+NEGATING = _marking(NEGATION, 3, NEGATED)
+REPORTING = _marking(REPORT, None, REPORTED)
+INSULTING = _weighing(INSULT, lambda x: _context(x) * (1.0 if x & AIMED else _LOOSE))
+THREATENING = _weighing(THREAT, lambda x: _context(x) if x & AIMED else 0.0)
+#: What reads a clause from its beginning, after the backward target transducer.
+GRAMMAR = compose(compose(compose(compose(TARGETING, NEGATING), REPORTING), INSULTING), THREATENING)
 
 
 def clause_score(tokens: list[tuple[int, float]]) -> float:
-    """Of one clause of (class, weight): the composed machines' weight of its insults and threats together."""
+    """Of one clause of (symbol, weight): what the composed machine makes of its insults and threats together."""
+    backward = TARGETING.run([c for c, _ in reversed(tokens)])
     left = 1.0
-    negated = reported = targeted = 0
-    aimed = any(c == TARGET for c, _ in tokens)
-    for token, weight in tokens:
-        negated, reported, targeted = NEGATING.step(negated, token), REPORTING.step(reported, token), TARGETING.step(targeted, token)
-        if token == INSULT or token == THREAT and aimed:
-            p = weight * NEGATING.weight[negated] * REPORTING.weight[reported] * TARGETING.weight[int(aimed or targeted)]
-            left *= 1.0 - min(p, 0.999)
+    for (y, weight), (_, own) in zip(GRAMMAR.run([y for y, _ in reversed(backward)]), tokens, strict=True):
+        if y & WEIGHED:
+            left *= 1.0 - min(own * weight, 0.999)
     return 1.0 - left
 
 
@@ -101,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep: int = KEEP) -> dict[str, tuple
         chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
         # at most about 80,000 ids by SAMPLE
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-        counts = rows.mapInArrow(_document_counts, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t + c >= 3")
+        shelf = Shelf(docs.sparkSession)
+        counts = shelf.put(rows.mapInArrow(_document_counts, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t + c >= 3"))
         n = {k: min(sizes[k], SAMPLE[k]) for k in (0, 1)}
         base = n[1] / (n[0] + n[1])
         both = F.col("t") + F.col("c")
@@ -116,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: int = KEEP) -> dict[str, tuple
         for r in clean:
             if r["c"] > r["t"]:
                 lexicon.pop(r["f"], None)
+        shelf.drop(counts)
     for kind, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
         for w in words:
             lexicon.setdefault(w, (kind, 1.0))
