@@ -3,14 +3,16 @@
 A word that the model knows is scored by its log frequency in each language; an unseen word falls back to
 its character 5-grams, and where none is known to 4-, 3-, 2- and 1-grams.  A document's score sums its words.
 
-The model is fitted on at most `SAMPLE` labelled documents of each language (a hash of doc_id picks
-them) and keeps the `KEEP` most frequent words and n-grams of each order and language, so what the
-driver holds and broadcasts has a fixed bound.  Counting is distributed.  Scoring reads every whole
-text; each distinct word is scored once per worker while it is remembered.
+The model is fitted on at most `SAMPLE` labelled documents of each of the `LANGUAGES` most labelled languages (a hash of
+doc_id picks them) and keeps the `KEEP` most frequent words and n-grams of each order and language, so what the
+driver holds and broadcasts has a fixed bound.  Counting is distributed and done once: the counts are a table in the
+shared folder.  Scoring reads every whole text; each distinct word is scored once per worker while it is remembered.
 
 Defined results.  A null text and a text without a letter are `und` with score 0, as is every text
-when nothing labelled exists.  A null lang labels nothing.  Rows with a null doc_id are scored,
-not learned from.  Ties between languages go to the first in alphabetical order.
+when nothing labelled exists; an empty table gives no row.  A null lang labels nothing.  Rows with a null doc_id are scored,
+not learned from.  Rows that repeat a doc_id are each learned from and scored.  Ties between languages go to the first in
+alphabetical order.  Very long texts count and are scored whole; the score (not the prediction) takes 30 words for as
+good as more.  Other columns are ignored by `predict` and kept by `annotate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import Words, remembered, slices
+from .words import Shelf, Words, remembered, slices
 
 #: Labelled documents of one language that the model is fitted on.
 SAMPLE = 5000
+#: Languages learned, the most labelled ones.
+LANGUAGES = 200
 #: Words, and n-grams of each order, kept for one language.
 KEEP = 20_000
 ORDERS = (5, 4, 3, 2, 1)
@@ -92,25 +96,30 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE, keep: int = KEEP) -> Model:
     """The model, from labelled rows of docs (doc_id, text, lang) that are not held out."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], {n: {} for n in (0, *ORDERS)}, np.zeros((0, 0)))
     share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, sample / sizes[lang])))])
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    counts = chosen.select("lang", "text").mapInArrow(_count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    chosen = labelled.where(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)))
+    shelf = Shelf(docs.sparkSession)
+    counts = shelf.put(chosen.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")))
     totals = {(r["lang"], r["n"]): r["t"] for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("t")).collect()}
     order = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram")
     kept = counts.where((F.col("n") > 0) | (F.col("c") > 1)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= keep)
     place = {lang: k for k, lang in enumerate(langs)}
     tables: dict[int, dict[str, int]] = {n: {} for n in (0, *ORDERS)}
-    cells = []
-    for r in kept.select("lang", "n", "gram", "c").toLocalIterator():
-        at = tables[r["n"]].setdefault(r["gram"], len(cells))
-        if at == len(cells):
-            cells.append([0.0] * len(langs))
-        cells[at][place[r["lang"]]] = r["c"]
-    rows = np.array(cells) if cells else np.zeros((0, len(langs)))
+    found = kept.select("lang", "n", "gram", "c").toArrow()
+    shelf.drop(counts)
+    at = [tables[n].setdefault((n, g), len(tables[n])) for n, g in zip(found.column("n").to_pylist(), found.column("gram").to_pylist(), strict=True)]
+    # rows of one order stand together
+    first, total_rows = {}, 0
+    for n in tables:
+        first[n], total_rows = total_rows, total_rows + len(tables[n])
+    tables = {n: {g: first[n] + k for (_, g), k in table.items()} for n, table in tables.items()}
+    rows = np.zeros((total_rows, len(langs)))
+    row = np.array([first[n] for n in found.column("n").to_pylist()], np.int64) + np.array(at, np.int64)
+    rows[row, [place[x] for x in found.column("lang").to_pylist()]] = found.column("c").to_numpy()
     for n, table in tables.items():
         own = np.fromiter(table.values(), np.int64, len(table))
         total = np.array([totals.get((lang, n), 0) for lang in langs], dtype=float)
