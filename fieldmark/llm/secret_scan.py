@@ -2,21 +2,25 @@
 
 Candidates are values of [A-Za-z0-9+/_.=-], standing alone, in quotes or behind '=' or ':': of at least `SHORTEST`
 characters where they hold a digit, mix cases (a capital after the first character) or begin as known keys do, and of at least
-`NAMED` characters, whatever these are, behind the name of a credential and '=' or ':'.  Each has features of its length, its character transitions (how often letters, digits and
-cases alternate, entropy, letter-pair frequency of prose), its dictionary coverage (how much of it
-is common words), the path it stands in (the value's own slashes and dots, and the document's source)
-and the words around it.  The forest is trained on labelled findings: those given, or the synthetic ones
-that `labelled_findings` generates from public formats of keys and of their look-alikes
-(checksums, ids, addresses, versions, placeholders).
+`NAMED` characters, whatever these are, behind the name of a credential and '=' or ':'.  Each has features of its length, its
+character transitions (how often letters, digits and cases alternate, entropy, letter-pair frequency of prose), its dictionary
+coverage (how much of its letters the longest words of a dictionary cover), its path (the value's own slashes and dots, and
+whether the document's path or source is one of tests, examples or documentation) and the words around it.  The
+dictionary is the vocabulary file of a public tokenizer, or a short list where none is given.  The forest is trained on labelled
+findings: those given, or the synthetic ones that `labelled_findings` generates from public formats of keys and of
+their look-alikes (checksums, ids, addresses, versions, placeholders, keys of test files).
 
 Whole texts are read; most words are ruled out by their byte classes for all documents at once.
 
-Defined results.  A null or empty text has no finding.  A null doc_id is scanned like any other.  Repeated rows give
-repeated findings.  `start` counts code points.
+Defined results.  A null or empty text has no finding; an empty table gives none.  A null doc_id is scanned like any other.  Repeated
+rows give repeated findings, and a value that comes twice in a text is found twice.  `start` counts code points.  A score equal to the
+threshold is a finding.  Very long texts and words are read whole.  `scan` ignores other columns; `redact` keeps them, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
@@ -61,7 +65,35 @@ for _c in range(256):
 _USUAL = set("th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ch ei ie un be qu ue la os do ad co mi ta".split())
 
 
-def features(value: str, before: list[str], after: list[str], path: str, joint: str) -> list[float]:
+#: Folders whose keys are made up.
+_MADE_UP = re.compile(r"(?:^|[/\\_.-])(?:tests?|testing|examples?|samples?|fixtures?|mocks?|docs?|documentation)(?:$|[/\\_.-])", re.IGNORECASE)
+#: Letters of a dictionary word that count as one.
+_LEAST_WORD, _MOST_WORD = 4, 16
+
+
+def dictionary(path: str | None = None) -> frozenset[str]:
+    """Whole words of a public tokenizer's vocabulary file (JSON, words end in '</w>'); without one a short list."""
+    if path is None:
+        return frozenset(w for w in COMMON if len(w) >= _LEAST_WORD)
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    words = (t.removesuffix("</w>") for t in vocabulary if t.endswith("</w>"))
+    return frozenset(w for w in words if _LEAST_WORD <= len(w) <= _MOST_WORD and w.isascii() and w.isalpha())
+
+
+def coverage(value: str, known: frozenset[str]) -> float:
+    """The share of a value that dictionary words cover, longest first from the left."""
+    covered = 0
+    for run in re.findall(r"[a-z]+", value.lower()):
+        at = 0
+        while at <= len(run) - _LEAST_WORD:
+            step = next((k for k in range(min(_MOST_WORD, len(run) - at), _LEAST_WORD - 1, -1) if run[at : at + k] in known), 0)
+            covered += step
+            at += step or 1
+    return covered / max(1, len(value))
+
+
+def features(value: str, before: list[str], after: list[str], path: str, joint: str, known: frozenset[str]) -> list[float]:
     """Numbers that describe one candidate; `joint` is what stands between the word before and the value."""
     n = len(value)
     kinds = [1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4 for c in value]
@@ -71,7 +103,7 @@ def features(value: str, before: list[str], after: list[str], path: str, joint:
     low = value.lower()
     pairs = [low[k : k + 2] for k in range(n - 1) if low[k : k + 2].isalpha()]
     usual = sum(p in _USUAL for p in pairs) / max(1, len(pairs))
-    covered = sum(len(w) for w in COMMON if len(w) > 2 and w in low) / n
+    covered = coverage(value, known)
     words = [w.strip(".,;:!?\"'()[]{}<>=").lower() for w in [*before, *after]]
     near = " ".join(words)
     return [
@@ -94,7 +126,7 @@ def features(value: str, before: list[str], after: list[str], path: str, joint:
         float('"' in joint or "'" in joint),
         float("/" in value or "." in value),
         float("@" in joint or any("@" in w for w in before[-1:] + after[:1])),
-        float(any(p in path.lower() for p in ("test", "example", "doc", "fixture"))),
+        float(bool(_MADE_UP.search(path))),
         float(_names(joint)),
     ]
 
@@ -102,8 +134,8 @@ def features(value: str, before: list[str], after: list[str], path: str, joint:
 class Forest:
     """A random forest of binary trees over numbers, grown on bootstrap samples with random feature subsets."""
 
-    def __init__(self, trees: int = 40, depth: int = 9, seed: int = 5):
-        self.n_trees, self.depth, self.seed, self.trees = trees, depth, seed, []
+    def __init__(self, trees: int = 40, depth: int = 9, seed: int = 5, known: frozenset[str] = frozenset()):
+        self.n_trees, self.depth, self.seed, self.trees, self.known = trees, depth, seed, [], known
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Forest:
         rng = np.random.default_rng(self.seed)
@@ -147,8 +179,8 @@ class Forest:
             self._add(node[3], x, rows[~left], out)
 
 
-def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
-    """Synthetic (line, 1 if its candidate is a secret); lines are made from public formats."""
+def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, int, str]]:
+    """Synthetic (line, 1 if its candidate is a secret, path); lines are made from public formats."""
     rng = random.Random(seed)
     pick = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
     hexa, alnum, upper = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
@@ -203,26 +235,33 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
         lambda: f"https://www.{word()}.org/{word().capitalize()}/{phrase()}",
         lambda: rng.choice("-/").join(pick(string.ascii_uppercase, rng.randint(2, 5)) for _ in range(2)) + pick("etaoinshr", rng.randint(6, 9)),
     ]
+    folder = lambda *names: f"{word()}/{rng.choice(names)}/{word()}.{rng.choice(['py', 'yml', 'json', 'md'])}"
     out = []
     for k in range(n):
         positive = k % 2
-        line = rng.choice(secret if positive else other)()
-        out.append((f"{prose()} {line} {prose()}", positive))
+        path = rng.choice(["", f"src{rng.randint(0, 99)}", folder("src", "config", "deploy", "lib")])
+        if not positive and rng.random() < 0.2:
+            # keys of test files and examples are made up
+            line, path = rng.choice(secret)(), folder("tests", "test", "examples", "fixtures", "docs")
+        else:
+            line = rng.choice(secret if positive else other)()
+        out.append((f"{prose()} {line} {prose()}", positive, path))
     return out
 
 
-def train(findings: list[tuple[str, int]] | None = None) -> Forest:
-    """A forest from labelled lines; every candidate of a line has the line's label."""
-    x, y = [], []
-    for line, label in findings if findings is not None else labelled_findings():
+def train(findings: list[tuple] | None = None, words: str | None = None) -> Forest:
+    """A forest from labelled lines (line, label) or (line, label, path); every candidate of a line has the line's label.
+
+    `words` names the vocabulary file that serves as dictionary.
+    """
+    known, x, y = dictionary(words), [], []
+    for line, label, *path in findings if findings is not None else labelled_findings():
         tokens = line.split()
-        for k, token in enumerate(tokens):
+        for k in range(len(tokens)):
             for value, joint in _values(tokens, k):
-                x.append(features(value, tokens[max(0, k - 3) : k], tokens[k + 1 : k + 3], "", joint))
+                x.append(features(value, tokens[max(0, k - 3) : k], tokens[k + 1 : k + 3], path[0] if path else "", joint, known))
                 y.append(label)
-                del token
-                break
-    return Forest().fit(np.array(x), np.array(y, float))
+    return Forest(known=known).fit(np.array(x), np.array(y, float))
 
 
 def _values(tokens: list[str], k: int) -> list[tuple[str, str]]:
@@ -310,13 +349,18 @@ def _findings(words: Words, doc: int, own: np.ndarray, path: str, forest: Forest
             if at < 0:
                 continue
             spots.append((int(words.starts[k]) + at, int(words.starts[k]) + at + len(value)))
-            x.append(features(value, before[-3:], tokens[here + 1 : here + 3], path, joint))
+            x.append(features(value, before[-3:], tokens[here + 1 : here + 3], path, joint, forest.known))
     if not spots:
         return []
     score = forest.predict(np.array(x))
     return [(a, b, float(s)) for (a, b), s in zip(spots, score, strict=True) if s >= threshold]
 
 
+def _path_of(docs: DataFrame):
+    """Where a document stands: its path and source, as far as there are such columns."""
+    return F.concat_ws("/", *[F.col(c).cast("string") for c in ("path", "source") if c in docs.columns])
+
+
 def _scan(handle, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,7 +385,7 @@ def _scan(handle, threshold: float):
 def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
     """One row per secret: doc_id, start, length, score."""
     handle = docs.sparkSession.sparkContext.broadcast(forest)
-    path = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
+    path = _path_of(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), path.alias("path"))
     return rows.mapInArrow(_scan(handle, threshold), "doc_id long, start long, length long, score double")
 
@@ -351,7 +395,7 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, mask:
     handle = docs.sparkSession.sparkContext.broadcast(forest)
     names = docs.columns
     own = [F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(names)]
-    path = F.col("source").cast("string") if "source" in names else F.lit("")
+    path = _path_of(docs)
     rows = docs.select(*own, F.col("text").cast("string").alias("text"), path.alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,4 +425,7 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, mask:
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), train())
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return scan(docs, train(words=public_tokenizers.path("word_bpe_49k.json")))
