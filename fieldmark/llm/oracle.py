@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import _CLASS, _LAST, _OFFSETS, _PARTS
+from .mixing import _CLASS, _LAST, _PARTS
 from .sharding import _BUCKETS
 
 _WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -41,11 +41,9 @@ b as (select *, ss * 3 as cap, coalesce(sum(ss * 3) over o, 0)::bigint as caps,
 l as (select *, (total - caps)::double / (weights - used) as level from b),
 f as (select *, level * w >= cap as full_ from l),
 g as (select s, ss, case when full_ then cap::double else (select min_by(level, (cap::double / w, s)) from f where not full_) * w end as target from f),
-r as (select d.*, ss, target, case when ss > 0 then target / ss else 0.0 end as rate, row_number() over (partition by s order by least(size // {_CLASS}, {_LAST}), doc_id % {_PARTS}, size, doc_id) - 1 as k,
- ('0x' || substr(md5('1:' || s), 1, 8))::bigint::double / 4294967296.0::double as draw from d join g using (s)),
-o as (select s, j, abs(sum(size * (floor((k + 1) * rate + (draw + j) / {_OFFSETS}) - floor(k * rate + (draw + j) / {_OFFSETS}))) - any_value(target)) as miss from r, range({_OFFSETS}) q(j) group by s, j),
-x as (select s, min_by(j, (miss, j)) as j from o group by s)
-select doc_id, size, ss as source_size, target, (size * (floor((k + 1) * rate + (draw + j) / {_OFFSETS}) - floor(k * rate + (draw + j) / {_OFFSETS})))::bigint as taken from r join x using (s)"""
+r as (select d.*, ss, target, case when ss > 0 then target / ss else 0.0 end as rate, row_number() over (partition by s order by least(size // {_CLASS}, {_LAST}), ('0x' || substr(md5(coalesce(doc_id, 0) || ':' || size), 1, 4))::bigint % {_PARTS}, size, doc_id) - 1 as k,
+ ('0x' || substr(md5('1:' || s), 1, 8))::bigint::double / 4294967296.0::double as u from d join g using (s))
+select doc_id, size, ss as source_size, target, (size * (floor((k + 1) * rate + u) - floor(k * rate + u)))::bigint as taken from r"""
 
 
 def _score(shard: int) -> str:
@@ -65,6 +63,6 @@ b as (select doc_id, coalesce(text, '') as text, coalesce(doc_id::varchar, '') a
 h as (select *, hex(encode(text)) as x from b),
 c as (select h.*, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint)), lambda a, v: xor(a >> 8, t.t[(xor(a, v) & 255) + 1])), 4294967295::bigint) as crc from h, t),
 s as (select doc_id, (length(x) // 2 + 1)::bigint as size, crc as text_crc32, {_shards(8)} as shard, {_shards(9)} as grown_shard from c)
-select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by coalesce(doc_id, 0) % {_BUCKETS}, doc_id, size, text_crc32) - 1 as slot, grown_shard from s"""
+select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || size || ':' || text_crc32), 1, 6))::bigint % {_BUCKETS}, doc_id, size, text_crc32) - 1 as slot, grown_shard from s"""
 
 SQL = {"op6_mixing": _SQL6, "op7_ngram_join": _SQL7, "op9_substring_dedup": _SQL9, "op10_sharding": _SQL10}

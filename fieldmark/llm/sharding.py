@@ -4,8 +4,9 @@ Every (key, shard) pair has a hash u in (0, 1) and the score weight / -ln(u); a
 shard of its largest score.  Another shard only adds scores, so the records that move are those
 whose largest score is the new shard's.
 
-Defined results.  A null key is the key ''.  Equal keys share a shard, repeated rows too; slots within a
-shard follow a hash of the row, then doc_id.  A null text has size 1 and the CRC of no bytes.
+Defined results.  A null key is the key ''.  Equal keys share a shard, repeated rows too, each in a slot of its own; slots within a
+shard follow a hash of the row (key, size, CRC of the text), then doc_id, size and CRC.  A null or empty text has size 1 and the CRC of no
+bytes.  Ties of scores go to the larger shard number.  An empty table gives no row.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .ranks import positions
 
 SHARDS = 8
-_BUCKETS = 1024
+_BUCKETS = 4096
 
 
 def _score(key: Column, shard: int, weight: float) -> Column:
@@ -37,7 +38,8 @@ def assign(docs: DataFrame, weights: list[float] | None = None, grown: float = 1
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), shard_of(key, weights).alias("shard"), shard_of(key, [*weights, grown]).alias("grown_shard"))
-    rows = rows.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(_BUCKETS)))
+    row = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), F.col("text_crc32").cast("string")))
+    rows = rows.withColumn("bucket", F.conv(F.substring(row, 1, 6), 16, 10).cast("long") % _BUCKETS)
     return positions(rows, ["shard"], ["bucket"], ["doc_id", "size", "text_crc32"], "slot")
 
 

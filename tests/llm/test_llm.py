@@ -91,7 +91,7 @@ def windows(df, **options):
 def test_repeated_windows(spark, edge, empty):
     rng = random.Random(3)
     rows = [(i, t, "en", "a") for i, t in enumerate(made(rng, 80, 60, 4))]
-    assert windows(frame(spark, rows), width=5, chunk_bytes=2000) == brute_windows([r[:2] for r in rows], 5)
+    assert windows(frame(spark, rows), width=5, chunk_bytes=2000, range_bytes=1500) == brute_windows([r[:2] for r in rows], 5)
     assert windows(edge) == brute_windows([r[:2] for r in EDGE])
     assert windows(empty) == []
 
@@ -215,9 +215,9 @@ def test_mixing_comes_near_targets_and_repeats(spark):
     one, two = (sorted(tuple(r) for r in mixing.sample(frame(spark, rows)).collect()) for _ in range(2))
     assert one == two
     taken, target = {}, {}
-    for _, source, size, _, goal, copies in one:
+    for _, source, size, _, _, goal, copies in one:
         taken[source], target[source] = taken.get(source, 0) + size * copies, goal
-    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] for s in target)
+    assert all(abs(taken[s] - target[s]) <= max(r[2] for r in one) for s in target)
 
 
 def test_sharding(spark, edge, empty):
@@ -258,10 +258,61 @@ def test_language_on_held_out(spark):
 
 
 def test_clauses():
-    insult, report, negation, target = (toxicity.INSULT, 0.9), (toxicity.REPORT, 1.0), (toxicity.NEGATION, 1.0), (toxicity.TARGET, 1.0)
-    score = toxicity.clause_score
-    assert score([target, insult]) > score([insult]) > score([report, insult]) > 0.3 and score([negation, insult]) < 0.5
-    assert score([(toxicity.THREAT, 0.9)]) == 0 and score([(toxicity.THREAT, 0.9), target]) > 0.5 and score([]) == 0
+    insult, report, negation, target, other = (toxicity.INSULT, 0.9), (toxicity.REPORT, 1.0), (toxicity.NEGATION, 1.0), (toxicity.TARGET, 1.0), (toxicity.NONE, 0.0)
+    score, least = toxicity.clause_score, toxicity.THRESHOLD
+    assert score([target, insult]) == score([insult, target]) > score([insult]) > least
+    assert score([negation, insult]) < least and score([report, other, insult]) < least and score([negation, other, other, other, insult]) > least
+    assert score([(toxicity.THREAT, 0.9)]) == 0 and score([(toxicity.THREAT, 0.9), target]) > 0.5 and score([negation, (toxicity.THREAT, 0.9), target]) < least and score([]) == 0
+
+
+def plain_score(text, lexicon):
+    """The grammar written out without machines."""
+    left, tokens = 1.0, WORD.findall(text or "")
+    clauses, now = [], []
+    for t in tokens:
+        now.append(t)
+        if t[-1] in ".,;:!?":
+            clauses.append(now)
+            now = []
+    for clause in [*clauses, now]:
+        entries = []
+        for t in clause:
+            whole = t.lower().strip(".,;:!?\"'()[]")
+            options = [lexicon.get(w) or lexicon.get(w[:5] + "*" if len(w) > 5 else "") for w in [whole, *language_id.letters_of(t)]]
+            entries.append(max((o for o in options if o), key=lambda o: (o[0] in (1, 2), o[1]), default=(0, 0.0)))
+        clause_left = 1.0
+        for k, (kind, weight) in enumerate(entries):
+            if kind not in (toxicity.INSULT, toxicity.THREAT):
+                continue
+            aimed = any(e[0] == toxicity.TARGET for e in entries)
+            negated = any(e[0] == toxicity.NEGATION for e in entries[max(0, k - 3) : k])
+            reported = any(e[0] == toxicity.REPORT for e in entries[:k])
+            w = weight * (0.1 if negated else 1) * (0.15 if reported else 1)
+            w *= (1 if aimed else 0.9) if kind == toxicity.INSULT else (1 if aimed else 0)
+            clause_left *= 1 - min(w, 0.999)
+        left *= clause_left
+    return 1 - left
+
+
+def test_toxicity_is_the_grammar_on_whole_tables(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    df = frame(spark, docs)
+    lexicon = toxicity.fit(df, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(df, lexicon).collect()}
+    want = {i: plain_score(t, lexicon) for i, t, _, _ in docs}
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_toxicity_context_decides(spark):
+    texts = ["you are an idiot", "they are not an idiot today", "he said an idiot came", "idiot", "never such scum", "we will kill time", "i will kill you", "not the kill you want"]
+    lexicon = toxicity.fit(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = lambda entries: [r.score >= toxicity.THRESHOLD for r in toxicity.score(df, entries).orderBy("doc_id").collect()]
+    assert of(lexicon) == [True, False, False, True, False, False, True, False]
+    without = lambda kind: {w: e for w, e in lexicon.items() if e[0] != kind}
+    assert of(without(toxicity.NEGATION)) == [True, True, False, True, True, False, True, True]
+    assert of(without(toxicity.REPORT)) == [True, False, True, True, False, False, True, False]
+    assert of(without(toxicity.TARGET)) == [True, False, False, True, False, False, False, False]
 
 
 def test_toxicity(spark, edge, empty):
@@ -377,17 +428,57 @@ def test_neighbours_recall_and_edges(spark):
     assert abs(projected_neighbours.chi2_cdf(projected_neighbours.stopping_ratio(0.9, 8), 8) - 0.9) < 1e-6
 
 
+def test_neighbours_of_repeated_ids_and_other_lengths(spark):
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((62, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(20, v[20].tolist()), (3, v[3].tolist()), (60, [9.0] * 3), (61, [1.0] * 8), (100, [1.0, 2.0, 3.0]), (101, [3.0, 2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = projected_neighbours.nearest(df.withColumns({"width": F.lit("x"), "block": F.lit(1), "v": F.lit(2)}), F.col("vec_id") % 20 == 0)
+    kept = {}
+    for i, x in rows:
+        kept[i] = min(kept.get(i, x), x)
+    want = {}
+    for q in (i for i in kept if i % 20 == 0):
+        best = sorted((-float(np.dot(kept[q], x)), i) for i, x in kept.items() if i != q and len(x) == len(kept[q]))[:20]
+        want[q] = [i for _, i in best]
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == set(want) and all(len(got[q]) == len(want[q]) == len(set(got[q])) for q in got)
+    assert sum(len(set(got[q]) & set(want[q])) for q in got) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_neighbours_recall_at_the_registered_block_size(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    out = projected_neighbours.nearest(table, F.col("vec_id") % 20 == 0).collect()
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in table.collect() if r.embedding is not None]
+    rows = [(i, v) for i, v in rows if len(v) and np.isfinite(v).all() and v.any()]
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    hits = total = 0
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q, found in got.items():
+        score = m @ m[ids == q][0]
+        score[ids == q] = -np.inf
+        best = {int(ids[k]) for k in np.lexsort((ids, -score))[:20]}
+        hits, total = hits + len(best & found), total + len(best)
+    assert hits >= 0.9 * total
+
+
 def test_secrets(spark, edge, empty):
-    forest = secret_scan.train()
+    import public_tokenizers
+
+    forest = secret_scan.train(words=public_tokenizers.path("word_bpe_49k.json"))
     held = secret_scan.labelled_findings(600, seed=99)
     right = 0
-    for line, label in held:
+    for line, label, path in held:
         tokens = line.split()
         found = []
         for k in range(len(tokens)):
             for value, joint in secret_scan._values(tokens, k):
                 before = tokens[max(0, k - 3) : k]
-                found.append(secret_scan.features(value, before, tokens[k + 1 : k + 3], "", joint))
+                found.append(secret_scan.features(value, before, tokens[k + 1 : k + 3], path, joint, forest.known))
         p = max(forest.predict(np.array(found)), default=0.0) if found else 0.0
         right += (p >= 0.5) == bool(label)
     assert right >= 0.95 * len(held)
@@ -411,6 +502,31 @@ def test_secrets_without_digits_and_short_ones(spark):
     assert out[5].startswith(f"password={mask}") and out[6:] == lines[6:]
 
 
+def splits(node):
+    return [] if not isinstance(node, tuple) else [node[0], *splits(node[2]), *splits(node[3])]
+
+
+def test_secrets_use_paths_and_dictionary(spark):
+    forest = secret_scan.train()
+    used = {f for t in forest.trees for f in splits(t)}
+    path_feature, coverage_feature = 19, 4
+    assert {path_feature, coverage_feature} <= used
+    assert secret_scan.coverage("configServer12", frozenset({"config", "server"})) == 12 / 14
+    key = "token=b7db7aa4a5fcc78305aabbccddeeff00"
+    df = spark.createDataFrame([(1, f"see {key} here", "repo/config/a.py"), (2, f"see {key} here", "repo/tests/fixtures/a.py")], "doc_id long, text string, path string")
+    assert [r.doc_id for r in secret_scan.scan(df, forest).collect()] == [1]
+
+
+def test_one_secret_twice_in_a_token(spark):
+    key = "b7db7aa4a5fcc78305"
+    df = spark.createDataFrame([(1, f"token={key},{key} tail"), (2, f"token={key};token={key}")], "doc_id long, text string")
+    forest = secret_scan.train()
+    found = sorted((r.doc_id, r.start, r.length) for r in secret_scan.scan(df, forest).collect())
+    assert found == [(1, 6, 18), (1, 25, 18), (2, 6, 18), (2, 31, 18)]
+    mask = secret_scan.MASK
+    assert [r.text for r in secret_scan.redact(df, forest).orderBy("doc_id").collect()] == [f"token={mask},{mask} tail", f"token={mask};token={mask}"]
+
+
 def test_secrets_leave_look_alikes(spark):
     forest = secret_scan.train()
     lines = ["commit 5e71cd2b7c08d8c9ac2f3a4b5c6d7e8f90a1b2c3 merged", "id 123e4567-e89b-12d3-a456-426614174000 seen", "write to jane.doe.42@mail8.example.com now", "see https://www.site12.com/docs/page/1234.html", "a plain line of words"]
