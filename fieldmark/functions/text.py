@@ -113,10 +113,12 @@ def _nfkc(values):
 def normalize_text(c: Column, nfkc: bool = True) -> Column:
     """Compatibility-composed, stripped, spaces collapsed; null becomes ''.
 
-    Spark has no Unicode normalization, so text beyond ASCII passes an Arrow function; nfkc=False leaves it out.
+    Spark has no Unicode normalization, so text beyond ASCII passes an Arrow function (other rows send it a null);
+    nfkc=False leaves it out.
     """
     t = F.coalesce(c, F.lit(""))
-    return collapse(_nfkc(t)) if nfkc else collapse(t)
+    beyond = F.when(t.rlike(r"[^\x00-\x7F]"), t)
+    return collapse(F.coalesce(_nfkc(beyond), t)) if nfkc else collapse(t)
 
 
 def normalize_address(c: Column) -> Column:

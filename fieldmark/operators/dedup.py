@@ -80,8 +80,8 @@ def fuzzy_keep_first(df: DataFrame, threshold: float = 0.96) -> DataFrame:
     block = tx.strip(F.lower(F.coalesce("address", F.lit(""))))
     rows = rows.withColumn("__b", F.when(block != "", block)).withColumn("__n", tx.fuzzy_name(F.col("name")))
     nodes = rows.select(F.concat(F.lit("k"), "__k").alias("a"), F.concat(F.lit("b"), F.coalesce("__b", F.lit(""))).alias("b"), "__b")
-    labels = group_labels(nodes.where("__b is not null").select("a", "b"))
-    grouped = rows.join(labels, F.concat(F.lit("k"), "__k") == F.col("id"), "left").withColumn("__g", F.coalesce("label", F.xxhash64(F.concat(F.lit("k"), "__k")))).drop("id", "label")
+    labels = group_labels(nodes.where("__b is not null").select("a", "b")).toDF("__node", "__label")
+    grouped = rows.join(labels, F.concat(F.lit("k"), "__k") == F.col("__node"), "left").withColumn("__g", F.coalesce("__label", F.xxhash64(F.concat(F.lit("k"), "__k")))).drop("__node", "__label")
     names = ["__g", ORDER, "__k", "__b", "__n", "__sources"]
 
     def decide(group: pd.DataFrame) -> pd.DataFrame:

@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """The session's shared folder; one of our own only where none is set."""
+    """The session's shared folder; one of our own only on a single machine where none is set."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share.")
+        import tempfile
+
+        named = tempfile.mkdtemp(prefix="checkpoints-")
+    sc.setCheckpointDir(named)
 
 
 def group_labels(edges: DataFrame) -> DataFrame:

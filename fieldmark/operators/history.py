@@ -74,12 +74,12 @@ def versions(runs: DataFrame) -> DataFrame:
 def run_changes(runs: DataFrame) -> DataFrame:
     """(run_id, record_id, change) of every record in every run: against the run just before; a returning record is new."""
     order = runs.select("run_id", "recorded_at").distinct().withColumn("k", F.row_number().over(Window.orderBy("recorded_at", "run_id")))
-    placed = runs.join(F.broadcast(order.select("run_id", "k")), "run_id")
+    placed = runs.join(order.select("run_id", "k"), "run_id")
     w = Window.partitionBy("record_id").orderBy("k")
     seen = placed.withColumn("before", F.lag("k").over(w)).withColumn("hash_before", F.lag("content_hash").over(w)).withColumn("after", F.lead("k").over(w))
     kind = F.when(F.coalesce(F.col("before") != F.col("k") - 1, F.lit(True)), "new").when(F.col("hash_before") != F.col("content_hash"), "updated").otherwise("unchanged")
     here = seen.select("run_id", "record_id", kind.alias("change"))
-    gone = seen.where(F.coalesce(F.col("after") != F.col("k") + 1, F.lit(True))).select((F.col("k") + 1).alias("k"), "record_id").join(F.broadcast(order.select("run_id", "k")), "k").select("run_id", "record_id", F.lit("missing").alias("change"))
+    gone = seen.where(F.coalesce(F.col("after") != F.col("k") + 1, F.lit(True))).select((F.col("k") + 1).alias("k"), "record_id").join(order.select("run_id", "k"), "k").select("run_id", "record_id", F.lit("missing").alias("change"))
     return here.union(gone)
 
 
@@ -100,50 +100,64 @@ def safe_name(text: str) -> str:
 
 
 class HistoryStore:
-    """Versioned records of one job under a folder: runs, versions and changes as Parquet, partitioned by run.
+    """Versioned records of one job under a folder (any that Spark's readers open), a part for each run.
 
-    A run is written once; its id cannot be used again.  The current state is derived from the versions, so
-    nothing is updated in place and a lost task only rewrites its own files.
+    A run's versions and changes are written to parts of their own, over what a failed attempt may have left; a row in
+    `runs` then says that they are there, and only such runs are read.  A recorded id cannot be used again.  The current
+    state is derived from the versions, so nothing is updated in place and a lost task only rewrites its own files.
     """
 
-    VERSION = 1
+    VERSION = 2
 
     def __init__(self, spark: SparkSession, path: str, job: str):
         self.spark, self.path, self.job = spark, path.rstrip("/"), safe_name(job)
 
-    def _at(self, name: str) -> str:
-        return f"{self.path}/{self.job}/v{self.VERSION}/{name}"
+    def _at(self, name: str, run_id: str | None = None) -> str:
+        part = "" if run_id is None else f"/run-{safe_name(run_id)}"
+        return f"{self.path}/{self.job}/v{self.VERSION}/{name}{part}"
 
-    def _read(self, name: str) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(name))
+    def _recorded(self) -> list[tuple]:
+        """(run_id, recorded_at) of the runs that are there, in order: one small row for each run."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._at("runs"))
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        return self.spark.read.parquet(self._at(name))
+            return []
+        rows = self.spark.read.option("recursiveFileLookup", True).parquet(self._at("runs"))
+        return sorted((tuple(r) for r in rows.select("run_id", "recorded_at").collect()), key=lambda r: (r[1], r[0]))
+
+    def _read(self, name: str) -> DataFrame:
+        runs = [r for r, _ in self._recorded()]
+        if not runs:
+            raise ValueError("The history has no run.")
+        return self.spark.read.option("mergeSchema", True).parquet(*[self._at(name, r) for r in runs])
 
     def record_run(self, run_id: str, recorded_at, records: DataFrame) -> DataFrame:
         """Writes the accepted records as a run and returns its changes against the run before."""
         rows = records.where("record_status = 'accepted'") if "record_status" in records.columns else records
         snap = snapshot(rows)
         assert_unique(snap)
-        old = self._read("versions")
-        if old is not None and not old.where(F.col("run_id") == run_id).isEmpty():
+        recorded = self._recorded()
+        if safe_name(run_id) in {safe_name(r) for r, _ in recorded}:
             raise ValueError(f"Run {run_id} is already recorded.")
         fields = [c for c in snap.columns if c not in ("record_id", "content_hash")]
-        if old is None:
-            changes = snap.select("record_id", F.lit("new").alias("change"), F.array().cast("array<string>").alias("changed"))
-        else:
-            last = old.agg(F.max_by("run_id", F.struct("recorded_at", "run_id")).alias("r")).first()["r"]
-            changes = diff(old.where(F.col("run_id") == last), snap, [f for f in fields if f in old.columns])
         stamped = [F.lit(run_id).alias("run_id"), F.lit(recorded_at).cast("timestamp").alias("recorded_at")]
-        changes.select(*stamped, "*").write.mode("append").parquet(self._at("changes"))
-        snap.select(*stamped, "*").write.mode("append").parquet(self._at("versions"))
+        snap.select(*stamped, "*").write.mode("overwrite").parquet(self._at("versions", run_id))
+        written = self.spark.read.parquet(self._at("versions", run_id))
+        if not recorded:
+            changes = written.select("record_id", F.lit("new").alias("change"), F.array().cast("array<string>").alias("changed"))
+        else:
+            old = self.spark.read.parquet(self._at("versions", recorded[-1][0]))
+            changes = diff(old, written, [f for f in fields if f in old.columns])
+        changes.select(*stamped, "*").write.mode("overwrite").parquet(self._at("changes", run_id))
+        self.spark.range(1).select(*stamped).coalesce(1).write.mode("overwrite").parquet(self._at("runs", run_id))
         return self.changes(run_id)
 
     def runs(self, limit: int | None = None) -> DataFrame:
         return list_runs(self._read("versions"), limit)
 
     def changes(self, run_id: str) -> DataFrame:
-        return self._read("changes").where(F.col("run_id") == run_id)
+        if run_id not in {r for r, _ in self._recorded()}:
+            raise ValueError(f"Run {run_id} is not recorded.")
+        return self.spark.read.parquet(self._at("changes", run_id))
 
     def current(self) -> DataFrame:
         return versions(self._read("versions"))

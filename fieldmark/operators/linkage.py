@@ -11,7 +11,8 @@ from ..functions import text as tx
 from ..schema import ORDER
 
 DECISIONS = ("matched", "candidate", "ambiguous")
-_SAFE_SOURCE = "manual_first_party_review"
+# The source whose contacts may fill blanks, and the method that provenance names.
+_SAFE_SOURCE, _METHOD = "manual_first_party_review", "cross_source_exact_match"
 
 
 def _keyed(df: DataFrame, side: str) -> DataFrame:
@@ -67,7 +68,7 @@ def match(primary: DataFrame, supplemental: DataFrame) -> DataFrame:
     full = e.join(p, "p_ord").join(s, "s_ord")
     listed = F.array_compact(F.array(F.when(F.col("by_id"), "source_id"), F.when(F.col("by_phone"), "phone"), F.when(F.col("by_website"), "website")))
     only_phone = F.col("by_phone") & ~F.col("by_id") & ~F.col("by_website")
-    supported = only_phone & _same("name", "address")
+    supported = only_phone & _same("name", "address", "city", "state")
     lone = (F.col("deg_p") == 1) & (F.col("deg_s") == 1)
     decision = F.when(~lone, "ambiguous").when(F.col("by_id") & _conflict(), "candidate").when(only_phone & ~supported, "candidate").otherwise("matched")
     fields = F.when(lone & supported, F.array(F.lit("phone"), F.lit("name"), F.lit("address"))).otherwise(listed)
@@ -76,7 +77,7 @@ def match(primary: DataFrame, supplemental: DataFrame) -> DataFrame:
     decided = decided.withColumn("method", name)
     rest = p.join(e.select("p_ord").distinct(), "p_ord", "left_anti").where("p_name <> '' and p_address <> '' and p_city <> '' and p_state <> ''")
     place = rest.join(s, [F.col(f"p_{f}") == F.col(f"s_{f}") for f in ("name", "address", "city", "state")])
-    named = place.select("p_ord", "s_ord", F.lit("candidate").alias("decision"), F.array(*[F.lit(f) for f in ("name", "address", "city", "state")]).alias("fields"), F.lit("exact_name_address_candidate").alias("method"))
+    named = place.select("p_ord", "s_ord", F.lit("candidate").alias("decision"), F.array(F.lit("name"), F.lit("address")).alias("fields"), F.lit("exact_name_address_candidate").alias("method"))
     return decided.union(named)
 
 
@@ -109,25 +110,26 @@ def single_source(df: DataFrame, what: str, at_most: bool = False) -> str | None
     return found[0] if found else None
 
 
-def promote(primary: DataFrame, supplemental: DataFrame, matches: DataFrame) -> DataFrame:
+def promote(primary: DataFrame, supplemental: DataFrame, matches: DataFrame, fallback_url: str = "") -> DataFrame:
     """primary with blank website (and, from a first-party review, blank email and socials) filled from safe matches.
 
     Safe is a match by id, or by phone with the same name, address, city and state.  Nothing is overwritten; filled
-    fields get provenance, discovery_sources gains the supplemental source.
+    fields get provenance (the record's address or else fallback_url, the time it was observed or else scraped),
+    discovery_sources gains the supplemental source.
     """
     p, s = _keyed(primary, "p").drop("p_ids", "p_phone", "p_website"), _keyed(supplemental, "s").drop("s_ids", "s_phone", "s_website")
     safe = matches.where("decision = 'matched'").join(p, "p_ord").join(s, "s_ord")
     safe = safe.where(F.array_contains("fields", "source_id") | (F.array_contains("fields", "phone") & _same("name", "address", "city", "state")))
     extra = ("email", "linkedin", "instagram", "facebook", "twitter")
-    given = supplemental.select(F.col(ORDER).alias("s_ord"), *[F.col(c).alias(f"s_{c}") for c in ("website", *extra)], F.col("source").alias("s_source"), F.col("source_url").alias("s_url"), F.col("observed_at").alias("s_at"))
-    got = safe.select("p_ord", "s_ord", "method").join(given, "s_ord")
+    given = supplemental.select(F.col(ORDER).alias("s_ord"), *[F.col(c).alias(f"s_{c}") for c in ("website", *extra)], F.col("source").alias("s_source"), F.when(tx.present(F.col("source_url")), F.col("source_url")).otherwise(F.lit(fallback_url)).alias("s_url"), F.coalesce("observed_at", "scraped_at").alias("s_at"))
+    got = safe.select("p_ord", "s_ord").join(given, "s_ord")
     out = primary.join(got, F.col(ORDER) == F.col("p_ord"), "left")
     fresh, prov = {}, []
     for c in ("website", *extra):
         allowed = F.lit(True) if c == "website" else F.col("s_source") == _SAFE_SOURCE
         fill = F.coalesce(allowed & tx.blank(F.col(c)) & tx.present(F.col(f"s_{c}")), F.lit(False))
         fresh[c] = F.when(fill, F.col(f"s_{c}")).otherwise(F.col(c))
-        prov.append(F.when(fill, F.struct(F.lit(c).alias("key"), F.struct(F.col("s_source").alias("source"), F.col("s_url").alias("evidence_url"), F.col("s_at").alias("observed_at"), F.col("method").alias("method")).alias("value"))))
+        prov.append(F.when(fill, F.struct(F.lit(c).alias("key"), F.struct(F.col("s_source").alias("source"), F.col("s_url").alias("evidence_url"), F.col("s_at").alias("observed_at"), F.lit(_METHOD).alias("method")).alias("value"))))
         if c == "email":
             fresh["email_status"] = F.when(fill, "not_checked").otherwise(F.col("email_status"))
     added = F.map_from_entries(F.array_compact(F.array(*prov)))
@@ -156,6 +158,6 @@ def enroll_by_id(records: DataFrame, listed: DataFrame, id_key: str, claim: Colu
     if found["bad"]:
         raise ValueError("Identifiers must be ten digits.")
     last = records.select(F.col("source_ids")[id_key].alias("npi"), ORDER).where("npi is not null").groupBy("npi").agg(F.max(ORDER).alias("at")).join(listed.select("npi").distinct(), "npi")
-    out = records.join(F.broadcast(last.select(F.col("at").alias("__at"))), F.col(ORDER) == F.col("__at"), "left")
+    out = records.join(last.select(F.col("at").alias("__at")), F.col(ORDER) == F.col("__at"), "left")
     absent = ~F.exists("claims", lambda c: c["key"] == claim_key)
     return out.withColumn("claims", F.when(F.col("__at").isNotNull() & absent, F.array_append("claims", claim)).otherwise(F.col("claims"))).drop("__at")

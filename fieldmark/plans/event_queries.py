@@ -34,10 +34,11 @@ def history_runs_latest(spark, d):
 
 
 def _two_states(spark, d):
-    """The state of users after even and after odd events: two snapshots with differences of every kind."""
+    """The state of users after the first and after the second half of all events: two snapshots with differences of every kind."""
     e = v.table(spark, d, "events")
-    state = lambda keep: e.where(keep).groupBy(F.concat(F.lit("u"), "user_id").alias("record_id")).agg(F.max_by("event_type", "event_id").alias("kind"), (F.max("event_id") % 3).cast("long").alias("phase"))
-    return state("event_id % 7 = 0"), state("event_id % 7 = 1")
+    e = e.join(e.agg(F.max("event_id").alias("last"))).withColumn("half", (F.col("event_id") * 2 > F.col("last")).cast("int"))
+    state = lambda half: e.where(F.col("half") == half).groupBy(F.concat(F.lit("u"), "user_id").alias("record_id")).agg(F.max_by("event_type", "event_id").alias("kind"), (F.max("event_id") % 3).cast("long").alias("phase"))
+    return state(0), state(1)
 
 
 def history_diff(spark, d):
@@ -86,19 +87,25 @@ def ttl_cache_lookup(spark, d):
     return out.select(F.col(ORDER).alias("k"), "source", F.col("hit"), F.when(F.col("hit"), F.col("value")).alias("value"))
 
 
+def _details(spark, d):
+    """Every event asks for the details of its user, at one of two sources."""
+    e = v.table(spark, d, "events")
+    return e.select(F.col("event_id").alias(ORDER), F.when(F.col("event_id") % 4 == 1, "google").otherwise("yelp").alias("source"), F.col("user_id").cast("string").alias("source_id"), (F.col("user_id") % 11 == 0).alias("hit"))
+
+
 def budget_first_n(spark, d):
-    asked = _asked(spark, d).withColumn("hit", F.col("source_id").cast("int") % 11 == 0)
+    asked = _details(spark, d)
     return stateful.spend_budget(asked, {"google": 25, "yelp": 10}).select(F.col(ORDER).alias("k"), "source", "action")
 
 
 def cost_rollup(spark, d):
-    asked = _asked(spark, d).withColumn("hit", F.col("source_id").cast("int") % 11 == 0)
+    asked = _details(spark, d)
     paid = stateful.spend_budget(asked, {"google": 25, "yelp": 10}).where("action = 'paid'")
     return stateful.costs(paid)
 
 
 def pagination_stop(spark, d):
-    e = v.table(spark, d, "events").where("event_id < 400")
+    e = v.table(spark, d, "events")
     return e.select("event_id", tx.follow_next_page(F.col("event_id") % 4, F.col("event_id"), F.lit(300), F.col("event_id") % 9 + 1, F.lit(8)).alias("follow"), tx.search_url("https://listing.example.test", F.col("event_type"), F.concat_ws(", ", F.lit("San Jose"), "event_type"), F.col("event_id") % 3 + 1).alias("url"))
 
 
@@ -183,7 +190,7 @@ def license_inventory(spark, d):
 
 
 def place_projection(spark, d):
-    places = readers.with_order(_places(spark, d), ["id"])
+    places = readers.with_order(_places(spark, d))
     out = readers.place_records(places, "https://ref.example.test", "2025-01", F.lit(v.AS_OF).cast("timestamp"))
     return out.select(F.col("source_ids")["overture_id"].alias("id"), "name", "category", "city", "state", F.size("claims").cast("long").alias("claims"))
 
@@ -230,13 +237,13 @@ def longest_evidence_per_group(spark, d):
 _RUNS = "(select strftime(day, '%Y-%m-%d') as run_id, day, 'u' || user_id as record_id, content_hash from (select ts::date as day, user_id, max_by(event_type, (ts, event_id)) as content_hash from events group by 1, 2))"
 
 
-def _state(rest: int) -> str:
-    return f"(select 'u' || user_id as record_id, max_by(event_type, event_id) as kind, (max(event_id) % 3)::bigint as phase from events where event_id % 7 = {rest} group by 1)"
+def _state(half: int) -> str:
+    return f"(select 'u' || user_id as record_id, max_by(event_type, event_id) as kind, (max(event_id) % 3)::bigint as phase from events where (event_id * 2 > (select max(event_id) from events))::int = {half} group by 1)"
 
 
 _DIFF = f"(select coalesce(a.record_id, b.record_id) as record_id, case when a.record_id is null then 'new' when b.record_id is null then 'missing' when a.kind is distinct from b.kind or a.phase is distinct from b.phase then 'updated' else 'unchanged' end as change, case when a.record_id is null or b.record_id is null then '' else concat_ws(',', case when a.kind is distinct from b.kind then 'kind' end, case when a.phase is distinct from b.phase then 'phase' end) end as changed from {_state(0)} a full outer join {_state(1)} b on a.record_id = b.record_id)"
 _ATT = f"(select event_id, ts, 'src' || (user_id % 20) as source, {_OUTCOME} as outcome from events)"
-_ASKED = "(select event_id as k, case when event_id % 4 = 1 then 'google' else 'yelp' end as source, user_id::varchar as source_id, user_id % 11 = 0 as hit from events where event_id % 2 = 1)"
+_ASKED = "(select event_id as k, case when event_id % 4 = 1 then 'google' else 'yelp' end as source, user_id::varchar as source_id, user_id % 11 = 0 as hit from events)"
 _SPENT = f"""(select k, source, case when hit then 'hit' when max(nth) over (partition by source, source_id) > case source when 'google' then 25 else 10 end then 'skipped' when f then 'paid' else 'repeat' end as action from
  (select *, case when f then sum(f::int) over (partition by source order by k) end as nth from (select *, (row_number() over (partition by source, source_id order by k) = 1) and not hit as f from {_ASKED})))"""
 _SITES = f"(select k, {_SENTENCE} as text from (select c_custkey as k from customer))"
@@ -263,7 +270,7 @@ SQL = {
  select k, a.source, c.f is not null as hit, c.value as value from a left join c on a.source = c.source and a.user_id = c.user_id and a.source = 'google' and c.f > (select max(ts) from events) - interval 20 day""",
     "budget_first_n": f"select k, source, action from {_SPENT}",
     "cost_rollup": f"with p as (select source, count(*) as calls, round(count(*) * 0.02::double, 2) as cost from {_SPENT} where action = 'paid' group by 1) select source, calls, cost from p union all select 'total', coalesce(sum(calls), 0)::bigint, round(coalesce(sum(cost), 0.0::double), 2) from p",
-    "pagination_stop": "select event_id, (event_id % 4 > 0 and event_id < 300 and event_id % 9 + 1 < 8) as follow, 'https://listing.example.test/search?search_terms=' || event_type || '&geo_location_terms=San+Jose%2C+' || event_type || case when event_id % 3 + 1 >= 2 then '&page=' || (event_id % 3 + 1) else '' end as url from events where event_id < 400",
+    "pagination_stop": "select event_id, (event_id % 4 > 0 and event_id < 300 and event_id % 9 + 1 < 8) as follow, 'https://listing.example.test/search?search_terms=' || event_type || '&geo_location_terms=San+Jose%2C+' || event_type || case when event_id % 3 + 1 >= 2 then '&page=' || (event_id % 3 + 1) else '' end as url from events",
     "ownership_phrases": f"select k, case k % 10 when 1 then 'likely_corporate' else 'likely_independent' end as value, case k % 10 when 0 then 'family_owned' when 1 then 'dental_support_organization' else 'independent_practice' end as signal from {_SITES} where (lower(text) like '%family owned%' or lower(text) like '%family-owned%' or lower(text) like '%independently owned%' or lower(text) like '%independent practice%' or lower(text) like '%locally owned%') <> (lower(text) like '%dental support organization%' or lower(text) like '%corporate office%' or lower(text) like '%nationwide network%' or lower(text) like '%locations nationwide%')",
     "longevity_years": f"select k, years::bigint as years, signal from {_LONG}",
     "closure_regex": f"select k, regexp_matches(text, '(?i)\\b(?:office|practice|business)\\b.{{0,40}}?\\b(?:officially|permanently)\\s+closed\\b|\\bretired\\b.{{0,120}}?\\b(?:office|practice|business)\\b.{{0,40}}?\\bclosed\\b') as closed from {_SITES}",

@@ -18,11 +18,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import contacts, dedup, delivery, history, linkage, stateful
+from ..operators import contacts, dedup, delivery, enrichment, evidence, history, linkage, stateful
 from ..schema import EXPORTABLE, ORDER
 from ..sources.registry import PolicyError, Registry, default_registry
 
 _NEEDED = object()
+# The providers that phone numbers can be checked with.
+PHONE_PROVIDERS = ("twilio_lookup_basic",)
 
 
 def _text(v, where):
@@ -147,17 +149,17 @@ def parse(data: dict) -> Job:
 
 def _check_together(job: Job, data: dict) -> None:
     if not job["sources"]:
-        raise ValueError("Job sources must include at least one source.")
+        raise ValueError("A job names at least one source.")
     primary, supplemental = job["composition.primary_source"], job["composition.supplemental_sources"]
     if data.get("composition"):
         if not primary or not supplemental:
             raise ValueError("Job composition needs a primary source and supplemental sources.")
         if {primary, *supplemental} - set(job["sources"]):
-            raise ValueError("Job composition sources must be listed in job sources.")
+            raise ValueError("Composition takes only sources that are listed under sources.")
         if primary in supplemental or len(set(supplemental)) != len(supplemental):
-            raise ValueError("Job composition sources must be distinct.")
+            raise ValueError("Composition names a source once.")
         if not job["delivery.include_sidecars"]:
-            raise ValueError("Job composition requires delivery.include_sidecars.")
+            raise ValueError("Composition is reported in sidecars: set delivery.include_sidecars.")
     for source, options in job.options.items():
         if options.get("enrich_details"):
             cap = options.get("max_enrich")
@@ -165,11 +167,33 @@ def _check_together(job: Job, data: dict) -> None:
                 raise ValueError(f"Job source_options.{source}.max_enrich must be a non-negative integer when enrich_details is enabled.")
             if cap and (job["budget.max_total_usd"] <= 0 or not job["budget.approval_reference"]):
                 raise ValueError("Paid enrichment requires budget.max_total_usd and budget.approval_reference.")
+    if job["execution.mode"] == "live_smoke" and job["execution.max_parallel_tasks"] != 1:
+        raise ValueError("A live_smoke job runs one task at a time: execution.max_parallel_tasks is 1.")
+    if job["budget.approval_reference"] and job["budget.max_total_usd"] <= 0:
+        raise ValueError("budget.approval_reference goes with a budget.max_total_usd above 0.")
+    _check_verification(job, (data.get("verification") or {}).get("phone"))
     smoke = (data.get("execution") or {}).get("live_smoke")
     if (job["execution.mode"] == "live_smoke") != bool(smoke):
         raise ValueError("Job execution.live_smoke goes with execution.mode live_smoke.")
 
 
+#: Settings that name where a phone provider's credentials are kept; one of these sets goes with a provider.
+_PHONE_ACCOUNTS = (("credential_service", "api_key_account", "api_secret_account"), ("api_key_service", "api_secret_service"))
+
+
+def _check_verification(job: Job, phone: dict | None) -> None:
+    provider = job["verification.phone.provider"]
+    if not provider:
+        if phone:
+            raise ValueError("verification.phone names its provider.")
+        return
+    if provider not in PHONE_PROVIDERS:
+        raise ValueError(f"Unknown phone provider {provider}.")
+    names = _PHONE_ACCOUNTS[0] if any(n in phone for n in _PHONE_ACCOUNTS[0]) else _PHONE_ACCOUNTS[1]
+    for n in names:
+        _text(phone.get(n), f"verification.phone.{n}")
+
+
 def load(path: str) -> Job:
     import yaml
 
@@ -227,8 +251,10 @@ class Runner:
     so a rerun after a failure reads what is there and only runs the rest.  Results join in task order.
     """
 
-    def __init__(self, spark: SparkSession, root: str, registry: Registry | None = None, as_of: str | None = None, pause=time.sleep):
+    def __init__(self, spark: SparkSession, root: str, registry: Registry | None = None, as_of: str | None = None, pause=time.sleep, details: DataFrame | None = None, pages: DataFrame | None = None, lookups: DataFrame | None = None):
+        """details, pages and lookups are captured answers of place details, web pages and phone providers."""
         self.spark, self.root, self.registry, self.as_of, self.pause = spark, Path(root), registry or default_registry(), as_of, pause
+        self.details, self.pages, self.lookups = details, pages, lookups
 
     def acquire(self, job: Job, run_id: str) -> tuple[DataFrame | None, list[dict]]:
         """Records of all tasks in order, and a row for each task."""
@@ -293,10 +319,17 @@ class Runner:
         return (reduce(DataFrame.unionByName, frames) if frames else None), log
 
     def transform(self, job: Job, rows: DataFrame) -> DataFrame:
-        """validate, normalize, deduplicate, limit, classify: one plan."""
+        """validate, normalize, deduplicate, limit, enrich, verify, classify: one plan."""
         clean = contacts.normalize(contacts.validate(rows))
         kept = dedup.fuzzy_keep_first(clean).where("dedup_decision = 'kept'").drop("dedup_decision") if job["processing.fuzzy_deduplicate"] else dedup.keep_first(clean)
         kept = delivery.first_rows(kept, job["limits.total_records"])
+        caps = {s: job.options[s].get("max_enrich") for s in job["sources"] if job.options.get(s, {}).get("enrich_details")}
+        if caps and self.details is not None:
+            kept = enrichment.with_details(kept, self.details, caps)
+        if job["processing.enrich"] and self.pages is not None:
+            kept = evidence.fill_contacts(kept, evidence.contacts_of_pages(self.pages, ["website"], "n"), "website")
+        if job["verification.phone.provider"] and self.lookups is not None:
+            kept = delivery.merge_verification(kept, enrichment.phone_results(kept, self.lookups))
         clock = F.lit(self.as_of).cast("timestamp") if self.as_of else None
         return delivery.classify(kept, clock, job["delivery.max_age_days"])
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import claims, contacts, dedup, delivery, history, linkage, stateful
-from ..schema import COMPLETENESS, ORDER
-from ..sources import registry
+from ..operators import claims, contacts, dedup, delivery, enrichment, history, linkage, stateful
+from ..operators.graph import ensure_checkpoint_dir
+from ..schema import COMPLETENESS, ORDER, as_records, claim
+from ..sources import readers, registry
 from . import views as v
 
 
@@ -89,7 +92,7 @@ def link_counts(spark, d):
 def link_promote_website(spark, d):
     p, s = _sides(spark, d)
     out = linkage.promote(p, s, linkage.match(p, s))
-    return out.select(F.col(ORDER).alias("k"), "website", F.array_join("discovery_sources", ",").alias("sources"), F.size("field_provenance").alias("n_provenance"))
+    return out.select(F.col(ORDER).alias("k"), "website", F.array_join("discovery_sources", ",").alias("sources"), F.size("field_provenance").alias("n_provenance"), F.col("field_provenance")["website"]["method"].alias("method"))
 
 
 def link_review_page(spark, d):
@@ -97,10 +100,53 @@ def link_review_page(spark, d):
     return page.select("p_ord", "s_ord", "decision", "method")
 
 
+def link_sources_in_order(spark, d):
+    p, s = _sides(spark, d)
+    return linkage.in_order(linkage.match_sources(p, [s, s])).select("src_rank", "p_ord", "s_ord", "decision")
+
+
+def _scratch(spark) -> str:
+    """A new path in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/query-{uuid.uuid4().hex}"
+
+
+def csv_scan(spark, d):
+    """Suppliers written as CSV parts and read back as client records, in input order."""
+    path = _scratch(spark)
+    rows = v.table(spark, d, "supplier").orderBy("s_suppkey").select(F.col("s_name").alias("business_name"), F.concat("s_suppkey", F.lit(" Main, St \\ 1")).alias("address"), F.concat(F.lit("408-555-"), F.lpad(F.col("s_nationkey").cast("string"), 4, "0")).alias("phone"), F.concat(F.lit("say \"hi\", "), F.col("s_name")).alias("category"), F.lit("1,204").alias("reviews"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return readers.read_csv(spark, path).select(F.col(ORDER).alias("k"), "name", "address", "phone", "category", "review_count", "source")
+
+
+def history_store_record(spark, d):
+    """Three runs of customers recorded in a store; the versions of one of them."""
+    store = history.HistoryStore(spark, _scratch(spark), "customers")
+    rows = v.table(spark, d, "customer").select(F.col("c_custkey").alias(ORDER), F.col("c_name").alias("name"), F.concat("c_custkey", F.lit(" Main St")).alias("address"), F.concat(F.lit("4085550"), "c_custkey").alias("phone"), F.col("c_mktsegment").alias("segment"))
+    for day in (1, 2, 3):
+        kept = rows.where((F.col(ORDER) + day) % 5 != 0)
+        records = as_records(kept, {"name": F.col("name"), "address": F.col("address"), "phone": F.col("phone"), "category": F.when((F.col(ORDER) + day) % 7 == 0, "changed").otherwise(F.col("segment")), "record_status": F.lit("accepted")})
+        store.record_run(f"r{day}", f"2026-01-0{day}", records)
+    current = store.current()
+    return current.groupBy("first_seen_run_id", "last_seen_run_id", "versions", "is_present").agg(F.count("*").alias("n"))
+
+
+def enrich_details(spark, d):
+    rows = v.table(spark, d, "customer").select(F.col("c_custkey").alias(ORDER), F.when(F.col("c_custkey") % 3 == 0, F.lit("own.example.test")).otherwise("").alias("website"), F.to_json(F.struct(F.concat(F.lit("g"), F.col("c_custkey") % 50).alias("place_id"))).alias("raw"))
+    records = as_records(rows, {"source": F.lit("google"), "website": F.col("website"), "raw_data": F.col("raw")})
+    details = spark.range(50).select(F.lit("google").alias("source"), F.concat(F.lit("g"), "id").alias("source_id"), F.concat(F.lit("40855501"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("phone"), F.concat(F.lit("site"), "id", F.lit(".example.test")).alias("website"))
+    return enrichment.with_details(records, details, {"google": 10}).select(F.col(ORDER).alias("k"), "phone", "website", "phone_status")
+
+
 def enroll_exact_id_semi_join(spark, d):
-    listed = v.table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_custkey").distinct()
-    customers = v.table(spark, d, "customer")
-    return customers.join(listed, customers.c_custkey == listed.o_custkey, "left").select("c_custkey", F.col("o_custkey").isNotNull().alias("enrolled"))
+    number = lambda c: F.lpad(F.col(c).cast("string"), 10, "0")
+    listed = v.table(spark, d, "orders").where("o_orderstatus = 'F'").select(number("o_custkey").alias("npi"))
+    rows = v.table(spark, d, "customer").select(F.col("c_custkey").alias(ORDER), F.col("c_name").alias("name"), F.create_map(F.lit("npi"), number("c_custkey")).alias("source_ids"))
+    records = as_records(rows, {"name": F.col("name"), "source_ids": F.col("source_ids")})
+    key = claims.ENROLLED
+    made = claim(key, F.lit(True), "boolean", "medi-cal-dental", F.col("source_ids")["npi"], F.lit("https://list.example.test"), F.lit(v.AS_OF).cast("timestamp"))
+    out = linkage.enroll_by_id(records, listed, "npi", made, key, most=1 << 40)
+    return out.select(F.col(ORDER).alias("c_custkey"), F.exists("claims", lambda c: (c["key"] == key) & c["value"]["b"]).alias("enrolled"))
 
 
 def _classified(spark, d):
@@ -268,13 +314,13 @@ e1 as (select p_ord, s_ord, bool_or(i) as by_id, bool_or(t) as by_phone, bool_or
 e2 as (select * exclude (h) from (select *, bool_or(by_id) over (partition by s_ord) as h from e1) where by_id or not h),
 e3 as (select *, count(*) over (partition by p_ord) as dp, count(*) over (partition by s_ord) as ds from e2),
 e4 as (select *, (by_phone and not by_id and not by_website) as op,
- (p_name = s_name and p_name <> '' and p_address = s_address and p_address <> '') as na,
+ (p_name = s_name and p_address = s_address and p_city = s_city and p_state = s_state and p_name <> '' and p_address <> '' and p_city <> '' and p_state <> '') as na,
  (p_name <> '' and s_name <> '' and p_name <> s_name and p_address <> '' and p_city <> '' and p_state <> '' and s_address <> '' and s_city <> '' and s_state <> '' and not (p_address = s_address and p_city = s_city and p_state = s_state)) as cf
  from e3 join p using (p_ord) join s using (s_ord)),
 r1 as (select p_ord, s_ord, case when dp > 1 or ds > 1 then 'ambiguous' when by_id and cf then 'candidate' when op and not na then 'candidate' else 'matched' end as decision,
  case when dp = 1 and ds = 1 and op and na then 'phone,name,address' else concat_ws(',', case when by_id then 'source_id' end, case when by_phone then 'phone' end, case when by_website then 'website' end) end as fields from e4),
 m as (select p_ord, s_ord, decision, fields, 'exact_' || replace(fields, ',', '_and_') || case when decision = 'candidate' then '_candidate' else '' end as method from r1
- union all select p_ord, s_ord, 'candidate', 'name,address,city,state', 'exact_name_address_candidate' from p join s on p_name = s_name and p_address = s_address and p_city = s_city and p_state = s_state
+ union all select p_ord, s_ord, 'candidate', 'name,address', 'exact_name_address_candidate' from p join s on p_name = s_name and p_address = s_address and p_city = s_city and p_state = s_state
  where p_name <> '' and p_address <> '' and p_city <> '' and p_state <> '' and p_ord not in (select p_ord from e2))"""
 
 
@@ -315,8 +361,12 @@ SQL = {
     "link_promote_website": f"""{_M}, safe as (select m.p_ord, m.s_ord, raw_s.website as s_website from m join p using (p_ord) join s using (s_ord) join {_S} raw_s on raw_s._ord = m.s_ord
  where decision = 'matched' and (fields like '%source_id%' or (fields like '%phone%' and p_name = s_name and p_address = s_address and p_city = s_city and p_state = s_state and p_name <> '' and p_address <> '' and p_city <> '' and p_state <> '')))
  select r._ord as k, case when r.website = '' and coalesce(s_website, '') <> '' then s_website else r.website end as website, case when s_ord is not null then 'primary,supp' else '' end as sources,
- (case when r.website = '' and coalesce(s_website, '') <> '' then 1 else 0 end)::int as n_provenance from {_P} r left join safe on r._ord = safe.p_ord""",
+ (case when r.website = '' and coalesce(s_website, '') <> '' then 1 else 0 end)::int as n_provenance, case when r.website = '' and coalesce(s_website, '') <> '' then 'cross_source_exact_match' end as method from {_P} r left join safe on r._ord = safe.p_ord""",
     "link_review_page": f"{_M} select p_ord, s_ord, decision, method from m order by list_position(['matched','candidate','ambiguous'], decision), p_ord, s_ord limit 40 offset 5",
+    "link_sources_in_order": f"{_M} select src_rank, p_ord, s_ord, decision from m, (values (0), (1)) t(src_rank)",
+    "csv_scan": "select row_number() over (order by s_suppkey) - 1 as k, s_name as name, s_suppkey || ' Main, St \\ 1' as address, '408-555-' || lpad(s_nationkey::varchar, 4, '0') as phone, 'say \"hi\", ' || s_name as category, 1204::bigint as review_count, 'csv' as source from supplier",
+    "history_store_record": "with r as (select c_custkey, day from customer, (values (1), (2), (3)) t(day) where (c_custkey + day) % 5 <> 0), s as (select c_custkey, 'r' || min(day) as f, 'r' || max(day) as l, count(*) as v from r group by 1) select f as first_seen_run_id, l as last_seen_run_id, v as versions, l = 'r3' as is_present, count(*) as n from s group by all",
+    "enrich_details": "select c_custkey as k, case when c_custkey % 50 between 0 and 9 then '40855501' || lpad((c_custkey % 50)::varchar, 2, '0') else '' end as phone, case when c_custkey % 3 = 0 then 'own.example.test' when c_custkey % 50 between 0 and 9 then 'site' || (c_custkey % 50) || '.example.test' else '' end as website, case when c_custkey % 50 between 0 and 9 then 'not_checked' else 'not_found' end as phone_status from customer",
     "enroll_exact_id_semi_join": "select c_custkey, c_custkey in (select o_custkey from orders where o_orderstatus = 'F') as enrolled from customer",
     "classify_delivery": f"select _ord as k, name, record_status, reasons from {_CLASS.format(src=_CB)}",
     "status_counts": f"select record_status, count(*) as n from {_CLASS.format(src=_CB)} group by 1",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -17,11 +18,22 @@ LICENSE_REQUIRED = ("license_number", "licensee_name", "license_status", "eviden
 LICENSE_COLUMNS = ("license_number", "licensee_name", "license_type", "license_status", "expiration_date", "address", "city", "state", "zip", "evidence_url", "observed_at")
 
 
-def with_order(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Adds _ord: by given columns, or by position in the files (partition, then row), which only grows along the input."""
-    if by:
-        return df.withColumn(ORDER, F.xxhash64(*by))
-    return df.withColumn(ORDER, F.monotonically_increasing_id())
+def with_order(df: DataFrame) -> DataFrame:
+    """Adds _ord, 0, 1, 2, ...: rows of files by path, then by place in the file.
+
+    Scans pack files by size, so rows are counted per file block first; the counts (a row for each block) give each
+    block its first number.  Rows that come from no file keep the order of their partitions.
+    """
+    nth = F.monotonically_increasing_id().alias("__nth")
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), nth)
+    except AnalysisException:
+        return df.withColumn(ORDER, F.monotonically_increasing_id())
+    blocks = placed.groupBy("__file", "__block").agg(F.min("__nth").alias("__least"), F.count("*").alias("__rows"))
+    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    first = blocks.select(F.col("__file").alias("__f"), F.col("__block").alias("__b"), (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__least")).alias("__first"))
+    out = placed.join(first, (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")))
+    return out.withColumn(ORDER, F.col("__first") + F.col("__nth")).drop("__file", "__block", "__nth", "__f", "__b", "__first")
 
 
 def _text(c: Column) -> Column:
@@ -84,7 +96,7 @@ def license_records(df: DataFrame, source: str = "ca-dental-board", line: Column
     number = (line if line is not None else F.col(ORDER) + 2).cast("string")
     gone = F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(v[c] == "", F.lit(c)) for c in LICENSE_REQUIRED]))), ", ")
     at = tx.to_timestamp(v["observed_at"])
-    wrong = F.when(gone != "", F.concat(F.lit("License evidence row "), number, F.lit(" is missing: "), gone)).when(at.isNull(), F.concat(F.lit("License evidence row "), number, F.lit(" has an invalid observed_at.")))
+    wrong = F.when(gone != "", F.concat(F.lit("License evidence row "), number, F.lit(" is missing: "), gone)).when(at.isNull(), F.concat(F.lit("License evidence row "), number, F.lit(": observed_at is no time.")))
     checked = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("string")).otherwise(v["license_number"])
     made = [claim(f"registry.ca_dental_board.{k}", v[c], "string", source, v["license_number"], v["evidence_url"], at, "manual_board_evidence_import", "official_registry") for k, c in (("license_number", "license_number"), ("license_status", "license_status"), ("license_type", "license_type"), ("expiration_date", "expiration_date"))]
     fields = {
@@ -141,8 +153,8 @@ def contractor_scope(types: list[str], statuses: list[str], city: str, limit: in
     limit = 100 if limit is None else limit
     if not 1 <= limit <= 250:
         raise ValueError("limit must be between 1 and 250.")
-    test = F.col("contractorlicensetypecode").isin(types) & F.upper("contractorlicensestatus").isin(statuses) & (F.upper("city") == city.upper())
-    return test, limit
+    test = F.col("contractorlicensetypecode").isin(types) & F.upper("contractorlicensestatus").isin(statuses)
+    return (test & (F.upper("city") == city.upper()) if city else test), limit
 
 
 def contractor_records(df: DataFrame, observed_at: Column, source: str = "wa-li") -> DataFrame:
@@ -211,13 +223,13 @@ def profile_urls(urls: list[str], limit: int | None = None) -> list[str]:
     import re
 
     if not isinstance(urls, list) or not urls:
-        raise ValueError("profile_urls must be a non-empty list.")
+        raise ValueError("A profile run names its addresses in profile_urls.")
     if len(urls) > 100:
         raise ValueError("At most 100 profile URLs per run.")
     urls = urls[:limit] if limit is not None and limit < len(urls) else urls
     for u in urls:
         if not re.match(r"https://(?i:(www\.)?linkedin\.com)/in/", str(u).strip()):
-            raise ValueError("profile_urls must contain public https://www.linkedin.com/in/... URLs.")
+            raise ValueError(f"No public profile address: {u}")
     return [u.strip() for u in urls]
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import ORDER
 from . import readers
 
 
@@ -88,7 +89,7 @@ class Registry:
 def _json(build):
     def read(spark: SparkSession, options: dict) -> DataFrame:
         rows = readers.with_order(spark.read.json(options["path"], multiLine=True))
-        return build(rows, F.lit(options["captured_at"]).cast("timestamp") if "captured_at" in options else F.current_timestamp())
+        return build(rows, _captured_at(options))
 
     return read
 
@@ -104,6 +105,36 @@ def _snapshot(spark: SparkSession, options: dict) -> DataFrame:
     return read_snapshot(spark, options["path"], options.get("manifest_path"))
 
 
+def _captured_at(options: dict):
+    return F.lit(options["captured_at"]).cast("timestamp") if "captured_at" in options else F.current_timestamp()
+
+
+def _providers(spark: SparkSession, options: dict) -> DataFrame:
+    """Provider entries of the asked place and category; a state is needed, 100 rows unless a limit is given."""
+    city, state, category = (options.get(k) or "" for k in ("city", "state", "category"))
+    if not state:
+        raise ValueError("The provider registry is asked by state.")
+    rows = readers.with_order(spark.read.json(options["path"], multiLine=True))
+    found = readers.nppes_records(rows, _captured_at(options)).where(readers.in_scope(city, state, category))
+    return found.orderBy(ORDER).limit(options.get("limit") or 100)
+
+
+def _codes(options: dict, name: str, default: list[str]) -> list[str]:
+    given = options.get(name, default)
+    given = [given] if isinstance(given, str) else given
+    if not isinstance(given, (list, tuple)) or not given or any(not isinstance(x, str) for x in given):
+        raise ValueError(f"{name} holds one code or several.")
+    return [x.strip().upper() for x in given if x.strip()]
+
+
+def _contractors(spark: SparkSession, options: dict) -> DataFrame:
+    """Contractor rows of the asked types, statuses and city; the scope is applied to the scan, before anything is made of a row."""
+    types, statuses = _codes(options, "license_types", ["CC"]), _codes(options, "license_statuses", ["ACTIVE"])
+    test, limit = readers.contractor_scope(types, statuses, options.get("city") or "", options.get("limit"))
+    rows = readers.with_order(spark.read.json(options["path"], multiLine=True))
+    return readers.contractor_records(rows.where(test).orderBy(ORDER).limit(limit), _captured_at(options))
+
+
 def default_registry() -> Registry:
     r = Registry()
     r.register("csv", "file", CLIENT, lambda s, o: readers.read_csv(s, o["path"]))
@@ -113,8 +144,8 @@ def default_registry() -> Registry:
     r.register("yelp", "api", EXPERIMENTAL, _json(readers.yelp_records))
     r.register("yelp-apify", "apify", EXPERIMENTAL, _text_json)
     r.register("yellowpages", "scraper", SCRAPED, lambda s, o: readers.card_records(readers.with_order(s.read.text(o["path"], wholetext=True).withColumnRenamed("value", "html"))))
-    r.register("nppes", "api", REGISTRY, _json(readers.nppes_records))
-    r.register("wa-li", "api", REGISTRY, _json(readers.contractor_records))
+    r.register("nppes", "api", REGISTRY, _providers)
+    r.register("wa-li", "api", REGISTRY, _contractors)
     r.register("ca-dental-board", "file", REGISTRY, lambda s, o: readers.license_records(readers.read_csv_text(s, o["path"])))
     r.register("overture", "file", LICENSED, _snapshot)
     return r

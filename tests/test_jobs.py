@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from fieldmark.operators import claims, history
+from fieldmark.operators import claims, enrichment, history
 from fieldmark.plans import job as jobs
 from fieldmark.plans.session import Session, list_sessions, page_plugins
 from fieldmark.schema import ORDER, as_records
@@ -27,7 +27,8 @@ def test_plan_and_preflight():
 @pytest.mark.parametrize(
     "change,message",
     [
-        ({"version": 2}, "version"), ({"name": ""}, "name"), ({"sources": []}, "at least one"), ({"output": {"fields": ["raw_data"]}}, "unknown fields"), ({"limit": 1, "limits": {"total_records": 2}}, "both"),
+        ({"execution": {"mode": "live_smoke", "max_parallel_tasks": 2, "live_smoke": {"max_tasks": 1}}}, "one task"), ({"budget": {"approval_reference": "A-1"}}, "above 0"), ({"verification": {"phone": {"provider": "other"}}}, "provider"),
+        ({"verification": {"phone": {"provider": "twilio_lookup_basic"}}}, "api_key_service"), ({"version": 2}, "version"), ({"name": ""}, "name"), ({"sources": []}, "at least one"), ({"output": {"fields": ["raw_data"]}}, "unknown fields"), ({"limit": 1, "limits": {"total_records": 2}}, "both"),
         ({"execution": {"max_parallel_tasks": 9}}, "at most 8"), ({"execution": {"mode": "live_smoke"}}, "live_smoke"), ({"composition": {"primary_source": "csv", "supplemental_sources": ["nppes"]}}, "listed"),
         ({"source_options": {"google": {"enrich_details": True, "max_enrich": 3}}}, "budget"), ({"output": {"format": "xml", "fields": ["name"]}}, "one of"),
     ],
@@ -63,6 +64,23 @@ def test_run_end_to_end_and_resume(spark, tmp_path):
         runner.run(jobs.parse(spec | {"sources": ["google"]}))
 
 
+def test_enrichment_and_verification_stages(spark, tmp_path):
+    details = spark.createDataFrame([("google", "g0", "408-555-0100", "a.test"), ("google", "g1", "408-555-0101", "b.test")], "source string, source_id string, phone string, website string")
+    raw = [(0, "A", "google", '{"place_id": "g0"}', ""), (1, "B", "google", '{"place_id": "g0"}', "own.test"), (2, "C", "google", '{"place_id": "g1"}', ""), (3, "D", "csv", "{}", "")]
+    rows = as_records(spark.createDataFrame(raw, f"{ORDER} long, name string, source string, raw_data string, website string"), {c: F.col(c) for c in ("name", "source", "raw_data", "website")})
+    out = [(r["name"], r["phone"], r["website"]) for r in enrichment.with_details(rows, details, {"google": 1}).orderBy(ORDER).collect()]
+    assert out == [("A", "408-555-0100", "a.test"), ("B", "408-555-0100", "own.test"), ("C", "", ""), ("D", "", "")]
+    source = tmp_path / "in.csv"
+    write_csv(source)
+    pages = spark.createDataFrame([("s0.example.test", 0, "https://s0.example.test/", "<a href='mailto:x@s0.example.test'>m</a>")], "website string, n int, url string, html string")
+    lookups = spark.createDataFrame([("303-555-0101", "verified")], "phone string, result string")
+    spec = BASE | {"processing": {"enrich": True}, "verification": {"phone": {"provider": "twilio_lookup_basic", "api_key_service": "k", "api_secret_service": "s"}}, "source_options": {"csv": {"path": str(source)}}, "search": {"query": "x", "states": ["CO"]}}
+    runner = jobs.Runner(spark, str(tmp_path / "root"), pages=pages, lookups=lookups)
+    job = jobs.parse(spec)
+    kept = {r["name"]: r for r in runner.transform(job, runner.acquire(job, "r")[0]).collect()}
+    assert kept["Shop 0"]["email"] == "x@s0.example.test" and kept["Shop 1"]["phone_status"] == "verified" and kept["Shop 2"]["email"] == ""
+
+
 def test_caps_stop_later_tasks(spark, tmp_path):
     source = tmp_path / "in.csv"
     write_csv(source)

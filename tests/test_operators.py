@@ -103,6 +103,7 @@ BASE = {"name": "Acme Co.", "address": "1 Main St", "city": "X", "state": "CA",
 
 def test_linkage_decisions(spark):
     assert linked(spark, [BASE], [BASE | {"name": "acme co"}]) == [(0, 0, "matched", "exact_phone_and_name_and_address")]
+    assert linked(spark, [BASE], [BASE | {"city": "Y"}]) == [(0, 0, "candidate", "exact_phone_candidate")]
     assert linked(spark, [BASE], [BASE | {"name": "Other"}]) == [(0, 0, "candidate", "exact_phone_candidate")]
     assert linked(spark, [BASE | {"phone": ""}], [BASE | {"phone": ""}]) == [(0, 0, "candidate", "exact_name_address_candidate")]
     assert [x[2] for x in linked(spark, [BASE, BASE], [BASE])] == ["ambiguous", "ambiguous"]
@@ -121,6 +122,8 @@ def test_promotion_fills_only_blanks(spark):
     s = records(spark, [BASE | {"source": "manual_first_party_review", "website": "new.test", "email": "e@x.test", "source_url": "u"}, BASE | {"phone": "408-555-0199", "website": "other.test", "source": "manual_first_party_review"}])
     out = linkage.promote(p, s, linkage.match(p, s)).orderBy(ORDER).collect()
     assert (out[0]["website"], out[0]["email"], out[0]["email_status"]) == ("new.test", "e@x.test", "not_checked") and out[1]["website"] == "own.test"
+    made = out[0]["field_provenance"]["website"]
+    assert (made["method"], made["evidence_url"], made["source"]) == ("cross_source_exact_match", "u", "manual_first_party_review")
     assert out[0]["discovery_sources"] == ["a", "manual_first_party_review"] and set(out[0]["field_provenance"]) == {"website", "email"}
 
 
@@ -145,6 +148,62 @@ def test_history_store(spark, tmp_path):
         store.record_run("r3", t(4), records(spark, [row("a")]))
 
 
+def test_history_retry_after_a_crash(spark, tmp_path, monkeypatch):
+    store = history.HistoryStore(spark, str(tmp_path), "job")
+    rows = records(spark, [{"name": "a", "address": "1", "phone": "1", "record_status": "accepted"}])
+    at = datetime.datetime(2026, 1, 1)
+    real = history.diff
+    store.record_run("r1", at, rows)
+    monkeypatch.setattr(history, "diff", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        store.record_run("r2", at, rows)
+    assert [r.run_id for r in store.runs().collect()] == ["r1"]
+    monkeypatch.setattr(history, "diff", real)
+    assert [r.change for r in store.record_run("r2", at, rows).collect()] == ["unchanged"]
+    assert store.record_versions(store.current().first()["record_id"]).count() == 2 and store.record(store.current().first()["record_id"]).count() == 1
+
+
+def test_files_are_read_in_order_of_name(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    n = 0
+    # the scan packs larger files first
+    for name, size in (("f0.csv", 2), ("f1.csv", 400), ("f2.csv", 30)):
+        lines = ["name"]
+        for _ in range(size):
+            lines.append(f"shop {n}")
+            n += 1
+        (folder / name).write_text("\n".join(lines) + "\n")
+    out = readers.read_csv(spark, str(folder)).orderBy(ORDER).select("name", ORDER).collect()
+    assert [r["name"] for r in out] == [f"shop {k}" for k in range(n)] and [r[ORDER] for r in out] == list(range(n))
+
+
+def test_registry_sources_keep_to_their_scope(spark, tmp_path):
+    from fieldmark.sources.registry import default_registry
+
+    entry = lambda k, city: {"number": f"100000000{k}", "basic": {"organization_name": f"Org {k}"}, "addresses": [{"address_purpose": "LOCATION", "address_1": "1 A", "city": city, "state": "CA", "telephone_number": "4085550100", "postal_code": "9", "country_name": "US"}], "taxonomies": [{"primary": True, "desc": "Dentist", "license": "1", "state": "CA"}]}
+    (tmp_path / "p.json").write_text(json.dumps([entry(1, "SAN JOSE"), entry(2, "FRESNO"), entry(3, "San Jose")]))
+    r = default_registry()
+    got = r.read(spark, "nppes", {"path": str(tmp_path / "p.json"), "city": "San Jose", "state": "CA"})
+    assert [x["name"] for x in got.orderBy(ORDER).collect()] == ["Org 1", "Org 3"]
+    assert r.read(spark, "nppes", {"path": str(tmp_path / "p.json"), "state": "CA", "limit": 1}).count() == 1
+    with pytest.raises(ValueError):
+        r.read(spark, "nppes", {"path": str(tmp_path / "p.json"), "city": "San Jose"})
+    row = lambda k, city, kind="CC", status="ACTIVE": {"businessname": f"B {k}", "contractorlicensenumber": f"L{k}", "contractorlicensetypecode": kind, "contractorlicensestatus": status, "address1": "1 A", "city": city, "state": "WA"}
+    (tmp_path / "c.json").write_text(json.dumps([row(1, "SEATTLE"), row(2, "TACOMA"), row(3, "Seattle", "EL"), row(4, "seattle"), row(5, "SEATTLE", status="EXPIRED")]))
+    got = r.read(spark, "wa-li", {"path": str(tmp_path / "c.json"), "city": "Seattle"})
+    assert [x["name"] for x in got.orderBy(ORDER).collect()] == ["B 1", "B 4"]
+
+
+def test_normal_form_of_every_text(spark):
+    import unicodedata
+
+    texts = ["plain  text", "\ufb01ne", "\u2460 x", "\uff21\uff22", "e\u0301", "", "  a\u00a0b  "]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r[0] for r in df.orderBy("k").select(tx.normalize_text(F.col("t"))).collect()]
+    assert got == [" ".join(unicodedata.normalize("NFKC", t).split()) for t in texts]
+
+
 def test_claims(spark):
     rows = records(spark, [{"name": "a"}, {"name": "b"}])
     at = F.lit("2026-01-01").cast("timestamp")
