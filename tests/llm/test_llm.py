@@ -173,7 +173,7 @@ def test_packing(spark, docs, edge, which):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    rows = [r[:2] for r in docs] if which == "docs" else [(i, t) for i, t, *_ in EDGE if i != 10] + [(14, "It's <|endoftext|> ok,don't X́ ÀÉ É 'RE")]
+    rows = [r[:2] for r in docs] if which == "docs" else [(i, t) for i, t, *_ in EDGE] + [(14, "It's <|endoftext|> ok,don't X́ ÀÉ É 'RE")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = packing.pack(df, path).collect()
     tokenizer = Tokenizer.from_file(path)
@@ -541,12 +541,39 @@ def test_pipeline_stages(spark, edge, empty):
     for name, stage in p.STAGES[:-1]:
         assert stage(spark, edge, SF).columns == edge.columns, name
         assert stage(spark, empty, SF).count() == 0, name
+    # columns that clash with the names stages use
+    assert p.pack_sequences(spark, edge, SF).where("start = 0").count() == len(EDGE) and p.pack_sequences(spark, empty, SF).count() == 0
     kept = {r.doc_id for r in p.drop_near_copies(spark, edge, SF).collect()}
     assert 5 in kept and 6 not in kept and 8 not in kept and None in kept and 1 in kept
     told = p.detect_language(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
     assert told.count() >= 0.99 * spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
+def test_pipeline_run_is_its_stages(spark, docs, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    out = p.run(spark, str(tmp_path)).collect()
+    # the same chain by plain versions, document by document
+    told = {r.doc_id: r for r in language_id.annotate(frame(spark, docs), language_id.fit(frame(spark, docs)), "pred", "told").collect()}
+    kept = [(i, t) for i, t, _, _ in docs if told[i].pred != "und" and told[i].told >= p.MIN_SCORE]
+    least = {i: c for i, _, c in brute_components(kept)}
+    lone = [(i, t, told[i].pred, source) for i, t, _, source in docs if i in least and least[i] == i]
+    masked = secret_scan.redact(frame(spark, lone), secret_scan.train(words=path))
+    copies = {r.doc_id: r.copies for r in mixing.sample(masked).collect()}
+    tokenizer = Tokenizer.from_file(path)
+    want = {r.doc_id: (copies[r.doc_id], len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in masked.collect() if copies[r.doc_id]}
+    got = {}
+    for r in out:
+        got.setdefault(r.doc_id, []).append(r)
+    assert {i: (sum(r.start == 0 for r in rows), rows[0].doc_tokens) for i, rows in got.items()} == want
+    assert all(sum(r.length for r in rows) == want[i][0] * want[i][1] for i, rows in got.items())
+
+
 def test_pipeline_keeps_one_row_of_repeated_ids(spark):
     import corpus_pipeline as p
 
