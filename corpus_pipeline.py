@@ -68,7 +68,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_scan.redact(docs, secret_scan.train())
+    import public_tokenizers
+
+    return secret_scan.redact(docs, secret_scan.train(words=public_tokenizers.path("word_bpe_49k.json")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
