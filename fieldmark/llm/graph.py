@@ -18,11 +18,10 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """edges (x, y), x > y, one row each."""
     both = edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))) if larger else edges
     least = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("v"), F.least("x", "m").alias("m"))
-    joined = both.join(least, F.col("x") == F.col("v"))
+    near = both.where("y > x") if larger else both
     # the vertex itself hangs on its minimum, and so do its larger (or smaller) neighbours
-    hung = joined.select(F.explode(F.array(F.struct(F.col("y").alias("x"), F.col("m").alias("y")), F.struct(F.col("x").alias("x"), F.col("m").alias("y")))).alias("e"), "x", "y")
-    keep = (F.col("e.x") == F.col("x")) | ((F.col("y") > F.col("x")) if larger else F.lit(True))
-    return hung.where(keep).select("e.x", "e.y").where("x <> y").distinct()
+    hung = near.join(least, F.col("x") == F.col("v")).select(F.col("y").alias("x"), F.col("m").alias("y"))
+    return hung.union(least.select("v", "m")).where("x <> y").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ LANGUAGES = 200
 KEEP = 20_000
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
-_REMEMBERED = 300_000
+_REMEMBERED = 200_000
 
 
 def letters_of(token: str) -> list[str]:

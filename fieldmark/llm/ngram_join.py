@@ -37,20 +37,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .words import Shelf, Words, mix, planes, release, slices, total_bytes, unplanes
+from .words import Shelf, Words, forget, mix, planes, release, slices, total_bytes, unplanes
 
 #: Compacted counts that one task holds while it looks for frequent shingles.
-_COUNTS = 1 << 19
+_COUNTS = 1 << 18
 #: Text whose leading columns make one block of the product: what one task holds, whatever the table's size.
-_BLOCK_TEXT = 16 << 20
+_BLOCK_TEXT = 8 << 20
 #: Entries that a task gathers before it sends its column blocks: more where there are many blocks, up to a bound.
 _ENTRIES, _MOST_ENTRIES = 1 << 18, 1 << 23
 #: Bits of the filter that keeps most rows no pair names from being sent: 16 an id, up to 16 MB.  Rows are joined by id after it.
 _FILTER_BITS = 1 << 27
 #: Parts that the entries of a frequent column are dealt to, and pairs that a hot column's task forms in the last round.
 _SALTS, _HOT_PAIRS = 32, 1 << 20
+#: Rows that make a column hot in the last round.
+_HOT = 1024
 #: Rows compared with one row at a time, rows of one block of pairs, and text decoded at a time there.
-_ROWS, _BUNDLE, _DECODED = 256, 512, 4 << 20
+_ROWS, _BUNDLE, _DECODED = 256, 512, 2 << 20
+#: Texts that a task knows again.
+_SEEN = 50_000
 
 #: Documents that make a shingle frequent, and how many such shingles are put last in the order.
 OFTEN, ORDERED = 16, 1 << 20
@@ -77,6 +81,7 @@ def _facts(width: int):
     """Per document its number of shingles and the hash of its word sequence; per task the counts of shingles it met again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for piece in slices(batch):
@@ -116,6 +121,7 @@ def _leading(width: int, num: int, den: int, frequent, blocks: int):
     most = min(_MOST_ENTRIES, max(_ENTRIES, 64 * blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         often, seen = frequent.value, set()
         waiting: list[tuple] = []
         held = 0
@@ -143,7 +149,7 @@ def _leading(width: int, num: int, den: int, frequent, blocks: int):
                     key = (int(one[d]), int(two[d]))
                     fresh[d] = key not in seen
                     seen.add(key)
-                if len(seen) > 200_000:
+                if len(seen) > _SEEN:
                     seen.clear()
                 flag = np.zeros(len(h), dtype=bool)
                 if len(often) and len(h):
@@ -255,7 +261,7 @@ def _named_rows(docs: DataFrame, needed, bits: int) -> DataFrame:
     def run(batches):
         import zstandard
 
-        own, packer, seen = needed.value, zstandard.ZstdCompressor(level=1), set()
+        own, packer, seen = needed.value, zstandard.ZstdCompressor(level=3), set()
         for batch in batches:
             known = ~np.asarray(batch.column("doc_id").is_null())
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
@@ -266,7 +272,7 @@ def _named_rows(docs: DataFrame, needed, bits: int) -> DataFrame:
                 # a row that comes again in a task says nothing new
                 rows = [(i, t) for i, t in rows if (i, hash(t)) not in seen]
                 seen.update((i, hash(t)) for i, t in rows)
-                if len(seen) > 200_000:
+                if len(seen) > _SEEN:
                     seen.clear()
                 yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in rows], pa.int64()), "size": pa.array([len(t) for _, t in rows], pa.int64()), "row": pa.array([packer.compress(t) for _, t in rows], pa.binary())})
 
@@ -381,21 +387,27 @@ def _by_class(pairs: DataFrame, same: DataFrame) -> DataFrame:
     return told.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
 
 
-def _labels(shelf: Shelf, links: DataFrame, same: DataFrame) -> DataFrame:
-    """(id, class, component) of every document that is not its own component or has a link."""
-    found = components(links)
+def _labels(shelf: Shelf, links: DataFrame, same: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, class, component) of every document that is not its own component or has a link; and links that say the same, one a document."""
+    found = shelf.put(components(links))
     told = same.join(found.toDF("class", "component"), "class", "left").select("id", "class", F.coalesce("component", "class").alias("component"))
-    return shelf.put(told.unionByName(found.select("id", F.col("id").alias("class"), "component")).groupBy("id").agg(F.min("class").alias("class"), F.min("component").alias("component")))
+    label = shelf.put(told.unionByName(found.select("id", F.col("id").alias("class"), "component")).groupBy("id").agg(F.min("class").alias("class"), F.min("component").alias("component")))
+    short = shelf.put(found.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))
+    shelf.drop(found, links)
+    return label, short
 
 
-def _mixed(entries: DataFrame, label: DataFrame) -> DataFrame:
-    """(h, id, n, pos, label, main): entries, by class, of the columns that hold several components, with each column's largest."""
-    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np")
-    named = entries.select("h", "id", packed).join(label, "id", "left").select("h", F.coalesce("class", "id").alias("id"), "np", F.coalesce("component", "id").alias("label"))
+def _named(entries: DataFrame, label: DataFrame) -> DataFrame:
+    """(h, id, n, pos, label): entries by class, with their components."""
+    return entries.select("h", "id", "n", "pos").join(label, "id", "left").select("h", F.coalesce("class", "id").alias("id"), "n", "pos", F.coalesce("component", "id").alias("label"))
+
+
+def _mixed(named: DataFrame) -> DataFrame:
+    """(h, id, n, pos, label, main): entries of the columns that hold several components, with each column's largest."""
     several = named.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
     named = named.join(several, "h")
     main = named.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    return named.join(main, "h").select("h", "id", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), "label", "main")
+    return named.join(main, "h")
 
 
 def _near(j: int, num: int, den: int):
@@ -438,16 +450,32 @@ def _tries(met: DataFrame, label: DataFrame, tested: DataFrame) -> DataFrame:
     return open_.withColumn("nth", nth).where(F.col("nth") <= _TRIES).select("a", "b")
 
 
+def _largest(h: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """For each row the label that most rows of its column h have."""
+    order = np.lexsort((label, h))
+    hs, ls = h[order], label[order]
+    run = np.flatnonzero(np.concatenate([[True], (hs[1:] != hs[:-1]) | (ls[1:] != ls[:-1])]))
+    count = np.diff(np.append(run, len(hs)))
+    by = np.lexsort((ls[run], count, hs[run]))
+    last = np.concatenate([hs[run][by][1:] != hs[run][by][:-1], [True]])
+    return ls[run][by][last][np.searchsorted(hs[run][by][last], h)]
+
+
 def _product(num: int, den: int):
     """Of one block of columns, the distinct pairs of different components that a column can be the first shared one of."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        h, ids, n, pos, label, main, asks = (table.column(c).to_numpy() for c in ("h", "id", "n", "pos", "label", "main", "asks"))
+        h, ids, n, pos, label = (table.column(c).to_numpy() for c in ("h", "id", "n", "pos", "label"))
         # equal texts of several tasks are one row
         order = np.lexsort((ids, h))
         again = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (ids[order][1:] == ids[order][:-1])])
         order = order[~again]
-        h, ids, n, pos, label, main, asks = h[order], ids[order], n[order].astype(np.int64), pos[order], label[order], main[order], asks[order]
+        h, ids, n, pos, label = h[order], ids[order], n[order].astype(np.int64), pos[order], label[order]
+        if "main" in table.column_names:
+            main, asks = table.column("main").to_numpy()[order], table.column("asks").to_numpy(zero_copy_only=False)[order]
+        else:
+            main = _largest(h, label)
+            asks = label != main
         start = np.concatenate([[True], h[1:] != h[:-1]])
         at = np.flatnonzero(start)
         column = np.cumsum(start) - 1
@@ -476,7 +504,7 @@ def _product(num: int, den: int):
     return run
 
 
-def _last_round(entries: DataFrame, mixed: DataFrame, label: DataFrame, tested: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
+def _last_round(entries: DataFrame, label: DataFrame, tested: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
     """Whatever is left between different components.
 
     Columns that can be the first shared one of two rows name the pairs: rows whose every shared column
@@ -488,19 +516,23 @@ def _last_round(entries: DataFrame, mixed: DataFrame, label: DataFrame, tested:
     two = two.join(a, "x", "left").join(b, "y", "left").where(F.coalesce("la", "x") != F.coalesce("lb", "y")).select(F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b"), "nx", "ny", "c", "first")
     turned = F.col("a") > F.col("b")
     two = two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("ny")).otherwise(F.col("nx")).alias("na"), F.when(turned, F.col("nx")).otherwise(F.col("ny")).alias("nb"), "c", "first")
-    sizes = mixed.groupBy("h").agg(F.count("*").alias("size"), F.sum((F.col("label") != F.col("main")).cast("long")).alias("out"))
-    parts = sizes.where(F.col("size") * F.col("out") > _HOT_PAIRS).select("h", F.ceil(F.col("size") * F.col("out") / _HOT_PAIRS).alias("parts"))
-    split = mixed.join(parts, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    dealt = split.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    asks = (F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("id"), F.col("parts")) == F.col("part"))
     # leading columns of long rows stand in the lowest quarter, which has as many ranges as the rest; a pair is named once a range
     ranges, place = max(4, blocks // 4), F.shiftrightunsigned("h", 32)
     low = F.shiftright(place * F.lit(4 * ranges), 32)
     block = F.when(low < ranges, low).otherwise(ranges + F.shiftright((place - (1 << 30)) * F.lit(ranges), 32))
+    hot = F.col("salted") | (F.col("k") > _HOT)
+    made = "a long, b long, na long, nb long"
+    cold = _named(entries.where((F.col("k") > 2) & ~hot), label).withColumn("block", block).groupBy("block").applyInArrow(_product(num, den), made)
+
+    mixed = _mixed(_named(entries.where((F.col("k") > 2) & hot | F.col("salted")), label))
+    sizes = mixed.groupBy("h").agg(F.count("*").alias("size"), F.sum((F.col("label") != F.col("main")).cast("long")).alias("out"))
+    parts = sizes.select("h", F.greatest(F.lit(1), F.ceil(F.col("size") * F.col("out") / _HOT_PAIRS)).alias("parts"))
+    dealt = mixed.join(parts, "h").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    asks = (F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("id"), F.col("parts")) == F.col("part"))
     # a column in parts has groups of its own
     own = F.when(F.col("parts") > 1, F.col("h")).otherwise(F.lit(0).cast("long"))
-    named = dealt.select("h", "id", "n", "pos", "label", "main", asks.alias("asks"), block.alias("block"), own.alias("own"), "part")
-    more = named.groupBy("block", "own", "part").applyInArrow(_product(num, den), "a long, b long, na long, nb long")
+    dealt = dealt.select("h", "id", "n", "pos", "label", "main", asks.alias("asks"), block.alias("block"), own.alias("own"), "part")
+    more = cold.union(dealt.groupBy("block", "own", "part").applyInArrow(_product(num, den), made))
     named = two.union(more.select("*", F.lit(0).cast("long").alias("c"), F.lit(True).alias("first"))).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"), F.bool_or("first").alias("first"))
     return named.where("first").drop("first").join(tested, ["a", "b"], "left_anti")
 
@@ -513,9 +545,9 @@ def _open(pairs: DataFrame, entries: DataFrame, same: DataFrame, num: int, den:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # a class may be sent by other documents than its smallest
     own = ids.join(same.toDF("other", "id"), "id").select(F.col("other").alias("id"), F.col("id").alias("class")).union(ids.select("id", "id"))
-    columns = entries.where((F.col("k") > 2) | F.col("salted")).select("id", "h").join(own, "id").groupBy(F.col("class").alias("id")).agg(F.collect_set("h").alias("columns"))
-    both = F.coalesce(F.size(F.array_intersect("la", "lb")), F.lit(0))
-    counted = pairs.join(columns.toDF("a", "la"), "a", "left").join(columns.toDF("b", "lb"), "b", "left").withColumn("c", F.col("c") + F.greatest(both, F.lit(0)))
+    held = entries.where((F.col("k") > 2) | F.col("salted")).select("id", "h").join(own, "id").groupBy(F.col("class").alias("id")).agg(F.collect_set("h").alias("columns"))
+    columns = ids.join(held, "id", "left").select("id", F.coalesce("columns", F.array().cast("array<long>")).alias("columns"))
+    counted = pairs.join(columns.toDF("a", "la"), "a").join(columns.toDF("b", "lb"), "b").withColumn("c", F.col("c") + F.size(F.array_intersect("la", "lb")))
     return counted.where(_rest("c", "na", "nb", num, den)).select("a", "b")
 
 
@@ -533,9 +565,9 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     same, links = shelf.put(same), shelf.put(several.distinct())
     release(spark)
 
-    def compared(pairs: DataFrame, links: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
-        """Links and pairs tested, with those of pairs; how many were linked and asked for."""
-        asked = shelf.put(_by_class(pairs, same).join(tested, ["a", "b"], "left_anti"))
+    def compared(pairs: DataFrame, links: DataFrame, tested: DataFrame, fresh: bool = False) -> tuple[DataFrame, DataFrame, int, int]:
+        """Links and pairs tested, with those of pairs (fresh: by class and not tested); how many were linked and asked for."""
+        asked = shelf.put(pairs if fresh else _by_class(pairs, same).join(tested, ["a", "b"], "left_anti"))
         found = shelf.put(_links(docs, asked, width, num, den))
         out, done = shelf.put(links.union(found)), shelf.put(tested.union(asked))
         told = out, done, found.count(), asked.count()
@@ -546,21 +578,18 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     links, tested, _, _ = compared(_first_round(entries, num, den), links, shelf.put(links))
     met = shelf.put(_met(entries, num, den))
     for _ in range(_ROUNDS):
-        label = _labels(shelf, links, same)
+        label, links = _labels(shelf, links, same)
         links, tested, new, asked = compared(_tries(met, label, tested), links, tested)
         shelf.drop(label)
         if new <= _WORTH * asked:
             break
     shelf.drop(met)
-    label = _labels(shelf, links, same)
-    mixed = shelf.put(_mixed(entries.where((F.col("k") > 2) | F.col("salted")), label))
-    release(spark)
-    pairs = shelf.put(_last_round(entries, mixed, label, tested, blocks, num, den))
-    shelf.drop(mixed)
+    label, links = _labels(shelf, links, same)
+    pairs = shelf.put(_last_round(entries, label, tested, blocks, num, den))
     release(spark)
-    links, tested, _, _ = compared(_open(pairs, entries, same, num, den), links, tested)
+    links, tested, _, _ = compared(_open(pairs, entries, same, num, den), links, tested, True)
     shelf.drop(entries, label, pairs, tested)
-    label = _labels(shelf, links, same)
+    label, _ = _labels(shelf, links, same)
     out = rows.join(label.select("id", "component"), (F.col("doc_id") == F.col("id")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

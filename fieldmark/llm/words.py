@@ -220,6 +220,12 @@ def remembered(key, make):
     return _REMEMBERED[key]
 
 
+def forget() -> None:
+    """Gives up what other operators have left in this worker: workers outlive the stages that they serve."""
+    _REMEMBERED.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def release(spark) -> None:
     """Lets Spark's cleaner drop shuffle and checkpoint files that nothing refers to any more, before the next step writes its own."""
     import gc
