@@ -48,11 +48,11 @@ _ENTRIES, _MOST_ENTRIES = 1 << 18, 1 << 23
 #: Bits of the filter that keeps most rows no pair names from being sent: 16 an id, up to 16 MB.  Rows are joined by id after it.
 _FILTER_BITS = 1 << 27
 #: Parts that the entries of a frequent column are dealt to, and pairs that a hot column's task forms in the last round.
-_SALTS, _HOT_PAIRS = 32, 1 << 20
+_SALTS, _HOT_PAIRS = 32, 1 << 18
 #: Rows that make a column hot in the last round.
 _HOT = 1024
 #: Rows compared with one row at a time, rows of one block of pairs, and text decoded at a time there.
-_ROWS, _BUNDLE, _DECODED = 256, 512, 2 << 20
+_ROWS, _BUNDLE, _DECODED = 256, 256, 1 << 20
 #: Texts that a task knows again.
 _SEEN = 50_000
 
