@@ -47,10 +47,10 @@ _BLOCK_TEXT = 8 << 20
 _ENTRIES, _MOST_ENTRIES = 1 << 18, 1 << 23
 #: Bits of the filter that keeps most rows no pair names from being sent: 16 an id, up to 16 MB.  Rows are joined by id after it.
 _FILTER_BITS = 1 << 27
-#: Parts that the entries of a frequent column are dealt to, and pairs that a hot column's task forms in the last round.
+#: Parts that the entries of a frequent column are dealt to, and pairs that a task forms at a time in the last round.
 _SALTS, _HOT_PAIRS = 32, 1 << 18
-#: Rows that make a column hot in the last round.
-_HOT = 1024
+#: Rows that make a column hot in the last round, and pairs beyond which it is dealt to parts.
+_HOT, _SPLIT = 1024, 1 << 22
 #: Rows compared with one row at a time, rows of one block of pairs, and text decoded at a time there.
 _ROWS, _BUNDLE, _DECODED = 256, 256, 1 << 20
 #: Texts that a task knows again.
@@ -526,7 +526,7 @@ def _last_round(entries: DataFrame, label: DataFrame, tested: DataFrame, blocks:
 
     mixed = _mixed(_named(entries.where((F.col("k") > 2) & hot | F.col("salted")), label))
     sizes = mixed.groupBy("h").agg(F.count("*").alias("size"), F.sum((F.col("label") != F.col("main")).cast("long")).alias("out"))
-    parts = sizes.select("h", F.greatest(F.lit(1), F.ceil(F.col("size") * F.col("out") / _HOT_PAIRS)).alias("parts"))
+    parts = sizes.select("h", F.greatest(F.lit(1), F.ceil(F.col("size") * F.col("out") / _SPLIT)).alias("parts"))
     dealt = mixed.join(parts, "h").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     asks = (F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("id"), F.col("parts")) == F.col("part"))
     # a column in parts has groups of its own
