@@ -18,6 +18,10 @@ Frequent columns are found in a pass over all documents: each task keeps counts
 the 2**20 most frequent of those with a count of `OFTEN` or more are broadcast, 8 MB at most.  The list only orders
 columns: any order gives the same result.
 
+The entries that travel hold only the leading bits of their column's hash, as many as the size of the table needs for few
+columns to fall together (`_SPARE`).  Columns that do only name pairs too many, which the completed product, over whole hashes, drops;
+where two columns of one row do, its overlap is counted too small by one, and the bound allows for that.
+
 Tables between rounds are Parquet in the shared folder, and go when the next is written.
 
 Defined results.  Null and blank texts have no shingle, link with nothing and are their own
@@ -53,6 +57,8 @@ _SALTS, _HOT_PAIRS = 32, 1 << 18
 _HOT, _SPLIT = 1024, 1 << 22
 #: Rows compared with one row at a time, rows of one block of pairs, and text decoded at a time there.
 _ROWS, _BUNDLE, _DECODED = 256, 256, 1 << 20
+#: Bits of a column's hash in the entries beyond those that number all leading columns.
+_SPARE = 16
 #: Texts that a task knows again.
 _SEEN = 50_000
 
@@ -116,9 +122,14 @@ def _prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.where(n > 0, n - (num * n + den - 1) // den + 1, 0)
 
 
-def _leading(width: int, num: int, den: int, frequent, blocks: int):
+def _kept_bits(size: int) -> int:
+    """Leading bits of a hash that entries of `size` bytes of text hold: a leading column takes 16 bytes of it or more, but for short texts."""
+    return min(64, (size >> 4).bit_length() + _SPARE)
+
+
+def _leading(width: int, num: int, den: int, frequent, blocks: int, bits: int):
     """Column blocks of the leading columns; of equal word sequences that a task meets only the first is sent."""
-    most = min(_MOST_ENTRIES, max(_ENTRIES, 64 * blocks))
+    most, cut = min(_MOST_ENTRIES, max(_ENTRIES, 64 * blocks)), np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -161,7 +172,7 @@ def _leading(width: int, num: int, den: int, frequent, blocks: int):
                 pos = np.arange(len(h)) - first[doc]
                 lead = pos < _prefix_length(n, num, den)[doc]
                 lead &= fresh[doc]
-                doc, h, flag, pos = doc[lead], h[lead], flag[lead], pos[lead]
+                doc, h, flag, pos = doc[lead], h[lead] >> cut << cut, flag[lead], pos[lead]
                 salt = np.where(flag, (mix(ids[doc].astype(np.uint64)) % np.uint64(_SALTS)).astype(np.int64) + 1, 0)
                 # leading columns stand low, so their blocks go by another hash
                 block = (mix(h) >> np.uint64(32)).astype(np.int64) * blocks >> 32
@@ -176,11 +187,14 @@ def _leading(width: int, num: int, den: int, frequent, blocks: int):
     return run
 
 
-_ENTRY = "h long, salted boolean, k int, id long, n int, pos int, " + ", ".join(f"p{j} long, n{j} int" for j in range(_PIVOTS))
+_ENTRY = "h long, salted boolean, again boolean, k int, id long, n int, pos int, " + ", ".join(f"p{j} long, n{j} int" for j in range(_PIVOTS))
 
 
 def _shared_columns(key: tuple, table: pa.Table) -> pa.Table:
-    """Entries of the columns that two documents or more hold, with pivots: each column's smallest document and some others of it."""
+    """Entries of the columns that two documents or more hold, with pivots: each column's smallest document and some others of it.
+
+    An entry of a row that has the column at an earlier place is marked `again`.
+    """
     got = [unplanes(b.as_py(), n.as_py(), 4) for b, n in zip(table.column("block"), table.column("n"), strict=True)]
     h, ids, n, pos = (np.concatenate([g[k] for g in got]) for k in range(4))
     del got
@@ -194,7 +208,11 @@ def _shared_columns(key: tuple, table: pa.Table) -> pa.Table:
     if not len(h):
         return pa.table({c: pa.array([], t) for c, t in _ENTRY_TYPES})
     at = np.cumsum(size) - size
-    out = {"h": h.view(np.int64), "salted": np.full(len(h), salted), "k": np.repeat(size, size).astype(np.int32), "id": ids, "n": n, "pos": pos}
+    order = np.lexsort((pos, ids, h))
+    ids, n, pos = ids[order], n[order], pos[order]
+    again = np.zeros(len(h), dtype=bool)
+    again[1:] = (h[1:] == h[:-1]) & (ids[1:] == ids[:-1]) & (pos[1:] != pos[:-1])
+    out = {"h": h.view(np.int64), "salted": np.full(len(h), salted), "again": again, "k": np.repeat(size, size).astype(np.int32), "id": ids, "n": n, "pos": pos}
     place, column = np.arange(len(h)), np.repeat(np.arange(len(size)), size)
     for j in range(_PIVOTS):
         rank = ids if j == 0 else mix(ids.view(np.uint64) ^ h ^ np.uint64(j))
@@ -368,16 +386,18 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) ->
     return asks.join(rows, "id").groupBy("bundle").applyInArrow(_completed(width, num, den), "a long, b long")
 
 
-def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _classes(shelf: Shelf, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, class) of documents whose smallest equal document is another, and links (a, b) between classes of one doc_id."""
     known = rows.where("doc_id is not null and n > 0").select("doc_id", "seq", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).alias("salt"))
     # two levels, so that a class of a third of all rows meets in no task
     some = known.groupBy("seq", "salt").agg(F.min("doc_id").alias("least"), F.count("*").alias("k"))
     least = some.groupBy("seq").agg(F.min("least").alias("class"), F.sum("k").alias("k")).where("k > 1").select("seq", "class")
-    named = known.join(some.select("seq", "salt").join(least, "seq"), ["seq", "salt"]).select(F.col("doc_id").alias("id"), "class").distinct()
+    named = shelf.put(known.join(some.select("seq", "salt").join(least, "seq"), ["seq", "salt"]).select(F.col("doc_id").alias("id"), "class").distinct())
     per = named.groupBy("id").agg(F.min("class").alias("least"), F.max("class").alias("most"))
     several = named.join(per.where("least <> most").select("id", "least"), "id").select(F.col("least").alias("a"), F.col("class").alias("b")).where("a <> b")
-    return per.where("id <> least").select("id", F.col("least").alias("class")), several
+    out = shelf.put(per.where("id <> least").select("id", F.col("least").alias("class"))), shelf.put(several.distinct())
+    shelf.drop(named)
+    return out
 
 
 def _by_class(pairs: DataFrame, same: DataFrame) -> DataFrame:
@@ -466,8 +486,8 @@ def _product(num: int, den: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         h, ids, n, pos, label = (table.column(c).to_numpy() for c in ("h", "id", "n", "pos", "label"))
-        # equal texts of several tasks are one row
-        order = np.lexsort((ids, h))
+        # equal texts of several tasks are one row, and a row's columns that fall together the first of them
+        order = np.lexsort((pos, ids, h))
         again = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (ids[order][1:] == ids[order][:-1])])
         order = order[~again]
         h, ids, n, pos, label = h[order], ids[order], n[order].astype(np.int64), pos[order], label[order]
@@ -540,14 +560,17 @@ def _last_round(entries: DataFrame, label: DataFrame, tested: DataFrame, blocks:
 def _open(pairs: DataFrame, entries: DataFrame, same: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (a, b, na, nb, c) those that their overlap over all leading columns leaves open.
 
-    c counts the columns of the two rows alone; those of more are added.  pairs must be a table of the shelf.
+    c counts the columns of the two rows alone; those of more are added, and as many as may have fallen together.
+    pairs must be a table of the shelf.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # a class may be sent by other documents than its smallest
     own = ids.join(same.toDF("other", "id"), "id").select(F.col("other").alias("id"), F.col("id").alias("class")).union(ids.select("id", "id"))
     held = entries.where((F.col("k") > 2) | F.col("salted")).select("id", "h").join(own, "id").groupBy(F.col("class").alias("id")).agg(F.collect_set("h").alias("columns"))
     columns = ids.join(held, "id", "left").select("id", F.coalesce("columns", F.array().cast("array<long>")).alias("columns"))
-    counted = pairs.join(columns.toDF("a", "la"), "a").join(columns.toDF("b", "lb"), "b").withColumn("c", F.col("c") + F.size(F.array_intersect("la", "lb")))
+    twice = entries.where("again").select("id").join(own, "id").groupBy(F.col("class").alias("a")).agg(F.count("*").alias("twice"))
+    shared = F.size(F.array_intersect("la", "lb")) + F.coalesce("twice", F.lit(0))
+    counted = pairs.join(columns.toDF("a", "la"), "a").join(columns.toDF("b", "lb"), "b").join(twice, "a", "left").withColumn("c", F.col("c") + shared)
     return counted.where(_rest("c", "na", "nb", num, den)).select("a", "b")
 
 
@@ -556,13 +579,13 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     spark = docs.sparkSession
     shelf = Shelf(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(8, -(-total_bytes(docs) // _BLOCK_TEXT))
+    size = total_bytes(docs)
+    blocks, bits = max(8, -(-size // _BLOCK_TEXT)), _kept_bits(size)
     facts = shelf.put(docs.mapInArrow(_facts(width), _FACTS))
     rows = facts.where("seq is not null").select("doc_id", "n", "seq")
     frequent = spark.sparkContext.broadcast(_frequent(facts))
-    entries = shelf.put(docs.mapInArrow(_leading(width, num, den, frequent, blocks), "part long, n long, block binary").groupBy("part").applyInArrow(_shared_columns, _ENTRY))
-    same, several = _classes(rows)
-    same, links = shelf.put(same), shelf.put(several.distinct())
+    entries = shelf.put(docs.mapInArrow(_leading(width, num, den, frequent, blocks, bits), "part long, n long, block binary").groupBy("part").applyInArrow(_shared_columns, _ENTRY))
+    same, links = _classes(shelf, rows)
     release(spark)
 
     def compared(pairs: DataFrame, links: DataFrame, tested: DataFrame, fresh: bool = False) -> tuple[DataFrame, DataFrame, int, int]:

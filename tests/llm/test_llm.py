@@ -142,6 +142,23 @@ def test_ngram_components(spark, edge, empty):
     assert got(empty) == []
 
 
+@pytest.mark.parametrize("spare", [-4, 0])
+def test_ngram_components_where_columns_fall_together(spark, monkeypatch, spare):
+    rng = random.Random(spare)
+    base = [" ".join(f"w{rng.randrange(4000)}" for _ in range(n)) for n in (150, 200, 400, 400)]
+    rows = []
+    for k in range(160):
+        words = base[k % 4].split()
+        # edits that bring the similarity near the threshold on either side
+        for _ in range(rng.randrange(len(words) // 25)):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(99)}"
+        rows.append((k, " ".join(words), "en", "a"))
+    monkeypatch.setattr(ngram_join, "_SPARE", spare)
+    got = sorted((tuple(r) for r in ngram_join.similar_components(frame(spark, rows)).collect()), key=repr)
+    assert got == brute_components([r[:2] for r in rows])
+    assert 8 < len({r[2] for r in got}) < 160
+
+
 def test_components_of_chains(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (205, 203), (203, 204)]
     out = dict(tuple(r) for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
