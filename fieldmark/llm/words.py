@@ -262,7 +262,7 @@ class Shelf:
 
     def put(self, df):
         path = f"{self.top}/shelf-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
