@@ -65,4 +65,27 @@ c as (select h.*, xor(list_reduce(list_prepend(4294967295::bigint, list_transfor
 s as (select doc_id, (length(x) // 2 + 1)::bigint as size, crc as text_crc32, {_shards(8)} as shard, {_shards(9)} as grown_shard from c)
 select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || size || ':' || text_crc32), 1, 6))::bigint % {_BUCKETS}, doc_id, size, text_crc32) - 1 as slot, grown_shard from s"""
 
-SQL = {"op6_mixing": _SQL6, "op7_ngram_join": _SQL7, "op9_substring_dedup": _SQL9, "op10_sharding": _SQL10}
+#: Squared distance of a part to an entry, and a list's componentwise floor(sum / count).
+_DISTANCE = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: ((p.x[i] - c.x[i]) * (p.x[i] - c.x[i]))::hugeint))"
+
+
+def _assigned(k: int) -> str:
+    return f"a{k} as materialized (select p.vec_id, p.part, p.x, min(struct_pack(d := {_DISTANCE}, e := c.e)) as m from p join c{k} c on c.part = p.part group by all)"
+
+
+def _moved(k: int) -> str:
+    return f"""u{k} as (select part, m.e as e, i, sum(x[i])::hugeint as s, count(*) as n from (select part, m, x, unnest(range(1, len(x) + 1)) as i from a{k}) group by all),
+w{k} as (select part, e, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as x from u{k} group by all),
+c{k + 1} as materialized (select c.part, c.e, coalesce(w.x, c.x) as x from c{k} c left join w{k} w on w.part = c.part and w.e = c.e)"""
+
+
+_SQL11 = f"""with k as materialized (select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v from embeddings
+ where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select vec_id, part, v[part * (len(v) // 8) + 1 : (part + 1) * (len(v) // 8)] as x from (select vec_id, v, unnest(range(8)) as part from k)),
+c0 as materialized (select part, row_number() over (partition by part order by vec_id) - 1 as e, x from p qualify row_number() over (partition by part order by vec_id) <= 16),
+{", ".join(f"{_assigned(k)}, {_moved(k)}" for k in range(6))}, {_assigned(6)},
+r as (select vec_id, string_agg(printf('%02x', m.e), '' order by part) as code, sum(m.d)::bigint as error from a6 group by 1),
+b as (select sha256(string_agg(list_aggregate(x, 'string_agg', ','), ',' order by part, e)) as h from c6)
+select k.vec_id, r.code, r.error, (sum(r.error) over (partition by k.label))::bigint as label_error, b.h as codebooks_sha256 from k join r using (vec_id), b"""
+
+SQL = {"op6_mixing": _SQL6, "op7_ngram_join": _SQL7, "op9_substring_dedup": _SQL9, "op10_sharding": _SQL10, "op11_vector_codes": _SQL11}
