@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cross_tokenizer, language_id, mixing, ngram_join, oracle, packing, projected_neighbours, secret_scan, sharding, spot_signatures, substring_dedup, toxicity, vector_codes
+from . import cross_tokenizer, language_id, mixing, ngram_join, oracle, packing, projected_neighbours, secret_scan, sharding, spot_signatures, substring_dedup, toxicity, url_rules, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sharding": sharding.op10_sharding,
         "op11_vector_codes": vector_codes.op11_vector_codes,
         "op12_cross_tokenizer": cross_tokenizer.op12_cross_tokenizer,
+        "op13_url_rules": url_rules.op13_url_rules,
     }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .mixing import _CLASS, _LAST, _PARTS
 from .sharding import _BUCKETS
+from .url_rules import CONFIDENCE, DEFAULT, RULES, SUPPORT
 
 _WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -88,4 +89,38 @@ r as (select vec_id, string_agg(printf('%02x', m.e), '' order by part) as code,
 b as (select sha256(string_agg(list_aggregate(x, 'string_agg', ','), ',' order by part, e)) as h from c6)
 select k.vec_id, r.code, r.error, (sum(r.error) over (partition by k.label))::bigint as label_error, b.h as codebooks_sha256 from k join r using (vec_id), b"""
 
-SQL = {"op6_mixing": _SQL6, "op7_ngram_join": _SQL7, "op9_substring_dedup": _SQL9, "op10_sharding": _SQL10, "op11_vector_codes": _SQL11}
+_FIT = "(host = '{own}' or ends_with(host, '.{own}')) and starts_with(path, '/{rest}')"
+
+
+def _listed(column: int) -> str:
+    longest = sorted(RULES, key=lambda r: -len(r[0]))
+    return "case " + " ".join(f"when {_FIT.format(own=r[0].split('/')[0], rest=r[0].split('/', 1)[1])} then '{r[column]}'" for r in longest) + " end"
+
+
+def _lower(x: str) -> str:
+    return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _tokens(kind: str, values: str) -> str:
+    return f"list_transform(list_filter({values}, lambda x: x <> ''), lambda x: '{kind}:' || x)"
+
+
+#: All combinations of each token set's frequent tokens are counted, without pruning.
+_SQL13 = f"""with u as (select page_id, coalesce(url, '') as url, instr(coalesce(url, ''), '://') as pos from pages),
+h as (select page_id, url, case when pos > 0 then substr(url, pos + 3) else '' end as rest, case when pos > 0 then substr(url, 1, pos - 1) else '' end as scheme from u),
+b as (select page_id, scheme, {_lower("regexp_extract(rest, '^[^/?#]*')")} as host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) as path, {_lower("regexp_extract(rest, '(?s)^[^?#]*[?]([^#]*)', 1)")} as query, instr(rest, '#') > 0 as fragment from h),
+r as (select *, {_listed(0)} as rule, {_listed(1)} as said, list_sort(list_distinct(list_concat({_tokens("scheme", "[" + _lower("scheme") + "]")}, {_tokens("host", "string_split(host, '.')")},
+ {_tokens("word", "list_filter(string_split(replace(host, '-', '.'), '.'), lambda x: instr(host, '-') > 0)")}, {_tokens("path", f"string_split(regexp_replace({_lower('path')}, '[0-9]+', '#', 'g'), '/')")},
+ {_tokens("query", "list_transform(string_split(query, '&'), lambda x: string_split(x, '=')[1])")}, case when fragment then ['fragment:'] else [] end))) as tokens from b),
+l as (select ceil({SUPPORT} * count(*)) as need from r where rule is not null),
+f as (select token from (select unnest(tokens) as token from r where rule is not null) group by 1 having count(*) >= (select need from l)),
+s as materialized (select tokens, coalesce(list(token order by token) filter (token in (select token from f)), []) as held from (select tokens, unnest(tokens) as token from (select distinct tokens from r)) group by 1),
+t as (select held, said, count(*) as n from r join s using (tokens) where rule is not null group by all),
+c as (select list_filter(held, lambda x, i: (m >> (i - 1)) & 1 = 1) as part, said, n from (select held, said, n, unnest(range(1, 1 << len(held))) as m from t)),
+g as (select part, said, sum(n) as n, sum(sum(n)) over (partition by part) as total from c group by part, said),
+a as materialized (select part, said, n, n::double / total::double as confidence from g where n >= (select need from l) and n::double / total::double >= {CONFIDENCE}),
+o as (select held, list_filter(held, lambda x, i: (m >> (i - 1)) & 1 = 1) as part from (select held, unnest(range(1, 1 << len(held))) as m from (select distinct held from r join s using (tokens) where rule is null))),
+v as (select o.held, max(struct_pack(confidence := a.confidence, n := a.n, said := a.said)).said as mined from o join a using (part) group by 1)
+select r.page_id, r.host, r.path, r.rule, coalesce(r.said, v.mined, '{DEFAULT}') as verdict from r left join s using (tokens) left join v using (held)"""
+
+SQL = {"op6_mixing": _SQL6, "op7_ngram_join": _SQL7, "op9_substring_dedup": _SQL9, "op10_sharding": _SQL10, "op11_vector_codes": _SQL11, "op13_url_rules": _SQL13}
