@@ -6,11 +6,16 @@ import datetime
 import hashlib
 import json
 import re
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folder import Folder
+
+#: Rows of one file of a snapshot, so that a task can hash a file whole.
+PART_ROWS = 250_000
 ROOT = "dental_clinic"
 REQUIRED = ("bbox", "id", "names", "taxonomy")
 _MANIFEST = ("schema_version", "source", "release", "retrieved_at", "source_reference", "geography", "taxonomy_filters", "license", "attribution", "row_count", "sha256", "review_status")
@@ -96,45 +101,51 @@ def license_inventory(df: DataFrame) -> DataFrame:
     return s.select(*keys).groupBy("license", "dataset", "provider").agg(F.count("*").alias("observations")).orderBy(F.desc("observations"), "license", "dataset", "provider")
 
 
-def file_hash(path: str) -> str:
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            h.update(block)
-    return h.hexdigest()
+def parts_hash(spark: SparkSession, path: str) -> str:
+    """SHA-256 over the names and SHA-256 of a snapshot's files, each hashed in a task of its own; one row a file is collected."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    each = files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.sha2("content", 256).alias("sha256")).collect()
+    return hashlib.sha256("".join(f"{r['name']} {r['sha256']}\n" for r in sorted(each)).encode()).hexdigest()
+
 
+def prepare(spark: SparkSession, patterns: list[str], output: str, box, release: str, retrieved_at: str, reference: str, geography: str, localities: list[str] | None = None, root: str = ROOT, license: str | None = None, attribution: str | None = None, manifest: str | None = None) -> dict:
+    """Writes the scope, ordered by id, as compressed Parquet with a manifest; nothing is overwritten, and both are there or neither.
 
-def prepare(spark: SparkSession, patterns: list[str], output: str, box, release: str, retrieved_at: str, reference: str, geography: str, localities: list[str] | None = None, root: str = ROOT) -> dict:
-    """Writes the scope, ordered by id, as one compressed Parquet file with a manifest beside it; nothing is overwritten."""
+    The parts are ranges of ids, sorted and of at most PART_ROWS rows, written side by side.  A snapshot counts as
+    reviewed when its license and attribution are stated; else the inventory's are noted and it stays unreviewed.
+    """
     if root != ROOT:
         raise ValueError(f"Only {ROOT} snapshots are prepared.")
+    if not re.search(r"\.(geo)?parquet$", output, re.I):
+        raise ValueError("A snapshot's name ends in .parquet or .geoparquet.")
     checked_time(retrieved_at)
-    out, manifest = Path(output), Path(f"{output}.manifest.json")
-    if out.exists() or manifest.exists():
+    named = {"release": release, "reference": reference, "geography": geography} | {k: v for k, v in (("license", license), ("attribution", attribution)) if v is not None}
+    if blank := [k for k, v in named.items() if not v.strip()]:
+        raise ValueError("A snapshot states its " + ", ".join(blank) + ".")
+    manifest, folder = manifest or f"{output}.manifest.json", Folder(spark, output.rsplit("/", 1)[0] if "/" in output else ".")
+    folder.recover()
+    inputs = checked_paths(patterns)
+    if manifest == output or {output, manifest} & set(inputs):
+        raise ValueError("A snapshot, its manifest and its inputs are different files.")
+    if folder.exists(output) or folder.exists(manifest):
         raise FileExistsError(output)
-    rows = scope(spark.read.parquet(*checked_paths(patterns)), box, root, localities).persist()
-    try:
-        n = pass_gate(rows)
-        licenses = [r.asDict() for r in license_inventory(rows).collect()] if "sources" in rows.columns else []
-        folder = f"{output}.parts"
-        rows.orderBy("id").coalesce(1).write.option("compression", "zstd").mode("errorifexists").parquet(folder)
-    finally:
-        rows.unpersist()
-    part = next(Path(folder).glob("part-*.parquet"))
-    part.rename(out)
-    for rest in Path(folder).iterdir():
-        rest.unlink()
-    Path(folder).rmdir()
+    rows = scope(spark.read.parquet(*inputs), box, root, localities)
+    n = pass_gate(rows)
+    licenses = [r.asDict() for r in license_inventory(rows).collect()] if "sources" in rows.columns else []
+    made = folder.at(f".{uuid.uuid4().hex}.snapshot")
+    rows.orderBy("id").write.option("compression", "zstd").option("maxRecordsPerFile", PART_ROWS).parquet(made)
+    w, s, e, north = checked_box(box)
     record = {
-        "schema_version": 1, "source": "overture", "release": release, "retrieved_at": retrieved_at, "source_reference": reference, "geography": geography, "taxonomy_filters": [root], "license": "; ".join(sorted({x["license"] for x in licenses})) or "unknown",
-        "attribution": "; ".join(sorted({x["provider"] for x in licenses})) or "unknown", "row_count": n, "sha256": file_hash(str(out)), "review_status": "unreviewed", "license_inventory": licenses, "delivery_approved": False,
+        "schema_version": 1, "source": "overture", "release": release, "retrieved_at": retrieved_at, "source_reference": reference, "geography": geography, "bbox": [w, s, e, north], "localities": localities or [], "taxonomy_filters": [root],
+        "license": license or "; ".join(sorted({x["license"] for x in licenses})) or "unknown", "attribution": attribution or "; ".join(sorted({x["provider"] for x in licenses})) or "unknown",
+        "row_count": n, "sha256": parts_hash(spark, made), "review_status": "reviewed" if license and attribution else "unreviewed", "license_inventory": licenses, "delivery_approved": False,
     }
-    manifest.write_text(json.dumps(record, indent=2, sort_keys=True))
+    folder.publish([(made, output), (folder.make(manifest, json.dumps(record, indent=2, sort_keys=True)), manifest)], over=False)
     return record
 
 
-def load_manifest(path: str) -> dict:
-    m = json.loads(Path(path).read_text())
+def load_manifest(spark: SparkSession, path: str) -> dict:
+    m = json.loads(Folder(spark, ".").read(path))
     missing = [k for k in _MANIFEST if k not in m]
     if missing:
         raise ValueError("Snapshot manifest is missing: " + ", ".join(missing))
@@ -152,8 +163,8 @@ def read_snapshot(spark: SparkSession, path: str, manifest_path: str | None = No
     """Records of a reviewed snapshot whose hash and row count equal its manifest's."""
     from ..sources.readers import place_records, with_order
 
-    m = load_manifest(manifest_path or f"{path}.manifest.json")
-    if file_hash(path) != m["sha256"]:
+    m = load_manifest(spark, manifest_path or f"{path}.manifest.json")
+    if parts_hash(spark, path) != m["sha256"]:
         raise ValueError("Snapshot differs from its manifest.")
     rows = spark.read.parquet(path)
     if rows.count() != m["row_count"]:

@@ -10,7 +10,6 @@ import datetime
 import hashlib
 import json
 import time
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
@@ -20,7 +19,9 @@ from pyspark.sql import functions as F
 
 from ..operators import contacts, dedup, delivery, enrichment, evidence, history, linkage, stateful
 from ..schema import EXPORTABLE, ORDER
+from ..sources.folder import Folder
 from ..sources.registry import PolicyError, Registry, default_registry
+from .dispatch import dispatch
 
 _NEEDED = object()
 # The providers that phone numbers can be checked with.
@@ -29,7 +30,7 @@ PHONE_PROVIDERS = ("twilio_lookup_basic",)
 
 def _text(v, where):
     if not isinstance(v, str) or not v.strip():
-        raise ValueError(f"Job {where} must be a non-empty string.")
+        raise ValueError(f"Job {where}: a text is needed, not {v!r}.")
     return v
 
 
@@ -39,7 +40,7 @@ def _maybe_text(v, where):
 
 def _texts(v, where):
     if not isinstance(v, list) or any(not isinstance(x, str) or not x.strip() for x in v):
-        raise ValueError(f"Job {where} must be a list of strings.")
+        raise ValueError(f"Job {where}: a list of texts is needed.")
     return list(v)
 
 
@@ -54,7 +55,7 @@ def _count(most=None):
         if v is None:
             return None
         if isinstance(v, bool) or not isinstance(v, int) or v < 1 or most is not None and v > most:
-            raise ValueError(f"Job {where} must be a positive integer" + (f" of at most {most}." if most else "."))
+            raise ValueError(f"Job {where}: a whole number above 0 is needed" + (f", at most {most}." if most else "."))
         return v
 
     return check
@@ -164,7 +165,7 @@ def _check_together(job: Job, data: dict) -> None:
         if options.get("enrich_details"):
             cap = options.get("max_enrich")
             if isinstance(cap, bool) or not isinstance(cap, int) or cap < 0:
-                raise ValueError(f"Job source_options.{source}.max_enrich must be a non-negative integer when enrich_details is enabled.")
+                raise ValueError(f"Job source_options.{source}: enrich_details needs max_enrich, a whole number from 0.")
             if cap and (job["budget.max_total_usd"] <= 0 or not job["budget.approval_reference"]):
                 raise ValueError("Paid enrichment requires budget.max_total_usd and budget.approval_reference.")
     if job["execution.mode"] == "live_smoke" and job["execution.max_parallel_tasks"] != 1:
@@ -244,80 +245,71 @@ def preflight(job: Job, registry: Registry | None = None) -> dict:
     return {"job_name": job["name"], "task_count": len(tasks), "maximum_source_invocations": len(tasks) * attempts, "maximum_acquisition_records": min(caps) if caps else None, "maximum_enrichment_calls": calls, "estimated_max_enrichment_spend": round(spend, 2), "unbounded_cost_sources": sorted(open_ended), "source_cost_models": models}
 
 
+#: Outcomes that a later run under the same id keeps; other tasks are tried again.
+KEPT = ("success", "empty")
+
+
 class Runner:
-    """Runs a job: tasks to Parquet, then one lazy chain to files and history.
+    """Runs a job: tasks to Parquet, then one lazy chain to files and history, all in a folder that the cluster shares.
 
-    Tasks are Spark jobs submitted from a few threads, one per source at a time; each writes its own folder,
-    so a rerun after a failure reads what is there and only runs the rest.  Results join in task order.
+    Tasks are Spark jobs submitted from a few threads, one per source at a time (see dispatch); each writes its own folder
+    and is marked in task order, so a rerun after a failure reads what is there and only runs the rest.  Results join in task order.
     """
 
     def __init__(self, spark: SparkSession, root: str, registry: Registry | None = None, as_of: str | None = None, pause=time.sleep, details: DataFrame | None = None, pages: DataFrame | None = None, lookups: DataFrame | None = None):
         """details, pages and lookups are captured answers of place details, web pages and phone providers."""
-        self.spark, self.root, self.registry, self.as_of, self.pause = spark, Path(root), registry or default_registry(), as_of, pause
+        self.spark, self.folder, self.registry, self.as_of, self.pause = spark, Folder(spark, root), registry or default_registry(), as_of, pause
         self.details, self.pages, self.lookups = details, pages, lookups
 
+    def _tasks_at(self, job: Job, run_id: str) -> str:
+        return f"runs/{job.fingerprint()[:16]}/{history.safe_name(run_id)}"
+
     def acquire(self, job: Job, run_id: str) -> tuple[DataFrame | None, list[dict]]:
         """Records of all tasks in order, and a row for each task."""
-        folder = self.root / "runs" / job.fingerprint()[:16] / run_id
-        done: dict[int, dict] = {}
-        counts: dict[str, dict[str, int]] = {"source": {}, "location": {}}
-        failures: dict[str, int] = {}
-        total = 0
+        at = self._tasks_at(job, run_id)
         smoke = job["execution.mode"] == "live_smoke"
         tasks = plan(job)
         if smoke:
             tasks = tasks[: job["execution.live_smoke.max_tasks"]]
         limits = {"total": job["limits.total_records"], "source": job["limits.per_source_records"], "location": job["limits.per_location_records"]}
         attempts = job["execution.live_smoke.max_attempts"] if smoke else 1
+
+        marks = {name for name, _ in self.folder.names(at)}
+        known = {k: json.loads(self.folder.read(f"{at}/task-{t.index}.json")) for k, t in enumerate(tasks) if f"task-{t.index}.json" in marks}
+
+        def run(task: Task, limit: int | None) -> dict:
+            return self._attempt(job, task, limit, f"{at}/task-{task.index}", attempts)
+
+        def committed(k: int, result: dict) -> None:
+            self.folder.write(f"{at}/task-{tasks[k].index}.json", json.dumps(result))
+
         threshold = job["execution.live_smoke.failure_threshold"] if smoke else 3
-        # caps depend on the counts of earlier tasks, so tasks run side by side only without caps
-        width = job["execution.max_parallel_tasks"] if not any(limits.values()) else 1
-
-        def attempt(task: Task) -> dict:
-            used = {"total": total, "source": counts["source"].get(task.source, 0), "location": counts["location"].get(task.place, 0)}
-            limit, why = stateful.remaining(limits, used, task.limit)
-            if why:
-                return {"outcome": "skipped", "detail": why, "rows": 0}
-            if failures.get(task.source, 0) >= threshold:
-                return {"outcome": "skipped", "detail": "source health threshold reached", "rows": 0}
-            at, mark = folder / f"task-{task.index}", folder / f"task-{task.index}.json"
-            if mark.exists():
-                return json.loads(mark.read_text())
-            for k in range(attempts):
-                try:
-                    rows = self.registry.read(self.spark, task.source, {"city": task.city, "state": task.state, **task.options})
-                    rows = delivery.first_rows(rows, limit)
-                    rows.write.mode("overwrite").parquet(str(at))
-                    n = self.spark.read.parquet(str(at)).count()
-                    out = {"outcome": "success" if n else "empty", "detail": "", "rows": n}
-                    mark.parent.mkdir(parents=True, exist_ok=True)
-                    mark.write_text(json.dumps(out))
-                    return out
-                except (PolicyError, KeyError, ValueError) as e:
-                    return {"outcome": "fatal_failure", "detail": str(e), "rows": 0}
-                except Exception as e:  # noqa: BLE001  a source may fail in any way; the task reports it
-                    detail = str(e).splitlines()[0] if str(e) else type(e).__name__
-                    if k + 1 < attempts:
-                        self.pause(job["execution.live_smoke.retry_backoff_seconds"])
-            return {"outcome": "retryable_failure", "detail": detail, "rows": 0}
-
-        waves: list[list[Task]] = []
-        for t in tasks:
-            # a wave holds one task of a source
-            place = next((w for w in waves if len(w) < width and all(x.source != t.source for x in w)), None) if width > 1 else None
-            waves.append([t]) if place is None else place.append(t)
-        for wave in waves:
-            with ThreadPoolExecutor(width) as pool:
-                for t, result in zip(wave, pool.map(attempt, wave), strict=True):
-                    done[t.index] = result
-                    total += result["rows"]
-                    counts["source"][t.source] = counts["source"].get(t.source, 0) + result["rows"]
-                    counts["location"][t.place] = counts["location"].get(t.place, 0) + result["rows"]
-                    failures[t.source] = failures.get(t.source, 0) + 1 if result["outcome"].endswith("failure") else 0 if result["outcome"] in ("success", "empty") else failures.get(t.source, 0)
-        frames = [self.spark.read.parquet(str(folder / f"task-{t.index}")).withColumn(ORDER, F.col(ORDER) + (t.index << 50)) for t in tasks if done[t.index]["outcome"] == "success"]
-        log = [{"index": t.index, "source": t.source, "location": t.place, **done[t.index]} for t in tasks]
+        done = dispatch(tasks, limits, job["execution.max_parallel_tasks"], run, threshold, {k: r for k, r in known.items() if r["outcome"] in KEPT}, committed)
+        frames = [self.spark.read.parquet(self.folder.at(f"{at}/task-{t.index}")).withColumn(ORDER, F.col(ORDER) + (t.index << 50)) for t, r in zip(tasks, done, strict=True) if r["outcome"] == "success"]
+        log = [{"index": t.index, "source": t.source, "location": t.place, **{k: r[k] for k in ("outcome", "detail", "rows")}} for t, r in zip(tasks, done, strict=True)]
         return (reduce(DataFrame.unionByName, frames) if frames else None), log
 
+    def _attempt(self, job: Job, task: Task, limit: int | None, at: str, attempts: int) -> dict:
+        for k in range(attempts):
+            try:
+                rows = self.registry.read(self.spark, task.source, {"city": task.city, "state": task.state, **task.options})
+                delivery.first_rows(rows, limit).write.mode("overwrite").parquet(self.folder.at(at))
+                n = self.spark.read.parquet(self.folder.at(at)).count()
+                return {"outcome": "success" if n else "empty", "detail": "", "rows": n}
+            except (PolicyError, KeyError, ValueError) as e:
+                return {"outcome": "fatal_failure", "detail": str(e), "rows": 0}
+            except Exception as e:  # noqa: BLE001  a source may fail in any way; the task reports it
+                detail = str(e).splitlines()[0] if str(e) else type(e).__name__
+                if k + 1 < attempts:
+                    self.pause(job["execution.live_smoke.retry_backoff_seconds"])
+        return {"outcome": "retryable_failure", "detail": detail, "rows": 0}
+
+    def stages(self, job: Job) -> list[dict]:
+        """(stage, asked, answers) of the enrichments; one that is asked for without captured answers cannot run."""
+        details = any(job.options.get(s, {}).get("enrich_details") for s in job["sources"])
+        asked = (("details", details, self.details), ("pages", job["processing.enrich"], self.pages), ("lookups", bool(job["verification.phone.provider"]), self.lookups))
+        return [{"stage": name, "status": "run" if have is not None else "no captured answers"} for name, wanted, have in asked if wanted]
+
     def transform(self, job: Job, rows: DataFrame) -> DataFrame:
         """validate, normalize, deduplicate, limit, enrich, verify, classify: one plan."""
         clean = contacts.normalize(contacts.validate(rows))
@@ -346,70 +338,67 @@ class Runner:
         ahead = preflight(job, self.registry)
         if ahead["estimated_max_enrichment_spend"] > job["budget.max_total_usd"] and ahead["maximum_enrichment_calls"]:
             raise ValueError("Planned enrichment costs more than budget.max_total_usd.")
+        self.folder.recover()
         run_id = run_id or datetime.datetime.now(datetime.UTC).strftime("%Y%m%dT%H%M%SZ")
         rows, log = self.acquire(job, run_id)
-        manifest = {"job_name": job["name"], "run_id": run_id, "fingerprint": job.fingerprint(), "tasks": log, "preflight": ahead}
+        manifest = {"job_name": job["name"], "run_id": run_id, "fingerprint": job.fingerprint(), "tasks": log, "preflight": ahead, "enrichment": self.stages(job)}
         if rows is not None:
             out = self.transform(job, rows).persist()
-            flags = {r["metric"]: r["value"] for r in contacts.counters(contacts.validate(rows, flags=True)).collect()}
-            before, after = sum(t["rows"] for t in log), out.count()
-            if before > after and job["limits.total_records"] is None:
-                flags["duplicates_removed"] = before - after
-            found = self.matches(job, rows)
-            manifest["pipeline_metrics"] = flags
-            manifest["output"] = export(job, out, self.root, before, found)
-            done = delivery.accepted(out)
-            if not done.isEmpty():
-                store = history.HistoryStore(self.spark, str(self.root / "history"), job["name"])
-                manifest["changes"] = history.change_counts(store.record_run(run_id, datetime.datetime.now(datetime.UTC), done)).first().asDict()
-            out.unpersist()
-        path = self.root / "runs" / f"{run_id}.json"
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(json.dumps(manifest, indent=2, default=str))
+            try:
+                flags = {r["metric"]: r["value"] for r in contacts.counters(contacts.validate(rows, flags=True)).collect()}
+                before, after = sum(t["rows"] for t in log), out.count()
+                if before > after and job["limits.total_records"] is None:
+                    flags["duplicates_removed"] = before - after
+                manifest["pipeline_metrics"] = flags
+                manifest["output"] = export(job, out, self.folder, run_id, before, self.matches(job, rows))
+                done = delivery.accepted(out)
+                if not done.isEmpty():
+                    store = history.HistoryStore(self.spark, self.folder.at("history"), job["name"])
+                    manifest["changes"] = history.change_counts(store.record_run(run_id, datetime.datetime.now(datetime.UTC), done)).first().asDict()
+            finally:
+                out.unpersist()
+        self.folder.write(f"runs/{history.safe_name(run_id)}.json", json.dumps(manifest, indent=2, default=str))
         return manifest
 
+    def resume(self, job: Job, run_id: str) -> dict:
+        """Goes on with a run of the same job: tasks that succeeded or found nothing are kept, the others tried again."""
+        if not self.folder.exists(self._tasks_at(job, run_id)):
+            raise ValueError(f"Run {run_id} has nothing of this job to go on from.")
+        return self.run(job, run_id)
 
-def _one_file(df: DataFrame, path: Path, fmt: str) -> None:
-    """One ordered file: the writer's single part, moved to its name."""
-    parts = path.with_name(path.name + ".parts")
-    writer = df.coalesce(1).write.mode("overwrite")
-    writer.option("header", True).option("escape", '"').csv(str(parts)) if fmt == "csv" else writer.json(str(parts))
-    found = sorted(parts.glob("part-*"))
-    path.parent.mkdir(parents=True, exist_ok=True)
-    if fmt == "json":
-        path.write_text("[" + ",\n".join(line for f in found for line in f.read_text().splitlines()) + "]")
-    else:
-        path.write_bytes(b"".join(f.read_bytes() for f in found))
-    for f in parts.iterdir():
-        f.unlink()
-    parts.rmdir()
-
-
-def export(job: Job, out: DataFrame, root: Path, acquired: int, matches: DataFrame | None = None) -> dict:
-    """The delivery file in the requested fields, with sidecars over all rows; an empty CSV delivery is an empty file."""
-    fmt = job["output.format"]
-    target = Path(job["output.destination"] or f"{job['name']}.{fmt}")
-    target = target if target.is_absolute() else root / "exports" / target
-    rows = out if job["delivery.include_non_accepted"] else delivery.accepted(out)
-    rows = rows.orderBy(ORDER)
+
+def destination(job: Job, folder: Folder, run_id: str) -> str:
+    """Where the delivery file goes: a file straight under exports gets a folder of its own for each run."""
+    name = job["output.destination"] or f"{job['name']}.{job['output.format']}"
+    if folder.at(name) == name:
+        return name
+    return f"exports/{history.safe_name(job['name'])}/{history.safe_name(run_id)}/{name}" if "/" not in name else f"exports/{name}"
+
+
+def export(job: Job, out: DataFrame, folder: Folder, run_id: str, acquired: int, matches: DataFrame | None = None) -> dict:
+    """The delivery file in the requested fields, with sidecars over all rows; they take their names together.  An empty CSV delivery is an empty file."""
+    fmt, target = job["output.format"], destination(job, folder, run_id)
+    stem = target.rsplit("/", 1)[0] + "/" + target.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    side = lambda name: f"{stem}.{name}.json"
+    rows = (out if job["delivery.include_non_accepted"] else delivery.accepted(out)).orderBy(ORDER)
     n = rows.count()
+    files = []
     if n or fmt == "json":
         flat = delivery.project(rows, job["output.fields"])
         nested = [c for c, k in flat.dtypes if k.startswith("array")]
-        _one_file(flat.withColumns({c: F.array_join(c, "|") for c in nested}) if nested and fmt == "csv" else flat, target, fmt)
+        files.append((folder.make_table(target, flat.withColumns({c: F.array_join(c, "|") for c in nested}) if nested and fmt == "csv" else flat, fmt), target))
     else:
-        target.parent.mkdir(parents=True, exist_ok=True)
-        target.write_bytes(b"")
-    side = lambda name: target.with_name(f"{target.stem}.{name}.json")
+        files.append((folder.make(target, ""), target))
     counts = {r["record_status"]: r["n"] for r in delivery.status_counts(out).collect()}
     summary = delivery.summary(out, acquired).first().asDict() | {"reasons": {r["reason"]: r["n"] for r in delivery.reason_counts(out).collect()}, "completeness": [r.asDict() for r in delivery.completeness(out).collect()]}
-    side("summary").write_text(json.dumps(summary, indent=2))
+    files.append((folder.make(target, json.dumps(summary, indent=2)), side("summary")))
     if job["delivery.include_sidecars"]:
-        _one_file(delivery.quality(out).orderBy(ORDER).drop(ORDER), side("quality"), "json")
-        _one_file(delivery.evidence(out).orderBy(ORDER).select("evidence"), side("evidence"), "json")
+        tables = {"quality": delivery.quality(out).orderBy(ORDER).drop(ORDER), "evidence": delivery.evidence(out).orderBy(ORDER).select("evidence")}
         if matches is not None:
-            _one_file(linkage.in_order(matches), side("composition"), "json")
-    return {"destination": str(target), "record_count": n, "status_counts": counts, "summary_destination": str(side("summary"))}
+            tables["composition"] = linkage.in_order(matches)
+        files += [(folder.make_table(target, df, "json"), side(name)) for name, df in tables.items()]
+    folder.publish(files)
+    return {"destination": folder.at(target), "record_count": n, "status_counts": counts, "summary_destination": folder.at(side("summary"))}
 
 
 def summary_text(manifest: dict) -> str:
@@ -420,6 +409,9 @@ def summary_text(manifest: dict) -> str:
         lines.append(f"  - {t['source']} / {t['location'] or 'any'}: {what}")
     for k, v in sorted(manifest.get("pipeline_metrics", {}).items()):
         lines.append(f"  {k}: {v}")
+    for stage in manifest.get("enrichment", []):
+        if stage["status"] != "run":
+            lines.append(f"  {stage['stage']}: not run, {stage['status']}")
     if out := manifest.get("output"):
         lines.append(f"Output: {out['record_count']} records -> {out['destination']}")
         lines.append("Quality: " + ", ".join(f"{k}={v}" for k, v in sorted(out["status_counts"].items())))

@@ -6,13 +6,13 @@ import datetime
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import claims, evidence, linkage
 from ..schema import ORDER, claim
+from ..sources.folder import Folder
 
 #: A refinement: records, instruction -> records with claims or contacts added.
 Plugin = Callable[[DataFrame, str], DataFrame]
@@ -20,8 +20,9 @@ Plugin = Callable[[DataFrame, str], DataFrame]
 
 @dataclass
 class Session:
-    spark: SparkSession
-    path: Path
+    """A folder with one version of the records for each change and a log that names the present one."""
+
+    folder: Folder
     request: str = ""
     created_at: str = ""
     steps: list[dict] = field(default_factory=list)
@@ -30,29 +31,38 @@ class Session:
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, request: str, records: DataFrame) -> Session:
-        s = cls(spark, Path(path), request, datetime.datetime.now(datetime.UTC).isoformat())
+        s = cls(Folder(spark, path), request, datetime.datetime.now(datetime.UTC).isoformat())
         s._save(records)
         return s
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Session:
-        m = json.loads((Path(path) / "session.json").read_text())
+        folder = Folder(spark, path)
+        m = json.loads(folder.read("session.json"))
         if m.get("format") != 1:
             raise ValueError("A session of another format.")
-        return cls(spark, Path(path), m["request"], m["created_at"], m["steps"], m["compositions"], m["version"])
+        return cls(folder, m["request"], m["created_at"], m["steps"], m["compositions"], m["version"])
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.folder.spark
+
+    @property
+    def path(self) -> str:
+        return self.folder.root
 
     @property
     def records(self) -> DataFrame:
-        return self.spark.read.parquet(str(self.path / f"records-{self.version}"))
+        return self.spark.read.parquet(self.folder.at(f"records-{self.version}"))
 
     def _save(self, records: DataFrame) -> None:
         """A new version of the records, then the log that names it: a failed write leaves the old one."""
-        records.write.mode("overwrite").parquet(str(self.path / f"records-{self.version + 1}"))
+        records.write.mode("overwrite").parquet(self.folder.at(f"records-{self.version + 1}"))
         self.version += 1
-        text = json.dumps({"format": 1, "request": self.request, "created_at": self.created_at, "steps": self.steps, "compositions": self.compositions, "version": self.version}, indent=2)
-        new = self.path / "session.json.new"
-        new.write_text(text)
-        new.rename(self.path / "session.json")
+        self._log()
+
+    def _log(self) -> None:
+        self.folder.write("session.json", json.dumps({"format": 1, "request": self.request, "created_at": self.created_at, "steps": self.steps, "compositions": self.compositions, "version": self.version}, indent=2))
 
     def refine(self, instruction: str, plugins: dict[str, Plugin]) -> list[dict]:
         """Applies the refinements the instruction calls for, in order; each leaves an audit step."""
@@ -115,13 +125,24 @@ def page_plugins(pages: DataFrame, as_of_year: int, observed_at) -> dict[str, Pl
     return {"ownership-evidence": ownership, "longevity-evidence": longevity, "operational-status-evidence": status, "public-socials": public, "public-email": public}
 
 
-def list_sessions(root: str) -> list[Path]:
+def list_sessions(spark: SparkSession, root: str) -> list[str]:
     """Session folders, newest first; unreadable ones are left out."""
-    found = []
-    for p in Path(root).glob("*/session.json"):
+    found, folder = [], Folder(spark, root)
+    for name, _ in folder.names():
+        inside = dict(folder.names(name)) if not name.startswith(".") else {}
+        if "session.json" not in inside:
+            continue
         try:
-            if json.loads(p.read_text()).get("format") == 1:
-                found.append(p)
+            if json.loads(folder.read(f"{name}/session.json")).get("format") == 1:
+                found.append((inside["session.json"], name))
         except ValueError:
             continue
-    return [p.parent for p in sorted(found, key=lambda p: (p.stat().st_mtime, p.parent.name), reverse=True)]
+    return [folder.at(name) for _, name in sorted(found, reverse=True)]
+
+
+def nth_session(spark: SparkSession, root: str, nth: int = 1) -> Session:
+    """The newest session, or the nth newest."""
+    found = list_sessions(spark, root)
+    if not 1 <= nth <= len(found):
+        raise ValueError(f"There are {len(found)} sessions; number {nth} is not among them.")
+    return Session.load(spark, found[nth - 1])

@@ -105,7 +105,7 @@ def test_session(spark, tmp_path):
     assert [r["email"] for r in again.records.orderBy(ORDER).collect()] == ["x@a.test", ""]
     assert again.summary().first()["likely_corporate"] == 1 and again.export().count() == 2
     assert claims.latest_steps([(x["plugin"], x["instruction"]) for x in again.steps]) == [("public-email", "email")]
-    assert list_sessions(str(tmp_path)) == [tmp_path / "s1"]
+    assert list_sessions(spark, str(tmp_path)) == [str(tmp_path / "s1")]
 
 
 def test_streams(spark, tmp_path):
