@@ -1,4 +1,4 @@
-"""Evidence from pages (url, html): visible text, ownership, longevity, closure, contacts, likely pages."""
+"""Evidence from pages (url, html): visible text, ownership, longevity, closure, contacts."""
 
 from __future__ import annotations
 
@@ -18,9 +18,6 @@ OPENED = r"(?iud)\bopened\b.{0,80}?\b(?:office|practice|business)\b.{0,30}?\b(?:
 SERVING = r"(?iud)\b(?:serving|served)\b.{0,80}?\b(?:for\s+)?(?:over|more than)?\s*(\d{1,3})\+?\s+years\b"
 CLOSED = r"(?iud)\b(?:office|practice|business)\b.{0,40}?\b(?:officially|permanently)\s+closed\b|\bretired\b.{0,120}?\b(?:office|practice|business)\b.{0,40}?\bclosed\b"
 SOCIALS = {"linkedin": r"(?i)linkedin\.com/company/[\w\-\.]+", "instagram": r"(?i)instagram\.com/[\w\.]+", "facebook": r"(?i)facebook\.com/[\w\.\-]+", "twitter": r"(?i)(?:twitter|x)\.com/[\w]+"}
-LIKELY_PAGE_WORDS = ("contact", "about", "team", "staff", "people")
-MAX_PAGES = 4
-FAILURES = ("timeout", "http_error", "tls_error", "dns_error", "connection_error", "network_error", "invalid_url", "redirect_blocked", "robots_denied", "robots_unavailable")
 _ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>"
 _HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 
@@ -160,57 +157,3 @@ def fill_contacts(df: DataFrame, found: DataFrame, key: str, url: Column | None
         added = F.map_from_entries(F.array_compact(F.array(*entry)))
         made["field_provenance"] = F.map_concat(F.map_filter("field_provenance", lambda k, _: ~F.map_contains_key(added, k)), added)
     return out.select(*[made.get(c, F.col(c)).alias(c) for c in df.columns])
-
-
-def likely_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(url, target, place): same-origin links whose label or path names a likely page; relative links resolved, fragments cut."""
-    base = F.regexp_replace(F.col(url), r"[?#].*$", "")
-    folder = F.when(F.regexp_replace(base, r"(?i)^https?://", "").contains("/"), F.regexp_replace(base, "[^/]*$", "")).otherwise(F.concat(base, F.lit("/")))
-    links = pages.select(url, F.posexplode(anchors(F.col(html))).alias("place", "a"), folder.alias("__folder"))
-    href = F.regexp_replace(F.col("a.href"), "#.*$", "")
-    target = (
-        F.when(href == "", F.lit(None)).when(href.rlike(r"(?i)^https?://"), href).when(href.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None))
-        .when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(tx.origin(F.col(url)), href)).otherwise(F.concat("__folder", href))
-    )
-    named = links.select(url, "place", target.alias("target"), F.lower("a.label").alias("label"))
-    path = F.lower(F.regexp_replace("target", r"(?i)^https?://[^/]*", ""))
-    likely = reduce(lambda a, b: a | b, [F.contains(F.col("label"), F.lit(w)) | F.contains(path, F.lit(w)) for w in LIKELY_PAGE_WORDS])
-    return named.where(F.col("target").isNotNull() & (tx.origin(F.col("target")) == tx.origin(F.col(url))) & likely)
-
-
-def crawl_order(pages: DataFrame, homes: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """(home, url, depth): the pages a bounded crawl of each home reads, over a table of pages instead of the web.
-
-    Breadth first: the home page, then likely links in link order, at most max_pages in all.
-    """
-    links = likely_links(pages).select(F.col("url").alias("from"), "target", F.col("place").alias("nth"))
-    at = homes.select("home", F.col("home").alias("url")).join(pages.select("url"), "url").select("home", "url", F.lit(0).alias("depth"), F.lit(0).alias("place"))
-    found = at
-    for depth in range(1, max_pages):
-        step = at.select("home", F.col("url").alias("at")).join(links, F.col("at") == F.col("from")).select("home", F.col("target").alias("url"), F.lit(depth).alias("depth"), F.col("nth").alias("place")).join(pages.select("url"), "url")
-        at = step.join(found.select("home", "url"), ["home", "url"], "left_anti").groupBy("home", "url").agg(F.min("depth").alias("depth"), F.min("place").alias("place"))
-        found = found.unionByName(at)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("home").orderBy("depth", "place", "url")
-    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max_pages).select("home", "url", F.col("n").alias("visit"))
-
-
-def outcome_counts(statuses: DataFrame) -> DataFrame:
-    return statuses.groupBy("status").agg(F.count("*").alias("n")).orderBy("status")
-
-
-@F.pandas_udf(T.BooleanType())
-def robots_allow(robots, url):
-    """Whether robots.txt lets our agent read the address; an unread file (null) blocks."""
-    import pandas as pd
-    from urllib.robotparser import RobotFileParser
-
-    def one(text, target):
-        if text is None:
-            return False
-        parser = RobotFileParser()
-        parser.parse(text.splitlines())
-        return parser.can_fetch("fieldmark", target)
-
-    return pd.Series([one(t if isinstance(t, str) else None, u) for t, u in zip(robots, url, strict=True)])

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import evidence, history, snapshot, stateful
+from ..operators import crawl, evidence, history, snapshot, stateful
 from ..schema import ORDER
 from ..sources import readers
 from . import views as v
@@ -151,7 +151,54 @@ def html_quick_text(spark, d):
 
 
 def likely_pages(spark, d):
-    return evidence.likely_links(v.table(spark, d, "pages").select("url", "html")).select("url", "target", F.col("place").cast("long").alias("place"))
+    return crawl.likely_links(v.table(spark, d, "pages").select("url", "html")).select("url", "target", F.col("place").cast("long").alias("place"))
+
+
+# Thirteen kinds of sites.  Each row is an address under the site, its HTTP status, the failure of its fetch, where it led to and its links.
+_SITE_PAGES = (
+    (0, "", 200, "", "", "/about /team"), (0, "/about", 200, "", "", "/x1 /x2 /contact-c"), (0, "/team", 200, "", "", "/people-d"), (0, "/contact-c", 200, "", "", ""), (0, "/people-d", 200, "", "", ""),
+    (1, "", None, "ReadTimeout: slow", "", ""), (2, "", 200, "", "https://elsewhere.test/", "/about"),
+    (3, "", 200, "", "", "/about /contact /team"), (3, "/about", 404, "", "", "/people"), (3, "/contact", 200, "", "", "/staff"), (3, "/team", 200, "", "", "/people"), (3, "/staff", 200, "", "", ""), (3, "/people", 200, "", "", ""),
+    (4, "", 200, "", "", "/about"), (5, "", 200, "", "", ""), (6, "", None, "SSLError: bad", "", ""), (7, "", None, "gaierror: no", "", ""), (8, "", None, "ConnectError: refused", "", ""), (9, "", None, "ReadError: reset", "", ""),
+    (10, "", 200, "", "", "about/ about/#top mailto:team@x.test"), (10, "/about/", 200, "", "", "../ ../about/ ./staff ../team"), (10, "/about/staff", 500, "", "", ""), (10, "/team", 200, "", "https://elsewhere.test/team", "/people"), (10, "/", 200, "", "", "/about/"),
+)
+#: What a queue that reads four pages at most makes of them: (kind, visit, address, status).
+_SITE_VISITS = (
+    (0, 1, "", "success"), (0, 2, "/about", "success"), (0, 3, "/team", "success"), (0, 4, "/contact-c", "success"), (1, 1, "", "timeout"), (2, 1, "", "redirect_blocked"),
+    (3, 1, "", "success"), (3, 2, "/about", "http_error"), (3, 3, "/contact", "success"), (3, 4, "/team", "success"), (3, 5, "/staff", "success"), (6, 1, "", "tls_error"), (7, 1, "", "dns_error"), (8, 1, "", "connection_error"), (9, 1, "", "network_error"),
+    (10, 1, "", "success"), (10, 2, "/about/", "success"), (10, 3, "/about/staff", "http_error"), (10, 4, "/team", "redirect_blocked"),
+)
+
+
+def _crawled(spark, d):
+    """Every customer has a site of one of thirteen kinds; kind 11 has no robots file in the capture, kind 12 no address of the web."""
+    k = v.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 13).cast("int").alias("kind"))
+    sites = k.select("k", "kind", F.when(F.col("kind") == 12, "ftp://files.test").otherwise(F.concat(F.lit("https://s"), "k", F.lit(".test"))).alias("website"))
+    kinds = spark.createDataFrame(list(_SITE_PAGES), "kind int, path string, status int, failed string, final_url string, links string")
+    link = lambda x: F.concat(F.lit('<a href="'), x, F.lit('">see</a>'))
+    body = F.array_join(F.transform(F.filter(F.split("links", " "), lambda x: x != ""), link), " ")
+    pages = sites.join(kinds, "kind").select(F.concat("website", "path").alias("url"), "status", "final_url", body.alias("body"), F.when(F.col("failed") != "", F.array("failed")).alias("error"))
+    robots = sites.where("kind < 11").select(F.concat("website", F.lit("/robots.txt")).alias("url"), F.when(F.col("kind") == 5, 404).otherwise(200).alias("status"), F.lit("").alias("final_url"), F.when(F.col("kind") == 4, "User-agent: *\nDisallow: /").otherwise("").alias("body"), F.lit(None).cast("array<string>").alias("error"))
+    return sites, crawl.crawl(sites, pages.unionByName(robots))
+
+
+def crawl_visits(spark, d):
+    sites, found = _crawled(spark, d)
+    return found.visits.join(sites.select("k", F.col("website").alias("home")), "home").select("k", "n", F.expr("substring(url, length(home) + 1)").alias("path"), "status")
+
+
+def crawl_outcomes(spark, d):
+    sites, found = _crawled(spark, d)
+    rows = sites.select("k", F.lit("n").alias("name"), "website", *[F.lit("").alias(c) for c in ("phone", "email", *evidence.SOCIALS)])
+    return crawl.audit(rows, found, ("k",)).select("k", "status", "pages_read")
+
+
+def crawl_histogram(spark, d):
+    """Outcomes over all pages, each page its own home and fetched with a status of its own."""
+    p = v.table(spark, d, "pages").select("page_id", "url", "html")
+    status = F.when(F.col("page_id") % 10 == 0, 503).otherwise(200)
+    responses = p.select("url", status.alias("status"), F.when(F.col("page_id") % 7 == 0, "https://elsewhere.test/").otherwise("").alias("final_url"), F.col("html").alias("body"), F.when(F.col("page_id") % 11 == 0, F.array(F.lit("ConnectTimeout: slow"))).alias("error"))
+    return crawl.outcome_counts(crawl.crawl(p.select(F.col("url").alias("website")), responses, robots=False).outcomes)
 
 
 def page_hosts(spark, d):
@@ -289,5 +336,13 @@ SQL = {
     "longest_evidence_per_group": f"select g, k, years::bigint as years from (select k % 25 as g, k, years, row_number() over (partition by k % 25 order by years desc, k) as rn from {_LONG}) where rn = 1",
 }
 
+_VISITS = ", ".join(f"({k}, {n}, '{path}', '{status}')" for k, n, path, status in _SITE_VISITS)
+SQL |= {
+    "crawl_visits": f"select c_custkey as k, n, path, status from customer join (values {_VISITS}) t(kind, n, path, status) on c_custkey % 13 = kind",
+    "crawl_outcomes": f"""select c_custkey as k, case c_custkey % 13 when 4 then 'robots_denied' when 5 then 'http_error' when 11 then 'robots_unavailable' when 12 then 'invalid_url' else t.status end as status,
+ coalesce(p.pages_read, 0)::bigint as pages_read from customer left join (values {_VISITS}) t(kind, n, path, status) on c_custkey % 13 = t.kind and t.n = 1
+ left join (select kind, count(*) filter (status = 'success') as pages_read from (values {_VISITS}) t(kind, n, path, status) group by 1) p on c_custkey % 13 = p.kind""",
+    "crawl_histogram": "select status, count(*) as n from (select case when page_id % 11 = 0 then 'timeout' when page_id % 10 = 0 then 'http_error' when page_id % 7 = 0 then 'redirect_blocked' else 'success' end as status from pages) group by 1",
+}
 NAMES = ["html_visible_text", "likely_pages", *SQL]
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldmark.functions import text as tx
-from fieldmark.operators import claims, contacts, dedup, delivery, evidence, history, linkage, snapshot, stateful
+from fieldmark.operators import claims, contacts, crawl, dedup, delivery, evidence, history, linkage, snapshot, stateful
 from fieldmark.schema import ORDER, RECORD, as_records, claim
 from fieldmark.sources import readers, registry
 
@@ -228,18 +228,10 @@ def test_evidence(spark):
     html = "<p>Hi <b>there</b></p><script>x</script><!-- c --><a href='mailto:a%40b@x.test?s=1'>m</a><a href='/about'>Us</a><a href='https://else.test/about'>E</a>"
     df = spark.createDataFrame([("https://s.test/home/index.html", html)], "url string, html string")
     assert df.select(evidence.visible_text(F.col("html")).alias("x")).first().x == "Hi there m Us E"
-    assert [r.target for r in evidence.likely_links(df).collect()] == ["https://s.test/about"]
+    assert [r.target for r in crawl.likely_links(df).collect()] == ["https://s.test/about"]
     assert df.select(evidence.contacts(F.col("html"))["email"].alias("x")).first().x == "a@b@x.test"
 
 
-def test_crawl_is_bounded_and_breadth_first(spark):
-    link = lambda *to: "".join(f'<a href="/{t}">{t}</a>' for t in to)
-    pages = spark.createDataFrame([("https://s.test/", link("team", "about")), ("https://s.test/team", link("staff")), ("https://s.test/about", link("people")), ("https://s.test/staff", ""), ("https://s.test/people", "")], "url string, html string")
-    homes = spark.createDataFrame([("https://s.test/",)], "home string")
-    visited = [r.url for r in evidence.crawl_order(pages, homes).orderBy("visit").collect()]
-    assert visited[:3] == ["https://s.test/", "https://s.test/team", "https://s.test/about"] and len(visited) == 4
-
-
 def test_budget_and_caps(spark):
     df = spark.createDataFrame([(k, "google", i, False) for k, i in enumerate("aabcad")], f"{ORDER} long, source string, source_id string, hit boolean")
     assert [r.action for r in stateful.spend_budget(df, 2).orderBy(ORDER).collect()] == ["paid", "repeat", "paid", "skipped", "repeat", "skipped"]
