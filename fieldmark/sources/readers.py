@@ -285,15 +285,3 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".json"):
         return imported_records(with_order(spark.read.json(path, multiLine=True)))
     raise ValueError("Only .csv and .json results can be imported.")
-
-
-def card_records(pages: DataFrame, html: str = "html", scraped_at: Column | None = None) -> DataFrame:
-    """Directory cards of saved listing pages, by their class names."""
-    cards = F.regexp_extract_all(F.col(html), F.lit(r'(?is)<div[^>]*class="[^"]*\bresult\b[^"]*".*?(?=<div[^>]*class="[^"]*\bresult\b|\z)'), 0)
-    rows = pages.select("*", F.posexplode(cards).alias("__n", "__card"))
-    inner = lambda cls: tx.collapse(F.regexp_replace(F.regexp_extract("__card", rf'(?is)class="[^"]*\b{cls}\b[^"]*"[^>]*>(.*?)</(?:a|div|span|p)>', 1), "<[^>]*>", " "))
-    place = F.regexp_extract_all(inner("locality"), F.lit(r"^(.*?),\s*([A-Z]{2})\s*(\d{5})?"), 1)
-    fields = {"name": inner("business-name"), "category": inner("categories"), "address": inner("street-address"), "city": F.coalesce(F.try_element_at(place, F.lit(1)), inner("locality")), "phone": inner("phones"), "source": F.lit("yellowpages")}
-    fields |= {"state": F.regexp_extract(inner("locality"), r",\s*([A-Z]{2})\b", 1), "postal_code": F.regexp_extract(inner("locality"), r"(\d{5})", 1), "website": F.regexp_extract("__card", r'(?is)class="[^"]*track-visit-website[^"]*"[^>]*href="([^"]*)"', 1)}
-    fields["scraped_at"] = scraped_at if scraped_at is not None else F.lit(None).cast("timestamp")
-    return as_records(rows, fields).where("name <> ''")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ORDER
-from . import readers
+from . import cards, paged, readers
 
 
 @dataclass(frozen=True)
@@ -94,9 +94,28 @@ def _json(build):
     return read
 
 
-def _text_json(spark: SparkSession, options: dict) -> DataFrame:
-    rows = readers.with_order(spark.read.text(options["path"]).withColumnRenamed("value", "json"))
-    return readers.yelp_actor_records(rows, F.current_timestamp())
+# Items that one run of an actor gives at most, and the category that providers are asked by.
+ACTOR_MOST = {"google-apify": 200, "yelp-apify": 100, "linkedin-apify": 100}
+PROVIDER_CATEGORY = "Dentist"
+
+
+def _actor(name: str, build, raw: bool = False):
+    """Captured items of an actor's run: one file, or with option `pages` a folder of numbered pages.  The first items count, up to the
+    asked limit and what one run gives; items that make no record are left out after that.  raw: `build` takes items as JSON text.
+    """
+
+    def read(spark: SparkSession, options: dict) -> DataFrame:
+        most = min(options.get("limit") or ACTOR_MOST[name], ACTOR_MOST[name])
+        if options.get("pages"):
+            rows = paged.read_pages(spark, options["pages"], limit=most, max_pages=options.get("max_pages"))
+            rows = rows.select(F.to_json(F.struct(*[c for c in rows.columns if c != ORDER])).alias("json"), ORDER) if raw else rows
+        elif raw:
+            rows = readers.with_order(spark.read.text(options["path"]).withColumnRenamed("value", "json"))
+        else:
+            rows = readers.with_order(spark.read.json(options["path"], multiLine=True))
+        return build(rows.orderBy(ORDER).limit(most), _captured_at(options))
+
+    return read
 
 
 def _snapshot(spark: SparkSession, options: dict) -> DataFrame:
@@ -110,8 +129,9 @@ def _captured_at(options: dict):
 
 
 def _providers(spark: SparkSession, options: dict) -> DataFrame:
-    """Provider entries of the asked place and category; a state is needed, 100 rows unless a limit is given."""
+    """Provider entries of the asked place and category; a state is needed, 100 rows and dentists unless a limit and a category are given."""
     city, state, category = (options.get(k) or "" for k in ("city", "state", "category"))
+    category = category or PROVIDER_CATEGORY
     if not state:
         raise ValueError("The provider registry is asked by state.")
     rows = readers.with_order(spark.read.json(options["path"], multiLine=True))
@@ -119,6 +139,12 @@ def _providers(spark: SparkSession, options: dict) -> DataFrame:
     return found.orderBy(ORDER).limit(options.get("limit") or 100)
 
 
+def _listings(spark: SparkSession, options: dict) -> DataFrame:
+    """Cards of saved listing pages; `url` is where they were saved from."""
+    pages = readers.with_order(spark.read.text(options["path"], wholetext=True).withColumnRenamed("value", "html"))
+    return cards.card_records(pages.withColumn("url", F.lit(options.get("url", ""))), scraped_at=_captured_at(options))
+
+
 def _codes(options: dict, name: str, default: list[str]) -> list[str]:
     given = options.get(name, default)
     given = [given] if isinstance(given, str) else given
@@ -139,11 +165,11 @@ def default_registry() -> Registry:
     r = Registry()
     r.register("csv", "file", CLIENT, lambda s, o: readers.read_csv(s, o["path"]))
     r.register("google", "api", EXPERIMENTAL, _json(readers.google_records))
-    r.register("google-apify", "apify", EXPERIMENTAL, _json(readers.google_actor_records))
-    r.register("linkedin-apify", "apify", EXPERIMENTAL, _json(readers.profile_records))
+    r.register("google-apify", "apify", EXPERIMENTAL, _actor("google-apify", readers.google_actor_records))
+    r.register("linkedin-apify", "apify", EXPERIMENTAL, _actor("linkedin-apify", readers.profile_records))
     r.register("yelp", "api", EXPERIMENTAL, _json(readers.yelp_records))
-    r.register("yelp-apify", "apify", EXPERIMENTAL, _text_json)
-    r.register("yellowpages", "scraper", SCRAPED, lambda s, o: readers.card_records(readers.with_order(s.read.text(o["path"], wholetext=True).withColumnRenamed("value", "html"))))
+    r.register("yelp-apify", "apify", EXPERIMENTAL, _actor("yelp-apify", readers.yelp_actor_records, raw=True))
+    r.register("yellowpages", "scraper", SCRAPED, _listings)
     r.register("nppes", "api", REGISTRY, _providers)
     r.register("wa-li", "api", REGISTRY, _contractors)
     r.register("ca-dental-board", "file", REGISTRY, lambda s, o: readers.license_records(readers.read_csv_text(s, o["path"])))
