@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..schema import VOLATILE
+from ..sources.folder import Folder
 
 # What identifies a record, first complete one wins.
 IDENTITIES = (("name", "address", "phone"), ("name", "address", "website"), ("name", "city", "state", "phone"), ("name", "city", "state", "website"), ("name", "source_url"))
@@ -102,68 +106,111 @@ def safe_name(text: str) -> str:
 class HistoryStore:
     """Versioned records of one job under a folder (any that Spark's readers open), a part for each run.
 
-    A run's versions and changes are written to parts of their own, over what a failed attempt may have left; a row in
-    `runs` then says that they are there, and only such runs are read.  A recorded id cannot be used again.  The current
-    state is derived from the versions, so nothing is updated in place and a lost task only rewrites its own files.
+    A run's versions and changes are written to folders of their own; one small file, `latest.json`, names the parts of all runs and is
+    replaced last and in one step, so a failed attempt leaves nothing that is read.  The current state is derived from the
+    versions, so nothing is updated in place and a lost task only rewrites its own files.
+
+    Inside a run, versions lie in buckets by a hash of the record id, sorted by it: looking one record up reads one bucket of each run.
+    A recorded id cannot be used again, unless `overwrite` is set: then the new part takes the old one's place.
     """
 
-    VERSION = 2
+    VERSION = 3
 
-    def __init__(self, spark: SparkSession, path: str, job: str):
-        self.spark, self.path, self.job = spark, path.rstrip("/"), safe_name(job)
+    def __init__(self, spark: SparkSession, path: str, job: str, buckets: int = 64, overwrite: bool = False):
+        self.spark, self.folder, self.buckets, self.overwrite = spark, Folder(spark, f"{str(path).rstrip('/')}/{safe_name(job)}/v{self.VERSION}"), buckets, overwrite
 
-    def _at(self, name: str, run_id: str | None = None) -> str:
-        part = "" if run_id is None else f"/run-{safe_name(run_id)}"
-        return f"{self.path}/{self.job}/v{self.VERSION}/{name}{part}"
+    def _entries(self) -> list[dict]:
+        """Of each run, oldest first: run_id, recorded_at, part, buckets, records and the fields of its versions."""
+        return json.loads(self.folder.read("latest.json"))["runs"] if self.folder.exists("latest.json") else []
 
-    def _recorded(self) -> list[tuple]:
-        """(run_id, recorded_at) of the runs that are there, in order: one small row for each run."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._at("runs"))
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return []
-        rows = self.spark.read.option("recursiveFileLookup", True).parquet(self._at("runs"))
-        return sorted((tuple(r) for r in rows.select("run_id", "recorded_at").collect()), key=lambda r: (r[1], r[0]))
+    def _paths(self, name: str, entries: list[dict]) -> list[str]:
+        return [self.folder.at(f"{name}/{e['part']}") for e in entries]
 
-    def _read(self, name: str) -> DataFrame:
-        runs = [r for r, _ in self._recorded()]
-        if not runs:
+    def _versions(self, entries: list[dict]) -> DataFrame:
+        """Versions of runs; a field that a run did not have is null there."""
+        if not entries:
             raise ValueError("The history has no run.")
-        return self.spark.read.option("mergeSchema", True).parquet(*[self._at(name, r) for r in runs])
+        fields: dict[str, T.StructField] = {}
+        for e in entries:
+            for f in T.StructType.fromJson(e["fields"]):
+                fields.setdefault(f.name, f)
+        placed = [T.StructField("part", T.StringType()), T.StructField("bucket", T.IntegerType())]
+        reader = self.spark.read.schema(T.StructType([*fields.values(), *placed])).option("basePath", self.folder.at("versions"))
+        return reader.parquet(*self._paths("versions", entries)).drop("part")
 
     def record_run(self, run_id: str, recorded_at, records: DataFrame) -> DataFrame:
         """Writes the accepted records as a run and returns its changes against the run before."""
         rows = records.where("record_status = 'accepted'") if "record_status" in records.columns else records
         snap = snapshot(rows)
         assert_unique(snap)
-        recorded = self._recorded()
-        if safe_name(run_id) in {safe_name(r) for r, _ in recorded}:
+        entries = self._entries()
+        before = [e for e in entries if safe_name(e["run_id"]) == safe_name(run_id)]
+        if before and not self.overwrite:
             raise ValueError(f"Run {run_id} is already recorded.")
         fields = [c for c in snap.columns if c not in ("record_id", "content_hash")]
         stamped = [F.lit(run_id).alias("run_id"), F.lit(recorded_at).cast("timestamp").alias("recorded_at")]
-        snap.select(*stamped, "*").write.mode("overwrite").parquet(self._at("versions", run_id))
-        written = self.spark.read.parquet(self._at("versions", run_id))
-        if not recorded:
+        entry = {"run_id": run_id, "part": f"part=run-{safe_name(run_id)}-{uuid.uuid4().hex[:12]}", "buckets": self.buckets}
+        made = snap.select(*stamped, "*")
+        entry["fields"] = made.schema.jsonValue()
+        placed = made.withColumn("bucket", _bucket(F.col("record_id"), self.buckets)).repartition("bucket").sortWithinPartitions("bucket", "record_id")
+        placed.write.partitionBy("bucket").parquet(self.folder.at(f"versions/{entry['part']}"))
+        written = self._versions([entry])
+        if not entries:
             changes = written.select("record_id", F.lit("new").alias("change"), F.array().cast("array<string>").alias("changed"))
         else:
-            old = self.spark.read.parquet(self._at("versions", recorded[-1][0]))
+            old = self._versions(entries[-1:])
             changes = diff(old, written, [f for f in fields if f in old.columns])
-        changes.select(*stamped, "*").write.mode("overwrite").parquet(self._at("changes", run_id))
-        self.spark.range(1).select(*stamped).coalesce(1).write.mode("overwrite").parquet(self._at("runs", run_id))
+        changes.select(*stamped, "*").write.parquet(self.folder.at(f"changes/{entry['part']}"))
+        known = self.spark.range(1).select(F.date_format(stamped[1], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("at")).first()["at"]
+        entry |= {"recorded_at": known, "records": written.count()}
+        kept = [e for e in entries if e not in before]
+        self.folder.write("latest.json", json.dumps({"version": self.VERSION, "runs": sorted([*kept, entry], key=lambda e: (e["recorded_at"], e["run_id"]))}))
+        for e in before:
+            for name in ("versions", "changes"):
+                self.folder.delete(f"{name}/{e['part']}")
         return self.changes(run_id)
 
+    def latest(self) -> DataFrame:
+        """The records of the latest run."""
+        return self._versions(self._entries()[-1:]).drop("bucket")
+
     def runs(self, limit: int | None = None) -> DataFrame:
-        return list_runs(self._read("versions"), limit)
+        """run_id, recorded_at and number of records of the runs, newest first."""
+        if limit is not None and limit < 1:
+            raise ValueError("limit must be at least 1.")
+        rows = [(e["run_id"], e["recorded_at"], e["records"]) for e in self._entries()]
+        out = self.spark.createDataFrame(rows, "run_id string, recorded_at string, records long").withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
+        out = out.orderBy(F.desc("recorded_at"), F.desc("run_id"))
+        return out if limit is None else out.limit(limit)
 
     def changes(self, run_id: str) -> DataFrame:
-        if run_id not in {r for r, _ in self._recorded()}:
+        own = [e for e in self._entries() if e["run_id"] == run_id]
+        if not own:
             raise ValueError(f"Run {run_id} is not recorded.")
-        return self.spark.read.parquet(self._at("changes", run_id))
+        return self.spark.read.parquet(*self._paths("changes", own))
 
     def current(self) -> DataFrame:
-        return versions(self._read("versions"))
+        return versions(self._versions(self._entries()).drop("bucket"))
+
+    def record_versions(self, record_id: str) -> DataFrame:
+        """All versions of one record, oldest first; of each run only the record's bucket is read."""
+        entries = self._entries()
+        found = []
+        for n in sorted({e["buckets"] for e in entries}):
+            rows = self._versions([e for e in entries if e["buckets"] == n])
+            found.append(rows.where((F.col("bucket") == _bucket(F.lit(record_id), n)) & (F.col("record_id") == record_id)).drop("bucket"))
+        if not found:
+            raise ValueError("The history has no run.")
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found).orderBy("recorded_at", "run_id")
 
     def record(self, record_id: str) -> DataFrame:
-        return self.current().where((F.col("record_id") == record_id) & F.col("is_present"))
+        """The record if the latest run has it: first and last run, its content and how many versions there are."""
+        latest, own = self._entries()[-1]["run_id"], self.record_versions(record_id)
+        at = F.struct("recorded_at", "run_id")
+        rest = [c for c in own.columns if c not in ("record_id", "run_id", "recorded_at")]
+        per = own.groupBy("record_id").agg(F.min_by("run_id", at).alias("first_seen_run_id"), F.max_by("run_id", at).alias("last_seen_run_id"), F.count("*").alias("versions"), *[F.max_by(c, at).alias(c) for c in rest])
+        return per.where(F.col("last_seen_run_id") == latest)
 
-    def record_versions(self, record_id: str) -> DataFrame:
-        return self._read("versions").where(F.col("record_id") == record_id).orderBy("recorded_at", "run_id")
+
+def _bucket(record_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(record_id), F.lit(buckets)).cast("int")

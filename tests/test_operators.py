@@ -163,6 +163,50 @@ def test_history_retry_after_a_crash(spark, tmp_path, monkeypatch):
     assert store.record_versions(store.current().first()["record_id"]).count() == 2 and store.record(store.current().first()["record_id"]).count() == 1
 
 
+def test_record_lookup_reads_one_bucket_of_each_run(spark, tmp_path):
+    store = history.HistoryStore(spark, str(tmp_path), "job", buckets=8)
+    make = lambda n, city: records(spark, [{"name": f"n{k}", "address": "1", "phone": "1", "record_status": "accepted", "city": city} for k in range(n)])
+    store.record_run("r1", datetime.datetime(2026, 1, 1), make(60, "X"))
+    store.record_run("r2", datetime.datetime(2026, 1, 2), make(40, "Y"))
+    store.buckets = 4
+    store.record_run("r3", datetime.datetime(2026, 1, 3), make(50, "Y"))
+    wanted = {r["name"]: r["record_id"] for r in store.latest().collect()}["n7"]
+    gone = {r["record_id"] for r in store.current().where("not is_present").collect()}
+    assert len(gone) == 10 and store.record(next(iter(gone))).isEmpty()
+    # the lookup still works where all other buckets are unreadable
+    import glob
+    import os
+
+    keep = {n: spark.range(1).select(history._bucket(F.lit(wanted), n)).first()[0] for n in (8, 4)}
+    for f in glob.glob(str(tmp_path / "job" / "v3" / "versions" / "*" / "bucket=*" / "*.parquet")):
+        if f"bucket={keep[4 if '/run-r3-' in f else 8]}/" not in f:
+            os.chmod(f, 0o644)
+            open(f, "w").write("broken")
+            crc = os.path.join(os.path.dirname(f), f".{os.path.basename(f)}.crc")
+            if os.path.exists(crc):
+                os.remove(crc)
+    found = store.record_versions(wanted)
+    assert [(r["run_id"], r["city"]) for r in found.collect()] == [("r1", "X"), ("r2", "Y"), ("r3", "Y")]
+    assert "PartitionFilters: [isnotnull(bucket" in found._jdf.queryExecution().toString()
+    one = store.record(wanted).first()
+    assert (one["first_seen_run_id"], one["last_seen_run_id"], one["versions"], one["city"], one["name"]) == ("r1", "r3", 3, "Y", "n7")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        store.current().collect()
+
+
+def test_history_as_files_overwrites_a_run(spark, tmp_path):
+    store = history.HistoryStore(spark, f"file://{tmp_path}", "job", overwrite=True)
+    make = lambda *names: records(spark, [{"name": n, "address": "1", "phone": "1", "record_status": "accepted"} for n in names])
+    store.record_run("r1", datetime.datetime(2026, 1, 1), make("a", "b"))
+    again = store.record_run("r1", datetime.datetime(2026, 1, 2), make("a", "c"))
+    assert sorted(r["change"] for r in again.collect()) == ["missing", "new", "unchanged"]
+    assert [(r["run_id"], r["records"]) for r in store.runs().collect()] == [("r1", 2)] and {r["name"] for r in store.latest().collect()} == {"a", "c"}
+    assert len(list((tmp_path / "job" / "v3" / "versions").iterdir())) == 1
+    assert store.record_run("r2", datetime.datetime(2026, 1, 3), make()).count() == 2 and store.runs(1).first()["records"] == 0
+    with pytest.raises(ValueError):
+        store.runs(0)
+
+
 def test_files_are_read_in_order_of_name(spark, tmp_path):
     folder = tmp_path / "many"
     folder.mkdir()
