@@ -96,14 +96,15 @@ class Folder:
     def make_table(self, name: str, df: DataFrame, fmt: str) -> str:
         """One file of a DataFrame in its order, under a passing name: parts are written side by side, then their bytes are joined.
 
-        csv: a header line, then the rows.  json: an array of objects.
+        csv: a header line, then the rows.  json: an array of objects.  documents: an array of the objects in the one text column.
         """
         parts, made = self._beside(name, "parts"), self._beside(name, "tmp")
         if fmt == "csv":
             df.write.option("header", False).option("escape", '"').csv(parts)
             head, tail, cut = ",".join(df.columns) + "\n", "", 0
         else:
-            df.write.option("lineSep", ",\n").option("ignoreNullFields", False).json(parts)
+            writer = df.write.option("lineSep", ",\n")
+            writer.text(parts) if fmt == "documents" else writer.option("ignoreNullFields", False).json(parts)
             head, tail, cut = "[", "]", 2
         files = [f"{parts}/{n}" for n, _ in self.names(parts) if n.startswith("part-")]
         files = [f for f in files if self.size(f)]

@@ -264,18 +264,18 @@ def place_records(df: DataFrame, reference: str, release: str, retrieved_at: Col
 
 
 def imported_records(df: DataFrame) -> DataFrame:
-    """Records of a saved result: known fields that are not empty; a registry address tells source and id."""
-    fields = {c: F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns if c in FIELDS and c not in ("discovery_sources", "quality_reasons", "field_provenance", "claims", "source_ids", "raw_data")}
+    """Records of a saved table: known flat fields that are not empty; a registry address tells source and id."""
+    from .documents import recovered
+
+    nested = ("discovery_sources", "quality_reasons", "field_provenance", "claims", "source_ids", "raw_data")
+    fields = {c: F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns if c in FIELDS and c not in nested}
     for c in ("scraped_at", "observed_at"):
         if c in fields:
             fields[c] = tx.to_timestamp(F.col(c))
-    npi = F.regexp_extract(F.coalesce(_col(df, "source_url").cast("string"), F.lit("")), r"npiregistry\.cms\.hhs\.gov/provider-view/(\d{10})", 1)
-    known = npi != ""
-    own = F.coalesce(fields.get("source", F.lit(None).cast("string")), F.lit(""))
-    fields["source"] = F.when(known & (own == ""), "nppes").otherwise(own)
-    fields["discovery_sources"] = F.when(known, F.array(F.lit("nppes"))).otherwise(F.array().cast("array<string>"))
-    fields["source_ids"] = F.when(known, F.create_map(F.lit("npi"), npi)).otherwise(F.create_map().cast("map<string,string>"))
-    return as_records(df, fields)
+    for c, number in (("rating", tx.to_float), ("review_count", tx.to_int)):
+        if c in fields:
+            fields[c] = number(F.col(c))
+    return as_records(df, recovered(fields, {"source"}))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -283,5 +283,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".csv"):
         return imported_records(read_csv_text(spark, path))
     if path.endswith(".json"):
-        return imported_records(with_order(spark.read.json(path, multiLine=True)))
+        from .documents import read_documents
+
+        return read_documents(spark, path)
     raise ValueError("Only .csv and .json results can be imported.")
