@@ -21,6 +21,7 @@ ROUTES = (
     ("public-socials", ("linkedin", "instagram", "facebook", "twitter", "social")),
     ("public-email", ("email", "contact address")),
 )
+YEARS = r"\b(\d{1,3})\s*\+?\s*years?\b"
 RESEARCH_COLUMNS = (
     "name category address city state postal_code phone phone_status email email_status website linkedin instagram facebook twitter "
     "medi_cal_dental_enrolled ownership_assessment longevity_minimum_years operational_status discovery_sources source_url evidence_urls"
@@ -64,7 +65,7 @@ def expected_ownership(instruction: str) -> str:
 
 
 def years_asked(instruction: str) -> int:
-    m = re.search(r"\b(\d{1,3})\s*\+?\s*years?\b", instruction)
+    m = re.search(YEARS, instruction)
     return int(m[1]) if m else 10
 
 

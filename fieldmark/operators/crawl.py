@@ -198,7 +198,7 @@ def crawl(sites: DataFrame, responses: DataFrame, max_pages: int = MAX_PAGES, ro
 
 
 def audit(records: DataFrame, found: Crawl, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each record that asked for a crawl: its name, website, the crawl's status and the pages read."""
+    """A row for each record that asks for a crawl: its name, website, the crawl's status and the pages read."""
     asked = records.where(evidence.needs_crawl()).select(*keep, "name", "website", homepage(F.col("website")).alias("home"))
     out = asked.join(found.outcomes, "home", "left")
     return out.select(*keep, "name", "website", F.when(F.col("home") == "", "invalid_url").otherwise(F.col("status")).alias("status"), F.coalesce("pages_read", F.lit(0)).cast("long").alias("pages_read"))

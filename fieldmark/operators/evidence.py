@@ -130,9 +130,11 @@ def _social(hrefs: Column, pattern: str) -> Column:
 
 
 def contacts_of_pages(pages: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Per record: each contact's first value in page order."""
-    found = pages.select(*keys, order, *[c.alias(n) for n, c in contacts(F.col("html")).items()])
-    return found.groupBy(*keys).agg(*[F.min_by(c, F.when(tx.present(F.col(c)), F.col(order))).alias(c) for c in ("email", "phone", *SOCIALS)])
+    """Per record: each contact's first value in page order and, where pages have an url, the page it stands on (<contact>_url)."""
+    place = ["url"] if "url" in pages.columns else []
+    found = pages.select(*keys, order, *place, *[c.alias(n) for n, c in contacts(F.col("html")).items()])
+    first = {c: F.when(tx.present(F.col(c)), F.col(order)) for c in ("email", "phone", *SOCIALS)}
+    return found.groupBy(*keys).agg(*[F.min_by(c, at).alias(c) for c, at in first.items()], *[F.min_by("url", at).alias(f"{c}_url") for c, at in first.items() if place])
 
 
 def needs_crawl() -> Column:
@@ -140,20 +142,24 @@ def needs_crawl() -> Column:
     return tx.present(F.col("website")) & reduce(lambda a, b: a | b, [tx.blank(F.col(c)) for c in ("phone", "email", *SOCIALS)])
 
 
-def fill_contacts(df: DataFrame, found: DataFrame, key: str, url: Column | None = None, observed_at: Column | None = None) -> DataFrame:
-    """Blank contacts filled from found, with provenance; new emails and phones are not_checked."""
-    names = ("email", "phone", *SOCIALS)
-    got = found.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in names])
+def fill_contacts(df: DataFrame, found: DataFrame, key: str, url: Column | None = None, observed_at: Column | None = None, names: tuple[str, ...] = ("email", "phone", *SOCIALS)) -> DataFrame:
+    """Blank contacts among names filled from found, with provenance; new emails and phones are not_checked.
+
+    The evidence is the page that a contact stands on, where found tells it, else url or the record's site.
+    """
+    placed = [c for c in names if f"{c}_url" in found.columns]
+    got = found.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in names], *[F.col(f"{c}_url").alias(f"__{c}_url") for c in placed])
     out = df.join(got, F.col(key) == F.col("__k"), "left")
     fills = {c: needs_crawl() & tx.blank(F.col(c)) & tx.present(F.col(f"__{c}")) for c in names}
     made = {c: F.when(fills[c], F.col(f"__{c}")).otherwise(F.col(c)) for c in names}
     for c in ("email", "phone"):
-        if f"{c}_status" in df.columns:
+        if c in names and f"{c}_status" in df.columns:
             made[f"{c}_status"] = F.when(fills[c], "not_checked").otherwise(F.col(f"{c}_status"))
     if "field_provenance" in df.columns:
         place = url if url is not None else tx.site_url(F.col("website"))
         at = observed_at if observed_at is not None else F.current_timestamp()
-        entry = [F.when(fills[c], F.struct(F.lit(c).alias("key"), F.struct(F.lit("first_party_web").alias("source"), place.alias("evidence_url"), at.alias("observed_at"), F.lit("public_link").alias("method")).alias("value"))) for c in names]
+        page = {c: F.coalesce(f"__{c}_url", place) if c in placed else place for c in names}
+        entry = [F.when(fills[c], F.struct(F.lit(c).alias("key"), F.struct(F.lit("first_party_web").alias("source"), page[c].alias("evidence_url"), at.alias("observed_at"), F.lit("public_link").alias("method")).alias("value"))) for c in names]
         added = F.map_from_entries(F.array_compact(F.array(*entry)))
         made["field_provenance"] = F.map_concat(F.map_filter("field_provenance", lambda k, _: ~F.map_contains_key(added, k)), added)
     return out.select(*[made.get(c, F.col(c)).alias(c) for c in df.columns])

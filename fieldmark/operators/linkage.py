@@ -147,17 +147,15 @@ def review_page(matches: DataFrame, decision: str | None = None, offset: int = 0
 
 
 def enroll_by_id(records: DataFrame, listed: DataFrame, id_key: str, claim: Column, claim_key: str, most: int = 100) -> DataFrame:
-    """Adds the claim to records whose id is listed and that do not hold the key; for a repeated id, to the last record.
+    """Adds the claim to records whose ten-digit id is listed and that do not hold the key; for a repeated id, to the last record.
 
-    More than `most` distinct ids, or one that is not ten digits, is an error.
+    Other ids are not asked about; more than `most` distinct ones are an error.
     """
-    ids = records.select(F.col("source_ids")[id_key].alias("npi")).where("npi is not null and npi <> ''").distinct()
-    found = ids.agg(F.count("*").alias("n"), F.count_if(~F.col("npi").rlike(r"^\d{10}$")).alias("bad")).first()
-    if found["n"] > most:
+    npi = F.col("source_ids")[id_key]
+    asked = records.where(npi.rlike(r"^\d{10}$")).groupBy(npi.alias("npi")).agg(F.max(ORDER).alias("at"))
+    if asked.count() > most:
         raise ValueError(f"An exact identifier refinement accepts at most {most} identifiers.")
-    if found["bad"]:
-        raise ValueError("Identifiers must be ten digits.")
-    last = records.select(F.col("source_ids")[id_key].alias("npi"), ORDER).where("npi is not null").groupBy("npi").agg(F.max(ORDER).alias("at")).join(listed.select("npi").distinct(), "npi")
+    last = asked.join(listed.select(F.trim("npi").alias("npi")).distinct(), "npi")
     out = records.join(last.select(F.col("at").alias("__at")), F.col(ORDER) == F.col("__at"), "left")
     absent = ~F.exists("claims", lambda c: c["key"] == claim_key)
     return out.withColumn("claims", F.when(F.col("__at").isNotNull() & absent, F.array_append("claims", claim)).otherwise(F.col("claims"))).drop("__at")

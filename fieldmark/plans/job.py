@@ -17,7 +17,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import contacts, dedup, delivery, enrichment, evidence, history, linkage, stateful
+from ..operators import contacts, crawl, dedup, delivery, enrichment, evidence, history, linkage, stateful
 from ..schema import EXPORTABLE, ORDER
 from ..sources.folder import Folder
 from ..sources.registry import PolicyError, Registry, default_registry
@@ -256,10 +256,13 @@ class Runner:
     and is marked in task order, so a rerun after a failure reads what is there and only runs the rest.  Results join in task order.
     """
 
-    def __init__(self, spark: SparkSession, root: str, registry: Registry | None = None, as_of: str | None = None, pause=time.sleep, details: DataFrame | None = None, pages: DataFrame | None = None, lookups: DataFrame | None = None):
-        """details, pages and lookups are captured answers of place details, web pages and phone providers."""
+    def __init__(self, spark: SparkSession, root: str, registry: Registry | None = None, as_of: str | None = None, pause=time.sleep, details: DataFrame | None = None, pages: DataFrame | None = None, lookups: DataFrame | None = None, responses: DataFrame | None = None):
+        """details, pages and lookups are captured answers of place details, web pages (by website) and phone providers.
+
+        responses are captured web responses (see operators.crawl): home pages are crawled over them, instead of pages read.
+        """
         self.spark, self.folder, self.registry, self.as_of, self.pause = spark, Folder(spark, root), registry or default_registry(), as_of, pause
-        self.details, self.pages, self.lookups = details, pages, lookups
+        self.details, self.pages, self.lookups, self.responses = details, pages, lookups, responses
 
     def _tasks_at(self, job: Job, run_id: str) -> str:
         return f"runs/{job.fingerprint()[:16]}/{history.safe_name(run_id)}"
@@ -307,7 +310,7 @@ class Runner:
     def stages(self, job: Job) -> list[dict]:
         """(stage, asked, answers) of the enrichments; one that is asked for without captured answers cannot run."""
         details = any(job.options.get(s, {}).get("enrich_details") for s in job["sources"])
-        asked = (("details", details, self.details), ("pages", job["processing.enrich"], self.pages), ("lookups", bool(job["verification.phone.provider"]), self.lookups))
+        asked = (("details", details, self.details), ("pages", job["processing.enrich"], self.pages if self.responses is None else self.responses), ("lookups", bool(job["verification.phone.provider"]), self.lookups))
         return [{"stage": name, "status": "run" if have is not None else "no captured answers"} for name, wanted, have in asked if wanted]
 
     def transform(self, job: Job, rows: DataFrame) -> DataFrame:
@@ -318,7 +321,11 @@ class Runner:
         caps = {s: job.options[s].get("max_enrich") for s in job["sources"] if job.options.get(s, {}).get("enrich_details")}
         if caps and self.details is not None:
             kept = enrichment.with_details(kept, self.details, caps)
-        if job["processing.enrich"] and self.pages is not None:
+        if job["processing.enrich"] and self.responses is not None:
+            pages = crawl.crawl(kept.where(evidence.needs_crawl()), self.responses).pages()
+            found = evidence.contacts_of_pages(pages.withColumnRenamed("home", "__home"), ["__home"], "n")
+            kept = evidence.fill_contacts(kept.withColumn("__home", crawl.homepage(F.col("website"))), found, "__home").drop("__home")
+        elif job["processing.enrich"] and self.pages is not None:
             kept = evidence.fill_contacts(kept, evidence.contacts_of_pages(self.pages, ["website"], "n"), "website")
         if job["verification.phone.provider"] and self.lookups is not None:
             kept = delivery.merge_verification(kept, enrichment.phone_results(kept, self.lookups))
@@ -353,7 +360,7 @@ class Runner:
                 manifest["output"] = export(job, out, self.folder, run_id, before, self.matches(job, rows))
                 done = delivery.accepted(out)
                 if not done.isEmpty():
-                    store = history.HistoryStore(self.spark, self.folder.at("history"), job["name"])
+                    store = history.HistoryStore(self.spark, self.folder.at("history"), job["name"], overwrite=True)
                     manifest["changes"] = history.change_counts(store.record_run(run_id, datetime.datetime.now(datetime.UTC), done)).first().asDict()
             finally:
                 out.unpersist()

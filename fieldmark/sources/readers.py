@@ -278,6 +278,11 @@ def imported_records(df: DataFrame) -> DataFrame:
     return as_records(df, recovered(fields, {"source"}))
 
 
+def with_source(df: DataFrame, source: str | None) -> DataFrame:
+    """Records that name no source get this one."""
+    return df if not source else df.withColumn("source", F.when(F.col("source") == "", source).otherwise(F.col("source")))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A saved result, CSV or a JSON list of objects."""
     if path.endswith(".csv"):
