@@ -30,7 +30,7 @@ def with_details(df: DataFrame, details: DataFrame, caps: dict[str, int | None])
     """
     wanted = F.col("source").isin(list(caps)) & ~(tx.present(F.col("phone")) & tx.present(F.col("website")))
     asked = df.where(wanted).select(ORDER, "source", detail_id().alias("source_id")).where("source_id is not null").withColumn("hit", F.lit(False))
-    spent = stateful.spend_budget(asked, {s: (1 << 31) - 1 if cap is None else cap for s, cap in caps.items()})
+    spent = stateful.spend_budget(asked, caps)
     known = details.groupBy("source", "source_id").agg(F.first("phone", True).alias("__phone"), F.first("website", True).alias("__website"))
     got = spent.where("action <> 'skipped'").join(known, ["source", "source_id"]).select(F.col(ORDER).alias("__at"), "__phone", "__website")
     out = df.join(got, F.col(ORDER) == F.col("__at"), "left")

@@ -6,23 +6,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ORDER
+from .graph import ensure_checkpoint_dir
 
 FAILURES, RESETS = ("retryable_failure", "fatal_failure"), ("success", "empty")
 #: Planning cost of one paid call, by source.
 COST_PER_CALL = {"google": 0.02, "yelp": 0.02}
 
 
+def segmented(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """df with __seg: ranges of (key, order) of about equal size, so that a key with most rows lies in many of them.
+
+    Later segments of a key hold later rows.  The rows are written to the shared folder once, as a range is only the same range for whoever reads it later
+    when it is not sampled again.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartitionByRange(n, key, *order).withColumn("__seg", F.spark_partition_id()).checkpoint()
+
+
+def running_sum(df: DataFrame, value: str, key: str, order: list[str], out: str) -> DataFrame:
+    """df with the sum of value over the key's rows up to each, in order.
+
+    Two levels: sums inside a segment, and sums of whole segments before it (a row for each key and segment).
+    """
+    placed = segmented(df, key, order)
+    inside = Window.partitionBy(key, "__seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("__k").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    whole = placed.groupBy(F.col(key).alias("__k"), F.col("__seg").alias("__s")).agg(F.sum(value).alias("__whole"))
+    whole = whole.withColumn("__before", F.coalesce(F.sum("__whole").over(before), F.lit(0)))
+    joined = placed.withColumn("__sum", F.sum(value).over(inside)).join(whole, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__seg") == F.col("__s")))
+    return joined.withColumn(out, F.coalesce("__sum", F.lit(0)) + F.col("__before")).select(*df.columns, out)
+
+
 def health(events: DataFrame, threshold: int = 3, source: str = "source", order: str = "ts", tie: str = "event_id") -> DataFrame:
     """events with the source's consecutive failures after each, and its status.
 
     success and empty reset the streak, skipped leaves it.  status: healthy, degraded (a failure since
-    the last reset) or threshold (streak at the threshold).
+    the last reset) or threshold (streak at the threshold).  A source's streak is counted inside segments and carried from one to the next.
     """
-    w = Window.partitionBy(source).orderBy(order, tie)
-    runs = events.withColumn("__group", F.sum(F.col("outcome").isin(*RESETS).cast("int")).over(w))
-    inside = Window.partitionBy(source, "__group").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0)
-    streak = F.sum(F.col("outcome").isin(*FAILURES).cast("int")).over(inside)
-    out = runs.withColumn("consecutive_failures", streak).drop("__group")
+    placed = segmented(events, source, [order, tie])
+    inside = Window.partitionBy(source, "__seg").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0)
+    counted = placed.withColumn("__resets", F.sum(F.col("outcome").isin(*RESETS).cast("int")).over(inside))
+    group = Window.partitionBy(source, "__seg", "__resets").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumn("__streak", F.sum(F.col("outcome").isin(*FAILURES).cast("int")).over(group))
+    ends = counted.groupBy(F.col(source).alias("__k"), F.col("__seg").alias("__s")).agg(F.max("__resets").alias("__had"), F.max_by("__streak", F.struct(order, tie, "__resets", "__streak")).alias("__tail"))
+    along = Window.partitionBy("__k").orderBy("__s")
+    since = ends.withColumn("__g", F.sum((F.col("__had") > 0).cast("int")).over(along))
+    end = since.withColumn("__end", F.sum("__tail").over(Window.partitionBy("__k", "__g").orderBy("__s").rowsBetween(Window.unboundedPreceding, 0)))
+    carried = end.select("__k", "__s", F.coalesce(F.lag("__end").over(along), F.lit(0)).alias("__carry"))
+    out = counted.join(carried, F.col(source).eqNullSafe(F.col("__k")) & (F.col("__seg") == F.col("__s")))
+    out = out.withColumn("consecutive_failures", F.col("__streak") + F.when(F.col("__resets") == 0, F.col("__carry")).otherwise(0)).select(*events.columns, "consecutive_failures")
     return out.withColumn("health", F.when(F.col("consecutive_failures") >= threshold, "threshold").when(F.col("consecutive_failures") > 0, "degraded").otherwise("healthy"))
 
 
@@ -79,20 +113,23 @@ def cache_put(cache: DataFrame, entries: DataFrame) -> DataFrame:
     return both.groupBy("source", "source_id").agg(F.max_by("value", "fetched_at").alias("value"), F.max("fetched_at").alias("fetched_at"))
 
 
-def spend_budget(requests: DataFrame, max_calls: int | dict[str, int], order: str = ORDER) -> DataFrame:
+def spend_budget(requests: DataFrame, max_calls: int | dict[str, int | None], order: str = ORDER) -> DataFrame:
     """requests (source, source_id, hit) with action: hit, paid, repeat or skipped.
 
-    In row order the first `max_calls` misses of a source are paid.  A repeated id is a miss only until it is
-    paid for, then a hit ('repeat'); an id beyond the cap stays skipped.
+    In row order the first `max_calls` misses of a source are paid (None: all).  A repeated id is a miss only until it is
+    paid for, then a hit ('repeat'); an id beyond the cap stays skipped.  Ids are counted once each, whatever their number of requests, and numbered in segments.
     """
-    first = F.row_number().over(Window.partitionBy("source", "source_id").orderBy(order)) == 1
-    miss = requests.withColumn("__first", first & ~F.col("hit"))
-    nth = F.sum(F.col("__first").cast("int")).over(Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = miss.withColumn("__nth", F.when(F.col("__first"), nth))
-    own = F.max("__nth").over(Window.partitionBy("source", "source_id"))
-    cap = F.lit(max_calls) if isinstance(max_calls, int) else F.coalesce(F.create_map(*[F.lit(x) for kv in max_calls.items() for x in kv])[F.col("source")], F.lit(0))
-    action = F.when(F.col("hit"), "hit").when(own > cap, "skipped").when(F.col("__first"), "paid").otherwise("repeat")
-    return ranked.withColumn("action", action).drop("__first", "__nth")
+    ids = requests.groupBy("source", "source_id").agg(F.min(order).alias("__first"), F.min_by("hit", order).alias("__hit"))
+    asked = ids.withColumn("__miss", (~F.col("__hit")).cast("int"))
+    caps = max_calls if isinstance(max_calls, dict) else None
+    bounded = [s for s, c in caps.items() if c is not None] if caps is not None else None
+    cap = F.lit(max_calls) if caps is None else F.coalesce(F.create_map(*[F.lit(x) for s in bounded for x in (s, caps[s])])[F.col("source")] if bounded else F.lit(None).cast("int"), F.lit(0))
+    free = F.lit(False) if caps is None else F.col("source").isin([s for s, c in caps.items() if c is None])
+    ranked = running_sum(asked, "__miss", "source", ["__first", "source_id"], "__nth")
+    over = ranked.select(F.col("source").alias("__s"), F.col("source_id").alias("__i"), "__first", (~F.col("__hit")).alias("__counts"), (~F.col("__hit") & ~free & (F.col("__nth") > cap)).alias("__over"))
+    out = requests.join(over, F.col("source").eqNullSafe(F.col("__s")) & F.col("source_id").eqNullSafe(F.col("__i")))
+    action = F.when(F.col("hit"), "hit").when(F.col("__over"), "skipped").when(F.col("__counts") & (F.col(order) == F.col("__first")), "paid").otherwise("repeat")
+    return out.withColumn("action", action).select(*requests.columns, "action")
 
 
 def task_counts(tasks: DataFrame, by: str = "source") -> DataFrame:
