@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import event_queries, record_queries
+from . import contract_queries, event_queries, record_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**record_queries.QUERIES, **event_queries.QUERIES}
+    return {**record_queries.QUERIES, **event_queries.QUERIES, **contract_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**record_queries.SQL, **event_queries.SQL}
+    return {**record_queries.SQL, **event_queries.SQL, **contract_queries.SQL}

@@ -332,6 +332,12 @@ class Runner:
         clock = F.lit(self.as_of).cast("timestamp") if self.as_of else None
         return delivery.classify(kept, clock, job["delivery.max_age_days"])
 
+    def fuzzy_count(self, job: Job, rows: DataFrame) -> int:
+        """Rows that went because their name is like that of a kept row at the same address."""
+        if not job["processing.fuzzy_deduplicate"]:
+            return 0
+        return dedup.fuzzy_keep_first(contacts.normalize(contacts.validate(rows))).where("dedup_decision = 'fuzzy'").count()
+
     def matches(self, job: Job, rows: DataFrame) -> DataFrame | None:
         """Links between the primary and the supplemental sources' rows as they were acquired."""
         if not job["composition.primary_source"]:
@@ -355,7 +361,8 @@ class Runner:
                 flags = {r["metric"]: r["value"] for r in contacts.counters(contacts.validate(rows, flags=True)).collect()}
                 before, after = sum(t["rows"] for t in log), out.count()
                 if before > after and job["limits.total_records"] is None:
-                    flags["duplicates_removed"] = before - after
+                    fuzzy = self.fuzzy_count(job, rows)
+                    flags |= {k: n for k, n in (("duplicates_removed", before - after - fuzzy), ("fuzzy_duplicates_removed", fuzzy)) if n}
                 manifest["pipeline_metrics"] = flags
                 manifest["output"] = export(job, out, self.folder, run_id, before, self.matches(job, rows))
                 done = delivery.accepted(out)

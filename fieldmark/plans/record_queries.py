@@ -105,7 +105,7 @@ def link_sources_in_order(spark, d):
     return linkage.in_order(linkage.match_sources(p, [s, s])).select("src_rank", "p_ord", "s_ord", "decision")
 
 
-def _scratch(spark) -> str:
+def scratch(spark) -> str:
     """A new path in the shared folder."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/query-{uuid.uuid4().hex}"
@@ -113,7 +113,7 @@ def _scratch(spark) -> str:
 
 def csv_scan(spark, d):
     """Suppliers written as CSV parts and read back as client records, in input order."""
-    path = _scratch(spark)
+    path = scratch(spark)
     rows = v.table(spark, d, "supplier").orderBy("s_suppkey").select(F.col("s_name").alias("business_name"), F.concat("s_suppkey", F.lit(" Main, St \\ 1")).alias("address"), F.concat(F.lit("408-555-"), F.lpad(F.col("s_nationkey").cast("string"), 4, "0")).alias("phone"), F.concat(F.lit("say \"hi\", "), F.col("s_name")).alias("category"), F.lit("1,204").alias("reviews"))
     rows.write.option("header", True).option("escape", '"').csv(path)
     return readers.read_csv(spark, path).select(F.col(ORDER).alias("k"), "name", "address", "phone", "category", "review_count", "source")
@@ -121,7 +121,7 @@ def csv_scan(spark, d):
 
 def history_store_record(spark, d):
     """Three runs of customers recorded in a store; the versions of one of them."""
-    store = history.HistoryStore(spark, _scratch(spark), "customers")
+    store = history.HistoryStore(spark, scratch(spark), "customers")
     rows = v.table(spark, d, "customer").select(F.col("c_custkey").alias(ORDER), F.col("c_name").alias("name"), F.concat("c_custkey", F.lit(" Main St")).alias("address"), F.concat(F.lit("4085550"), "c_custkey").alias("phone"), F.col("c_mktsegment").alias("segment"))
     for day in (1, 2, 3):
         kept = rows.where((F.col(ORDER) + day) % 5 != 0)
@@ -302,11 +302,11 @@ _CB, _CP = v.q_clean(_B), v.q_clean(_P)
 _KEY = "case when website <> '' then 'website' || chr(31) || website when email <> '' then 'email' || chr(31) || email when phone <> '' and name <> '' then 'phone_name' || chr(31) || phone || chr(31) || lower(name) else 'name_address' || chr(31) || lower(name) || chr(31) || lower(address) end"
 
 
-def _match_sql() -> str:
+def _match_sql(supplemental: str = _S) -> str:
     def side(x, src):
         return f"{x} as (select _ord as {x}_ord, npi as {x}_npi, {v.q_match_phone('phone')} as {x}_phone, {v.q_match_site('website')} as {x}_site, {', '.join(f'{v.q_match_text(c)} as {x}_{c}' for c in ('name', 'address', 'city', 'state'))} from {src})"
 
-    return f"""with {side('p', _P)}, {side('s', _S)},
+    return f"""with {side('p', _P)}, {side('s', supplemental)},
 e0 as (select p_ord, s_ord, true as i, false as t, false as w from p join s on p_npi = s_npi where p_npi <> ''
  union all select p_ord, s_ord, false, true, false from p join s on p_phone = s_phone where p_phone <> ''
  union all select p_ord, s_ord, false, false, true from p join s on p_site = s_site where p_site <> ''),
