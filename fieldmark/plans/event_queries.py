@@ -237,7 +237,7 @@ def license_inventory(spark, d):
 
 
 def place_projection(spark, d):
-    places = readers.with_order(_places(spark, d))
+    places = _places(spark, d).withColumn(ORDER, F.expr("cast(substring(id, 2) as bigint)"))
     out = readers.place_records(places, "https://ref.example.test", "2025-01", F.lit(v.AS_OF).cast("timestamp"))
     return out.select(F.col("source_ids")["overture_id"].alias("id"), "name", "category", "city", "state", F.size("claims").cast("long").alias("claims"))
 

@@ -22,13 +22,13 @@ def with_order(df: DataFrame) -> DataFrame:
     """Adds _ord, 0, 1, 2, ...: rows of files by path, then by place in the file.
 
     Scans pack files by size, so rows are counted per file block first; the counts (a row for each block) give each
-    block its first number.  Rows that come from no file keep the order of their partitions.
+    block its first number.  Rows that come from no file, or have gone through a join or an aggregate since, have no such order: an error.
     """
     nth = F.monotonically_increasing_id().alias("__nth")
     try:
         placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), nth)
-    except AnalysisException:
-        return df.withColumn(ORDER, F.monotonically_increasing_id())
+    except AnalysisException as e:
+        raise ValueError("Input order is that of files: number the rows of a scan.") from e
     blocks = placed.groupBy("__file", "__block").agg(F.min("__nth").alias("__least"), F.count("*").alias("__rows"))
     before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
     first = blocks.select(F.col("__file").alias("__f"), F.col("__block").alias("__b"), (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__least")).alias("__first"))
