@@ -1,8 +1,9 @@
 """Secret scans: candidate strings judged by a random forest that removes false positives.
 
 Candidates are values of [A-Za-z0-9+/_.=-], standing alone, in quotes or behind '=' or ':': of at least `SHORTEST`
-characters where they hold a digit, mix cases (a capital after the first character) or begin as known keys do, and of at least
-`NAMED` characters, whatever these are, behind the name of a credential and '=' or ':'.  Each has features of its length, its
+characters where they hold a digit, mix cases (a capital after the first character) or begin as known keys do.  Behind the name of a
+credential and '=' or ':' the whole value is the candidate, whatever its characters, if it has `NAMED` of them: all up to the closing
+quote (on the same line, at most `QUOTED` bytes on), or up to white space, a comma, a semicolon or a bracket.  Each has features of its length, its
 character transitions (how often letters, digits and cases alternate, entropy, letter-pair frequency of prose), its dictionary
 coverage (how much of its letters the longest words of a dictionary cover), its path (the value's own slashes and dots, and
 whether the document's path or source is one of tests, examples or documentation) and the words around it.  The
@@ -38,6 +39,8 @@ from .words import Words, slices
 SHORTEST = 12
 #: Characters of a value behind the name of a credential.
 NAMED = 6
+#: Bytes in which the closing quote of a value with spaces must stand.
+QUOTED = 256
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 
@@ -56,6 +59,10 @@ _NAME = re.compile(
     r"(?:(?:passw(?:or)?d|passphrase|passcode|pwd|secret|token|credential|(?:api|access|private|auth|account|signing|encryption)[_.\-]?key)[\w.\-]*|(?<![a-z])(?:pass|auth|login|key)s?\d*)[\"'\])]*(?:=>|:=|=|:)+[\"'(\[{]*$",
     re.IGNORECASE,
 )
+#: What may stand between a name and its value, and an unquoted value behind a name.
+_LEAD, _JOINTS = re.compile(r"[=:>\"'(\[{]*"), re.compile(r"(?:=>|:=|=|:)+[\"'(\[{]*")
+_WHOLE = re.compile(r"[^\s\"'`,;<>()\[\]{}|]+")
+_ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://")
 _KNOWN = re.compile(b"|".join(re.escape(p.encode()) for p in PREFIXES))
 _MARK = re.compile(r"[=:]>?")
 _CLASS = np.zeros(256, np.int8)
@@ -192,6 +199,8 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, int, str
     phrase = lambda: "".join(word().capitalize() for _ in range(rng.randint(2, 4)))
     short = lambda: rng.choice([word() + pick(string.digits, rng.randint(1, 4)) + pick(string.ascii_lowercase + string.digits, rng.randint(0, 3)), word().capitalize() + pick(string.digits, rng.randint(2, 4)), pick(alnum, rng.randint(7, 13))])
     between = lambda: rng.choice(["=", " = ", ": ", ":"])
+    signs = "!@#$%^&*+=~?"
+    strong = lambda: rng.choice([pick(alnum, rng.randint(3, 9)), word().capitalize(), short()]) + pick(signs, rng.randint(1, 2)) + pick(alnum, rng.randint(3, 9)) + pick("!#$*=", rng.randint(0, 2))
     secret = [
         lambda: "AKIA" + pick(upper, 16),
         lambda: f"aws_access_key_id = {quote('AKIA' + pick(upper, 16))}",
@@ -206,6 +215,9 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, int, str
         lambda: f"{name()}{between()}{quote(pick(letters, rng.randint(8, 40)))}",
         lambda: rng.choice(["AKIA" + pick(string.ascii_uppercase, 16), "ghp_" + pick(letters, 36), "sk_live_" + pick(letters, 24), "npm_" + pick(letters, 36)]),
         lambda: pick(letters, rng.randint(24, 44)),
+        lambda: f"{name()}{between()}{quote(strong())}",
+        lambda: f"{name()}={','.join(pick(rng.choice([hexa, alnum]), rng.randint(16, 32)) for _ in range(2))}",
+        lambda: f"{name()}{between()}{quote(pick(alnum + '+/', rng.choice([22, 30, 43])) + rng.choice(['=', '==']))}",
         lambda: "Authorization: Bearer eyJ" + pick(alnum, 30) + "." + pick(alnum, 40) + "." + pick(alnum + "_-", 43),
     ]
     other = [
@@ -229,6 +241,9 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, int, str
         lambda: f"{name()}{between()}{quote(rng.choice(VOID))}",
         lambda: f"{name()}{between()}{rng.choice([pick('etaoinshrdlu', rng.randint(6, 11)), word() + word()])}",
         lambda: f"{name()}{between()}{rng.choice(['self', 'config', 'os.environ', 'settings', 'args'])}.{word()}_{word()}",
+        lambda: f"{name()}{between()}{quote(rng.choice(['$', '%', '&', '@']) + word().upper() + '_' + word().upper())}",
+        lambda: f"{name()}{between()}{quote(rng.choice('*x#?.-') * rng.randint(6, 16))}",
+        lambda: f"{name()}{between()}{word()}{rng.choice(['/', '&', '+', '?'])}{word()}",
         lambda: phrase() + rng.choice(["", "s", "ing", "er"]),
         lambda: word() + phrase(),
         lambda: rng.choice("-./_").join(word().capitalize() for _ in range(rng.randint(2, 4))),
@@ -266,14 +281,49 @@ def train(findings: list[tuple] | None = None, words: str | None = None) -> Fore
 
 def _values(tokens: list[str], k: int) -> list[tuple[str, str]]:
     """(value, joint) of the candidates in token k."""
-    return [(value, joint) for value, joint, _ in _places(tokens, k)]
+    return [(value, joint) for value, joint, _, _ in _places(tokens, k) if len(value) >= NAMED]
+
+
+def _behind_names(tokens: list[str], k: int) -> list[tuple[str, str, int, str]]:
+    """(value, joint, place, open quote) of the whole values behind names of credentials in token k or before it."""
+    token, out, done = tokens[k], [], 0
+    lead = _LEAD.match(token).end()
+    before = tokens[k - 1] if k else ""
+    if before in _SEPARATORS:
+        before = (tokens[k - 2] if k > 1 else "") + before
+    spots = [(lead, before + token[:lead])] if before else []
+    spots += [(m.end(), token[: m.end()]) for m in _JOINTS.finditer(token) if m.end() > lead or not before]
+    for at, joint in spots:
+        if at < done or at >= len(token) or not _names(joint):
+            continue
+        quote, still_open = token[at - 1] if at and token[at - 1] in "\"'" else "", ""
+        if quote:
+            end = token.find(quote, at)
+            value, still_open = (token[at:end], "") if end >= 0 else (token[at:], quote)
+        else:
+            m = _WHOLE.match(token, at)
+            value = m[0].rstrip(".,:?") if m else ""
+            if value.rstrip("!").isalpha():
+                value = value.rstrip("!")
+        if _ADDRESS.match(value) or (len(value) < NAMED and not still_open):
+            continue
+        out.append((value, joint + ("@" if "@" in token[at + len(value) :][:1] else ""), at, still_open))
+        done = at + len(value)
+    return out
+
 
+def _places(tokens: list[str], k: int) -> list[tuple[str, str, int, str]]:
+    """(value, joint, place in the token, open quote) of the candidates in token k; the name of a credential in words before belongs to the joint.
 
-def _places(tokens: list[str], k: int) -> list[tuple[str, str, int]]:
-    """(value, joint, place in the token) of the candidates in token k; the name of a credential in words before belongs to the joint."""
-    out, token = [], tokens[k]
+    A value with an open quote goes on behind the token.
+    """
+    token = tokens[k]
+    out = _behind_names(tokens, k)
+    taken = [(at, at + len(value)) for value, _, at, _ in out]
     for m in _VALUE.finditer(token):
         value, at = m[0], m.start()
+        if any(m.start() < b and a < m.end() for a, b in taken):
+            continue
         joint, after = token[:at], token[m.end() : m.end() + 1]
         # name=value and name:value inside one token: only the value is a candidate
         if "=" in value.rstrip("="):
@@ -281,26 +331,17 @@ def _places(tokens: list[str], k: int) -> list[tuple[str, str, int]]:
             joint, at = f"{joint}{head}=", at + len(head) + 1
         at += len(value) - len(value.lstrip(".-_/"))
         value = value.strip(".-_/")
-        lead = joint.lstrip("\"'([{")
-        apart = tokens[k - 1] if k and not lead else ""
-        name = ""
-        if apart in _SEPARATORS:
-            name = tokens[k - 2] + apart if k > 1 else ""
-        elif apart or (k and lead[:1] in ("=", ":")):
-            name = tokens[k - 1]
-        if name and _names(name + joint):
-            joint = name + joint
-        elif apart in _SEPARATORS and joint in ("", '"', "'") and apart != ":=":
+        apart = tokens[k - 1] if k and not joint.lstrip("\"'([{") else ""
+        if apart in _SEPARATORS and joint in ("", '"', "'") and apart != ":=":
             joint = apart + joint
-        named = _names(joint)
         digit = any(c.isdigit() for c in value)
-        if len(value) < (NAMED if named else SHORTEST):
+        if len(value) < SHORTEST:
             continue
         if not digit and value.endswith("=") and after and after in "\"'":
             continue  # a name before a quoted value
-        if named or digit or value.startswith(PREFIXES) or (any(c.islower() for c in value) and any(c.isupper() for c in value[1:])):
-            out.append((value, joint + ("@" if after == "@" else ""), at))
-    return out
+        if digit or value.startswith(PREFIXES) or (any(c.islower() for c in value) and any(c.isupper() for c in value[1:])):
+            out.append((value, joint + ("@" if after == "@" else ""), at, ""))
+    return sorted(out, key=lambda x: x[2])
 
 
 def _candidate_words(words: Words) -> np.ndarray:
@@ -333,22 +374,32 @@ def _names(before: str) -> bool:
 def _findings(words: Words, doc: int, own: np.ndarray, path: str, forest: Forest, threshold: float):
     """(byte start, byte end, score) of the secrets among the candidate words of one document."""
     first, last = words.first[doc], words.first[doc + 1]
-    spots, x = [], []
+    spots, x, until = [], [], 0
     for k in own.tolist():
         a, b = max(first, k - 3), min(last, k + 3)
         tokens = [words.word(j).decode("utf-8", "replace") for j in range(a, b)]
         here = k - a
         token = words.word(k)
-        for value, joint, place in _places(tokens, here):
+        for value, joint, place, still_open in _places(tokens, here):
             before = tokens[:here]
             if "=" in joint or ":" in joint:
                 before = [*before, joint.rstrip("=:\"'")]
-            at = len(tokens[here][:place].encode("utf-8", "replace"))
-            if token[at : at + len(value)] != value.encode():
-                at = token.find(value.encode())  # bytes that are no UTF-8
-            if at < 0:
+            at, size = len(tokens[here][:place].encode("utf-8", "replace")), len(value.encode("utf-8", "replace"))
+            if token[at : at + size] != value.encode("utf-8", "replace"):
+                at = token.find(value.encode("utf-8", "replace"))  # bytes that are no UTF-8
+            at += int(words.starts[k])
+            if at < words.starts[k] or at < until:
+                continue
+            if still_open:
+                # a quoted value with spaces ends at its quote on the same line
+                rest = words.buf[at : min(at + QUOTED, int(words.offsets[doc + 1]))].tobytes().split(b"\n")[0]
+                close = rest.find(still_open.encode())
+                if close >= 0:
+                    value, size = rest[:close].decode("utf-8", "replace"), close
+            if len(value) < NAMED:
                 continue
-            spots.append((int(words.starts[k]) + at, int(words.starts[k]) + at + len(value)))
+            until = at + size
+            spots.append((at, at + size))
             x.append(features(value, before[-3:], tokens[here + 1 : here + 3], path, joint, forest.known))
     if not spots:
         return []
