@@ -53,7 +53,7 @@ _ENTRIES, _MOST_ENTRIES = 1 << 18, 1 << 23
 _FILTER_BITS = 1 << 27
 #: Parts that the entries of a frequent column are dealt to, and pairs that a task forms at a time in the last round.
 _SALTS, _HOT_PAIRS = 32, 1 << 18
-#: Rows that make a column hot in the last round, and pairs beyond which it is dealt to parts.
+#: Rows that make a column hot in the last round, and pairs beyond which it is dealt to the cells of a grid.
 _HOT, _SPLIT = 1024, 1 << 22
 #: Rows compared with one row at a time, rows of one block of pairs, and text decoded at a time there.
 _ROWS, _BUNDLE, _DECODED = 256, 256, 1 << 20
@@ -492,10 +492,10 @@ def _product(num: int, den: int):
         order = order[~again]
         h, ids, n, pos, label = h[order], ids[order], n[order].astype(np.int64), pos[order], label[order]
         if "main" in table.column_names:
-            main, asks = table.column("main").to_numpy()[order], table.column("asks").to_numpy(zero_copy_only=False)[order]
+            main, asks, meets = table.column("main").to_numpy()[order], *(table.column(c).to_numpy(zero_copy_only=False)[order] for c in ("asks", "meets"))
         else:
             main = _largest(h, label)
-            asks = label != main
+            asks, meets = label != main, np.ones(len(h), dtype=bool)
         start = np.concatenate([[True], h[1:] != h[:-1]])
         at = np.flatnonzero(start)
         column = np.cumsum(start) - 1
@@ -511,7 +511,7 @@ def _product(num: int, den: int):
             i = np.repeat(now, each)
             ends = np.cumsum(each)
             j = np.arange(ends[-1]) - np.repeat(ends - each, each) + np.repeat(at[column[now]], each)
-            keep = (label[i] != label[j]) & ((label[j] == main[j]) | (ids[i] < ids[j]))
+            keep = meets[j] & (label[i] != label[j]) & ((label[j] == main[j]) | (ids[i] < ids[j]))
             i, j = i[keep], j[keep]
             both = n[i] + n[j]
             keep = (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num) & ((n[i] - pos[i]) * (num + den) >= both * num) & ((n[j] - pos[j]) * (num + den) >= both * num)
@@ -529,7 +529,8 @@ def _last_round(entries: DataFrame, label: DataFrame, tested: DataFrame, blocks:
 
     Columns that can be the first shared one of two rows name the pairs: rows whose every shared column
     comes later, behind too many of their own, are never put together.  A column of two rows names one pair; those of
-    more are multiplied in blocks.  A hot column's rows are dealt to parts, each of which has all rows to compare them with.
+    more are multiplied in blocks.  A hot column is dealt to a grid: rows that ask to its lines, rows that are met to its rows, so
+    that with c cells a row is copied some sqrt(c) times and every two rows meet in one cell.
     """
     a, b = label.toDF("x", "a", "la"), label.toDF("y", "b", "lb")
     two = entries.where((F.col("k") == 2) & ~F.col("salted") & (F.col("id") != F.col("p0"))).groupBy(F.col("p0").alias("x"), F.col("id").alias("y"), F.col("n0").cast("long").alias("nx"), F.col("n").cast("long").alias("ny")).agg(F.count("*").alias("c"), F.bool_or(_near(0, num, den)).alias("first"))
@@ -546,12 +547,17 @@ def _last_round(entries: DataFrame, label: DataFrame, tested: DataFrame, blocks:
 
     mixed = _mixed(_named(entries.where((F.col("k") > 2) & hot | F.col("salted")), label))
     sizes = mixed.groupBy("h").agg(F.count("*").alias("size"), F.sum((F.col("label") != F.col("main")).cast("long")).alias("out"))
-    parts = sizes.select("h", F.greatest(F.lit(1), F.ceil(F.col("size") * F.col("out") / _SPLIT)).alias("parts"))
-    dealt = mixed.join(parts, "h").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    asks = (F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("id"), F.col("parts")) == F.col("part"))
-    # a column in parts has groups of its own
-    own = F.when(F.col("parts") > 1, F.col("h")).otherwise(F.lit(0).cast("long"))
-    dealt = dealt.select("h", "id", "n", "pos", "label", "main", asks.alias("asks"), block.alias("block"), own.alias("own"), "part")
+    cells = sizes.withColumn("cells", F.greatest(F.lit(1), F.ceil(F.col("size") * F.col("out") / _SPLIT)))
+    # askers are copied once a column of the grid, met rows once a line: the copies are fewest at this ratio
+    lines = F.greatest(F.lit(1), F.least("cells", F.ceil(F.sqrt(F.col("cells") * F.col("out") / F.col("size")))))
+    grid = cells.select("h", lines.alias("lines"), F.ceil(F.col("cells") / lines).alias("columns"))
+    placed = mixed.join(grid, "h").withColumns({"asking": F.col("label") != F.col("main"), "line": F.pmod(F.xxhash64("id"), F.col("lines")), "column": F.pmod(F.xxhash64("id", F.lit(1)), F.col("columns"))})
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("lines") - 1), lambda x: F.struct((x * F.col("columns") + F.col("column")).alias("part"), (F.col("asking") & (x == F.col("line"))).alias("asks"), F.lit(True).alias("meets")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1), lambda y: F.col("asking") & (y != F.col("column")))
+    ask = F.transform(others, lambda y: F.struct((F.col("line") * F.col("columns") + y).alias("part"), F.lit(True).alias("asks"), F.lit(False).alias("meets")))
+    # a column in cells has groups of its own
+    own = F.when((F.col("lines") > 1) | (F.col("columns") > 1), F.col("h")).otherwise(F.lit(0).cast("long"))
+    dealt = placed.select("h", "id", "n", "pos", "label", "main", block.alias("block"), own.alias("own"), F.explode(F.concat(met, ask)).alias("cell")).select("h", "id", "n", "pos", "label", "main", "block", "own", "cell.*")
     more = cold.union(dealt.groupBy("block", "own", "part").applyInArrow(_product(num, den), made))
     named = two.union(more.select("*", F.lit(0).cast("long").alias("c"), F.lit(True).alias("first"))).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"), F.bool_or("first").alias("first"))
     return named.where("first").drop("first").join(tested, ["a", "b"], "left_anti")
