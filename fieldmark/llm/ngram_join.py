@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .words import Shelf, Words, forget, mix, planes, release, slices, total_bytes, unplanes
+from .words import Shelf, Words, forget, mix, planes, release, slices, total_bytes, trim, unplanes
 
 #: Compacted counts that one task holds while it looks for frequent shingles.
 _COUNTS = 1 << 18
@@ -59,6 +59,8 @@ _HOT, _SPLIT = 1024, 1 << 22
 _ROWS, _BUNDLE, _DECODED = 256, 256, 1 << 20
 #: Bits of a column's hash in the entries beyond those that number all leading columns.
 _SPARE = 16
+#: Bytes of a group before which freed memory is given back.
+_TRIMMED = 1 << 20
 #: Texts that a task knows again.
 _SEEN = 50_000
 
@@ -108,6 +110,7 @@ def _facts(width: int):
             h, c = h[c > 1], c[c > 1]
             k = len(h)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(h.view(np.int64)), pa.array(c)], names=["doc_id", "n", "seq", "h", "c"])
+        trim()
 
     return run
 
@@ -183,6 +186,8 @@ def _leading(width: int, num: int, den: int, frequent, blocks: int, bits: int):
                     yield flush()
         if waiting:
             yield flush()
+        seen.clear()
+        trim()
 
     return run
 
@@ -195,6 +200,8 @@ def _shared_columns(key: tuple, table: pa.Table) -> pa.Table:
 
     An entry of a row that has the column at an earlier place is marked `again`.
     """
+    if table.nbytes > _TRIMMED:
+        trim()
     got = [unplanes(b.as_py(), n.as_py(), 4) for b, n in zip(table.column("block"), table.column("n"), strict=True)]
     h, ids, n, pos = (np.concatenate([g[k] for g in got]) for k in range(4))
     del got
@@ -485,6 +492,8 @@ def _product(num: int, den: int):
     """Of one block of columns, the distinct pairs of different components that a column can be the first shared one of."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        if table.nbytes > _TRIMMED:
+            trim()
         h, ids, n, pos, label = (table.column(c).to_numpy() for c in ("h", "id", "n", "pos", "label"))
         # equal texts of several tasks are one row, and a row's columns that fall together the first of them
         order = np.lexsort((pos, ids, h))

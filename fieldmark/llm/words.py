@@ -223,7 +223,18 @@ def remembered(key, make):
 def forget() -> None:
     """Gives up what other operators have left in this worker: workers outlive the stages that they serve."""
     _REMEMBERED.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: an idle worker should not hold what its last task needed."""
+    import ctypes
+
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library
 
 
 def release(spark) -> None:
