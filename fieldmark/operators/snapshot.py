@@ -67,7 +67,7 @@ def in_taxonomy(root: str = ROOT) -> Column:
 
 def in_localities(names: list[str]) -> Column:
     names = list(dict.fromkeys(n.casefold() for n in names))
-    return F.lower(F.try_element_at("addresses", F.lit(1))["locality"]).isin(names)
+    return F.lower(F.get("addresses", F.lit(0))["locality"]).isin(names)
 
 
 def scope(df: DataFrame, box, root: str = ROOT, localities: list[str] | None = None) -> DataFrame:
