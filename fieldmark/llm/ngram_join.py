@@ -27,7 +27,7 @@ Tables between rounds are Parquet in the shared folder, and go when the next is
 Defined results.  Null and blank texts have no shingle, link with nothing and are their own
 component; an empty table gives no row.  A row with a null doc_id links with nothing and has a null component.  Rows that
 repeat a doc_id are one document of several texts: what one of them links to, all of them do.  Equal word sequences are
-one class with the smallest of its doc_ids.  Other columns of docs are ignored, whatever their names.  A
+one class with the smallest of its doc_ids.  Very long texts are read whole, one by one.  Other columns of docs are ignored, whatever their names.  A
 shingle is its 64-bit hash: for one pair of sets of a thousand the chance that two differ and have equal hashes is 1 in 10**13.
 """
 

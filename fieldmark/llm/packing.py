@@ -10,7 +10,9 @@
    one task) and the rank points into the plan: sequence and offset.
 
 Defined results.  A null text is empty: its document is the end id alone.  A null doc_id stays null.
-Repeated rows are packed as often as they come.
+Repeated rows are packed as often as they come; equal ones (same doc_id, start and ids) are ranked in one task.  An empty table gives no row.
+Very long texts are tokenized whole and cut at the capacity.  Ties: pieces of one length are alike to the plan and are placed by bucket, doc_id and
+start; of equal windows the first found fills.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,11 +15,12 @@ the table.  A chunk's block for one range should hold several entries; chunks an
 square root of the table, from 3 to 64 MB (100 TB).
 
 Windows are equal where two Rabin-Karp hashes of different bases are, 88 bits in all: among the
-1.5 * 10**13 windows of 100 TB that leaves 0.4 false pairs to be expected.
+1.5 * 10**13 windows of 100 TB that leaves 0.4 false pairs to be expected.  Both are made from the same 64-bit hash of each word,
+so that figure holds as long as no two different words share that hash.
 
 Defined results.  A null or empty text has no words; an empty table gives no row.  A null doc_id has no order: that row keeps all its
 words and takes none from others.  Rows with the same doc_id are one document for the
-comparison, so neither removes words of the other.  Other columns are ignored, whatever their names.
+comparison, so neither removes words of the other.  A very long text is read whole and alone; rows without id and of equal length meet in one chunk.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
