@@ -111,3 +111,13 @@ def test_mining_bound(spark):
     labelled = spark.createDataFrame([(["a", "b", "c"], "block")] * 3 + [(["a", "b"], "block")] * 3 + [(["a"], "block")], "tokens array<string>, verdict string")
     rules, _ = url_rules.mine(labelled, 0.1, 0.5, items=2)
     assert {tuple(r["antecedent"]) for r in rules.collect()} <= {("a",), ("b",)}
+
+
+def test_rare_items_of_many(spark):
+    """A URL's items beyond the most frequent ones count like the others, also those with both verdicts."""
+    many = [f"i{k:02d}" for k in range(18)]
+    rows = [([*many, "pure", "rare"], "block")] * 5 + [([x, "odd"], "allow") for x in many for _ in range(20)] + [(["rare"], "block")] * 13 + [(["rare", "odd"], "allow")] * 2 + [(["pure"], "block")] * 12
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    rules, _ = url_rules.mine(labelled, 0.04, 0.8)
+    found = {(tuple(r["antecedent"]), r["verdict"]): (r["confidence"], r["support"]) for r in rules.collect()}
+    assert found[("pure",), "block"] == (1.0, 17) and found[("rare",), "block"] == (18 / 20, 18) and found[("odd",), "allow"] == (1.0, 362)
