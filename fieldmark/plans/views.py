@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a key to all cores at least: a small file is one split, and work on its rows would be one task."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, key)
+
+
 def raw_sql(kind: str) -> str:
     """Raw business rows, in SQL that both engines read; columns: k, then text columns."""
     key, nation = _KEYS[kind]
@@ -41,7 +47,8 @@ def raw_sql(kind: str) -> str:
 
 
 def raw(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    for t in (kind, "nation", "region"):
+    spread(table(spark, sf_dir, kind), _KEYS[kind][0]).createOrReplaceTempView(f"fieldmark_{kind}")
+    for t in ("nation", "region"):
         table(spark, sf_dir, t).createOrReplaceTempView(f"fieldmark_{t}")
     text = raw_sql(kind).replace(f"from {kind} join nation on", f"from fieldmark_{kind} join fieldmark_nation on").replace("join region on", "join fieldmark_region on")
     return spark.sql(text)

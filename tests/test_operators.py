@@ -385,3 +385,11 @@ def test_crowded_keys_are_linked_in_cells(spark):
     plan = linkage.edges(a, b)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     exchanges = [x for x in plan.split("\n\n") if ") Exchange" in x]
     assert exchanges and not [x for x in exchanges if "p_ord#" in x and "s_ord#" in x]
+
+
+@pytest.mark.parametrize("name", ["documents_round_trip", "json_source_projection"])
+def test_rows_of_a_small_file_are_dealt_out(spark, name):
+    """Work on the rows of a table that is one split is shared by all cores."""
+    from fieldmark.plans import catalog
+
+    assert catalog.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
