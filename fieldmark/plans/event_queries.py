@@ -244,7 +244,7 @@ def place_projection(spark, d):
 
 # ---- JSON sources ----
 def json_source_projection(spark, d):
-    c = v.table(spark, d, "customer")
+    c = v.spread(v.table(spark, d, "customer").select("c_custkey"), "c_custkey")
     k = F.col("c_custkey")
     text = F.concat(
         F.lit('{"name": '), F.when(k % 9 == 0, F.lit("null")).otherwise(F.concat(F.lit('" Cafe '), k, F.lit(' "'))), F.lit(', "rating": '), F.when(k % 3 == 0, F.lit("true")).when(k % 3 == 1, F.lit("4.5")).otherwise(F.lit("null")), F.lit(', "reviewCount": '), (k % 50).cast("string"), F.lit(", "),

@@ -196,7 +196,7 @@ def yelp_records(df: DataFrame, scraped_at: Column, limit: int | None = None) ->
 
 def yelp_actor_records(df: DataFrame, scraped_at: Column, json: str = "json") -> DataFrame:
     """Items as JSON text, whose fields differ in kind: location or address structs, categories as strings or structs."""
-    v = F.try_parse_json(json)
+    df, v = df.withColumn("__item", F.try_parse_json(json)), F.col("__item")
 
     def text(path: str) -> Column:
         """A string at the path, stripped; anything else is ''."""
