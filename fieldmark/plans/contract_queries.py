@@ -53,7 +53,7 @@ def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 
 def link_two_sources(spark, d):
     p, odd, even = _halves(spark, d)
-    return linkage.in_order(linkage.match_sources(p, [odd, even])).select("src_rank", "p_ord", "s_ord", "decision", "method")
+    return linkage.matches_in_order(p, [odd, even]).select("src_rank", "p_ord", "s_ord", "decision", "method")
 
 
 def link_promote_contacts(spark, d):

@@ -102,7 +102,7 @@ def link_review_page(spark, d):
 
 def link_sources_in_order(spark, d):
     p, s = _sides(spark, d)
-    return linkage.in_order(linkage.match_sources(p, [s, s])).select("src_rank", "p_ord", "s_ord", "decision")
+    return linkage.matches_in_order(p, [s, s]).select("src_rank", "p_ord", "s_ord", "decision")
 
 
 def scratch(spark) -> str:

@@ -382,6 +382,8 @@ def test_crowded_keys_are_linked_in_cells(spark):
     e = linkage.edges(a, b, cell=4)
     assert sorted(tuple(r) for r in e.collect()) == _brute_edges(p, s)
     assert sorted(tuple(r) for r in linkage.match(a, b, cell=4).collect()) == sorted(tuple(r) for r in linkage.match(a, b).collect())
+    ordered = linkage.in_order(linkage.match_sources(a, [b, b.where(F.col(ORDER) % 3 > 0)])).collect()
+    assert linkage.matches_in_order(a, [b, b.where(F.col(ORDER) % 3 > 0)], parts=5, cell=4).collect() == ordered
     plan = linkage.edges(a, b)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     exchanges = [x for x in plan.split("\n\n") if ") Exchange" in x]
     assert exchanges and not [x for x in exchanges if "p_ord#" in x and "s_ord#" in x]
