@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,10 +59,17 @@ class WordIds:
 
     def forget(self) -> None:
         """Keeps the words that were met in more than one slice."""
-        kept = [(k, self.flat[self.start[v] : self.start[v] + self.length[v]].tolist()) for k, v in self.index.items() if self.met[v] > 1]
+        rows = np.flatnonzero(self.met[: len(self.index)] > 1)[: _WORDS // 2]
+        names = list(self.index)
+        keys, length, flat = [names[k] for k in rows.tolist()], self.length[rows], self.flat[self._places(self.start[rows], self.length[rows])]
         self.clear()
-        for key, ids in kept[: _WORDS // 2]:
-            self._put(key, ids)
+        self._put(keys, flat, length)
+
+    @staticmethod
+    def _places(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Where the ids of words with these starts and lengths lie, word after word."""
+        ends = np.cumsum(length)
+        return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)
 
     def one(self, word: str) -> list[int]:
         low = word.lower()
@@ -79,17 +87,17 @@ class WordIds:
                 self.letters[text] = ids
         return ids
 
-    def _put(self, key: int, ids: list[int]) -> int:
-        k = len(self.index)
-        if k == len(self.start):
+    def _put(self, keys: list[int], flat: np.ndarray, length: np.ndarray) -> None:
+        """Adds words that are not there yet, all of a slice at once."""
+        k, n = len(self.index), len(keys)
+        while k + n > len(self.start):
             self.start, self.length, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.met))
-        while self.used + len(ids) > len(self.flat):
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[k], self.length[k] = self.used, len(ids)
-        self.used += len(ids)
-        self.index[key] = k
-        return k
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[k : k + n], self.length[k : k + n] = self.used + np.cumsum(length) - length, length
+        self.used += len(flat)
+        self.index.update(zip(keys, range(k, k + n), strict=True))
 
     def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents after one another, number of ids of each document)."""
@@ -101,19 +109,19 @@ class WordIds:
         new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
         first = order[np.flatnonzero(new)]
         keys = s[new].tolist()
-        at = [self.index.get(k, -1) for k in keys]
-        for j, k in enumerate(at):
-            if k < 0:
-                at[j] = self._put(keys[j], self.one(words.word(first[j]).decode("utf-8", "replace")))
+        at = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            at[fresh] = np.arange(len(self.index), len(self.index) + len(fresh))
+            found = [self.one(words.word(j).decode("utf-8", "replace")) for j in first[fresh].tolist()]
+            length = np.fromiter(map(len, found), np.int64, len(found))
+            self._put([keys[j] for j in fresh.tolist()], np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum())), length)
         self.met[at] += 1
         entry = np.empty(len(h), np.int64)
-        entry[order] = np.array(at, np.int64)[np.cumsum(new) - 1] if len(h) else 0
+        entry[order] = at[np.cumsum(new) - 1] if len(h) else 0
         start, length = self.start[entry], self.length[entry]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        place = np.arange(total) + np.repeat(start - (ends - length), length)
-        bounds = np.concatenate([[0], ends])
-        return self.flat[place], np.diff(bounds[words.first])
+        bounds = np.concatenate([[0], np.cumsum(length)])
+        return self.flat[self._places(start, length)], np.diff(bounds[words.first])
 
 
 def _pieces(path: str, capacity: int, end_id: int):
