@@ -253,6 +253,11 @@ def _rest(c: str, a: str, b: str, num: int, den: int):
     return (F.col(c) + F.greatest(rest(a), rest(b))) * (num + den) >= (F.col(a) + F.col(b)) * num
 
 
+def _slots(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Places of ids in the filter, three each: one alone lets so many others through that they weigh as much as the named rows."""
+    return [(mix(ids.astype(np.uint64) + np.uint64(k << 56)) % np.uint64(bits)).astype(np.int64) for k in range(3)]
+
+
 def _filter(pairs: DataFrame, bits: int):
     """A bitmap over the ids in pairs; more ids than it can tell apart only make it let more rows through."""
     lanes = 1 << 10
@@ -261,8 +266,8 @@ def _filter(pairs: DataFrame, bits: int):
         out = np.zeros(bits // 8, dtype=np.uint8)
         for batch in batches:
             for c in ("a", "b"):
-                slot = (mix(batch.column(c).to_numpy().astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
-                np.bitwise_or.at(out, slot >> 3, (128 >> (slot & 7)).astype(np.uint8))
+                for slot in _slots(batch.column(c).to_numpy(), bits):
+                    np.bitwise_or.at(out, slot >> 3, (128 >> (slot & 7)).astype(np.uint8))
         packed = out.reshape(-1, lanes)
         used = np.flatnonzero(packed.any(axis=1))
         yield pa.RecordBatch.from_pydict({"lane": used, "bits": pa.array([packed[k].tobytes() for k in used], pa.binary())})
@@ -290,8 +295,9 @@ def _named_rows(docs: DataFrame, needed, bits: int) -> DataFrame:
         for batch in batches:
             known = ~np.asarray(batch.column("doc_id").is_null())
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            slot = (mix(ids.astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
-            hit = ((own[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool) & known
+            hit = known
+            for slot in _slots(ids, bits):
+                hit = hit & ((own[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)
             for piece in slices(batch.filter(pa.array(hit))):
                 rows = {(i, (t or "").encode()): None for i, t in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True)}
                 # a row that comes again in a task says nothing new
@@ -542,8 +548,10 @@ def _last_round(entries: DataFrame, label: DataFrame, tested: DataFrame, blocks:
     that with c cells a row is copied some sqrt(c) times and every two rows meet in one cell.
     """
     a, b = label.toDF("x", "a", "la"), label.toDF("y", "b", "lb")
-    two = entries.where((F.col("k") == 2) & ~F.col("salted") & (F.col("id") != F.col("p0"))).groupBy(F.col("p0").alias("x"), F.col("id").alias("y"), F.col("n0").cast("long").alias("nx"), F.col("n").cast("long").alias("ny")).agg(F.count("*").alias("c"), F.bool_or(_near(0, num, den)).alias("first"))
-    two = two.join(a, "x", "left").join(b, "y", "left").where(F.coalesce("la", "x") != F.coalesce("lb", "y")).select(F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b"), "nx", "ny", "c", "first")
+    two = entries.where((F.col("k") == 2) & ~F.col("salted") & (F.col("id") != F.col("p0")) & _can_reach("n", "n0", num, den)).select(F.col("p0").alias("x"), F.col("id").alias("y"), F.col("n0").alias("nx"), F.col("n").alias("ny"), _near(0, num, den).alias("first"))
+    # labels of x come before the sums, so that one shuffle by x serves both
+    two = two.join(a, "x", "left").groupBy("x", "y", "nx", "ny", "a", "la").agg(F.count("*").alias("c"), F.bool_or("first").alias("first"))
+    two = two.join(b, "y", "left").where(F.coalesce("la", "x") != F.coalesce("lb", "y")).select(F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b"), F.col("nx").cast("long").alias("nx"), F.col("ny").cast("long").alias("ny"), "c", "first")
     turned = F.col("a") > F.col("b")
     two = two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("ny")).otherwise(F.col("nx")).alias("na"), F.when(turned, F.col("nx")).otherwise(F.col("ny")).alias("nb"), "c", "first")
     # leading columns of long rows stand in the lowest quarter, which has as many ranges as the rest; a pair is named once a range
@@ -572,7 +580,7 @@ def _last_round(entries: DataFrame, label: DataFrame, tested: DataFrame, blocks:
     return named.where("first").drop("first").join(tested, ["a", "b"], "left_anti")
 
 
-def _open(pairs: DataFrame, entries: DataFrame, same: DataFrame, num: int, den: int) -> DataFrame:
+def _open(shelf: Shelf, pairs: DataFrame, entries: DataFrame, same: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (a, b, na, nb, c) those that their overlap over all leading columns leaves open.
 
     c counts the columns of the two rows alone; those of more are added, and as many as may have fallen together.
@@ -584,9 +592,16 @@ def _open(pairs: DataFrame, entries: DataFrame, same: DataFrame, num: int, den:
     held = entries.where((F.col("k") > 2) | F.col("salted")).select("id", "h").join(own, "id").groupBy(F.col("class").alias("id")).agg(F.collect_set("h").alias("columns"))
     columns = ids.join(held, "id", "left").select("id", F.coalesce("columns", F.array().cast("array<long>")).alias("columns"))
     twice = entries.where("again").select("id").join(own, "id").groupBy(F.col("class").alias("a")).agg(F.count("*").alias("twice"))
-    shared = F.size(F.array_intersect("la", "lb")) + F.coalesce("twice", F.lit(0))
-    counted = pairs.join(columns.toDF("a", "la"), "a").join(columns.toDF("b", "lb"), "b").join(twice, "a", "left").withColumn("c", F.col("c") + shared)
-    return counted.where(_rest("c", "na", "nb", num, den)).select("a", "b")
+    columns = shelf.put(columns)
+    # most pairs fall by the numbers of their columns, and are never joined with lists of them
+    sizes = columns.select("id", F.size("columns").alias("size"))
+    pairs = pairs.join(twice, "a", "left").withColumn("c", F.col("c") + F.coalesce("twice", F.lit(0))).drop("twice")
+    most = pairs.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b").withColumn("most", F.col("c") + F.least("sa", "sb"))
+    left = shelf.put(most.where(_rest("most", "na", "nb", num, den)).select("a", "b", "na", "nb", "c"))
+    counted = left.join(columns.toDF("a", "la"), "a").join(columns.toDF("b", "lb"), "b").withColumn("c", F.col("c") + F.size(F.array_intersect("la", "lb")))
+    found = shelf.put(counted.where(_rest("c", "na", "nb", num, den)).select("a", "b"))
+    shelf.drop(columns, left)
+    return found
 
 
 def similar_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4) -> DataFrame:
@@ -625,8 +640,9 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     label, links = _labels(shelf, links, same)
     pairs = shelf.put(_last_round(entries, label, tested, blocks, num, den))
     release(spark)
-    links, tested, _, _ = compared(_open(pairs, entries, same, num, den), links, tested, True)
-    shelf.drop(entries, label, pairs, tested)
+    found = _open(shelf, pairs, entries, same, num, den)
+    links, tested, _, _ = compared(found, links, tested, True)
+    shelf.drop(entries, label, pairs, tested, found)
     label, _ = _labels(shelf, links, same)
     out = rows.join(label.select("id", "component"), (F.col("doc_id") == F.col("id")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
