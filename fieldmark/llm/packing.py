@@ -19,8 +19,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import positions
-from .words import Words, remembered, shared_dir, slices
+from .words import Words, remembered, shared_dir, slices, trim
 
 CAPACITY = 4096
 END_ID = 2
@@ -48,20 +48,22 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters: dict[str, list[int]] = {}
+        #: token ids of short runs of letters, as bytes: lists of numbers take several times their memory
+        self.letters: dict[str, bytes] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        # hashes of the words, ascending, and where each word stands in start, length and met
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.start, self.length, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
         self.letters.clear()
 
     def forget(self) -> None:
         """Keeps the words that were met in more than one slice."""
-        rows = np.flatnonzero(self.met[: len(self.index)] > 1)[: _WORDS // 2]
-        names = list(self.index)
-        keys, length, flat = [names[k] for k in rows.tolist()], self.length[rows], self.flat[self._places(self.start[rows], self.length[rows])]
+        again = np.flatnonzero(self.met[self.rows] > 1)[: _WORDS // 2]
+        keys, rows = self.hashes[again], self.rows[again]
+        length, flat = self.length[rows], self.flat[self._places(self.start[rows], self.length[rows])]
         self.clear()
         self._put(keys, flat, length)
 
@@ -71,25 +73,25 @@ class WordIds:
         ends = np.cumsum(length)
         return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)
 
-    def one(self, word: str) -> list[int]:
+    def one(self, word: str) -> bytes:
         low = word.lower()
         m = _SIMPLE.fullmatch(low)
         if not m:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        return self.piece(m[1]) + (self.piece(m[2]) if m[2] else [])
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return self.piece(m[1]) + (self.piece(m[2]) if m[2] else b"")
 
-    def piece(self, text: str) -> list[int]:
+    def piece(self, text: str) -> bytes:
         ids = self.letters.get(text)
         if ids is None:
             mapped = text if text.isascii() else "".join(map(_BYTE.__getitem__, text.encode()))
-            ids = [t.id for t in self.model.tokenize(mapped)]
+            ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
             if len(text) <= 12 and len(self.letters) < 150_000:
                 self.letters[text] = ids
         return ids
 
-    def _put(self, keys: list[int], flat: np.ndarray, length: np.ndarray) -> None:
-        """Adds words that are not there yet, all of a slice at once."""
-        k, n = len(self.index), len(keys)
+    def _put(self, keys: np.ndarray, flat: np.ndarray, length: np.ndarray) -> None:
+        """Adds words that are not there yet, all of a slice at once; keys ascend."""
+        k, n = len(self.hashes), len(keys)
         while k + n > len(self.start):
             self.start, self.length, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.met))
         while self.used + len(flat) > len(self.flat):
@@ -97,25 +99,32 @@ class WordIds:
         self.flat[self.used : self.used + len(flat)] = flat
         self.start[k : k + n], self.length[k : k + n] = self.used + np.cumsum(length) - length, length
         self.used += len(flat)
-        self.index.update(zip(keys, range(k, k + n), strict=True))
+        at = np.searchsorted(self.hashes, keys)
+        self.hashes, self.rows = np.insert(self.hashes, at, keys), np.insert(self.rows, at, np.arange(k, k + n, dtype=np.int32))
+
+    def _rows_of(self, keys: np.ndarray) -> np.ndarray:
+        """Where these words stand, -1 for those that are not there."""
+        if not len(self.hashes):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == keys, self.rows[at], -1).astype(np.int64)
 
     def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents after one another, number of ids of each document)."""
-        if len(self.index) > _WORDS:
+        if len(self.hashes) > _WORDS:
             self.forget()
         h = words.hash
         order = np.argsort(h)
         s = h[order]
         new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-        first = order[np.flatnonzero(new)]
-        keys = s[new].tolist()
-        at = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+        first, keys = order[np.flatnonzero(new)], s[new]
+        at = self._rows_of(keys)
         fresh = np.flatnonzero(at < 0)
         if len(fresh):
-            at[fresh] = np.arange(len(self.index), len(self.index) + len(fresh))
+            at[fresh] = np.arange(len(self.hashes), len(self.hashes) + len(fresh))
             found = [self.one(words.word(j).decode("utf-8", "replace")) for j in first[fresh].tolist()]
-            length = np.fromiter(map(len, found), np.int64, len(found))
-            self._put([keys[j] for j in fresh.tolist()], np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum())), length)
+            length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            self._put(keys[fresh], np.frombuffer(b"".join(found), np.uint32), length)
         self.met[at] += 1
         entry = np.empty(len(h), np.int64)
         entry[order] = at[np.cumsum(new) - 1] if len(h) else 0
@@ -127,6 +136,7 @@ class WordIds:
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = remembered(("ids", path), lambda: WordIds(path))
+        trim()
         for batch in batches:
             for piece in slices(batch):
                 words = Words(piece.column("text"))
@@ -144,6 +154,8 @@ def _pieces(path: str, capacity: int, end_id: int):
                         out["ids_crc32"].append(zlib.crc32(part.tobytes()))
                         out["doc_tokens"].append(n + 1)
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.int64()) for k in out]))
+                del words, flat, ids, part
+                trim()
 
     return run
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, slices
+from .words import Words, forget, slices, trim
 
 SHORTEST = 12
 #: Characters of a value behind the name of a credential.
@@ -450,6 +450,7 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, mask:
     rows = docs.select(*own, F.col("text").cast("string").alias("text"), path.alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for piece in slices(batch):
                 words = Words(piece.column("text"))
@@ -468,6 +469,7 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, mask:
                 if changed:
                     texts = pa.array([changed.get(d, t) for d, t in enumerate(texts.to_pylist())], pa.string())
                 yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in range(len(names))), texts], names=[*(f"own_{k}" for k in range(len(names))), "masked"])
+        trim()
 
     fields = [f"own_{k} {kind}" for k, (_, kind) in enumerate(docs.dtypes)]
     out = rows.mapInArrow(run, ", ".join([*fields, "masked string"]))

@@ -1,5 +1,7 @@
 """Words of a slice are remembered in one step, and forgetting keeps those that were met again."""
 
+import tracemalloc
+
 import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
@@ -24,3 +26,17 @@ def test_words_of_a_slice_are_put_at_once(monkeypatch):
         assert len(calls) - before <= 2
         expected = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
         assert counts.tolist() == [len(x) for x in expected] and ids.tolist() == sum(expected, [])
+
+
+def test_a_remembered_word_takes_few_bytes():
+    known = packing.WordIds(PATH)
+    known.ids(Words(pa.array(["a 1"])))
+    n, tracemalloc_was = 60_000, tracemalloc.is_tracing()
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for k in range(0, n, 10_000):
+        known.ids(Words(pa.array([" ".join(f"{j}x" for j in range(k, k + 10_000))])))
+    held = tracemalloc.get_traced_memory()[0] - before
+    if not tracemalloc_was:
+        tracemalloc.stop()
+    assert held / n < 110
