@@ -57,6 +57,8 @@ _SALTS, _HOT_PAIRS = 32, 1 << 18
 _HOT, _SPLIT = 1024, 1 << 22
 #: Rows compared with one row at a time, rows of one block of pairs, and text decoded at a time there.
 _ROWS, _BUNDLE, _DECODED = 256, 256, 1 << 20
+#: Entries that stand in one row of a written column.
+_HELD = 1024
 #: Bits of a column's hash in the entries beyond those that number all leading columns.
 _SPARE = 16
 #: Bytes of a group before which freed memory is given back.
@@ -192,13 +194,16 @@ def _leading(width: int, num: int, den: int, frequent, blocks: int, bits: int):
     return run
 
 
-_ENTRY = "h long, salted boolean, again boolean, k int, id long, n int, pos int, " + ", ".join(f"p{j} long, n{j} int" for j in range(_PIVOTS))
+_PIVOT_FIELDS = [f"{x}{j}" for j in range(_PIVOTS) for x in "pn"]
+_COLUMN = "h long, salted boolean, k int, held array<struct<id: long, n: int, pos: int, again: boolean>>, " + ", ".join(f"p{j} long, n{j} int" for j in range(_PIVOTS))
+_HELD_TYPE = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("again", pa.bool_())]))
+_COLUMN_TYPES = [("h", pa.int64()), ("salted", pa.bool_()), ("k", pa.int32()), ("held", _HELD_TYPE), *((f, pa.int64() if f[0] == "p" else pa.int32()) for f in _PIVOT_FIELDS)]
 
 
 def _shared_columns(key: tuple, table: pa.Table) -> pa.Table:
-    """Entries of the columns that two documents or more hold, with pivots: each column's smallest document and some others of it.
+    """The columns that two documents or more hold, with their entries and pivots: each column's smallest document and some others of it.
 
-    An entry of a row that has the column at an earlier place is marked `again`.
+    An entry of a row that has the column at an earlier place is marked `again`.  A column of many entries comes in several rows.
     """
     if table.nbytes > _TRIMMED:
         trim()
@@ -213,25 +218,33 @@ def _shared_columns(key: tuple, table: pa.Table) -> pa.Table:
         keep = np.repeat(size > 1, size)
         h, ids, n, pos, size = h[keep], ids[keep], n[keep], pos[keep], size[size > 1]
     if not len(h):
-        return pa.table({c: pa.array([], t) for c, t in _ENTRY_TYPES})
+        return pa.table({c: pa.array([], t) for c, t in _COLUMN_TYPES})
     at = np.cumsum(size) - size
     order = np.lexsort((pos, ids, h))
     ids, n, pos = ids[order], n[order], pos[order]
     again = np.zeros(len(h), dtype=bool)
     again[1:] = (h[1:] == h[:-1]) & (ids[1:] == ids[:-1]) & (pos[1:] != pos[:-1])
-    out = {"h": h.view(np.int64), "salted": np.full(len(h), salted), "again": again, "k": np.repeat(size, size).astype(np.int32), "id": ids, "n": n, "pos": pos}
     place, column = np.arange(len(h)), np.repeat(np.arange(len(size)), size)
+    # what a column has once is written once: its hash and pivots weigh more than its entries
+    cuts = np.flatnonzero((place - at[column]) % _HELD == 0)
+    own = column[cuts]
+    entries = pa.StructArray.from_arrays([pa.array(x) for x in (ids, n, pos, again)], names=["id", "n", "pos", "again"])
+    out = {"h": h[cuts].view(np.int64), "salted": np.full(len(cuts), salted), "k": size[own].astype(np.int32), "held": pa.ListArray.from_arrays(pa.array(np.append(cuts, len(h)), pa.int32()), entries)}
     for j in range(_PIVOTS):
         rank = ids if j == 0 else mix(ids.view(np.uint64) ^ h ^ np.uint64(j))
         # the place of each column's smallest rank
         best = place[rank == np.repeat(np.minimum.reduceat(rank, at), size)]
         first = np.empty(len(size), np.int64)
         first[column[best[::-1]]] = best[::-1]
-        out[f"p{j}"], out[f"n{j}"] = np.repeat(ids[first], size), np.repeat(n[first], size)
+        # a column of two has but one pivot
+        one, many = (ids[first], n[first]), (size > 2) | (j == 0)
+        out[f"p{j}"], out[f"n{j}"] = (np.where(many, x, 0).astype(x.dtype)[own] for x in one)
     return pa.table(out)
 
 
-_ENTRY_TYPES = [(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[f.split()[1]]) for f in _ENTRY.split(", ")]
+def _entries(columns: DataFrame) -> DataFrame:
+    """(h, salted, k, id, n, pos, again, pivots): one row for each entry."""
+    return columns.select("h", "salted", "k", F.inline("held"), *_PIVOT_FIELDS)
 
 
 def _can_reach(a: str, b: str, num: int, den: int):
@@ -614,7 +627,8 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     facts = shelf.put(docs.mapInArrow(_facts(width), _FACTS))
     rows = facts.where("seq is not null").select("doc_id", "n", "seq")
     frequent = spark.sparkContext.broadcast(_frequent(facts))
-    entries = shelf.put(docs.mapInArrow(_leading(width, num, den, frequent, blocks, bits), "part long, n long, block binary").groupBy("part").applyInArrow(_shared_columns, _ENTRY))
+    columns = shelf.put(docs.mapInArrow(_leading(width, num, den, frequent, blocks, bits), "part long, n long, block binary").groupBy("part").applyInArrow(_shared_columns, _COLUMN))
+    entries = _entries(columns)
     same, links = _classes(shelf, rows)
     release(spark)
 
@@ -642,7 +656,7 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     release(spark)
     found = _open(shelf, pairs, entries, same, num, den)
     links, tested, _, _ = compared(found, links, tested, True)
-    shelf.drop(entries, label, pairs, tested, found)
+    shelf.drop(columns, label, pairs, tested, found)
     label, _ = _labels(shelf, links, same)
     out = rows.join(label.select("id", "component"), (F.col("doc_id") == F.col("id")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
